@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import exact, mixing
+from barloom.llm import exact, minhash, mixing, pieces
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,20 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3, num=85, den=100)
+
+
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), piece_model()).drop("text"))
+
+
 def op6_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup_exact(_table(spark, sf_dir, "documents")).drop("length")
 
@@ -46,7 +60,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix": op1_mix, "op6_exact": op6_exact}
+    return {"op1_mix": op1_mix, "op2_minhash": op2_minhash, "op3_pieces": op3_pieces, "op6_exact": op6_exact}
 
 
 def oracle_sql() -> dict[str, str]:
