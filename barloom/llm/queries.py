@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import exact, minhash, mixing, pieces
+from barloom.llm import embeddings, exact, langid, minhash, mixing, pieces
+from barloom.session import ship
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,6 +34,15 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), piece_model()).drop("text"))
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op6_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup_exact(_table(spark, sf_dir, "documents")).drop("length")
 
@@ -60,7 +71,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix": op1_mix, "op2_minhash": op2_minhash, "op3_pieces": op3_pieces, "op6_exact": op6_exact}
+    return {"op1_mix": op1_mix, "op2_minhash": op2_minhash, "op3_pieces": op3_pieces, "op4_langid": op4_langid, "op5_vectors": op5_vectors, "op6_exact": op6_exact}
 
 
 def oracle_sql() -> dict[str, str]:
