@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -184,12 +184,12 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def remainder(docs: DataFrame, mod: int):
+def remainder(mod: int) -> Column:
     """crc32 of the id as text, modulo mod; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(docs["doc_id"].cast("string"), F.lit("")).cast("binary")) % mod
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % mod
 
 
 def identify(docs: DataFrame, mod: int = 4, held: int = 2) -> DataFrame:
     """docs with held_out, lang_pred and lang_score added, learnt from the rows that are not held out."""
-    flagged = docs.withColumn("held_out", remainder(docs, mod) == held)
+    flagged = docs.withColumn("held_out", remainder(mod) == held)
     return predict(flagged, train(flagged.where("not held_out")))
