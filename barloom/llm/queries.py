@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import brown, embeddings, exact, langid, minhash, mixing, pieces, toxicity
+from barloom.llm import brown, embeddings, exact, langid, minhash, mixing, pieces, pii, toxicity
 from barloom.session import ship
 
 
@@ -79,8 +79,12 @@ def op9_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"), pii.train()).drop("text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix": op1_mix, "op2_minhash": op2_minhash, "op3_pieces": op3_pieces, "op4_langid": op4_langid, "op5_vectors": op5_vectors, "op6_exact": op6_exact, "op7_toxicity": op7_toxicity, "op9_brown": op9_brown}
+    return {"op1_mix": op1_mix, "op2_minhash": op2_minhash, "op3_pieces": op3_pieces, "op4_langid": op4_langid, "op5_vectors": op5_vectors, "op6_exact": op6_exact, "op7_toxicity": op7_toxicity, "op9_brown": op9_brown, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
