@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import brown, embeddings, exact, langid, minhash, mixing, pieces, pii, toxicity
+from barloom.llm import brown, embeddings, exact, html, langid, minhash, mixing, pieces, pii, toxicity
 from barloom.session import ship
 
 
@@ -75,6 +75,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), html.train())
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op9_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -84,7 +89,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix": op1_mix, "op2_minhash": op2_minhash, "op3_pieces": op3_pieces, "op4_langid": op4_langid, "op5_vectors": op5_vectors, "op6_exact": op6_exact, "op7_toxicity": op7_toxicity, "op9_brown": op9_brown, "op10_pii": op10_pii}
+    return {"op1_mix": op1_mix, "op2_minhash": op2_minhash, "op3_pieces": op3_pieces, "op4_langid": op4_langid, "op5_vectors": op5_vectors, "op6_exact": op6_exact, "op7_toxicity": op7_toxicity, "op8_html": op8_html, "op9_brown": op9_brown, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
