@@ -6,8 +6,9 @@
    member is paired with one pivot, the pairs are verified (sizes, then signatures, then full sets), and
    components are found.
 3. Only pairs that share a bucket but lie in different components are left to be tested. If they are many,
-   further pivots thin them out; then they are all tested. So the links between components are complete
-   for all pairs that share a band, and a large group of copies costs a few pairs a member.
+   further pivots thin them out. The rest is searched exactly: a prefix filter, which loses no pair, leaves
+   those that can be similar, and all of them are verified. So a large group of copies costs a few pairs
+   a member, and no cap is needed on buckets or partners.
 """
 
 from __future__ import annotations
@@ -31,7 +32,10 @@ SLACK = 0.17
 BROADCAST_IDS = 1 << 20
 #: Pairs of different components for each representative, up to which they are all tested at once.
 PAIRS_A_ROW = 4
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
+#: Counters of shingles among documents that share a bucket (16 bits each, broadcast), and those in a group.
+COUNTERS = 1 << 22
+BLOCK = 1 << 16
 
 _R = np.random.default_rng(71)
 _A = _R.integers(0, 1 << 64, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
@@ -131,6 +135,70 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").mapInArrow(run, "u long, v long")
 
 
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def _count_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each counter is hit by the sets of a task, by block of counters."""
+    total = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        raw = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(0)]
+        for k in range(0, len(raw), 1024):
+            total += np.bincount(_slot(np.concatenate(raw[k : k + 1024])), minlength=COUNTERS)
+    hit = np.flatnonzero(total)
+    cuts = np.searchsorted(hit, np.arange(0, COUNTERS + BLOCK, BLOCK))
+    full = np.flatnonzero(np.diff(cuts))
+    parts = [hit[cuts[k] : cuts[k + 1]] for k in full]
+    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([(p % BLOCK).astype(np.uint32).tobytes() for p in parts], pa.binary()), pa.array([total[p].astype(np.uint32).tobytes() for p in parts], pa.binary())], ["block", "slots", "counts"])
+
+
+def _add_counts(table: pa.Table) -> pa.Table:
+    total = np.zeros(BLOCK, np.int64)
+    for p, c in zip(table.column("slots"), table.column("counts"), strict=True):
+        total[np.frombuffer(p.as_buffer(), np.uint32)] += np.frombuffer(c.as_buffer(), np.uint32)
+    return pa.table({"block": table.column("block").slice(0, 1), "counts": pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()], pa.binary())})
+
+
+def _prefixes(shared, num: int, den: int):
+    """The rarest members of each set: two similar sets share one of them, whatever fixed order says what is rare."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        for batch in batches:
+            out = []
+            for x in batch.column(1):
+                h = np.frombuffer(x.as_buffer(), np.uint64)
+                seen = often[_slot(h)]
+                first = np.lexsort((h, seen))[: len(h) - -(-num * len(h) // den) + 1]
+                out.append(h[first][seen[first] > 1])  # a counter of 1 is a member that no other set has
+            size = [len(x) for x in out]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), size), pa.int64()), pa.array(np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64))], ["doc_id", "member"])
+
+    return run
+
+
+def _by_prefix(placed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(d, m, e, n): pairs of documents of placed, of different components, that can be similar, and their sizes.
+
+    Prefix filtering: in a fixed order of all shingles, similar sets share one of their first
+    size - ceil(size * num / den) + 1. The order is by count, from a table of COUNTERS counters, so a
+    much edited copy shows its own edits first and meets nobody, however many copies there are.
+    """
+    often = np.ones(COUNTERS, np.uint16)
+    for r in sets.select("members").mapInArrow(_count_members, "block int, slots binary, counts binary").groupBy("block").applyInArrow(_add_counts, "block int, counts binary").collect():
+        often[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, np.uint16)
+    shared = placed.sparkSession.sparkContext.broadcast(often)
+    docs = placed.select("doc_id", "n", "component").distinct()
+    rows = stage(sets.select("doc_id", "members").mapInArrow(_prefixes(shared, num, den), "doc_id long, member long").join(docs, "doc_id"), "prefixes")
+    # of a shingle's rows, those of its main component are compared with the others, never among themselves
+    main = rows.groupBy("member", "component").agg(F.count("*").alias("c")).groupBy("member").agg(F.max(F.struct("c", "component")).alias("main"), F.count("*").alias("k")).where("k > 1").select("member", F.col("main.component").alias("main"))
+    here = stage(rows.join(main, "member"), "prefixes")
+    x, y = here.where("component <> main").alias("x"), here.alias("y")
+    both = x.join(y, F.expr("x.member = y.member and x.component <> y.component and (y.component = y.main or x.component < y.component)"))
+    return both.select(F.col("x.doc_id").alias("d"), F.col("x.n").alias("m"), F.col("y.doc_id").alias("e"), F.col("y.n").alias("n"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -171,21 +239,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
             break
         last = turn == PIVOT_ROUNDS or left <= most
         if last:
-            x, y = placed.alias("x"), placed.alias("y")
-            new = x.join(y, F.expr("x.key = y.key and x.component < y.component")).select(F.col("x.doc_id").alias("d"), F.col("x.n").alias("m"), F.col("y.doc_id").alias("e"), F.col("y.n").alias("n"))
+            new = _by_prefix(placed, sets, num, den)
         else:
-            pick = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id", "n", "component")).alias("p"))
-            new = placed.join(pick, "key").where("component <> p.component").select("doc_id", "n", F.col("p.doc_id").alias("e"), F.col("p.n").alias("m")).withColumnRenamed("doc_id", "d")
+            degree = links.select(F.explode(F.array("u", "v")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("degree"))
+            ranked = placed.join(degree, "doc_id", "left")
+            pick = ranked.groupBy("key").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("d"), F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id", "n", "component")).alias("p"))
+            new = placed.join(pick, "key").where("component <> p.component").select(F.col("doc_id").alias("d"), F.col("n").alias("m"), F.col("p.doc_id").alias("e"), F.col("p.n").alias("n"))
         new = new.where(fits(F.col("m"), F.col("n"))).select(F.least("d", "e").alias("a"), F.greatest("d", "e").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         new = stage(new, "pairs")
         more = stage(_verify(new, sets, num, den), "links")
         tested = tested.unionByName(new)
-        if more.isEmpty():
-            if last:
-                break
-            continue
-        links = links.unionByName(more)
-        found = stage(connected_components(links), "found")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            found = stage(connected_components(links), "found")
         if last:
             break
     rows = signed.select("doc_id", "n_shingles", "mark").join(classes, ["mark", "n_shingles"], "left")
