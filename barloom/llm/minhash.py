@@ -36,6 +36,8 @@ PIVOT_ROUNDS = 2
 #: Counters of shingles among documents that share a bucket (16 bits each, broadcast), and those in a group.
 COUNTERS = 1 << 22
 BLOCK = 1 << 16
+#: 64-bit words of a set's parity map.
+MAPS = 8
 
 _R = np.random.default_rng(71)
 _A = _R.integers(0, 1 << 64, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
@@ -166,14 +168,21 @@ def _prefixes(shared, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
         for batch in batches:
-            out = []
+            out, places, maps = [], [], []
             for x in batch.column(1):
                 h = np.frombuffer(x.as_buffer(), np.uint64)
                 seen = often[_slot(h)]
                 first = np.lexsort((h, seen))[: len(h) - -(-num * len(h) // den) + 1]
-                out.append(h[first][seen[first] > 1])  # a counter of 1 is a member that no other set has
+                at = np.flatnonzero(seen[first] > 1)  # a counter of 1 is a member that no other set has
+                out.append(h[first][at])
+                places.append(at)
+                odd = np.bincount((h >> np.uint64(50)).astype(np.int64) % (64 * MAPS), minlength=64 * MAPS) & 1
+                maps.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             size = [len(x) for x in out]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), size), pa.int64()), pa.array(np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64))], ["doc_id", "member"])
+            rows = np.repeat(np.arange(len(out)), size)
+            bits = np.array(maps, np.int64).reshape(-1, MAPS)[rows]
+            join = lambda x, kind: np.concatenate([*x, np.zeros(0, kind)]).astype(kind, copy=False)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(join(out, np.uint64).view(np.int64)), pa.array(join(places, np.int64), pa.int32()), *[pa.array(bits[:, k]) for k in range(MAPS)]], ["doc_id", "member", "place", *[f"m{k}" for k in range(MAPS)]])
 
     return run
 
@@ -181,32 +190,43 @@ def _prefixes(shared, num: int, den: int):
 def _by_prefix(placed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(d, m, e, n): pairs of documents of placed, of different components, that can be similar, and their sizes.
 
-    Prefix filtering: in a fixed order of all shingles, similar sets share one of their first
-    size - ceil(size * num / den) + 1. The order is by count, from a table of COUNTERS counters, so a
-    much edited copy shows its own edits first and meets nobody, however many copies there are.
+    Prefix filtering: in a fixed order of all shingles, similar sets share one early enough in both to leave
+    room for the overlap that they need. The order is by count, from a table of COUNTERS counters, so a much
+    edited copy shows its own edits first and meets few, however many copies there are. Bitmap filtering: the
+    members of only one of two sets are at least as many as the bits in which their parity maps differ.
+    Neither loses a similar pair.
     """
     often = np.ones(COUNTERS, np.uint16)
     for r in sets.select("members").mapInArrow(_count_members, "block int, slots binary, counts binary").groupBy("block").applyInArrow(_add_counts, "block int, counts binary").collect():
         often[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, np.uint16)
     shared = placed.sparkSession.sparkContext.broadcast(often)
     docs = placed.select("doc_id", "n", "component").distinct()
-    rows = stage(sets.select("doc_id", "members").mapInArrow(_prefixes(shared, num, den), "doc_id long, member long").join(docs, "doc_id"), "prefixes")
+    rows = stage(sets.select("doc_id", "members").mapInArrow(_prefixes(shared, num, den), "doc_id long, member long, place int, " + ", ".join(f"m{k} long" for k in range(MAPS))).join(docs, "doc_id"), "prefixes")
     # of a shingle's rows, those of its main component are compared with the others, never among themselves
     main = rows.groupBy("member", "component").agg(F.count("*").alias("c")).groupBy("member").agg(F.max(F.struct("c", "component")).alias("main"), F.count("*").alias("k")).where("k > 1").select("member", F.col("main.component").alias("main"))
     here = stage(rows.join(main, "member"), "prefixes")
     x, y = here.where("component <> main").alias("x"), here.alias("y")
-    both = x.join(y, F.expr("x.member = y.member and x.component <> y.component and (y.component = y.main or x.component < y.component)"))
+    need = f"(({num} * (x.n + y.n) + {num + den - 1}) div {num + den})"
+    differ = " + ".join(f"bit_count(x.m{k} ^ y.m{k})" for k in range(MAPS))
+    both = x.join(y, F.expr(f"x.member = y.member and x.component <> y.component and (y.component = y.main or x.component < y.component) and x.place + {need} <= x.n and y.place + {need} <= y.n and {differ} <= x.n + y.n - 2 * {need}"))
     return both.select(F.col("x.doc_id").alias("d"), F.col("x.n").alias("m"), F.col("y.doc_id").alias("e"), F.col("y.n").alias("n"))
 
 
+def _same_id(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(u, v): links between the representatives of an id's rows, where an id is repeated with another text."""
+    own = signed.where("doc_id is not null").join(classes, ["mark", "n_shingles"]).select("doc_id", "rep")
+    least = own.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("top")).where("u <> top").select("doc_id", "u")
+    return own.join(least, "doc_id").where("rep <> u").select("u", F.col("rep").alias("v"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept.
 
     Two documents are linked when the Jaccard similarity of their sets of width-word shingles is num/den or
     more, confirmed on the full sets (as 64-bit hashes). A document with fewer words has one shingle, its
     whole sequence; one without words, or null, has none and is linked with nothing. component_id is the
-    smallest doc_id reachable; the document with that id is kept. Rows that repeat an id are each placed by
-    their own text; a null id is linked with nothing and kept. Empty tables give no rows; extra columns are ignored.
+    smallest doc_id reachable; the document with that id is kept. Rows that repeat an id are
+    one document, linked by what any of them is linked with; a null id is linked with nothing and kept. Empty tables give no rows; extra columns are ignored.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -225,7 +245,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
     sigs = signed.select("doc_id", "sig").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     sets = stage(picked.mapInArrow(_sets(width), "doc_id long, members binary").join(sigs, "doc_id"), "sets")
 
-    links = stage(_verify(pairs, sets, num, den), "links")
+    links = stage(_verify(pairs, sets, num, den).unionByName(_same_id(signed, classes)), "links")
     found = stage(connected_components(links), "found")
     tested = pairs
     most = PAIRS_A_ROW * max(1, ids.count())
