@@ -5,10 +5,10 @@
 2. Representatives that share a band's hash meet in a bucket. A bucket never emits all its pairs: every
    member is paired with one pivot, the pairs are verified (sizes, then signatures, then full sets), and
    components are found.
-3. Only pairs that share a bucket but lie in different components are left to be tested. If they are many,
-   further pivots thin them out. The rest is searched exactly: a prefix filter, which loses no pair, leaves
-   those that can be similar, and all of them are verified. So a large group of copies costs a few pairs
-   a member, and no cap is needed on buckets or partners.
+3. Pairs of documents that met someone in a bucket, but lie in different components, are searched exactly:
+   prefix and bitmap filters, which lose no pair, leave those that can be similar, and all of them are
+   verified. So a large group of copies costs a few pairs a member, and no cap is needed on buckets or
+   partners.
 """
 
 from __future__ import annotations
@@ -30,9 +30,6 @@ ROWS, BANDS = 5, 30
 SLACK = 0.17
 #: So many ids are broadcast to pick documents from the table (16 MB); more are joined.
 BROADCAST_IDS = 1 << 20
-#: Pairs of different components for each representative, up to which they are all tested at once.
-PAIRS_A_ROW = 4
-PIVOT_ROUNDS = 2
 #: Counters of shingles among documents that share a bucket (16 bits each, broadcast), and those in a group.
 COUNTERS = 1 << 22
 BLOCK = 1 << 16
@@ -84,17 +81,15 @@ def _sign(width: int):
             for i, j, h, offs in shingle_sets(batch.column(1), width):
                 n = np.diff(offs)
                 full = np.flatnonzero(n > 0)
-                sig = np.zeros((j - i, ROWS * BANDS), np.uint32)
                 marks = np.zeros((j - i, 2), np.uint64)
                 hashed = np.zeros((0, BANDS), np.uint64)
                 if len(full):
                     cut = np.append(offs[:-1][full], offs[-1])
-                    sig[full] = signatures(h, cut)
                     marks[full, 0] = np.add.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D)), cut[:-1])
                     marks[full, 1] = np.bitwise_xor.reduceat(mix(h + np.uint64(0x14057B7EF767814F)), cut[:-1])
-                    hashed = bands(sig[full])
+                    hashed = bands(signatures(h, cut))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]), pa.int32()), pa.array(hashed.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array([m.tobytes() for m in marks], pa.binary()), lists, pa.array([s.tobytes() for s in sig], pa.binary())], ["doc_id", "n_shingles", "mark", "bands", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array([m.tobytes() for m in marks], pa.binary()), lists], ["doc_id", "n_shingles", "mark", "bands"])
 
     return run
 
@@ -103,8 +98,13 @@ def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, h, offs in shingle_sets(batch.column(1), width):
+                n = np.diff(offs)
+                full = np.flatnonzero(n > 0)
+                if not len(full):
+                    continue
+                sig = signatures(h, np.append(offs[:-1][full], offs[-1]))
                 raw = h.view(np.uint8)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([raw[8 * a : 8 * b].tobytes() for a, b in zip(offs[:-1], offs[1:], strict=True)], pa.binary())], ["doc_id", "members"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(full)), pa.array(n[full].astype(np.int32)), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([raw[8 * offs[k] : 8 * offs[k + 1]].tobytes() for k in full], pa.binary())], ["doc_id", "n", "sig", "members"])
 
     return run
 
@@ -182,13 +182,13 @@ def _prefixes(shared, num: int, den: int):
             rows = np.repeat(np.arange(len(out)), size)
             bits = np.array(maps, np.int64).reshape(-1, MAPS)[rows]
             join = lambda x, kind: np.concatenate([*x, np.zeros(0, kind)]).astype(kind, copy=False)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(join(out, np.uint64).view(np.int64)), pa.array(join(places, np.int64), pa.int32()), *[pa.array(bits[:, k]) for k in range(MAPS)]], ["doc_id", "member", "place", *[f"m{k}" for k in range(MAPS)]])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(join(out, np.uint64).view(np.int64)), pa.array(join(places, np.int64), pa.int32()), batch.column(2).take(pa.array(rows)), *[pa.array(bits[:, k]) for k in range(MAPS)]], ["doc_id", "member", "place", "n", *[f"m{k}" for k in range(MAPS)]])
 
     return run
 
 
-def _by_prefix(placed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(d, m, e, n): pairs of documents of placed, of different components, that can be similar, and their sizes.
+def _by_prefix(sets: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): pairs of documents of sets that lie in different components and can be similar.
 
     Prefix filtering: in a fixed order of all shingles, similar sets share one early enough in both to leave
     room for the overlap that they need. The order is by count, from a table of COUNTERS counters, so a much
@@ -199,17 +199,18 @@ def _by_prefix(placed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
     often = np.ones(COUNTERS, np.uint16)
     for r in sets.select("members").mapInArrow(_count_members, "block int, slots binary, counts binary").groupBy("block").applyInArrow(_add_counts, "block int, counts binary").collect():
         often[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, np.uint16)
-    shared = placed.sparkSession.sparkContext.broadcast(often)
-    docs = placed.select("doc_id", "n", "component").distinct()
-    rows = stage(sets.select("doc_id", "members").mapInArrow(_prefixes(shared, num, den), "doc_id long, member long, place int, " + ", ".join(f"m{k} long" for k in range(MAPS))).join(docs, "doc_id"), "prefixes")
+    shared = sets.sparkSession.sparkContext.broadcast(often)
+    rows = sets.select("doc_id", "members", "n").mapInArrow(_prefixes(shared, num, den), "doc_id long, member long, place int, n int, " + ", ".join(f"m{k} long" for k in range(MAPS)))
+    rows = rows.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    rows = stage(rows.withColumn("component", F.coalesce("component", "doc_id")), "prefixes")
     # of a shingle's rows, those of its main component are compared with the others, never among themselves
     main = rows.groupBy("member", "component").agg(F.count("*").alias("c")).groupBy("member").agg(F.max(F.struct("c", "component")).alias("main"), F.count("*").alias("k")).where("k > 1").select("member", F.col("main.component").alias("main"))
-    here = stage(rows.join(main, "member"), "prefixes")
+    here = rows.join(main, "member")
     x, y = here.where("component <> main").alias("x"), here.alias("y")
     need = f"(({num} * (x.n + y.n) + {num + den - 1}) div {num + den})"
     differ = " + ".join(f"bit_count(x.m{k} ^ y.m{k})" for k in range(MAPS))
     both = x.join(y, F.expr(f"x.member = y.member and x.component <> y.component and (y.component = y.main or x.component < y.component) and x.place + {need} <= x.n and y.place + {need} <= y.n and {differ} <= x.n + y.n - 2 * {need}"))
-    return both.select(F.col("x.doc_id").alias("d"), F.col("x.n").alias("m"), F.col("y.doc_id").alias("e"), F.col("y.n").alias("n"))
+    return both.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
 
 
 def _same_id(signed: DataFrame, classes: DataFrame) -> DataFrame:
@@ -230,7 +231,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = stage(docs.mapInArrow(_sign(width), "doc_id long, n_shingles long, mark binary, bands array<long>, sig binary"), "signed")
+    signed = stage(docs.mapInArrow(_sign(width), "doc_id long, n_shingles long, mark binary, bands array<long>"), "signed")
     classes = stage(signed.where("n_shingles > 0 and doc_id is not null").groupBy("mark", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     reps = stage(signed.join(classes.select("mark", "n_shingles", F.col("rep").alias("doc_id")), ["mark", "n_shingles", "doc_id"]).select("doc_id", F.col("n_shingles").cast("int").alias("n"), F.explode("bands").alias("key")), "bands")
 
@@ -242,38 +243,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
     ids = stage(met.select("doc_id").distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
     picked = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    sigs = signed.select("doc_id", "sig").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    sets = stage(picked.mapInArrow(_sets(width), "doc_id long, members binary").join(sigs, "doc_id"), "sets")
-
-    links = stage(_verify(pairs, sets, num, den).unionByName(_same_id(signed, classes)), "links")
-    found = stage(connected_components(links), "found")
-    tested = pairs
-    most = PAIRS_A_ROW * max(1, ids.count())
-    for turn in range(PIVOT_ROUNDS + 1):
-        placed = met.select("key", "doc_id", "n").join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        placed = stage(placed.join(mixed, "key"), "open")
-        sizes = placed.groupBy("key", "component").agg(F.count("*").cast("double").alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"))
-        left = sizes.agg(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2)).first()[0] or 0
-        if not left:
-            break
-        last = turn == PIVOT_ROUNDS or left <= most
-        if last:
-            new = _by_prefix(placed, sets, num, den)
-        else:
-            degree = links.select(F.explode(F.array("u", "v")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("degree"))
-            ranked = placed.join(degree, "doc_id", "left")
-            pick = ranked.groupBy("key").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("d"), F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id", "n", "component")).alias("p"))
-            new = placed.join(pick, "key").where("component <> p.component").select(F.col("doc_id").alias("d"), F.col("n").alias("m"), F.col("p.doc_id").alias("e"), F.col("p.n").alias("n"))
-        new = new.where(fits(F.col("m"), F.col("n"))).select(F.least("d", "e").alias("a"), F.greatest("d", "e").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        new = stage(new, "pairs")
-        more = stage(_verify(new, sets, num, den), "links")
-        tested = tested.unionByName(new)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            found = stage(connected_components(links), "found")
-        if last:
-            break
+    sets = stage(picked.mapInArrow(_sets(width), "doc_id long, n int, sig binary, members binary"), "sets")
+
+    links = _verify(pairs, sets, num, den)
+    if not signed.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").isEmpty():
+        links = links.unionByName(_same_id(signed, classes))
+    links = stage(links, "links")
+    found = connected_components(links)
+    new = stage(_by_prefix(sets, found, num, den), "pairs")
+    more = stage(_verify(new, sets, num, den), "links")
+    if not more.isEmpty():
+        found = connected_components(links.unionByName(more))
+    found = stage(found, "found")
     rows = signed.select("doc_id", "n_shingles", "mark").join(classes, ["mark", "n_shingles"], "left")
     rows = rows.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     rows = rows.withColumn("component_id", F.coalesce("component", "rep", "doc_id"))
