@@ -137,7 +137,11 @@ def random_search(bars: DataFrame, strategy: type[Strategy], space: dict[str, li
             good = [trials[b[RUN] - (first - len(trials))] for b in best]
             for k, spec in space.items():
                 if good and len(spec) == 2 and all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in spec):
-                    narrowed[k] = (min(g[k] for g in good), max(g[k] for g in good))
+                    room = (spec[1] - spec[0]) / 8
+                    lo, hi = min(g[k] for g in good), max(g[k] for g in good)
+                    if all(isinstance(v, int) for v in spec):
+                        room = max(1, round(room))
+                    narrowed[k] = (max(spec[0], lo - room), min(spec[1], hi + room))
     if out is None:
         raise ValueError("no valid trial")
     return out
