@@ -19,51 +19,56 @@ LEAST_SCORE = 0.3
 #: So many rows of decisions are broadcast to the documents; more are joined.
 BROADCAST_ROWS = 500_000
 
+#: Names that no table of documents has.
+ROW, COPIES, COPY = "__row__", "__copies__", "__copy__"
+
 #: Language identification, MinHash and SentencePiece have no SQL form.
 ORACLE_SQL = None
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a column _row that tells rows apart: the doc_id, or a row number if ids are null or repeated."""
+    """docs with a column ROW that tells rows apart: the doc_id, or a row number if ids are null or repeated."""
     if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or n > 1").isEmpty():
-        return docs.withColumn("_row", F.col("doc_id").cast("long"))
-    return stage(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+        return docs.withColumn(ROW, F.col("doc_id").cast("long"))
+    return stage(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
 
 
 def _decided(docs: DataFrame, decisions: DataFrame, how: str) -> DataFrame:
-    """docs joined on _row with a narrow table, broadcast if it is small."""
+    """docs joined on ROW with a narrow table, broadcast if it is small."""
     decisions = stage(decisions, "decisions")
-    return docs.join(F.broadcast(decisions) if decisions.count() <= BROADCAST_ROWS else decisions, "_row", how)
+    return docs.join(F.broadcast(decisions) if decisions.count() <= BROADCAST_ROWS else decisions, ROW, how)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told. Null, empty and letterless texts go; nothing else changes."""
     ship(spark)
-    told = langid.identify(docs)
-    return told.where((F.col("lang_pred") != langid.NONE) & (F.col("lang_score") >= LEAST_SCORE)).select(*docs.columns)
+    clashing = [c for c in docs.columns if c.lower() in ("held_out", "lang_pred", "lang_score")]
+    told = langid.identify(docs.withColumnsRenamed({c: f"__{c}__" for c in clashing}))
+    told = told.where((F.col("lang_pred") != langid.NONE) & (F.col("lang_score") >= LEAST_SCORE))
+    return told.select(*[F.col(f"__{c}__").alias(c) if c in clashing else F.col(c) for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts (white space aside): the longest, then the smallest id."""
     keyed = _keyed(docs)
-    found = exact.dedup_exact(keyed.select(F.col("_row").alias("doc_id"), "text"))
-    return _decided(keyed, found.where("not kept").select(F.col("doc_id").alias("_row")), "left_anti").select(*docs.columns)
+    found = exact.dedup_exact(keyed.select(F.col(ROW).alias("doc_id"), "text"))
+    return _decided(keyed, found.where("not kept").select(F.col("doc_id").alias(ROW)), "left_anti").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates (five words, similarity 0.8): the smallest id."""
     ship(spark)
     keyed = _keyed(docs)
-    found = minhash.near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"))
-    return _decided(keyed, found.where("not kept").select(F.col("doc_id").alias("_row")), "left_anti").select(*docs.columns)
+    found = minhash.near_duplicates(keyed.select(F.col(ROW).alias("doc_id"), "text"))
+    return _decided(keyed, found.where("not kept").select(F.col("doc_id").alias(ROW)), "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its source's target weight takes it, copies as rows of their own."""
     keyed = _keyed(docs)
-    mixed = mixing.mix(keyed.select(F.col("_row").alias("doc_id"), "text", "source"))
-    taken = mixed.where("copies > 0").select(F.col("doc_id").alias("_row"), F.col("copies").cast("int").alias("_copies"))
-    return _decided(keyed, taken, "inner").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    mixed = mixing.mix(keyed.select(F.col(ROW).alias("doc_id"), "text", "source"))
+    taken = mixed.where("copies > 0").select(F.col("doc_id").alias(ROW), F.col("copies").cast("int").alias(COPIES))
+    return _decided(keyed, taken, "inner").withColumn(COPY, F.explode(F.sequence(F.lit(1), F.col(COPIES)))).select(*docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
