@@ -272,3 +272,27 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).columns == ["hour", "n_trades", "win_rate_pct", "total_pnl", "avg_pnl", "profit_factor"]
+
+
+# ---- reports and command line
+
+
+def test_report_and_command_line(spark, gold, tmp_path, capsys):
+    from barloom import cli
+    from barloom.plans.experiments import EXPERIMENTS
+    from barloom.plans.report import curve, price_and_trades
+
+    ST.BarStore(spark, str(tmp_path / "bars")).write(gold, "1m")
+    common = ["--store", str(tmp_path / "bars"), "--symbol", "s", "--tf", "1m", "--strategy", "heikin_ashi", "--params", '{"n_consec": 2}', "--fee-bps", "2"]
+    assert cli.main(["backtest", *common, "--sl", "entry_pct:0.5", "--tp", "rr:2"]) == 0
+    assert "best session" in capsys.readouterr().out
+    assert cli.main(["report", *common, "--out", str(tmp_path / "r.html")]) == 0
+    page = (tmp_path / "r.html").read_text()
+    assert "<svg" in page and "regime" in page and "uptrend" in page
+    cfg = cli.build_config(cli.parser().parse_args(["backtest", *common, "--sizing", "lots:2"]))
+    assert (cfg.sizing_mode, cfg.sizing_value, cfg.exit_enabled, cfg.fee_bps) == ("lots", 2.0, False, 2.0)
+    result = Y.HeikinAshiTrend().backtest(gold, CFG)
+    assert curve(result, 100).count() <= 100
+    candles, marks = price_and_trades(gold, result.trades, "1h")
+    assert candles.count() == 50 and marks.count() == 2 * result.trades.count()
+    assert set(EXPERIMENTS) == {"ema_mtf", "session_timing", "exit_design"} and all(make().strategy_space for make in EXPERIMENTS.values())
