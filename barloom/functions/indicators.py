@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from barloom.functions.columns import KEY, TIME, bars_window, indicator
 from barloom.functions.signals import forward_fill
+from barloom.operators.fold import fold_sorted
 from barloom.operators.recurrence import decayed_mean, linear_recurrence
 from barloom.operators.timeframe import bucket_start, resample
 
@@ -89,30 +90,32 @@ def add_atr(df: DataFrame, period: int = 14, out: str | None = None) -> DataFram
     return decayed_mean(df.withColumn(tr, true_range()), out, F.col(tr), 1 / period, period).drop(tr)
 
 
-def _bands(parts: Iterator[pd.DataFrame], line: str) -> Iterator[pd.DataFrame]:
-    """The ratchet over one symbol's rows, which arrive in time order in pieces."""
-    inf = float("inf")
-    last = None  # close, final upper, final lower, direction
-    for pdf in parts:
-        lines, ways = [], []
-        for close, up, down in zip(pdf["close"].to_numpy(float), pdf["_up"].fillna(inf).to_numpy(float), pdf["_down"].fillna(-inf).to_numpy(float), strict=True):
-            if last is None:
-                way, shown = -1, up
-            else:
-                was, top, bottom, way = last
-                if was <= top:
-                    up = min(up, top)
-                if was >= bottom:
-                    down = max(down, bottom)
-                if way < 0 and close > top:
-                    way = 1
-                elif way > 0 and close < bottom:
-                    way = -1
-                shown = down if way > 0 else up
-            last = (close, up, down, way)
-            lines.append(shown)
-            ways.append(way)
-        yield pdf.drop(columns=["_up", "_down"]).assign(**{line: lines, f"{line}_dir": ways})
+def _bands(line: str):
+    def fold(key: tuple, pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        inf = float("inf")
+        last = None  # close, final upper, final lower, direction
+        for pdf in pieces:
+            lines, ways = [], []
+            for close, up, down in zip(pdf["close"].to_numpy(float), pdf["_up"].fillna(inf).to_numpy(float), pdf["_down"].fillna(-inf).to_numpy(float), strict=True):
+                if last is None:
+                    way, shown = -1, up
+                else:
+                    was, top, bottom, way = last
+                    if was <= top:
+                        up = min(up, top)
+                    if was >= bottom:
+                        down = max(down, bottom)
+                    if way < 0 and close > top:
+                        way = 1
+                    elif way > 0 and close < bottom:
+                        way = -1
+                    shown = down if way > 0 else up
+                last = (close, up, down, way)
+                lines.append(shown)
+                ways.append(way)
+            yield pdf.drop(columns=["_up", "_down"]).assign(**{line: lines, f"{line}_dir": ways})
+
+    return fold
 
 
 @indicator(lambda period=10, multiplier=3.0, prefix="st": [prefix, f"{prefix}_dir", f"{prefix}_up"])
@@ -128,32 +131,7 @@ def add_supertrend(df: DataFrame, period: int = 10, multiplier: float = 3.0, pre
     df = df.withColumn("_up", mid + multiplier * F.col(a)).withColumn("_down", mid - multiplier * F.col(a)).drop(a)
     kept = [f for f in df.schema.fields if f.name not in ("_up", "_down")]
     schema = T.StructType([*kept, T.StructField(prefix, T.DoubleType()), T.StructField(f"{prefix}_dir", T.IntegerType())])
-    symbol = kept[[f.name for f in kept].index(KEY)].name
-
-    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # rows of a partition are sorted by symbol, then time: cut them at each change of symbol
-        def runs() -> Iterator[tuple[object, pd.DataFrame]]:
-            for pdf in parts:
-                key = pdf[symbol]
-                number = (key.ne(key.shift()) & ~(key.isna() & key.shift().isna())).cumsum()
-                for _, run in pdf.groupby(number, sort=False):
-                    yield run[symbol].iloc[0], run
-
-        source = runs()
-        ahead = next(source, None)
-        while ahead is not None:
-            current = ahead[0]
-
-            def same() -> Iterator[pd.DataFrame]:
-                nonlocal ahead
-                while ahead is not None and (ahead[0] == current or (pd.isna(ahead[0]) and pd.isna(current))):  # noqa: B023
-                    run = ahead[1]
-                    ahead = next(source, None)
-                    yield run
-
-            yield from _bands(same(), prefix)
-
-    folded = df.repartition(KEY).sortWithinPartitions(KEY, TIME).mapInPandas(fold, schema)
+    folded = fold_sorted(df, [KEY], [TIME], _bands(prefix), schema)
     return folded.withColumn(f"{prefix}_up", F.col(f"{prefix}_dir") == 1)
 
 

@@ -1,28 +1,31 @@
-"""Simulated trading of a signal table: one ordered fold a (run, symbol), all of them in parallel."""
+"""Simulated trading of a signal table: one ordered fold a (run, symbol), all of them in parallel.
+
+The folds stream: a series of any length is traded in bounded memory.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from barloom.functions.columns import KEY, TIME
 from barloom.operators.config import BacktestConfig
-from barloom.operators.simulator import Outcome, simulate
-from barloom.session import ship
+from barloom.operators.fold import fold_sorted
+from barloom.operators.simulator import Simulation, Trade
 
 SIGNALS = ("entry_long", "exit_long", "entry_short", "exit_short")
 RUN = "run_id"
+#: Seconds of a year.
+YEAR = 365.25 * 86400
 
 _TRADE = [("side", "string"), ("entry_time", "timestamp_ntz"), ("exit_time", "timestamp_ntz"), ("entry_i", "long"), ("exit_i", "long"), *[(c, "double") for c in ("entry_price", "exit_price", "stop_price", "qty", "gross_pnl", "fees", "pnl", "return_pct")], ("bars_held", "long"), ("close_reason", "string")]
 TRADE_COLUMNS = [c for c, _ in _TRADE]
-_CURVE = [("t", "timestamp_ntz"), ("equity", "double"), ("open_trades", "long"), ("drawdown", "double")]
 _FAST = ["num_trades", "win_rate_pct", "total_return_pct", "profit_factor", "expectancy_per_trade", "sharpe", "sortino", "max_drawdown_pct", "long_trades", "short_trades", "final_cash"]
 
 
@@ -52,77 +55,129 @@ def _signals(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
     return {c: pdf[c].fillna(False).to_numpy(bool) if c in pdf else np.zeros(len(pdf), bool) for c in SIGNALS}
 
 
-def drawdowns(equity: np.ndarray) -> np.ndarray:
-    """The share that equity has fallen from its highest so far, 0 unless that was positive."""
-    peak = np.maximum.accumulate(equity) if len(equity) else equity
-    return np.where(peak > 0, (peak - equity) / np.where(peak > 0, peak, 1.0), 0.0)
-
-
-def fast_stats(out: Outcome, initial: float, per_year: float) -> dict[str, float]:
-    """The statistics that sweeps rank by."""
-    equity = out.equity
-    sharpe = sortino = 0.0
-    if len(equity) > 1:
+class _Curve:
+    """What statistics need of an equity curve that is seen piece by piece."""
+
+    def __init__(self) -> None:
+        self.peak, self.fall, self.before = -math.inf, 0.0, None
+        self.all, self.down = [0, 0.0, 0.0], [0, 0.0, 0.0]
+
+    def drawdowns(self, equity: np.ndarray) -> np.ndarray:
+        """The share that equity has fallen from its highest so far, 0 unless that was positive."""
+        if not len(equity):
+            return equity
+        peak = np.maximum(np.maximum.accumulate(equity), self.peak)
+        self.peak = float(peak[-1])
+        fall = np.where(peak > 0, (peak - equity) / np.where(peak > 0, peak, 1.0), 0.0)
+        self.fall = max(self.fall, float(fall.max()))
+        return fall
+
+    @staticmethod
+    def _merge(into: list, x: np.ndarray) -> None:
+        """Number, mean and sum of squared deviations, joined with those of x."""
+        n = len(x)
+        if n:
+            mean, square = float(x.mean()), float(((x - x.mean()) ** 2).sum())
+            total = into[0] + n
+            gap = mean - into[1]
+            into[2] += square + gap * gap * into[0] * n / total
+            into[1] += gap * n / total
+            into[0] = total
+
+    def add(self, equity: np.ndarray) -> None:
+        self.drawdowns(equity)
+        whole = equity if self.before is None else np.concatenate([[self.before], equity])
+        self.before = float(equity[-1])
         with np.errstate(divide="ignore", invalid="ignore"):
-            move = np.diff(equity) / equity[:-1]
+            move = np.diff(whole) / whole[:-1]
         move = move[np.isfinite(move)]
-        if len(move) > 1 and per_year > 0:
-            scale, mean = math.sqrt(per_year), move.mean()
-            sd = move.std(ddof=1)
-            down = move[move < 0]
-            below = down.std(ddof=1) if len(down) > 1 else 0.0
-            sharpe = mean / sd * scale if sd > 0 else 0.0
-            sortino = mean / below * scale if below > 0 else 0.0
-    pnl = np.array([t.pnl for t in out.trades])
-    gain, loss = float(pnl[pnl > 0].sum()), float(-pnl[pnl < 0].sum())
-    n = len(pnl)
-    values = [n, (pnl > 0).mean() * 100 if n else 0.0, (out.cash / initial - 1) * 100 if initial > 0 else 0.0, gain / loss if loss > 0 else (math.inf if gain > 0 else 0.0), pnl.mean() if n else 0.0, sharpe, sortino, drawdowns(equity).max() * 100 if len(equity) else 0.0, sum(t.side > 0 for t in out.trades), sum(t.side < 0 for t in out.trades), out.cash]
-    return dict(zip(_FAST, map(float, values), strict=True))
-
-
-def periods_per_year(times: np.ndarray) -> float:
-    """Bars a year at the median spacing; 0 for fewer than three bars."""
-    if len(times) < 3:
-        return 0.0
-    step = float(np.median(np.diff(times.astype("datetime64[ns]").astype(np.int64)))) / 1e9
-    return 365.25 * 86400 / step if step > 0 else 0.0
-
-
-def trade_rows(out: Outcome, times: np.ndarray) -> dict[str, list]:
-    """The columns of the trade table."""
+        self._merge(self.all, move)
+        self._merge(self.down, move[move < 0])
+
+    def ratios(self, per_year: float) -> tuple[float, float]:
+        """Sharpe and Sortino."""
+        spread = lambda x: math.sqrt(x[2] / (x[0] - 1)) if x[0] > 1 else 0.0
+        if self.all[0] < 2 or not per_year > 0:
+            return 0.0, 0.0
+        scaled = self.all[1] * math.sqrt(per_year)
+        return tuple(scaled / s if s > 0 else 0.0 for s in (spread(self.all), spread(self.down)))
+
+
+class _FastStats:
+    """The statistics that sweeps rank by, of one run."""
+
+    def __init__(self, cfg: BacktestConfig) -> None:
+        self.run, self.curve, self.cfg = Simulation(cfg), _Curve(), cfg
+        self.n = self.wins = self.longs = 0
+        self.gain = self.loss = 0.0
+
+    def _count(self, trades: list[Trade]) -> None:
+        for t in trades:
+            self.n += 1
+            self.longs += t.side > 0
+            self.wins += t.pnl > 0
+            self.gain += max(t.pnl, 0.0)
+            self.loss += max(-t.pnl, 0.0)
+
+    def feed(self, bars: dict, signals: dict) -> None:
+        equity, _, trades = self.run.feed(bars, signals)
+        self.curve.add(equity)
+        self._count(trades)
+
+    def row(self, per_year: float) -> dict[str, float]:
+        self._count(self.run.finish())
+        cash, first, n = self.run.account.cash, self.cfg.initial_cash, self.n
+        factor = self.gain / self.loss if self.loss > 0 else (math.inf if self.gain > 0 else 0.0)
+        values = [n, self.wins / n * 100 if n else 0.0, (cash / first - 1) * 100 if first > 0 else 0.0, factor, (self.gain - self.loss) / n if n else 0.0, *self.curve.ratios(per_year), self.curve.fall * 100, self.longs, n - self.longs, cash]
+        return dict(zip(_FAST, map(float, values), strict=True))
+
+
+def _trade_rows(trades: list[Trade]) -> pd.DataFrame:
     rows: dict[str, list] = {c: [] for c in TRADE_COLUMNS}
-    for t in out.trades:
+    for t in trades:
         value = t.entry_price * t.qty
-        values = ("long" if t.side > 0 else "short", times[t.entry_i], times[t.exit_i], t.entry_i, t.exit_i, t.entry_price, t.exit_price, t.stop_price, t.qty, t.gross, t.entry_fee + t.exit_fee, t.pnl, t.pnl / value * 100 if value else math.nan, t.exit_i - t.entry_i, t.reason)
+        values = ("long" if t.side > 0 else "short", t.entry_time, t.exit_time, t.entry_i, t.exit_i, t.entry_price, t.exit_price, t.stop_price, t.qty, t.gross, t.entry_fee + t.exit_fee, t.pnl, t.pnl / value * 100 if value else math.nan, t.exit_i - t.entry_i, t.reason)
         for c, v in zip(TRADE_COLUMNS, values, strict=True):
             rows[c].append(v)
-    return rows
+    return pd.DataFrame(rows)
 
 
-def _run(cfg: BacktestConfig, price: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _run(cfg: BacktestConfig, price: str):
     columns = [RUN, KEY, "kind", *TRADE_COLUMNS, "equity", "open_trades", "drawdown"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(TIME, kind="stable")
-        out = simulate(_arrays(pdf, cfg, price), _signals(pdf), cfg)
-        times = pdf[TIME].to_numpy()
-        trades = pd.DataFrame(trade_rows(out, times)).assign(kind="trade")
-        curve = pd.DataFrame({"entry_time": times, "equity": out.equity, "open_trades": out.open_trades, "drawdown": drawdowns(out.equity), "kind": "equity"})
-        last = pd.DataFrame({"equity": [out.cash], "kind": ["account"], "open_trades": [len(pdf)]})
-        made = pd.concat([x for x in (trades, curve, last) if len(x)], ignore_index=True)
-        made[RUN], made[KEY] = pdf[RUN].iloc[0], pdf[KEY].iloc[0]
-        return made.reindex(columns=columns)
-
-    return run
+    def fold(key: tuple, pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, curve = Simulation(cfg), _Curve()
+        made: list[pd.DataFrame] = []
+
+        def out() -> pd.DataFrame:
+            rows = pd.concat(made, ignore_index=True)
+            rows[RUN], rows[KEY] = key
+            made.clear()
+            rows = rows.reindex(columns=columns)
+            times = {c: pd.to_datetime(rows[c]) for c in ("entry_time", "exit_time")}
+            return rows.assign(**times, **{c: rows[c].astype(object).where(rows[c].notna(), None) for c in ("side", "close_reason")})
+
+        for pdf in pieces:
+            times = pdf[TIME].to_numpy()
+            equity, counts, trades = run.feed(_arrays(pdf, cfg, price), _signals(pdf), times)
+            made.append(pd.DataFrame({"entry_time": times, "equity": equity, "open_trades": counts, "drawdown": curve.drawdowns(equity), "kind": "equity"}))
+            if trades:
+                made.append(_trade_rows(trades).assign(kind="trade"))
+            yield out()
+        if trades := run.finish():
+            made.append(_trade_rows(trades).assign(kind="trade"))
+        made.append(pd.DataFrame({"equity": [run.account.cash], "kind": ["account"], "open_trades": [run.offset]}))
+        yield out()
+
+    return fold
 
 
 def run_backtest(signals: DataFrame, cfg: BacktestConfig, price: str = "close") -> SimResult:
     """Trade every (run_id, symbol) of a table of bars with boolean columns entry_long, exit_long, ...
 
     Missing signal columns are false, a missing stop reference column is unknown. Without run_id there is one
-    run, 0. Each group is one account, simulated in order of time; only the columns it needs are shuffled.
+    run, 0. Each (run, symbol) is one account, simulated in order of time; only the columns it needs are shuffled.
     """
-    ship(signals.sparkSession)
     for c in (TIME, price, "high", "low"):
         if c not in signals.columns:
             raise ValueError(f"the table has no column {c}")
@@ -130,7 +185,7 @@ def run_backtest(signals: DataFrame, cfg: BacktestConfig, price: str = "close")
     table = signals.select(*needed)
     table = table.withColumn(RUN, F.col(RUN).cast("long") if RUN in needed else F.lit(0).cast("long"))
     schema = _schema([("kind", "string"), *_TRADE, ("equity", "double"), ("open_trades", "long"), ("drawdown", "double")])
-    made = table.groupBy(RUN, KEY).applyInPandas(_run(cfg, price), schema)
+    made = fold_sorted(table, [RUN, KEY], [TIME], _run(cfg, price), schema)
     return SimResult(
         made.where("kind = 'trade'").select(RUN, KEY, *TRADE_COLUMNS),
         made.where("kind = 'equity'").select(RUN, KEY, F.col("entry_time").alias("t"), "equity", "open_trades", "drawdown"),
@@ -139,6 +194,14 @@ def run_backtest(signals: DataFrame, cfg: BacktestConfig, price: str = "close")
     )
 
 
+def periods_per_year(curve: DataFrame, time: str = "t", keys: tuple[str, ...] = (RUN, KEY)) -> DataFrame:
+    """Bars a year at the exact median spacing; 0 for fewer than three bars."""
+    step = F.timestamp_diff("MICROSECOND", F.lag(time).over(Window.partitionBy(*keys).orderBy(time)), F.col(time)) / 1e6
+    spaced = curve.select(*keys, step.alias("_s"))
+    median = F.percentile("_s", 0.5)
+    return spaced.groupBy(*keys).agg(F.when((F.count("*") >= 3) & (median > 0), YEAR / median).otherwise(0.0).alias("periods_per_year"))
+
+
 def with_drawdown(equity: DataFrame, time: str = "t") -> DataFrame:
     """An equity curve with its drawdown from the highest so far, by run and symbol."""
     w = Window.partitionBy(RUN, KEY).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
@@ -153,25 +216,26 @@ def run_many(signals: DataFrame, runs: dict[int, BacktestConfig], column: str =
     signals). A run is a pair of variant and configuration, coded as variant * 100000 + number of the
     configuration. Bars are shuffled once for each block of variants, not once a run.
     """
-    ship(signals.sparkSession)
     refs = sorted({c for cfg in runs.values() for c in (cfg.sl_ref_long_col, cfg.sl_ref_short_col) if c and c in signals.columns})
     top = max(k // 100_000 for k in runs)
     blocks = top // block + 1
+    # the median spacing needs all bars at once: Spark finds it
+    per_year = periods_per_year(signals.select(KEY, F.col(TIME).alias("t")), keys=(KEY,)).withColumnRenamed("periods_per_year", "_year")
     table = signals.select(KEY, TIME, price, "high", "low", *refs, F.posexplode(F.array(*[F.slice(column, 1 + b * block, block) for b in range(blocks)])).alias("_block", "_flags"))
+    table = table.join(per_year, KEY, "left")
     by_block: dict[int, list[tuple[int, BacktestConfig]]] = {}
     for k, cfg in runs.items():
         by_block.setdefault(k // 100_000 // block, []).append((k, cfg))
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(TIME, kind="stable")
-        per_year = periods_per_year(pdf[TIME].to_numpy())
-        flags = np.array([np.asarray(x) for x in pdf["_flags"]], np.int64).reshape(len(pdf), -1)
-        rows = []
-        for k, cfg in by_block.get(int(pdf["_block"].iloc[0]), []):
-            mine = flags[:, k // 100_000 % block]
-            sig = {c: (mine >> bit & 1).astype(bool) for bit, c in enumerate(SIGNALS)}
-            out = simulate(_arrays(pdf, cfg, price), sig, cfg)
-            rows.append({RUN: k, KEY: pdf[KEY].iloc[0], **fast_stats(out, cfg.initial_cash, per_year)})
-        return pd.DataFrame(rows, columns=[RUN, KEY, *_FAST])
-
-    return table.groupBy(KEY, "_block").applyInPandas(work, T._parse_datatype_string(_schema([(c, "double") for c in _FAST])))
+    def fold(key: tuple, pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = [(k, cfg, _FastStats(cfg)) for k, cfg in by_block.get(int(key[1]), [])]
+        year = 0.0
+        for pdf in pieces:
+            year = float(pdf["_year"].iloc[0])
+            flags = np.array([np.asarray(x) for x in pdf["_flags"]], np.int64).reshape(len(pdf), -1)
+            for k, cfg, stats in own:
+                mine = flags[:, k // 100_000 % block]
+                stats.feed(_arrays(pdf, cfg, price), {c: (mine >> bit & 1).astype(bool) for bit, c in enumerate(SIGNALS)})
+        yield pd.DataFrame([{RUN: k, KEY: key[0], **stats.row(year)} for k, _, stats in own], columns=[RUN, KEY, *_FAST])
+
+    return fold_sorted(table, [KEY, "_block"], [TIME], fold, _schema([(c, "double") for c in _FAST]))

@@ -7,7 +7,7 @@ exits (trailing first), rule exits, one entry.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from math import isnan, nan
 
 import numpy as np
@@ -33,6 +33,8 @@ class Trade:
     gross: float = 0.0
     exit_fee: float = 0.0
     reason: str = ""
+    entry_time: object = None
+    exit_time: object = None
 
     @property
     def pnl(self) -> float:
@@ -54,7 +56,6 @@ class Outcome:
     equity: np.ndarray
     open_trades: np.ndarray
     cash: float
-    events: int = field(default=0)
 
 
 class Account:
@@ -66,7 +67,8 @@ class Account:
         self.slip, self.fee = cfg.slippage_bps / 10_000.0, cfg.fee_bps / 10_000.0
         self.half = cfg.spread * 0.5
         self.held: list[_Held] = []
-        self.trades: list[Trade] = []
+        self.opened: list[Trade] = []
+        self.closed: list[Trade] = []
 
     def costs(self, price: float, qty: float) -> float:
         return price * qty * self.fee + self.cfg.commission_per_lot * (qty / self.cfg.lot)
@@ -94,8 +96,11 @@ class Account:
         return price
 
     def finish(self, h: _Held, base: float, i: int, reason: str) -> None:
-        h.trade.exit_price = self.reduce(h, base, h.left)
-        h.trade.exit_i, h.trade.reason = i, reason
+        self._done(h, self.reduce(h, base, h.left), i, reason)
+
+    def _done(self, h: _Held, price: float, i: int, reason: str) -> None:
+        h.trade.exit_i, h.trade.exit_price, h.trade.reason = i, price, reason
+        self.closed.append(h.trade)
 
     # ---- exits
 
@@ -153,7 +158,7 @@ class Account:
             h.left -= qty
             self._move_stop(h, level)
             if h.left <= _DUST:
-                h.trade.exit_i, h.trade.exit_price, h.trade.reason = i, fill, TARGET
+                self._done(h, fill, i, TARGET)
                 return True
         if hit and through(h.stop):
             self.finish(h, h.stop, i, STOP)
@@ -225,70 +230,108 @@ class Account:
             return
         self.cash -= fee
         trade = Trade(side, i, entry, qty, fee, stop)
-        self.trades.append(trade)
+        self.opened.append(trade)
         self.held.append(_Held(trade, qty, stop, entry, self._ladder(entry, side, stop)))
 
 
-def simulate(bars: dict[str, np.ndarray], signals: dict[str, np.ndarray], cfg: BacktestConfig) -> Outcome:
-    """bars: close, high, low and, for ref_col stops, ref_long and ref_short. signals: four boolean arrays.
-
-    A bar whose close is NaN shows the cash as equity and changes nothing.
-    """
-    close = np.asarray(bars["close"], float)
-    n = len(close)
-    known = ~np.isnan(close)
-    high = np.where(np.isnan(bars["high"]), close, bars["high"])
-    low = np.where(np.isnan(bars["low"]), close, bars["low"])
-    none = np.full(n, nan)
-    ref_long, ref_short = bars.get("ref_long", none), bars.get("ref_short", none)
-    go_long = np.asarray(signals["entry_long"], bool)
-    go_short = np.asarray(signals["entry_short"], bool) & cfg.allow_short
-    wanted = np.flatnonzero((go_long | go_short) & known)
-    account = Account(cfg)
-    equity, counts = np.empty(n), np.zeros(n, np.int64)
-    rule = not cfg.exit_enabled or cfg.allow_rule_close
-    leave = {1: np.asarray(signals["exit_long"], bool).tolist(), -1: np.asarray(signals["exit_short"], bool).tolist()}
-    px, hi, lo, want_long, want_short, ok = close.tolist(), high.tolist(), low.tolist(), go_long.tolist(), go_short.tolist(), known.tolist()
-    able = cfg.max_open_trades > 0 and cfg.trade_cash > 0.0
-    i = at = 0
-    while i < n:
-        if not account.held:  # on to the next entry
-            while at < len(wanted) and wanted[at] < i:
-                at += 1
-            to = int(wanted[at]) if at < len(wanted) and able and account.cash > 0.0 else n
-            if to > i:
-                equity[i:to] = account.cash
-                i = to
+class Simulation:
+    """An account fed with a series piece by piece. Only what is open is carried from one piece to the next."""
+
+    def __init__(self, cfg: BacktestConfig) -> None:
+        self.cfg, self.account = cfg, Account(cfg)
+        self.offset = 0
+        self.last: tuple[float, int, object] | None = None
+
+    def feed(self, bars: dict[str, np.ndarray], signals: dict[str, np.ndarray], times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[Trade]]:
+        """Equity and number of open trades of each bar, and the trades that ended.
+
+        bars: close, high, low and, for ref_col stops, ref_long and ref_short. signals: four boolean arrays. A
+        bar whose close is NaN shows the cash as equity and changes nothing.
+        """
+        cfg, account, base = self.cfg, self.account, self.offset
+        close = np.asarray(bars["close"], float)
+        n = len(close)
+        known = ~np.isnan(close)
+        high = np.where(np.isnan(bars["high"]), close, bars["high"])
+        low = np.where(np.isnan(bars["low"]), close, bars["low"])
+        none = np.full(n, nan)
+        ref_long, ref_short = bars.get("ref_long", none), bars.get("ref_short", none)
+        go_long = np.asarray(signals["entry_long"], bool)
+        go_short = np.asarray(signals["entry_short"], bool) & cfg.allow_short
+        wanted = np.flatnonzero((go_long | go_short) & known)
+        equity, counts = np.empty(n), np.zeros(n, np.int64)
+        rule = not cfg.exit_enabled or cfg.allow_rule_close
+        leave = {1: np.asarray(signals["exit_long"], bool).tolist(), -1: np.asarray(signals["exit_short"], bool).tolist()}
+        px, hi, lo, want_long, want_short, ok = close.tolist(), high.tolist(), low.tolist(), go_long.tolist(), go_short.tolist(), known.tolist()
+        able = cfg.max_open_trades > 0 and cfg.trade_cash > 0.0
+        i = at = 0
+        while i < n:
+            if not account.held:  # on to the next entry
+                while at < len(wanted) and wanted[at] < i:
+                    at += 1
+                to = int(wanted[at]) if at < len(wanted) and able and account.cash > 0.0 else n
+                if to > i:
+                    equity[i:to] = account.cash
+                    i = to
+                    continue
+            p = px[i]
+            if not ok[i]:
+                equity[i] = account.cash
+                counts[i] = len(account.held)
+                i += 1
                 continue
-        p = px[i]
-        if not ok[i]:
-            equity[i] = account.cash
+            now = account.worth(p)
+            equity[i] = now
+            if account.held:
+                if account.stopped_out(p, now, base + i):
+                    i += 1
+                    continue
+                if cfg.exit_enabled:
+                    account.held = [h for h in account.held if not account.risk_exit(h, hi[i], lo[i], base + i)]
+                if rule:
+                    rest = []
+                    for h in account.held:
+                        if leave[h.trade.side][i]:
+                            account.finish(h, p, base + i, RULE)
+                        else:
+                            rest.append(h)
+                    account.held = rest
+            if able and (want_long[i] or want_short[i]) and len(account.held) < cfg.max_open_trades and account.cash > 0.0:
+                side = 1 if want_long[i] else -1
+                account.enter(side, p, float(ref_long[i] if side > 0 else ref_short[i]), now, base + i)
             counts[i] = len(account.held)
             i += 1
-            continue
-        now = account.worth(p)
-        equity[i] = now
-        if account.held:
-            if account.stopped_out(p, now, i):
-                i += 1
-                continue
-            if cfg.exit_enabled:
-                account.held = [h for h in account.held if not account.risk_exit(h, hi[i], lo[i], i)]
-            if rule:
-                rest = []
-                for h in account.held:
-                    if leave[h.trade.side][i]:
-                        account.finish(h, p, i, RULE)
-                    else:
-                        rest.append(h)
-                account.held = rest
-        if able and (want_long[i] or want_short[i]) and len(account.held) < cfg.max_open_trades and account.cash > 0.0:
-            side = 1 if want_long[i] else -1
-            account.enter(side, p, float(ref_long[i] if side > 0 else ref_short[i]), now, i)
-        counts[i] = len(account.held)
-        i += 1
-    valid = np.flatnonzero(known)
-    for h in account.held:
-        last = int(valid[-1])
-        account.finish(h, px[last], last, FORCED)
-    return Outcome(account.trades, equity, counts, account.cash)
+        valid = np.flatnonzero(known)
+        if len(valid):
+            k = int(valid[-1])
+            self.last = (px[k], base + k, None if times is None else times[k])
+        self.offset += n
+        return equity, counts, self._ended(times, base)
+
+    def _ended(self, times: np.ndarray | None, base: int) -> list[Trade]:
+        account = self.account
+        if times is not None:
+            for t in account.opened:
+                t.entry_time = times[t.entry_i - base]
+            for t in account.closed:
+                if t.exit_time is None:
+                    t.exit_time = times[t.exit_i - base]
+        ended, account.opened, account.closed = account.closed, [], []
+        return ended
+
+    def finish(self) -> list[Trade]:
+        """Close what is open at the last known price."""
+        for h in self.account.held:
+            price, i, time = self.last
+            self.account.finish(h, price, i, FORCED)
+            h.trade.exit_time = time
+        self.account.held = []
+        return self._ended(None, 0)
+
+
+def simulate(bars: dict[str, np.ndarray], signals: dict[str, np.ndarray], cfg: BacktestConfig, times: np.ndarray | None = None) -> Outcome:
+    """A whole series at once; trades in order of entry."""
+    run = Simulation(cfg)
+    equity, counts, trades = run.feed(bars, signals, times)
+    trades = sorted(trades + run.finish(), key=lambda t: t.entry_i)
+    return Outcome(trades, equity, counts, run.account.cash)

@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import KEY
-from barloom.operators.backtest import RUN
-
-YEAR = 365.25 * 86400
+from barloom.operators.backtest import RUN, periods_per_year
 
 
 def _inf() -> Column:
@@ -27,14 +25,6 @@ def trade_stats(pnl: Column) -> list[Column]:
     return [n.alias("n_trades"), F.coalesce(F.avg(F.when(pnl.isNotNull(), (pnl > 0).cast("double"))) * 100, F.lit(0.0)).alias("win_rate_pct"), F.coalesce(F.sum(pnl), F.lit(0.0)).alias("total_pnl"), F.coalesce(F.avg(pnl), F.lit(0.0)).alias("avg_pnl"), profit_factor(pnl).alias("profit_factor")]
 
 
-def periods_per_year(curve: DataFrame, time: str = "t", keys: tuple[str, ...] = (RUN, KEY)) -> DataFrame:
-    """Bars a year at the exact median spacing; 0 for fewer than three bars."""
-    step = F.timestamp_diff("MICROSECOND", F.lag(time).over(Window.partitionBy(*keys).orderBy(time)), F.col(time)) / 1e6
-    spaced = curve.select(*keys, step.alias("_s"))
-    median = F.percentile("_s", 0.5)
-    return spaced.groupBy(*keys).agg(F.when((F.count("*") >= 3) & (median > 0), YEAR / median).otherwise(0.0).alias("periods_per_year"))
-
-
 def longest_runs(trades: DataFrame, keys: tuple[str, ...] = (RUN, KEY), order: tuple[str, ...] = ("entry_i",)) -> DataFrame:
     """The longest rows of winners and of losers: islands between changes, counted."""
     w = Window.partitionBy(*keys).orderBy(*order)

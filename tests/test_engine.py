@@ -141,3 +141,34 @@ def test_spark_runs_symbols_apart(spark):
 def test_missing_columns(spark):
     with pytest.raises(ValueError):
         run_backtest(spark.createDataFrame([("S", 1.0)], "symbol string, close double"), BacktestConfig())
+
+
+def test_pieces_give_the_same_as_the_whole():
+    from barloom.operators.simulator import Simulation
+
+    pdf, cfg, n, cash = GOLDEN["ladder, breakeven"]
+    signals = crosses(pdf)
+    run_ = Simulation(cfg)
+    times = pdf["open_time"].to_numpy()
+    trades, equity = [], []
+    for a in range(0, len(pdf), 37):
+        part = slice(a, a + 37)
+        e, _, ended = run_.feed({c: pdf[c].to_numpy(float)[part] for c in ("close", "high", "low")}, {k: v[part] for k, v in signals.items()}, times[part])
+        equity.append(e)
+        trades += ended
+    trades += run_.finish()
+    assert len(trades) == n and run_.account.cash == pytest.approx(cash, abs=1e-3)
+    np.testing.assert_array_equal(np.concatenate(equity), run(pdf, cfg).equity)
+    assert all(t.entry_time == times[t.entry_i] and t.exit_time == times[t.exit_i] for t in trades)
+
+
+def test_small_batches_through_spark(spark):
+    pdf, cfg, n, cash = GOLDEN["signal only"]
+    table = to_spark(spark, pdf.assign(**{c: v for c, v in crosses(pdf).items() if c.endswith("long")}))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        result = run_backtest(table, cfg)
+        assert result.trades.count() == n and result.equity.count() == len(pdf)
+        assert result.accounts.first()["final_cash"] == pytest.approx(cash, abs=1e-3)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -98,7 +98,7 @@ def test_indicators_match_pandas(spark):
     got = column(df, *want.columns)[want.columns]
     for c in want:
         assert (got[c].isna() == want[c].isna()).all(), c
-        np.testing.assert_allclose(got[c].dropna(), want[c].dropna(), rtol=1e-9, err_msg=c)
+        np.testing.assert_allclose(got[c].dropna(), want[c].dropna(), rtol=1e-9, atol=1e-11, err_msg=c)
 
 
 def test_adjusted_ema_and_heikin_ashi(spark):
