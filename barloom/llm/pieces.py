@@ -2,14 +2,15 @@
 
 When no piece has a non-marker before a whitespace marker, no merge crosses the start of a marker run, so
 a text's ids are its marked words' ids one after another. Each task keeps a table of distinct marked words
-with their ids and decoded text, segments every new word once with the library, and joins the ids back by
-position in numpy. A model without that property is run on whole texts instead.
+with their ids, segments every new word once with the library, and joins the ids back by position in numpy;
+the library then decodes the joined ids. A model without that property is run on whole texts instead.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,6 @@ class Codec:
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.chunked = self._separable()
-        self.anchor = self.sp.encode("a")
-        self.anchor_text = self.sp.decode(self.anchor)
         self._new()
 
     def _separable(self) -> bool:
@@ -47,65 +46,50 @@ class Codec:
 
     def _new(self) -> None:
         self.slots: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.int32)
-        self.used = 0
-        self.first: list[int] = []
-        self.count: list[int] = []
-        self.text: list[str] = []
-
-    def _segment(self, chunks: list[str]) -> tuple[list[list[int]], list[str]]:
-        """Ids and decoded text of chunks that stand inside a text (after a first character)."""
-        ids = self.sp.encode([c[1:] for c in chunks])
+        self.flat = np.zeros(0, np.int32)
+        self.first = np.zeros(0, np.int64)
+        self.count = np.zeros(0, np.int64)
+
+    def _segment(self, chunks: list[str]) -> list[list[int]]:
+        """The ids of marked words: the library puts a word's first marker before it by itself."""
+        ids = self.sp.encode([c[1:] for c in chunks], num_threads=1)
         for i, c in enumerate(chunks):
             if c == MARK:
                 ids[i] = [self.sp.piece_to_id(MARK)]
-        skip = len(self.anchor_text)
-        return ids, [t[skip:] for t in self.sp.decode([self.anchor + x for x in ids])]
-
-    def _slot(self, ids: list[int], text: str) -> int:
-        end = self.used + len(ids)
-        if end > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(end, len(self.flat)), np.int32)])
-        self.flat[self.used : end] = ids
-        self.first.append(self.used)
-        self.count.append(len(ids))
-        self.text.append(text)
-        self.used = end
-        return len(self.first) - 1
+        return ids
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Put new words into the table."""
+        ids = self._segment(chunks)
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.slots.update(zip(chunks, range(len(self.first), len(self.first) + len(chunks)), strict=True))
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(count.sum()))])
 
     def run(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """All ids of all texts, the n+1 offsets of the texts in them, and the decoded texts."""
         if not self.chunked:
-            ids = self.sp.encode(texts)
+            ids = self.sp.encode(texts, num_threads=1)
             offs = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])
             return np.array([i for x in ids for i in x], np.int32), offs, [self.sp.decode(x) for x in ids]
         if len(self.slots) > TABLE_WORDS:
             self._new()
         lists = [_CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = [c for c in set().union(*lists) if c not in self.slots]
-        slots = self.slots
-        once: list[str] = []
-        if new:
-            for c, i, t in zip(new, *self._segment(new), strict=True):
-                s = self._slot(i, t)
-                slots[c] = s
-                if len(c) > LONGEST_WORD:
-                    once.append(c)
-        places = [[slots[c] for c in x] for x in lists]
-        decoded = []
-        for p in places:
-            out = "".join([self.text[s] for s in p])
-            # the marker that the library puts before a text is taken off again
-            decoded.append(out[1:] if out[:1] == " " else out)
-        flat = np.array([s for p in places for s in p], np.int64)
-        size = np.array(self.count, np.int64)[flat] if len(flat) else np.zeros(0, np.int64)
+        if new := list({*chain.from_iterable(lists)}.difference(self.slots)):
+            self._learn(new)
+        per = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))])
+        place = np.fromiter(map(self.slots.__getitem__, chain.from_iterable(lists)), np.int64, int(per[-1]))
+        size = self.count[place]
         ends = np.cumsum(size)
-        at = np.repeat(np.array(self.first, np.int64)[flat] - (ends - size), size) + np.arange(ends[-1]) if len(flat) else flat
-        per = np.concatenate([[0], np.cumsum([len(p) for p in places], dtype=np.int64)])
+        at = np.repeat(self.first[place] - (ends - size), size) + np.arange(size.sum())
         offs = np.concatenate([[0], ends])[per]
         ids = self.flat[at]
-        for c in once:  # rare and long: not kept
-            del slots[c]
+        for c in new:  # long words are rare: they do not stay
+            if len(c) > LONGEST_WORD:
+                del self.slots[c]
+        spans = zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)
+        decoded = self.sp.decode([ids[i:j] for i, j in spans], num_threads=1) if texts else []
         return ids, offs, decoded
 
 
