@@ -59,11 +59,15 @@ _MADE: ContextVar[dict[str, tuple] | None] = ContextVar("made", default=None)
 
 
 @contextmanager
-def reusing_columns() -> Iterator[None]:
-    """Inside, an indicator that a frame already has with the same parameters is not added again."""
-    token = _MADE.set({})
+def reusing_columns() -> Iterator[dict[str, tuple]]:
+    """Inside, an indicator that a frame already has with the same parameters is not added again.
+
+    Gives what each feature column was made by.
+    """
+    made: dict[str, tuple] = {}
+    token = _MADE.set(made)
     try:
-        yield
+        yield made
     finally:
         _MADE.reset(token)
 
@@ -82,7 +86,7 @@ def indicator(names: Callable[..., list[str]]) -> Callable:
             if made is None:
                 return f(df, *args, **kwargs)
             own = names(*args, **kwargs)
-            basis = tuple(made.get(a) for a in (*args, *kwargs.values()) if isinstance(a, str))
+            basis = tuple(made.get(a) for a in (*args, *kwargs.values()) if isinstance(a, str) and a not in own)
             key = (f.__name__, repr(args), repr(sorted(kwargs.items())), basis)
             if all(c in df.columns and made.get(c) == (key, c) for c in own):
                 return df

@@ -25,21 +25,21 @@ def linear_recurrence(df: DataFrame, out: str, q: float, first: Column, later: C
     first and later are u for the first such row and for the others. keep_rank names a column for the
     1-based number of the row among those present.
     """
-    rank, block, place, part = (f"_{out}_{x}" for x in ("n", "b", "k", "p"))
+    rank, part = f"_{out}_n", f"_{out}_p"
     size = max(1, int(RANGE / abs(math.log(q)))) if 0 < q < 1 else 1 << 40
     w = bars_window()
     on = F.coalesce(present, F.lit(False))
-    df = df.withColumn(rank, F.when(on, F.sum(on.cast("long")).over(w)))
-    df = df.withColumn(block, F.expr(f"({rank} - 1) div {size}")).withColumn(place, (F.col(rank) - 1) % size)
-    u = F.when(F.col(rank) == 1, first).otherwise(later)
-    up = F.pow(F.lit(q), F.col(place).cast("double")) if 0 < q < 1 else F.lit(1.0)
+    names = [c for c in df.columns if c != out]
+    df = df.select(*names, F.when(on, F.sum(on.cast("long")).over(w)).alias(rank), F.when(on, first).alias("_u0"), F.when(on, later).alias("_u1"))
+    block, place = F.expr(f"({rank} - 1) div {size}"), (F.col(rank) - 1) % size
+    up = F.pow(F.lit(q), place.cast("double")) if 0 < q < 1 else F.lit(1.0)
+    u = F.when(F.col(rank) == 1, F.col("_u0")).otherwise(F.col("_u1"))
     local = Window.partitionBy(KEY, block).orderBy(TIME)
-    df = df.withColumn(part, F.when(F.col(rank).isNotNull(), up * F.sum(u / up).over(local)))
-    last = F.last(F.when(F.col(place) == size - 1, F.col(part)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    carry = F.coalesce(F.when(F.col(block) > 0, last), F.lit(0.0))
-    df = df.withColumn(out, F.col(part) + carry * up * q)
-    df = df.drop(block, place, part)
-    return df.withColumnRenamed(rank, keep_rank) if keep_rank else df.drop(rank)
+    df = df.select(*names, rank, F.when(F.col(rank).isNotNull(), up * F.sum(u / up).over(local)).alias(part))
+    last = F.last(F.when(place == size - 1, F.col(part)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    carry = F.coalesce(F.when(block > 0, last), F.lit(0.0))
+    kept = [F.col(rank).alias(keep_rank)] if keep_rank else []
+    return df.select(*names, (F.col(part) + carry * up * q).alias(out), *kept)
 
 
 def decayed_mean(df: DataFrame, out: str, source: Column, alpha: float, least: int, adjust: bool = False) -> DataFrame:
@@ -47,21 +47,16 @@ def decayed_mean(df: DataFrame, out: str, source: Column, alpha: float, least: i
 
     Without adjust the mean starts at the first value; with it, values are weighted by their age alone.
     """
-    rank, x = f"_{out}_r", f"_{out}_x"
-    df = df.withColumn(x, source)
-    on = F.col(x).isNotNull()
+    rank = f"_{out}_r"
+    on = source.isNotNull()
+    names = [c for c in df.columns if c != out]
     if alpha >= 1:
-        df = df.withColumn(rank, F.sum(on.cast("long")).over(bars_window())).withColumn(out, F.when(F.col(rank) >= least, F.col(x)))
-        return df.drop(rank, x)
+        seen = F.sum(on.cast("long")).over(bars_window())
+        return df.select(*names, F.when(seen >= least, source).alias(out))
     q = 1 - alpha
-    if adjust:
-        df = linear_recurrence(df, out, q, F.col(x), F.col(x), on, rank)
-        weight = (1 - F.pow(F.lit(q), F.col(rank).cast("double"))) / (1 - q)
-        df = df.withColumn(out, F.when(F.col(rank) >= least, F.col(out) / weight))
-    else:
-        df = linear_recurrence(df, out, q, F.col(x), F.col(x) * alpha, on, rank)
-        df = df.withColumn(out, F.when(F.col(rank) >= least, F.col(out)))
-    return df.drop(rank, x)
+    df = linear_recurrence(df, out, q, source, source if adjust else source * alpha, on, rank)
+    weight = (1 - F.pow(F.lit(q), F.col(rank).cast("double"))) / (1 - q) if adjust else F.lit(1.0)
+    return df.select(*names, F.when(F.col(rank) >= least, F.col(out) / weight).alias(out))
 
 
 def running_sum(df: DataFrame, out: str, value: Column, key: str, order: tuple[str, ...], block: Column) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import KEY, TIME, reusing_columns
-from barloom.operators.backtest import _FAST, RUN, SIGNALS, run_many
+from barloom.operators.backtest import _FAST, RUN, run_many
 from barloom.operators.config import BacktestConfig
 from barloom.plans.strategies import Strategy
 
@@ -34,11 +34,20 @@ def _flags(bars: DataFrame, variants: list[Strategy], extra: list[str]) -> DataF
     """
     kept = [KEY, TIME, "open", "high", "low", "close", "volume"]
     table = bars.select(*[c for c in bars.columns if c in kept or c in extra])
-    with reusing_columns():
+    pending: dict[str, Column] = {}
+    with reusing_columns() as made:
         for k, s in enumerate(variants):
-            table = s.signals(s.prepare(table))
-            packed = sum((F.col(c).cast("int") * (1 << bit) for bit, c in enumerate(SIGNALS)), F.lit(0))
-            table = table.withColumn(f"_f{k}", packed.cast("tinyint")).drop(*SIGNALS)
+            before = dict(made)
+            prepared = s.prepare(table)
+            if pending and any(made[c] != v for c, v in before.items()):
+                # other parameters under a name that is in use: first fix the flags that read the old columns
+                table, pending = table.withColumns(pending), {}
+                made.clear()
+                made.update(before)
+                prepared = s.prepare(table)
+            table = prepared
+            pending[f"_f{k}"] = sum((r.cast("int") * (1 << bit) for bit, r in enumerate(s.signal_rules(table))), F.lit(0)).cast("tinyint")
+        table = table.withColumns(pending)
     flags = F.array(*[F.col(f"_f{k}") for k in range(len(variants))])
     return table.select(*[c for c in table.columns if c in kept or c in extra], flags.alias("flags"))
 

@@ -49,13 +49,15 @@ class Strategy:
             masks.append(D.not_weekend(tz=self.filter_tz))
         return S.all_of(*masks) if masks else None
 
-    def signals(self, prepared: DataFrame) -> DataFrame:
-        """Prepared bars with the four boolean columns."""
+    def signal_rules(self, prepared: DataFrame) -> list[Column]:
+        """The four signals as expressions, with the time filters on the entries."""
         rules = [S.sure(r) if r is not None else F.lit(False) for r in self.build_signals(prepared)]
         mask = self.time_mask()
-        if mask is not None:
-            rules = [r & mask if k % 2 == 0 else r for k, r in enumerate(rules)]
-        return prepared.withColumns(dict(zip(SIGNALS, rules, strict=True)))
+        return rules if mask is None else [r & mask if k % 2 == 0 else r for k, r in enumerate(rules)]
+
+    def signals(self, prepared: DataFrame) -> DataFrame:
+        """Prepared bars with the four boolean columns."""
+        return prepared.withColumns(dict(zip(SIGNALS, self.signal_rules(prepared), strict=True)))
 
     def params(self) -> dict:
         return asdict(self)

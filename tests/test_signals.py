@@ -139,6 +139,8 @@ def test_indicator_reuse_tells_parameters_apart(spark):
     with reusing_columns():
         one = I.add_macd(df, 3, 6, 2)
         assert I.add_macd(one, 3, 6, 2) is one
+        ema = I.add_emas(one, [5])
+        assert I.add_emas(ema, [5]) is ema
         two = I.add_macd(one, 4, 9, 2)
     want = I.add_macd(df, 4, 9, 2)
     pd.testing.assert_frame_equal(column(two, "macd"), column(want, "macd"))
