@@ -370,6 +370,36 @@ def bt_signal_only(spark, d):
     return _account(run_backtest(_crossing(spark, d), BacktestConfig(fee_bps=10)))
 
 
+def _risk_fold(frame: str, stop: str, target: str | None, trail: float | None = None) -> str:
+    """One long position at a time, sized by the risk to its stop, as a recursive query over the rows of f.
+
+    stop is an expression of the entry price e (and of columns of f), target one of e and s, the stop.
+    """
+    fee, slip = 0.0008, 0.00015
+    best = "greatest(p.best, f.high)" if trail else "p.best"
+    moved = f"greatest(p.stop, greatest(p.best, f.high) * {1 - trail / 100})" if trail else "p.stop"
+    hit = "f.high >= p.target" if target else "false"
+    return f"""{frame}, sim(symbol, rn, cash, qty, px, stop, target, best, k, eq) AS (
+SELECT symbol, CAST(0 AS BIGINT), 10000.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, CAST(0 AS BIGINT), 10000.0::DOUBLE FROM f WHERE rn = 1
+UNION ALL SELECT symbol, rn, CASE WHEN go THEN cash - e * size * {fee} ELSE cash END, CASE WHEN go THEN size ELSE qty END, CASE WHEN go THEN e ELSE px END, CASE WHEN go THEN s ELSE stop END, CASE WHEN go THEN {target or '0'} ELSE target END, CASE WHEN go THEN e ELSE best END, CASE WHEN go THEN k + 1 ELSE k END, eq
+FROM (SELECT *, up AND qty = 0 AND cash > 0 AND size > 0 AND e * size * {fee} <= cash AS go
+FROM (SELECT *, least(eq * 0.01 / abs(e - s), least(eq, cash) / e) AS size
+FROM (SELECT *, {stop} AS s
+FROM (SELECT symbol, rn, ref, up, eq, px, stop, target, best, k, close * {1 + slip} AS e, CASE WHEN left_at IS NULL THEN cash ELSE cash + (left_at * {1 - slip} - px) * qty - left_at * {1 - slip} * qty * {fee} END AS cash, CASE WHEN left_at IS NULL THEN qty ELSE 0 END AS qty
+FROM (SELECT f.symbol, f.rn, f.close, f.ref, f.up, p.cash, p.qty, p.px, {moved} AS stop, p.target, {best} AS best, p.k, p.cash + (f.close - p.px) * p.qty AS eq,
+CASE WHEN p.qty = 0 THEN NULL WHEN f.low <= {moved} THEN {moved} WHEN {hit} THEN p.target WHEN f.down THEN f.close END AS left_at FROM sim p JOIN f ON f.symbol = p.symbol AND f.rn = p.rn + 1)))))),
+done AS (SELECT s.symbol, s.k, s.cash + CASE WHEN s.qty > 0 THEN (f.close * {1 - slip} - s.px) * s.qty - f.close * {1 - slip} * s.qty * {fee} ELSE 0 END AS cash FROM sim s JOIN f USING (symbol, rn) WHERE rn = (SELECT max(rn) FROM f g WHERE g.symbol = s.symbol)),
+dd AS (SELECT symbol, max(CASE WHEN peak > 0 THEN (peak - eq) / peak ELSE 0 END) AS fall FROM (SELECT symbol, eq, max(eq) OVER (PARTITION BY symbol ORDER BY rn) AS peak FROM sim WHERE rn > 0) GROUP BY symbol)
+SELECT symbol, k AS n_trades, CASE WHEN k > 0 THEN round(cash - 10000, 4) END AS total_pnl, round(cash, 4) AS final_cash, round(fall, 4) AS max_drawdown FROM done JOIN dd USING (symbol)"""
+
+
+_PLAIN = _SIG.replace("f AS (SELECT *,", "f AS (SELECT *, 0.0 AS ref,")
+_SWUNG = _SIG.replace("f AS (SELECT *,", "ff AS (SELECT *,") + f", {_PIVOT}, f AS (SELECT ff.*, sw.swing_last_low AS ref FROM ff JOIN sw USING (symbol, rn))"
+_REF = "CASE WHEN ref > 0 AND ref * (1 - 0.0005) < e THEN ref * (1 - 0.0005) ELSE e * (1 - 0.008) END"
+SQL["bt_sl_tp"] = f"WITH RECURSIVE {BARS}, " + _risk_fold(_PLAIN, "e * (1 - 0.006)", "e + (e - s) * 2")
+SQL["bt_trailing"] = f"WITH RECURSIVE {BARS}, " + _risk_fold(_PLAIN, "e * (1 - 0.006)", None, 0.8)
+SQL["bt_ref_stop"] = f"WITH RECURSIVE {BARS}, " + _risk_fold(_SWUNG, _REF, "e + (e - s) * 2")
+
 _RISK = BacktestConfig(fee_bps=8, slippage_bps=1.5, exit_enabled=True, sl_mode="entry_pct", sl_value=0.6, tp_mode="rr", tp_value=2.0, sizing_mode="risk_pct_equity", sizing_value=1.0)
 for _name, _cfg in {
     "bt_sl_tp": _RISK,
