@@ -541,25 +541,54 @@ def stats_curve(spark, d):
 # ---- searches
 
 _GRID = {"fast": [3, 5, 8], "slow": [15, 20], "confirm_n": [1, 3]}
+#: A smaller grid without exits but the rules', which SQL can fold.
+_SMALL = {"fast": [3, 5], "slow": [20], "confirm_n": [1, 3]}
+_COLUMNS = ("run_id", "symbol", "fast", "slow", "confirm_n", "num_trades", "total_return_pct", "max_drawdown_pct", "final_cash")
+
+
+def _sweep_sql() -> str:
+    """The small grid's runs as (runs): each run is one more symbol of the signal-only fold."""
+    combos = search.expand_grid(_SMALL)
+    means = ", ".join(recursive_mean(f"m{p}", "n", "close", f"(2.0 / {p + 1})") for p in sorted({*_SMALL["fast"], *_SMALL["slow"]}))
+    parts, last = [], []
+    for k, c in enumerate(combos):
+        fast, slow = c["fast"], c["slow"]
+        parts.append(f"x{k} AS (SELECT n.*, CASE WHEN rn >= {fast} THEN close - m{fast}.y END AS d, rn >= {slow} AND close > m{slow}.y AS above FROM n JOIN m{fast} USING (symbol, rn) JOIN m{slow} USING (symbol, rn)), y{k} AS (SELECT symbol || '/{k}' AS symbol, rn, close, coalesce(lag(d) OVER ({W}) <= 0 AND d > 0, false) AND {_rows('above', c['confirm_n'])} AS up, coalesce(lag(d) OVER ({W}) >= 0 AND d < 0, false) AS down FROM x{k})")
+        last.append(f"SELECT * FROM y{k}")
+    values = ", ".join(f"({k}, {c['fast']}, {c['slow']}, {c['confirm_n']})" for k, c in enumerate(combos))
+    return f"WITH RECURSIVE {BARS}, {means}, {', '.join(parts)}, f AS ({' UNION ALL '.join(last)}), {_FOLD}, g(k, fast, slow, confirm_n) AS (VALUES {values}), runs AS (SELECT CAST(g.k AS BIGINT) AS run_id, split_part(symbol, '/', 1) AS symbol, CAST(fast AS BIGINT) AS fast, CAST(slow AS BIGINT) AS slow, CAST(confirm_n AS BIGINT) AS confirm_n, CAST(done.k AS DOUBLE) AS num_trades, (cash / 10000 - 1) * 100 AS total_return_pct, fall * 100 AS max_drawdown_pct, cash AS final_cash FROM done JOIN dd USING (symbol) JOIN g ON g.k = CAST(split_part(symbol, '/', 2) AS INTEGER))"
+
+
+_RUNS = ", ".join([*_COLUMNS[:6], *[f"round({c}, 4) AS {c}" for c in _COLUMNS[6:]]])
 
 
 def _sweep(spark: SparkSession, d: str) -> DataFrame:
-    return search.run_grid(_bars(spark, d), Y.EmaRibbon, _GRID, _RISK)
+    return search.run_grid(_bars(spark, d), Y.EmaRibbon, _SMALL, BacktestConfig(fee_bps=10))
 
 
-@query("grid_sweep")
+def _short(runs: DataFrame) -> DataFrame:
+    return runs.select(*_COLUMNS[:6], *[F.round(c, 4).alias(c) for c in _COLUMNS[6:]])
+
+
+@query("grid_sweep", f"{_sweep_sql()} SELECT {_RUNS} FROM runs")
 def grid_sweep(spark, d):
-    return _sweep(spark, d)
+    return _short(_sweep(spark, d))
 
 
-@query("sweep_topk")
+@query("sweep_topk", f"{_sweep_sql()} SELECT {_RUNS} FROM runs WHERE num_trades >= 3 ORDER BY runs.total_return_pct DESC, run_id LIMIT 8")
 def sweep_topk(spark, d):
-    return search.top(_sweep(spark, d), 15, "total_return_pct", min_trades=3)
+    return _short(search.top(_sweep(spark, d), 8, "total_return_pct", min_trades=3))
 
 
-@query("sweep_pivot")
+@query("sweep_pivot", f"{_sweep_sql()} SELECT confirm_n, " + ", ".join(f'round(max(total_return_pct) FILTER (fast = {v}), 4) AS "{v}"' for v in _SMALL["fast"]) + " FROM runs GROUP BY 1")
 def sweep_pivot(spark, d):
-    return search.sweep_table(_sweep(spark, d), "fast", "slow", "total_return_pct", _GRID["fast"])
+    out = search.sweep_table(_sweep(spark, d), "fast", "confirm_n", "total_return_pct", _SMALL["fast"])
+    return out.select("confirm_n", *[F.round(str(v), 4).alias(str(v)) for v in _SMALL["fast"]])
+
+
+@query("grid_sweep_exits")
+def grid_sweep_exits(spark, d):
+    return search.run_grid(_bars(spark, d), Y.EmaRibbon, _GRID, _RISK)
 
 
 @query("experiment_rank")
