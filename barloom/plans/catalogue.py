@@ -15,6 +15,7 @@ from barloom.operators import attribution as A
 from barloom.operators import search, statistics
 from barloom.operators import timeframe as R
 from barloom.operators.backtest import RUN, SIGNALS, run_backtest, with_drawdown
+from barloom.operators.chunks import in_chunks
 from barloom.operators.config import BacktestConfig, TakeProfit
 from barloom.plans import strategies as Y
 from barloom.sources import store
@@ -304,6 +305,15 @@ def tf_local_hour(spark, d):
     return _bars(spark, d).select(KEY, TIME, D.hour_between(9, 16, tz="America/New_York").alias("signal"))
 
 
+@query("sig_in_chunks", f"WITH {BARS}, {_SIG} SELECT symbol, open_time, {_rows('a', 3)} AS signal FROM f")
+def sig_in_chunks(spark, d):
+    def plan(bars: DataFrame) -> DataFrame:
+        bars = I.add_smas(bars, [5, 20]).withColumns({c: F.round(c, 9) for c in ("sma_5", "sma_20")})
+        return bars.withColumn("signal", S.last_all_above("close", "sma_20", 3))
+
+    return in_chunks(_bars(spark, d), plan, lookback=25, size=100, bucket="week").select(KEY, TIME, "signal")
+
+
 @query("sig_changes", f"WITH {BARS} SELECT symbol, open_time, lag(close, 2) OVER ({W}) AS shifted, round(close - lag(close) OVER ({W}), 6) AS change FROM bars")
 def sig_changes(spark, d):
     return _bars(spark, d).select(KEY, TIME, S.shifted("close", 2).alias("shifted"), F.round(S.change("close"), 6).alias("change"))

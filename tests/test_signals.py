@@ -170,3 +170,22 @@ def test_bad_rule():
     with pytest.raises(ValueError):
         R.span("7 fortnights")
     assert R.span("5min") == "5 minute" and R.span("1D") == "1 day"
+
+
+@pytest.mark.parametrize(("lookback", "size"), [(400, 450), (400, 5000)])
+def test_chunks_give_the_same_as_the_whole(spark, lookback, size):
+    from barloom.operators.chunks import in_chunks
+
+    pdf = pd.concat([walk(2300, 4).assign(symbol="A"), walk(300, 5).assign(symbol="B")])
+    pdf["open_time"] = pd.concat([pd.Series(pd.date_range("2025-01-01", periods=2300, freq="1h")), pd.Series(pd.date_range("2025-01-20", periods=300, freq="1h"))]).to_numpy()
+    df = to_spark(spark, pdf)
+
+    def plan(d):
+        d = I.add_smas(I.add_emas(d, [9]), [21])
+        return d.withColumns({"up": S.cross_up("close", "ema_9"), "held": S.last_all_above("close", "sma_21", 5)})
+
+    got = column(in_chunks(df, plan, lookback, size), "close", "ema_9", "sma_21", "up", "held")
+    want = column(plan(df), "close", "ema_9", "sma_21", "up", "held")
+    pd.testing.assert_frame_equal(got, want, rtol=1e-12)
+    with pytest.raises(ValueError):
+        in_chunks(df, plan, 10, 5)
