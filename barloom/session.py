@@ -18,8 +18,16 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) ->
     return builder.getOrCreate()
 
 
+#: Bytes of an Arrow batch between the JVM and Python, where the session has Spark's own 64 MB: texts and
+#: binaries are long, and a batch is held several times over on its way.
+BATCH_BYTES, _SPARKS_OWN = 4 << 20, ("67108864b", "67108864", "64m", "64mb")
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once a context: workers import it wherever the driver found it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).lower() in _SPARKS_OWN:
+        spark.conf.set(key, str(BATCH_BYTES))
     context = spark.sparkContext
     if getattr(context, "_barloom_shipped", False):
         return
