@@ -40,13 +40,14 @@ def targets(sizes: DataFrame, cap: int = CAP) -> DataFrame:
     ranked = numbered(sizes, "source").withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (F.col("rank") % len(WEIGHTS) + 1).cast("int"))).drop("rank")
     ranked = ranked.withColumn("room", F.lit(cap) * F.col("source_size")).withColumn("fills_at", F.col("room") / F.col("weight"))
     ranked = stage(ranked, "sources")
-    total = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("total"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weights"))
-    # one row for each distinct filling point, in order: what has filled before, and the level that the rest would have
-    steps = ranked.groupBy("fills_at").agg(F.sum("room").alias("room"), F.sum("weight").alias("weight"))
-    w = Window.orderBy("fills_at").rowsBetween(Window.unboundedPreceding, -1)
-    steps = steps.select("fills_at", F.coalesce(F.sum("room").over(w), F.lit(0)).alias("full"), F.coalesce(F.sum("weight").over(w), F.lit(0.0)).alias("out"))
-    level = steps.join(F.broadcast(total)).withColumn("level", (F.col("total") - F.col("full")) / (F.col("weights") - F.col("out"))).where("level <= fills_at").agg(F.min_by("level", "fills_at").alias("level"))
-    return ranked.join(F.broadcast(level)).select("source", "source_size", "weight", F.least(F.col("room").cast("double"), F.col("level") * F.col("weight")).alias("target"))
+    total, weights = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    # the excess of full sources goes to the others, round after round; each round is one small aggregation
+    level, last = total / weights if weights else 0.0, None
+    while level != last:
+        full = F.col("fills_at") < level
+        taken, out = ranked.agg(F.coalesce(F.sum(F.when(full, F.col("room"))), F.lit(0)), F.coalesce(F.sum(F.when(full, F.col("weight"))), F.lit(0.0))).first()
+        level, last = (total - taken) / (weights - out) if weights > out else level, level
+    return ranked.select("source", "source_size", "weight", F.least(F.col("room").cast("double"), F.lit(level) * F.col("weight")).alias("target"))
 
 
 def _offset(source: Column) -> Column:
