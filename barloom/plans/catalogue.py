@@ -54,8 +54,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return without_nan(event_bars(spark, sf_dir))
+def _bars(spark: SparkSession, sf_dir: str, rule: str = "1h") -> DataFrame:
+    return without_nan(event_bars(spark, sf_dir, rule))
 
 
 _OHLCV = ("open", "high", "low", "close", "volume")
@@ -257,8 +257,8 @@ def _rows(flag: str, n: int, last: int = 0) -> str:
     return f"coalesce(sum(CAST({flag} AS INTEGER)) OVER ({W} ROWS BETWEEN {n - 1 + last} PRECEDING AND {end}) = {n}, false)"
 
 
-def _signal_frame(spark: SparkSession, d: str) -> DataFrame:
-    bars = I.add_smas(_bars(spark, d), [5, 20])
+def _signal_frame(spark: SparkSession, d: str, rule: str = "1h") -> DataFrame:
+    bars = I.add_smas(_bars(spark, d, rule), [5, 20])
     return bars.withColumns({c: F.round(c, 9) for c in ("sma_5", "sma_20")})
 
 
@@ -357,8 +357,8 @@ SQL["strat_ema_cross_htf"] = f"WITH RECURSIVE {BARS}, {_FOUR}, {recursive_mean('
 # ---- simulated trading
 
 
-def _crossing(spark: SparkSession, d: str) -> DataFrame:
-    bars = I.add_swings(_signal_frame(spark, d), 5, 5)
+def _crossing(spark: SparkSession, d: str, rule: str = "1h") -> DataFrame:
+    bars = I.add_swings(_signal_frame(spark, d, rule), 5, 5)
     return bars.withColumns({"entry_long": S.cross_up("close", "sma_20"), "exit_long": S.cross_down("close", "sma_20"), "entry_short": F.lit(False), "exit_short": F.lit(False)})
 
 
@@ -384,6 +384,14 @@ def bt_signal_only(spark, d):
     return _account(run_backtest(_crossing(spark, d), BacktestConfig(fee_bps=10)))
 
 
+_MINUTES = BARS.replace("INTERVAL '1 hour'", "INTERVAL '1 minute'")
+
+
+@query("bt_minute", f"WITH RECURSIVE {_MINUTES}, {_SIG}, {_FOLD} SELECT symbol, k AS n_trades, round(cash - 10000, 4) AS total_pnl, round(cash, 4) AS final_cash, round(fall, 4) AS max_drawdown FROM done JOIN dd USING (symbol)")
+def bt_minute(spark, d):
+    return _account(run_backtest(_crossing(spark, d, "1min"), BacktestConfig(fee_bps=10)))
+
+
 def _risk_fold(frame: str, stop: str, target: str | None, trail: float | None = None) -> str:
     """One long position at a time, sized by the risk to its stop, as a recursive query over the rows of f.
 
@@ -596,6 +604,11 @@ def sweep_pivot(spark, d):
     return out.select("confirm_n", *[F.round(str(v), 4).alias(str(v)) for v in _SMALL["fast"]])
 
 
+@query("sweep_minute")
+def sweep_minute(spark, d):
+    return search.run_grid(_bars(spark, d, "1min"), Y.EmaRibbon, _GRID | {"confirm_n": [1, 2, 3, 4]}, BacktestConfig(fee_bps=10))
+
+
 @query("grid_sweep_exits")
 def grid_sweep_exits(spark, d):
     return search.run_grid(_bars(spark, d), Y.EmaRibbon, _GRID, _RISK)
@@ -619,9 +632,13 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.by_hour(run_backtest(signals, BacktestConfig(fee_bps=2)).trades)
 
 
-@query("flagship_by_hour")
+_FLAG = f"{recursive_mean('e5', 'n', 'close', '(2.0 / 6)')}, d AS (SELECT n.*, CASE WHEN rn >= 5 THEN close - e5.y END AS d FROM n JOIN e5 USING (symbol, rn)), f AS (SELECT *, coalesce(lag(d) OVER ({W}) <= 0 AND d > 0, false) AS up, coalesce(lag(d) OVER ({W}) >= 0 AND d < 0, false) AS down FROM d), " + _FOLD.replace("0.001", "0.0002").replace("10 <= cash", "2 <= cash")
+_FLAG += ", went AS (SELECT symbol, k, min(rn) AS rn, arg_min(px, rn) AS px, arg_min(qty, rn) AS qty FROM sim WHERE k > 0 AND qty > 0 GROUP BY 1, 2), came AS (SELECT w.symbol, w.k, w.rn, w.px, w.qty, coalesce(min(s.rn) FILTER (s.qty = 0 OR s.k > w.k), max(s.rn), w.rn) AS out FROM went w LEFT JOIN sim s ON s.symbol = w.symbol AND s.rn > w.rn GROUP BY 1, 2, 3, 4, 5), trades AS (SELECT i.open_time AS entry_time, (o.close - px) * qty - o.close * qty * 0.0002 - 2 AS pnl FROM came JOIN f i ON i.symbol = came.symbol AND i.rn = came.rn JOIN f o ON o.symbol = came.symbol AND o.rn = came.out)"
+
+
+@query("flagship_by_hour", f"WITH RECURSIVE {BARS}, {_FLAG} SELECT hour(entry_time) AS hour, {_STATS} FROM trades GROUP BY 1")
 def flagship_by_hour(spark, d):
-    return flagship(spark, d)
+    return _told(flagship(spark, d), "hour")
 
 
 def queries() -> dict[str, Query]:
