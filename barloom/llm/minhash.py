@@ -30,9 +30,11 @@ ROWS, BANDS = 5, 30
 SLACK = 0.17
 #: So many ids are broadcast to pick documents from the table (16 MB); more are joined.
 BROADCAST_IDS = 1 << 20
-#: Counters of shingles among documents that share a bucket (16 bits each, broadcast), and those in a group.
-COUNTERS = 1 << 22
-BLOCK = 1 << 16
+#: Counters of shingles among documents that share a bucket, 16 bits each, broadcast: one for four
+#: shingles, but at most 64 MB of them (beyond that they tell large groups' common shingles from the rest less
+#: sharply, and the search gets slower, not less complete). Those in a group.
+FEWEST_COUNTERS, MOST_COUNTERS = 1 << 20, 1 << 25
+BLOCK = 1 << 14
 #: 64-bit words of a set's parity map.
 MAPS = 8
 
@@ -137,22 +139,35 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").mapInArrow(run, "u long, v long")
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h & np.uint64(COUNTERS - 1)).astype(np.int64)
+def _slot(h: np.ndarray, counters: int) -> np.ndarray:
+    return (h & np.uint64(counters - 1)).astype(np.int64)
 
 
-def _count_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often each counter is hit by the sets of a task, by block of counters."""
-    total = np.zeros(COUNTERS, np.int64)
-    for batch in batches:
-        raw = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(0)]
-        for k in range(0, len(raw), 1024):
-            total += np.bincount(_slot(np.concatenate(raw[k : k + 1024])), minlength=COUNTERS)
-    hit = np.flatnonzero(total)
-    cuts = np.searchsorted(hit, np.arange(0, COUNTERS + BLOCK, BLOCK))
-    full = np.flatnonzero(np.diff(cuts))
-    parts = [hit[cuts[k] : cuts[k + 1]] for k in full]
-    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([(p % BLOCK).astype(np.uint32).tobytes() for p in parts], pa.binary()), pa.array([total[p].astype(np.uint32).tobytes() for p in parts], pa.binary())], ["block", "slots", "counts"])
+def _count_members(counters: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How often each counter is hit by the sets of a task, by block of counters."""
+        hits, counts, waiting, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+        def settle() -> None:
+            nonlocal hits, counts, waiting, size
+            slots, n = np.unique(np.concatenate(waiting), return_counts=True) if waiting else (hits[:0], counts[:0])
+            both, back = np.unique(np.concatenate([hits, slots]), return_inverse=True)
+            hits, counts = both, np.bincount(back, np.concatenate([counts, n]), len(both)).astype(np.int64)
+            waiting, size = [], 0
+
+        for batch in batches:
+            for x in batch.column(0):
+                waiting.append(_slot(np.frombuffer(x.as_buffer(), np.uint64), counters))
+                size += len(waiting[-1])
+                if size > 1 << 20:
+                    settle()
+        settle()
+        cuts = np.searchsorted(hits, np.arange(0, counters + BLOCK, BLOCK))
+        full = np.flatnonzero(np.diff(cuts))
+        spans = [slice(cuts[k], cuts[k + 1]) for k in full]
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([(hits[s] % BLOCK).astype(np.uint32).tobytes() for s in spans], pa.binary()), pa.array([counts[s].astype(np.uint32).tobytes() for s in spans], pa.binary())], ["block", "slots", "counts"])
+
+    return run
 
 
 def _add_counts(table: pa.Table) -> pa.Table:
@@ -171,7 +186,7 @@ def _prefixes(shared, num: int, den: int):
             out, places, maps = [], [], []
             for x in batch.column(1):
                 h = np.frombuffer(x.as_buffer(), np.uint64)
-                seen = often[_slot(h)]
+                seen = often[_slot(h, len(often))]
                 first = np.lexsort((h, seen))[: len(h) - -(-num * len(h) // den) + 1]
                 at = np.flatnonzero(seen[first] > 1)  # a counter of 1 is a member that no other set has
                 out.append(h[first][at])
@@ -191,13 +206,15 @@ def _by_prefix(sets: DataFrame, found: DataFrame, num: int, den: int) -> DataFra
     """(a, b): pairs of documents of sets that lie in different components and can be similar.
 
     Prefix filtering: in a fixed order of all shingles, similar sets share one early enough in both to leave
-    room for the overlap that they need. The order is by count, from a table of COUNTERS counters, so a much
+    room for the overlap that they need. The order is by count, from a table of counters, so a much
     edited copy shows its own edits first and meets few, however many copies there are. Bitmap filtering: the
     members of only one of two sets are at least as many as the bits in which their parity maps differ.
     Neither loses a similar pair.
     """
-    often = np.ones(COUNTERS, np.uint16)
-    for r in sets.select("members").mapInArrow(_count_members, "block int, slots binary, counts binary").groupBy("block").applyInArrow(_add_counts, "block int, counts binary").collect():
+    members = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    counters = min(MOST_COUNTERS, max(FEWEST_COUNTERS, 1 << (members // 4).bit_length()))
+    often = np.ones(counters, np.uint16)
+    for r in sets.select("members").mapInArrow(_count_members(counters), "block int, slots binary, counts binary").groupBy("block").applyInArrow(_add_counts, "block int, counts binary").collect():
         often[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, np.uint16)
     shared = sets.sparkSession.sparkContext.broadcast(often)
     rows = sets.select("doc_id", "members", "n").mapInArrow(_prefixes(shared, num, den), "doc_id long, member long, place int, n int, " + ", ".join(f"m{k} long" for k in range(MAPS)))
