@@ -5,10 +5,14 @@ class transition P(class | class before) and the word emission P(word | class),
 
 Counts of an unbounded vocabulary are never broadcast or joined row by row. A batch of texts carries its
 distinct words as one sorted array of 64-bit hashes; slices of it meet in buckets of the hash space, where
-all training counts of a bucket's words are added up, and each batch gets its words' counts back as a
-slice of the same length. The ITEMS most frequent words are classed one by one; the others in GROUPS
-groups by their ending and length, which the hash carries in its low bits. So class statistics cover every
-token, and what is collected has a fixed bound of (ITEMS + GROUPS)**2 counts.
+all training counts of a bucket's words are added up, and each batch gets its words' counts and classes back
+as a slice of the same length.
+
+Every word of the training rows is classed by itself, and the number of classes grows with the vocabulary.
+The exchange over the ITEMS most frequent words, with the others in GROUPS groups by their ending and length
+(which the hash carries in its low bits), starts the classes. Then each other word's own neighbours are
+counted by class, in the word's bucket, and it moves to the class that these make likeliest. Transitions and
+emissions are counted again under the final classes. A group's class is that of its unseen words only.
 """
 
 from __future__ import annotations
@@ -29,6 +33,10 @@ from barloom.llm.text import LOWER, buffers, mix, pieces, word_hashes, words
 ITEMS, GROUPS, CLASSES = 1024, 64, 48
 ALL = ITEMS + GROUPS
 SWEEPS = 8
+#: Classes for the cube root of the number of distinct training words, CLASSES at least.
+CLASSES_GROW = 2.0
+#: Training tokens whose neighbours are counted at a time, and words whose classes are chosen at a time.
+CONTEXT_TOKENS, CHOICE_WORDS = 1 << 21, 4096
 #: Rows of the item bigram matrix that are summed in one group.
 BLOCK = 16
 #: Distinct words of all batches that a bucket gets, and the least number of buckets.
@@ -100,64 +108,68 @@ def _slices(bits: int):
     return run
 
 
-_MERGED = "kind string, bucket int, batch long, counts binary, word long, n long, v long"
+_MERGED = "kind string, bucket int, batches array<long>, sizes array<int>, words binary, place binary, counts binary, word long, n long, v long"
+
+
+def _steps(place: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Ascending places of each slice as differences, which pack narrowly; _places undoes it."""
+    out = np.diff(place, prepend=0)
+    first = (np.cumsum(sizes) - sizes)[sizes > 0]
+    out[first] = place[first]
+    return out
+
+
+def _places(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    total = np.cumsum(steps.astype(np.int64))
+    return total - np.repeat(np.concatenate([[0], total])[np.cumsum(sizes) - sizes], sizes)
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    """Of one bucket: every batch's slice of counts, the most frequent words, and sums by group of words."""
+    """Of one bucket: its words with their counts and their places in every batch's slice, the most frequent words, and sums by group of words."""
     bucket = table.column("bucket")[0].as_py()
     rows = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("words")]
     learn = np.concatenate([_unpack(x, len(w)) for x, w in zip(table.column("learn"), rows, strict=True)]).astype(np.float64)
     u, back = np.unique(np.concatenate(rows), return_inverse=True)
     count = np.bincount(back, learn, len(u)).astype(np.int64)
-    mine = count[back]
-    cuts = np.concatenate([[0], np.cumsum([len(w) for w in rows])])
-    slices = [int(b - a).to_bytes(4, "little") + _pack(mine[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    sizes = np.array([len(w) for w in rows])
     best = np.lexsort((u, -count))[:ITEMS]
     best = best[count[best] > 0]
     group = (u & _LOW).astype(np.int64)
     n = np.bincount(group, count, GROUPS).astype(np.int64)
     v = np.bincount(group[count > 0], minlength=GROUPS)
-    k, m = len(rows), len(best)
+    m = len(best)
+    none = [None] * (m + GROUPS)
     return pa.table({
-        "kind": pa.array(["slice"] * k + ["word"] * m + ["group"] * GROUPS),
-        "bucket": pa.array([bucket] * (k + m + GROUPS), pa.int32()),
-        "batch": pa.array(table.column("batch").to_pylist() + [None] * (m + GROUPS), pa.int64()),
-        "counts": pa.array(slices + [None] * (m + GROUPS), pa.binary()),
-        "word": pa.array([None] * k + u[best].view(np.int64).tolist() + list(range(GROUPS)), pa.int64()),
-        "n": pa.array([None] * k + count[best].tolist() + n.tolist(), pa.int64()),
-        "v": pa.array([None] * (k + m) + v.tolist(), pa.int64()),
+        "kind": pa.array(["bucket"] + ["word"] * m + ["group"] * GROUPS),
+        "bucket": pa.array([bucket] * (1 + m + GROUPS), pa.int32()),
+        "batches": pa.array([table.column("batch").to_pylist(), *none], pa.list_(pa.int64())),
+        "sizes": pa.array([sizes.tolist(), *none], pa.list_(pa.int32())),
+        "words": pa.array([u.tobytes(), *none], pa.binary()),
+        "place": pa.array([_pack(_steps(back, sizes)), *none], pa.binary()),
+        "counts": pa.array([_pack(count), *none], pa.binary()),
+        "word": pa.array([None, *u[best].view(np.int64).tolist(), *range(GROUPS)], pa.int64()),
+        "n": pa.array([None, *count[best].tolist(), *n.tolist()], pa.int64()),
+        "v": pa.array([None] * (1 + m) + v.tolist(), pa.int64()),
     })
 
 
-def _itemise(top: np.ndarray):
-    """Each batch without its hashes, but with its words' items: the frequent words by number, then the groups."""
+def _items(u: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """The frequent words by number, then the groups."""
+    item = ITEMS + (u & _LOW).astype(np.int64)
+    if len(top):
+        at = np.minimum(np.searchsorted(top, u), len(top) - 1)
+        item = np.where(top[at] == u, at, item)
+    return item
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for x in batch.column(batch.schema.get_field_index("words")):
-                u = np.frombuffer(x.as_buffer(), np.uint64)
-                item = ITEMS + (u & _LOW).astype(np.int64)
-                if len(top):
-                    at = np.minimum(np.searchsorted(top, u), len(top) - 1)
-                    item = np.where(top[at] == u, at, item)
-                out.append(item.astype(np.uint16).tobytes())
-            keep = [batch.column(batch.schema.get_field_index(c)) for c in ("batch", "doc_ids", "held", "sizes", "n_words", "place")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(out, pa.binary())], ["batch", "doc_ids", "held", "sizes", "n_words", "place", "items"])
 
-    return run
-
-
-_ITEMISED = "batch long, doc_ids array<long>, held array<boolean>, sizes array<int>, n_words int, place binary, items binary"
 _PAIRS = "block int, pairs binary, counts binary"
 
 
-def _tokens(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word places of all tokens, each token's item, and the item before it (the end's, at a start)."""
+def _tokens(row: dict, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word places of all tokens, each token's item, and the item before it (the end's, at a start); items: of the batch's words."""
     size = np.asarray(row["sizes"], np.int64)
     place = _unpack(row["place"], int(size.sum())).astype(np.int64)
-    item = np.frombuffer(row["items"], np.uint16).astype(np.int64)[place]
+    item = items.astype(np.int64)[place]
     before = np.empty_like(item)
     before[1:] = item[:-1]
     starts = np.cumsum(size) - size
@@ -165,34 +177,155 @@ def _tokens(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return place, item, before
 
 
-def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(ALL * ALL, np.int64)
-    held_back: list[np.ndarray] = []
-    for batch in batches:
-        for row in batch.to_pylist():
-            _, item, before = _tokens(row)
-            taught = np.repeat(~np.asarray(row["held"], bool), row["sizes"])
-            held_back.append((before * ALL + item)[taught])
-            if sum(map(len, held_back)) > 1 << 21:
-                total += np.bincount(np.concatenate(held_back), minlength=ALL * ALL)
-                held_back = []
-    if held_back:
-        total += np.bincount(np.concatenate(held_back), minlength=ALL * ALL)
-    pair = np.flatnonzero(total)
-    cuts = np.searchsorted(pair, np.arange(0, ALL + BLOCK, BLOCK) * ALL)
-    full = np.flatnonzero(np.diff(cuts))
-    parts = [pair[cuts[k] : cuts[k + 1]] for k in full]
-    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([p.astype(np.uint32).tobytes() for p in parts], pa.binary()), pa.array([total[p].tobytes() for p in parts], pa.binary())], ["block", "pairs", "counts"])
-
-
-def _add_pairs(table: pa.Table) -> pa.Table:
-    block = table.column("block")[0].as_py()
-    base = block * BLOCK * ALL
-    total = np.zeros(BLOCK * ALL, np.int64)
-    for p, c in zip(table.column("pairs"), table.column("counts"), strict=True):
-        total[np.frombuffer(p.as_buffer(), np.uint32).astype(np.int64) - base] += np.frombuffer(c.as_buffer(), np.int64)
-    pair = np.flatnonzero(total)
-    return pa.table({"block": pa.array([block], pa.int32()), "pairs": pa.array([(pair + base).astype(np.uint32).tobytes()], pa.binary()), "counts": pa.array([total[pair].tobytes()], pa.binary())})
+def _bigrams(m: int, items_of):
+    """Counts of the pairs of m items that follow each other in training rows; items_of(row): the items of a batch's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(m * m, np.int64)
+        held_back: list[np.ndarray] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                _, item, before = _tokens(row, items_of(row))
+                taught = np.repeat(~np.asarray(row["held"], bool), row["sizes"])
+                held_back.append((before * m + item)[taught])
+                if sum(map(len, held_back)) > 1 << 21:
+                    total += np.bincount(np.concatenate(held_back), minlength=m * m)
+                    held_back = []
+        if held_back:
+            total += np.bincount(np.concatenate(held_back), minlength=m * m)
+        pair = np.flatnonzero(total)
+        cuts = np.searchsorted(pair, np.arange(0, m + BLOCK, BLOCK) * m)
+        full = np.flatnonzero(np.diff(cuts))
+        parts = [pair[cuts[k] : cuts[k + 1]] for k in full]
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([p.astype(np.uint32).tobytes() for p in parts], pa.binary()), pa.array([total[p].tobytes() for p in parts], pa.binary())], ["block", "pairs", "counts"])
+
+    return run
+
+
+def _add_pairs(m: int):
+    def run(table: pa.Table) -> pa.Table:
+        block = table.column("block")[0].as_py()
+        base = block * BLOCK * m
+        total = np.zeros(BLOCK * m, np.int64)
+        for p, c in zip(table.column("pairs"), table.column("counts"), strict=True):
+            total[np.frombuffer(p.as_buffer(), np.uint32).astype(np.int64) - base] += np.frombuffer(c.as_buffer(), np.int64)
+        pair = np.flatnonzero(total)
+        return pa.table({"block": pa.array([block], pa.int32()), "pairs": pa.array([(pair + base).astype(np.uint32).tobytes()], pa.binary()), "counts": pa.array([total[pair].tobytes()], pa.binary())})
+
+    return run
+
+
+def _pair_table(rows: DataFrame, m: int, items_of) -> np.ndarray:
+    out = np.zeros(m * m)
+    for r in rows.mapInArrow(_bigrams(m, items_of), _PAIRS).groupBy("block").applyInArrow(_add_pairs(m), _PAIRS).collect():
+        out[np.frombuffer(r.pairs, np.uint32)] = np.frombuffer(r.counts, np.int64)
+    return out.reshape(m, m)
+
+
+_CONTEXTS = "bucket int, words binary, sizes binary, features binary, counts binary"
+
+
+def _contexts(seeds, bits: int):
+    """How often each class stands before (features 0 to K-1) and after (K to 2K-1) each training word that is not in top, by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top, cls, k = seeds.value
+        edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+        held_back: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def told() -> Iterator[pa.RecordBatch]:
+            u, back = np.unique(np.concatenate([w for w, _ in held_back]), return_inverse=True)
+            cuts = np.cumsum([0, *[len(w) for w, _ in held_back]])
+            key, count = np.unique(np.concatenate([back[a + (x // (2 * k))] * (2 * k) + x % (2 * k) for a, (_, x) in zip(cuts[:-1], held_back, strict=True)]), return_counts=True)
+            held_back.clear()
+            word, feature = key // (2 * k), (key % (2 * k)).astype(np.uint16)
+            at = np.concatenate([[0], np.searchsorted(u, edges), [len(u)]])
+            inside = np.searchsorted(word, at)
+            size = np.bincount(word, minlength=len(u))
+            full = np.flatnonzero(np.diff(inside))
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([u[at[b] : at[b + 1]].tobytes() for b in full], pa.binary()), pa.array([_pack(size[at[b] : at[b + 1]]) for b in full], pa.binary()), pa.array([feature[inside[b] : inside[b + 1]].tobytes() for b in full], pa.binary()), pa.array([_pack(count[inside[b] : inside[b + 1]]) for b in full], pa.binary())], ["bucket", "words", "sizes", "features", "counts"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                u = np.frombuffer(row["words"], np.uint64)
+                item = _items(u, top)
+                place, now, before = _tokens(row, cls[item])
+                taught = np.repeat(~np.asarray(row["held"], bool), row["sizes"])
+                last = np.cumsum(row["sizes"]) - 1
+                after = np.empty_like(now)
+                after[:-1] = now[1:]
+                after[last] = now[last - np.asarray(row["sizes"]) + 1]  # the end is before the text's first word
+                mine = taught & (item >= ITEMS)[place]
+                if mine.any():
+                    w, x = np.unique(place[mine], return_inverse=True)
+                    held_back.append((u[w], np.concatenate([x * (2 * k) + before[mine], x * (2 * k) + k + after[mine]])))
+                if sum(len(x) for _, x in held_back) > 2 * CONTEXT_TOKENS:
+                    yield from told()
+        if held_back:
+            yield from told()
+
+    return run
+
+
+_CLASSED = "kind string, bucket int, batch long, counts binary, classes binary, word long, n long, v long"
+
+
+def _choose(seeds, affinity):
+    """Of one bucket: each word's class, every batch's slice of counts and classes, and sums by class."""
+
+    def run(bucket: pa.Table, contexts: pa.Table) -> pa.Table:
+        top, seed, k = seeds.value
+        likes: np.ndarray = affinity.value
+        row = bucket.to_pylist()[0]
+        u = np.frombuffer(row["words"], np.uint64)
+        count = _unpack(row["counts"], len(u)).astype(np.int64)
+        cls = seed[_items(u, top)].astype(np.uint16)
+        word, feature, times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for r in contexts.to_pylist():
+            w = np.frombuffer(r["words"], np.uint64)
+            word.append(np.repeat(np.searchsorted(u, w), _unpack(r["sizes"], len(w))))
+            feature.append(np.frombuffer(r["features"], np.uint16).astype(np.int64))
+            times.append(_unpack(r["counts"], len(feature[-1])).astype(np.int64))
+        word, feature, times = np.concatenate(word), np.concatenate(feature), np.concatenate(times)
+        order = np.argsort(word, kind="stable")
+        word, feature, times = word[order], feature[order], times[order]
+        own = np.unique(word)
+        for a in range(0, len(own), CHOICE_WORDS):
+            some = own[a : a + CHOICE_WORDS]
+            i, j = np.searchsorted(word, some[0]), np.searchsorted(word, some[-1], "right")
+            seen = np.bincount(np.searchsorted(some, word[i:j]) * (2 * k) + feature[i:j], times[i:j], len(some) * 2 * k).reshape(len(some), 2 * k)
+            cls[some] = (seen @ likes).argmax(axis=1)
+        sizes = np.array(row["sizes"])
+        back = _places(_unpack(row["place"], int(sizes.sum())), sizes)
+        cuts = np.concatenate([[0], np.cumsum(sizes)])
+        at = [back[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        m = len(at)
+        return pa.table({
+            "kind": pa.array(["slice"] * m + ["class"] * k),
+            "bucket": pa.array([row["bucket"]] * (m + k), pa.int32()),
+            "batch": pa.array(row["batches"] + [None] * k, pa.int64()),
+            "counts": pa.array([int(len(x)).to_bytes(4, "little") + _pack(count[x]) for x in at] + [None] * k, pa.binary()),
+            "classes": pa.array([_pack(cls[x]) for x in at] + [None] * k, pa.binary()),
+            "word": pa.array([None] * m + list(range(k)), pa.int64()),
+            "n": pa.array([None] * m + np.bincount(cls, count, k).astype(np.int64).tolist(), pa.int64()),
+            "v": pa.array([None] * m + np.bincount(cls[count > 0], minlength=k).tolist(), pa.int64()),
+        })
+
+    return run
+
+
+_WHOLE = "doc_ids array<long>, held array<boolean>, sizes array<int>, place binary, counts binary, classes binary, n_words int"
+
+
+def _join_slices(tokens: pa.Table, slices: pa.Table) -> pa.Table:
+    """Each batch with the counts and classes of its words."""
+    parts = sorted(zip(slices.column("bucket").to_pylist(), slices.column("counts").to_pylist(), slices.column("classes").to_pylist(), strict=True))
+    sizes = [int.from_bytes(c[:4], "little") for _, c, _ in parts]
+    counts = [_unpack(c[4:], n) for n, (_, c, _) in zip(sizes, parts, strict=True)]
+    classes = [_unpack(c, n) for n, (_, _, c) in zip(sizes, parts, strict=True)]
+    assert tokens.num_rows == 1 and sum(sizes) == tokens.column("n_words")[0].as_py()
+    keep = {c: tokens.column(c) for c in ("doc_ids", "held", "sizes", "place")}
+    return pa.table(keep | {"counts": pa.array([_pack(np.concatenate(counts))], pa.binary()), "classes": pa.array([_pack(np.concatenate(classes))], pa.binary()), "n_words": tokens.column("n_words")})
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -260,55 +393,62 @@ class Model:
     distinct: int
 
 
+def n_classes(distinct: int) -> int:
+    """The number of classes for so many distinct training words."""
+    return max(CLASSES, round(CLASSES_GROW * distinct ** (1 / 3)))
+
+
+def _transit(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smoothed transitions between classes, and their frequencies alone."""
+    alone = (table.sum(axis=0) + 1) / (table.sum() + len(table))
+    return (table + TRANSIT * alone[None, :]) / (table.sum(axis=1, keepdims=True) + TRANSIT), alone
+
+
 def _model(top: np.ndarray, top_n: np.ndarray, group_n: np.ndarray, group_v: np.ndarray, bigrams: np.ndarray) -> Model:
+    """The classes of the frequent words and of the groups, with which the other words' classes start."""
     n = np.zeros(ALL)
     v = np.zeros(ALL)
     n[: len(top)], v[: len(top)] = top_n, 1
     g = (top & _LOW).astype(np.int64)
     n[ITEMS:] = group_n - np.bincount(g, top_n, GROUPS)
     v[ITEMS:] = group_v - np.bincount(g, minlength=GROUPS)
-    cls = exchange(bigrams, CLASSES)
-    member = np.zeros((ALL, CLASSES))
+    k = n_classes(int(group_v.sum()))
+    cls = exchange(bigrams, k)
+    member = np.zeros((ALL, k))
     member[np.arange(ALL), cls] = 1
-    table = member.T @ bigrams.astype(np.float64) @ member
-    alone = (table.sum(axis=0) + 1) / (table.sum() + CLASSES)
-    transit = np.log10((table + TRANSIT * alone[None, :]) / (table.sum(axis=1, keepdims=True) + TRANSIT))
-    return Model(top, cls, transit, member.T @ n + EMIT * (member.T @ v + 1), int(group_n.sum()), int(group_v.sum()))
+    transit, _ = _transit(member.T @ bigrams.astype(np.float64) @ member)
+    return Model(top, cls, np.log10(transit), member.T @ n + EMIT * (member.T @ v + 1), int(group_n.sum()), int(group_v.sum()))
+
+
+def _affinity(table: np.ndarray) -> np.ndarray:
+    """What one neighbour of each class, before and then after, says for each class of a word."""
+    transit, alone = _transit(table)
+    likes = np.log(transit / alone[None, :])
+    return np.concatenate([likes, likes.T])
 
 
 def _score(model):
-    def run(tokens: pa.Table, counts: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
-        parts = sorted(zip(counts.column("bucket").to_pylist(), counts.column("counts").to_pylist(), strict=True))
-        out = []
-        for row in tokens.to_pylist():
-            place, item, before = _tokens(row)
-            c = _spread(parts, row["n_words"])
-            base = np.log10((c + BASE) / (m.tokens + BASE * (m.distinct + 1)))
-            items = np.frombuffer(row["items"], np.uint16)
-            emit = np.log10((c + EMIT) / m.emit[m.classes[items]])
-            starts = np.cumsum(row["sizes"]) - row["sizes"]
-            total = lambda x: np.add.reduceat(x, starts)  # noqa: E731, B023
-            out.append(pa.table({
-                "doc_id": pa.array(row["doc_ids"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": pa.array(row["sizes"], pa.int64()),
-                "n_known": pa.array(total((c > 0)[place].astype(np.int64)), pa.int64()), "train_tokens": pa.array([m.tokens] * len(starts), pa.int64()),
-                "base_score": pa.array(total(base[place])), "score": pa.array(total(m.transit[m.classes[before], m.classes[item]] + emit[place])),
-            }))
-        return pa.concat_tables(out) if out else _NOTHING
+        for batch in batches:
+            for row in batch.to_pylist():
+                classes = _unpack(row["classes"], row["n_words"])
+                place, now, before = _tokens(row, classes)
+                c = _unpack(row["counts"], row["n_words"]).astype(np.float64)
+                base = np.log10((c + BASE) / (m.tokens + BASE * (m.distinct + 1)))
+                emit = np.log10((c + EMIT) / m.emit[classes])
+                starts = np.cumsum(row["sizes"]) - row["sizes"]
+                total = lambda x: np.add.reduceat(x, starts)  # noqa: E731, B023
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": pa.array(row["doc_ids"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": pa.array(row["sizes"], pa.int64()),
+                    "n_known": pa.array(total((c > 0)[place].astype(np.int64)), pa.int64()), "train_tokens": pa.array([m.tokens] * len(starts), pa.int64()),
+                    "base_score": pa.array(total(base[place])), "score": pa.array(total(m.transit[before, now] + emit[place])),
+                })
 
     return run
 
 
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-_NOTHING = pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), **{c: pa.array([], pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")}, "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
-
-
-def _spread(parts: list[tuple[int, bytes]], n_words: int) -> np.ndarray:
-    """The counts of a batch's words from its slices in order of bucket; each slice starts with its length."""
-    out = [_unpack(raw[4:], int.from_bytes(raw[:4], "little")) for _, raw in parts]
-    c = np.concatenate(out).astype(np.float64)
-    assert len(c) == n_words
-    return c
 
 
 def score_texts(docs: DataFrame, mod: int = 10, held: int = 0) -> DataFrame:
@@ -331,11 +471,23 @@ def score_texts(docs: DataFrame, mod: int = 10, held: int = 0) -> DataFrame:
     group_n, group_v = np.zeros(GROUPS), np.zeros(GROUPS)
     for r in merged.where("kind = 'group'").groupBy("word").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
         group_n[r.word], group_v[r.word] = r.n, r.v
-    items = stage(tokens.mapInArrow(_itemise(top), _ITEMISED), "items")
+    bigrams = _pair_table(tokens, ALL, lambda row: _items(np.frombuffer(row["words"], np.uint64), top))
+    first = _model(top, top_n, group_n, group_v, bigrams)
+    k = len(first.transit)
+    member = np.eye(k)[first.classes]
+    seeds = spark.sparkContext.broadcast((top, first.classes, k))
+    likes = spark.sparkContext.broadcast(_affinity(member.T @ bigrams @ member))
+    contexts = tokens.mapInArrow(_contexts(seeds, bits), _CONTEXTS)
+    buckets = merged.where("kind = 'bucket'").select("bucket", "batches", "sizes", "words", "place", "counts")
+    classed = stage(buckets.groupBy("bucket").cogroup(contexts.groupBy("bucket")).applyInArrow(_choose(seeds, likes), _CLASSED), "classes")
+    drop(merged)
+    n, v = np.zeros(k), np.zeros(k)
+    for r in classed.where("kind = 'class'").groupBy("word").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
+        n[r.word], v[r.word] = r.n, r.v
+    slices = classed.where("kind = 'slice'").select("batch", "bucket", "counts", "classes")
+    whole = stage(tokens.drop("words", "learn").groupBy("batch").cogroup(slices.groupBy("batch")).applyInArrow(_join_slices, _WHOLE), "classed")
     drop(tokens)
-    bigrams = np.zeros(ALL * ALL)
-    for r in items.mapInArrow(_bigrams, _PAIRS).groupBy("block").applyInArrow(_add_pairs, _PAIRS).collect():
-        bigrams[np.frombuffer(r.pairs, np.uint32)] = np.frombuffer(r.counts, np.int64)
-    model = spark.sparkContext.broadcast(_model(top, top_n, group_n, group_v, bigrams.reshape(ALL, ALL)))
-    slices = merged.where("kind = 'slice'").select("batch", "bucket", "counts")
-    return items.groupBy("batch").cogroup(slices.groupBy("batch")).applyInArrow(_score(model), _SCORED)
+    drop(classed)
+    transit, _ = _transit(_pair_table(whole, k, lambda row: _unpack(row["classes"], row["n_words"])))
+    model = spark.sparkContext.broadcast(Model(top, first.classes, np.log10(transit), n + EMIT * (v + 1), first.tokens, first.distinct))
+    return whole.mapInArrow(_score(model), _SCORED)

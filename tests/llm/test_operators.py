@@ -340,6 +340,22 @@ def test_scores_without_rows_or_training(spark):
     assert (got["n_known"] == 0).all() and (got["base_score"] == 0).all()
 
 
+def test_rare_words_have_classes_of_their_own(spark):
+    """Words beyond the most frequent, alike in ending and length and seen equally often, after different words."""
+    r = np.random.default_rng(5)
+    pairs = [(("left", "right")[k % 2], f"f{k}w") for k in range(1200) for _ in range(6)]
+    rare = {"left": [f"a{k:03d}xy" for k in range(200)], "right": [f"b{k:03d}xy" for k in range(200)]}
+    pairs += [(side, w) for side, ws in rare.items() for w in ws for _ in range(3)]
+    order = r.permutation(len(pairs))
+    ids = {h: iter([k for k in range(40_000) if (zlib.crc32(str(k).encode()) % 10 == 0) == h]) for h in (True, False)}
+    rows = [(next(ids[False]), " ".join(" ".join(pairs[i]) for i in order[k : k + 8])) for k in range(0, len(order), 8)]
+    right = [(next(ids[True]), f"{side} {w}") for side, ws in rare.items() for w in ws]
+    wrong = [(next(ids[True]), f"{other} {w}") for side, other in (("left", "right"), ("right", "left")) for w in rare[side]]
+    got = brown.score_texts(spark.createDataFrame(rows + right + wrong, "doc_id long, text string")).toPandas().set_index("doc_id")["score"]
+    assert got[[d for d, _ in right]].mean() > got[[d for d, _ in wrong]].mean() + 0.5
+    assert brown.n_classes(0) == brown.CLASSES < brown.n_classes(10**6) < brown.n_classes(10**8)
+
+
 # ---- 10
 
 
