@@ -241,6 +241,16 @@ def asof_general(spark, d):
     return R.asof_join(_bars(spark, d).select(KEY, TIME), ticks, ["px", "before"])
 
 
+@query("asof_all", f"WITH {BARS}, t AS (SELECT symbol, ts, px, lag(event_id) OVER w AS before FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts, event_id) QUALIFY lead(ts) OVER w IS DISTINCT FROM ts) SELECT bars.symbol, open_time, px, CAST(before AS DOUBLE) AS before FROM bars ASOF LEFT JOIN t ON bars.symbol = t.symbol AND bars.open_time >= t.ts")
+def asof_all(spark, d):
+    """asof_general over every tick; of ticks at one time, the last by event_id."""
+    from barloom.sources.ticks import event_ticks
+
+    w = Window.partitionBy(KEY).orderBy(TIME, "event_id")
+    ticks = event_ticks(spark, d).select(KEY, F.col("ts").alias(TIME), F.col("price").alias("px"), "event_id").withColumns({"before": F.lag("event_id").over(w).cast("double"), "next": F.lead(TIME).over(w)})
+    return R.asof_join(_bars(spark, d).select(KEY, TIME), ticks.where(f"not next <=> {TIME}"), ["px", "before"])
+
+
 @query("build_mtf_two", f"WITH {BARS}, {_FOUR}, f0 AS (SELECT symbol, b, CASE WHEN rn >= 3 THEN avg(c) OVER (PARTITION BY symbol ORDER BY b ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) END AS v FROM h), f AS (SELECT symbol, b, lag(v) OVER (PARTITION BY symbol ORDER BY b) AS v FROM f0), dd AS (SELECT symbol, time_bucket(INTERVAL '1 day', open_time) AS b, arg_max(close, open_time) AS c FROM bars GROUP BY 1, 2), g0 AS (SELECT symbol, b, CASE WHEN row_number() OVER w >= 2 THEN avg(c) OVER (PARTITION BY symbol ORDER BY b ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) END AS v FROM dd WINDOW w AS (PARTITION BY symbol ORDER BY b)), g AS (SELECT symbol, b, lag(v) OVER (PARTITION BY symbol ORDER BY b) AS v FROM g0) SELECT bars.symbol, open_time, round(f.v, 9) AS \"4h__sma_3\", round(g.v, 9) AS \"1D__sma_2\" FROM bars LEFT JOIN f ON f.symbol = bars.symbol AND f.b = time_bucket(INTERVAL '4 hours', open_time) LEFT JOIN g ON g.symbol = bars.symbol AND g.b = time_bucket(INTERVAL '1 day', open_time)")
 def build_mtf_two(spark, d):
     out = R.build_mtf(_bars(spark, d), {"4h": lambda x: I.add_smas(x, [3]), "1D": lambda x: I.add_smas(x, [2])})

@@ -264,6 +264,19 @@ def test_query_equals_sql(spark, name):
     pd.testing.assert_frame_equal(tidy(got), tidy(want), check_dtype=False)
 
 
+def test_asof_takes_the_last_of_all_ticks(spark):
+    test_query_equals_sql(spark, "asof_all")
+    ticks = pd.read_parquet(f"{DATA}/events.parquet").sort_values(["event_type", "ts", "event_id"])
+    bars = catalogue.queries()["bars_1h"](spark, DATA).select("symbol", "open_time").toPandas()
+    got = {(r.symbol, r.open_time): r.before for r in catalogue.queries()["asof_all"](spark, DATA).collect()}
+    assert len(got) == len(bars)
+    for symbol, own in ticks.groupby("event_type"):
+        times, ids = own["ts"].tolist(), own["event_id"].tolist()
+        for t in bars.loc[bars["symbol"] == symbol, "open_time"]:
+            k = sum(x <= t for x in times) - 1
+            assert got[symbol, t.to_pydatetime()] == (ids[k - 1] if k > 0 else None)
+
+
 def test_every_sql_has_a_query():
     assert set(catalogue.oracle_sql()) <= set(catalogue.queries())
 
