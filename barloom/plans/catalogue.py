@@ -504,15 +504,25 @@ def by_session(spark, d):
     return _told(A.by_session(_trades(spark, d)), "session")
 
 
-def _bar_trades(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _bar_trades(spark: SparkSession, d: str, every: int = 1) -> tuple[DataFrame, DataFrame]:
     bars = _bars(spark, d)
     w = bars_window()
     numbered = bars.withColumn("entry_i", F.row_number().over(w) - 1).withColumn("pnl", F.round(F.lead("close", 3).over(w) - F.col("close"), 6))
-    return numbered.where("entry_i % 7 = 0 and pnl is not null").select(KEY, "entry_i", "pnl"), bars
+    return numbered.where(f"entry_i % {every} = 0 and pnl is not null").select(KEY, "entry_i", "pnl"), bars
 
 
-@query("by_regime", f"WITH RECURSIVE {BARS}, {_TR}, {recursive_mean('e', 'n', 'close', '(2.0 / 21)')}, {recursive_mean('a', 'tr', 'tr', '(1.0 / 5)')}, t0 AS (SELECT *, round(lead(close, 3) OVER ({W}) - close, 6) AS pnl FROM n), t AS (SELECT t0.*, coalesce(rn >= 20 AND close >= e.y, false) AS up, CASE WHEN rn >= 5 THEN a.y / close END AS v FROM t0 JOIN e USING (symbol, rn) JOIN a USING (symbol, rn) WHERE (rn - 1) % 7 = 0 AND pnl IS NOT NULL), q AS (SELECT quantile_cont(v, 1.0 / 3) AS q1, quantile_cont(v, 2.0 / 3) AS q2 FROM t) SELECT CASE WHEN up THEN 'uptrend' ELSE 'downtrend' END || '/' || CASE WHEN v IS NULL OR v <= q1 THEN 'lowvol' WHEN v <= q2 THEN 'midvol' ELSE 'highvol' END AS regime, {_STATS} FROM t, q GROUP BY 1")
+def _regime_sql(rows: str = "") -> str:
+    return f"WITH RECURSIVE {BARS}, {_TR}, {recursive_mean('e', 'n', 'close', '(2.0 / 21)')}, {recursive_mean('a', 'tr', 'tr', '(1.0 / 5)')}, t0 AS (SELECT *, round(lead(close, 3) OVER ({W}) - close, 6) AS pnl FROM n), t AS (SELECT t0.*, coalesce(rn >= 20 AND close >= e.y, false) AS up, CASE WHEN rn >= 5 THEN a.y / close END AS v FROM t0 JOIN e USING (symbol, rn) JOIN a USING (symbol, rn) WHERE {rows}pnl IS NOT NULL), q AS (SELECT quantile_cont(v, 1.0 / 3) AS q1, quantile_cont(v, 2.0 / 3) AS q2 FROM t) SELECT CASE WHEN up THEN 'uptrend' ELSE 'downtrend' END || '/' || CASE WHEN v IS NULL OR v <= q1 THEN 'lowvol' WHEN v <= q2 THEN 'midvol' ELSE 'highvol' END AS regime, {_STATS} FROM t, q GROUP BY 1"
+
+
+@query("by_regime", _regime_sql("(rn - 1) % 7 = 0 AND "))
 def by_regime(spark, d):
+    return _told(A.by_regime(*_bar_trades(spark, d, 7), ema_period=20, atr_period=5), "regime")
+
+
+@query("by_regime_all", _regime_sql())
+def by_regime_all(spark, d):
+    """by_regime with a trade of every bar."""
     return _told(A.by_regime(*_bar_trades(spark, d), ema_period=20, atr_period=5), "regime")
 
 

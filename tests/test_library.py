@@ -277,6 +277,17 @@ def test_asof_takes_the_last_of_all_ticks(spark):
             assert got[symbol, t.to_pydatetime()] == (ids[k - 1] if k > 0 else None)
 
 
+def test_regimes_of_a_trade_of_every_bar(spark):
+    test_query_equals_sql(spark, "by_regime_all")
+    close = catalogue.queries()["bars_1h"](spark, DATA).toPandas().sort_values(["symbol", "open_time"]).groupby("symbol")["close"]
+    got = catalogue.queries()["by_regime_all"](spark, DATA).toPandas()
+    pnl = (close.shift(-3) - close.shift(0)).dropna()
+    assert got["n_trades"].sum() == len(pnl)
+    assert got["total_pnl"].sum() == pytest.approx(pnl.sum(), abs=0.1)
+    sizes = got.groupby(got["regime"].str.split("/").str[1])["n_trades"].sum()
+    assert set(sizes.index) == {"lowvol", "midvol", "highvol"} and abs(sizes["midvol"] - sizes["highvol"]) <= 2
+
+
 def test_every_sql_has_a_query():
     assert set(catalogue.oracle_sql()) <= set(catalogue.queries())
 
