@@ -245,6 +245,15 @@ def test_generated_pages_come_out_right():
     assert right >= 88
 
 
+def test_attributes_are_read_by_exact_name():
+    said = lambda attrs: [(b.text, bool(b.flags & html._BADNAME)) for b in html.blocks(f"<body><div {attrs}><p>Some text here.</p></div></body>")]
+    for attrs in ('data-title="Hidden gems of Paris"', "title='the hidden truth'", "data-hidden", 'data-id="footer"', 'title="class=sidebar"', "data-x=hidden", 'data-style="display:none"', 'alt="x" title=" hidden "'):
+        assert said(attrs) == [("Some text here.", False)], attrs
+    for attrs in ("hidden", "HIDDEN", 'data-x="1" hidden', 'aria-hidden="true"', "style='display: none'", "hidden data-x=1", 'title="a"hidden'):
+        assert said(attrs) == [], attrs
+    assert said('data-id="x" ID=footer') == said("CLASS='a sidebar'") == [("Some text here.", True)]
+
+
 def test_logs_are_finite():
     model = brown._model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(brown.GROUPS), np.zeros(brown.GROUPS), np.zeros((brown.ALL, brown.ALL)))
     assert np.isfinite(model.transit).all() and math.isfinite(math.log10(model.emit.min()))
