@@ -624,6 +624,23 @@ def sweep_pivot(spark, d):
     return out.select("confirm_n", *[F.round(str(v), 4).alias(str(v)) for v in _SMALL["fast"]])
 
 
+def _sweep_all(spark: SparkSession, d: str) -> DataFrame:
+    return search.run_grid(_bars(spark, d), Y.EmaRibbon, _GRID, _RISK)
+
+
+@query("sweep_topk_all")
+def sweep_topk_all(spark, d):
+    """sweep_topk over the whole grid with stops and targets."""
+    return _short(search.top(_sweep_all(spark, d), 15, "total_return_pct", min_trades=3))
+
+
+@query("sweep_pivot_all")
+def sweep_pivot_all(spark, d):
+    """sweep_pivot over the whole grid with stops and targets."""
+    out = search.sweep_table(_sweep_all(spark, d), "fast", "confirm_n", "total_return_pct", _GRID["fast"])
+    return out.select("confirm_n", *[F.round(str(v), 4).alias(str(v)) for v in _GRID["fast"]])
+
+
 @query("sweep_minute")
 def sweep_minute(spark, d):
     return search.run_grid(_bars(spark, d, "1min"), Y.EmaRibbon, _GRID | {"confirm_n": [1, 2, 3, 4]}, BacktestConfig(fee_bps=10))

@@ -288,6 +288,25 @@ def test_regimes_of_a_trade_of_every_bar(spark):
     assert set(sizes.index) == {"lowvol", "midvol", "highvol"} and abs(sizes["midvol"] - sizes["highvol"]) <= 2
 
 
+def test_sweeps_over_the_whole_grid(spark):
+    """Against runs one by one: every combination, each symbol, with stops and targets."""
+    bars = catalogue._bars(spark, DATA).persist()
+    rows = []
+    for k, c in enumerate(search.expand_grid(catalogue._GRID)):
+        result = Y.EmaRibbon(**c).backtest(bars, catalogue._RISK)
+        trades = result.trades.groupBy("symbol").count().toPandas().set_index("symbol")["count"]
+        rows += [{"run_id": k, **c, "symbol": r.symbol, "num_trades": float(trades.get(r.symbol, 0)), "ret": round((r.final_cash / catalogue._RISK.initial_cash - 1) * 100, 4)} for r in result.accounts.collect()]
+    bars.unpersist()
+    want = pd.DataFrame(rows)
+    assert want["run_id"].nunique() == 12
+    best = want[want["num_trades"] >= 3].sort_values("ret", ascending=False)["ret"].head(15).tolist()
+    got = catalogue.queries()["sweep_topk_all"](spark, DATA).toPandas()
+    assert got["total_return_pct"].tolist() == pytest.approx(best, abs=2e-4) and len(got) == 15
+    table = catalogue.queries()["sweep_pivot_all"](spark, DATA).toPandas().set_index("confirm_n")
+    for (n, fast), top in want.groupby(["confirm_n", "fast"])["ret"].max().items():
+        assert table.loc[n, str(fast)] == pytest.approx(top, abs=2e-4)
+
+
 def test_every_sql_has_a_query():
     assert set(catalogue.oracle_sql()) <= set(catalogue.queries())
 
