@@ -86,7 +86,7 @@ class Model:
     prior: np.ndarray
 
     def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """The language of each text and its posterior probability, with the evidence scaled to EVIDENCE n-grams."""
+        """The language of each text by the whole posterior, and its probability with that posterior scaled to EVIDENCE n-grams."""
         if not self.langs or not texts:
             return [NONE] * len(texts), np.zeros(len(texts))
         codes, offs = _codes([t or "" for t in texts])
@@ -95,8 +95,9 @@ class Model:
         for g in grams(codes, offs):
             sums += np.add.reduceat(self.weights[g], offs[:-1], axis=0, dtype=np.float64)
             seen += np.add.reduceat((g < BUCKETS).astype(np.float64), offs[:-1])
-        logit = self.prior + sums * np.minimum(1.0, EVIDENCE / np.maximum(seen, 1))[:, None]
+        logit = self.prior + sums
         logit -= logit.max(axis=1, keepdims=True)
+        logit *= np.minimum(1.0, EVIDENCE / np.maximum(seen, 1))[:, None]  # prior and evidence alike: the order stays
         p = np.exp(logit)
         p /= p.sum(axis=1, keepdims=True)
         best = p.argmax(axis=1)
@@ -189,7 +190,12 @@ def remainder(mod: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % mod
 
 
+def learn(docs: DataFrame, mod: int = 4, held: int = 2) -> tuple[DataFrame, Model]:
+    """docs with held_out added, and a model learnt from the rows that are not held out."""
+    flagged = docs.withColumn("held_out", remainder(mod) == held)
+    return flagged, train(flagged.where("not held_out"))
+
+
 def identify(docs: DataFrame, mod: int = 4, held: int = 2) -> DataFrame:
     """docs with held_out, lang_pred and lang_score added, learnt from the rows that are not held out."""
-    flagged = docs.withColumn("held_out", remainder(mod) == held)
-    return predict(flagged, train(flagged.where("not held_out")))
+    return predict(*learn(docs, mod, held))

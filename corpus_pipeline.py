@@ -14,8 +14,8 @@ from barloom.llm.queries import piece_model
 from barloom.llm.scratch import stage
 from barloom.session import ship
 
-#: A document goes if its language cannot be told: no letter, or a posterior below this.
-LEAST_SCORE = 0.3
+#: A document goes if its language cannot be told: no letter, or a posterior below this and below LEAST_LIFT times an even share.
+LEAST_SCORE, LEAST_LIFT = 0.3, 1.2
 #: So many rows of decisions are broadcast to the documents; more are joined.
 BROADCAST_ROWS = 500_000
 
@@ -40,11 +40,18 @@ def _decided(docs: DataFrame, decisions: DataFrame, how: str) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told. Null, empty and letterless texts go; nothing else changes."""
+    """Documents whose language can be told. Null, empty and letterless texts go; nothing else changes.
+
+    Where no document has a language, nothing is learnt and all texts with a letter stay.
+    """
     ship(spark)
     clashing = [c for c in docs.columns if c.lower() in ("held_out", "lang_pred", "lang_score")]
-    told = langid.identify(docs.withColumnsRenamed({c: f"__{c}__" for c in clashing}))
-    told = told.where((F.col("lang_pred") != langid.NONE) & (F.col("lang_score") >= LEAST_SCORE))
+    flagged, model = langid.learn(docs.withColumnsRenamed({c: f"__{c}__" for c in clashing}))
+    if model.langs:
+        told = langid.predict(flagged, model)
+        told = told.where((F.col("lang_pred") != langid.NONE) & (F.col("lang_score") >= min(LEAST_SCORE, LEAST_LIFT / len(model.langs))))
+    else:
+        told = flagged.where(F.col("text").rlike(r"\p{L}"))
     return told.select(*[F.col(f"__{c}__").alias(c) if c in clashing else F.col(c) for c in docs.columns])
 
 

@@ -245,6 +245,14 @@ def test_generated_pages_come_out_right():
     assert right >= 88
 
 
+def test_long_texts_outweigh_the_prior():
+    weights = np.zeros((langid.BUCKETS + 1, 2), np.float32)
+    weights[:-1] = [-2.00, -2.05]  # the second is slightly less likely by each n-gram, but far commoner
+    model = langid.Model(["rare", "common"], weights, np.log([0.001, 0.999]))
+    told, score = model.score(["word", "word " * 200, "word " * 20_000])
+    assert told == ["common", "rare", "rare"] and (score >= 0.5).all() and (score <= 1).all()
+
+
 def test_attributes_are_read_by_exact_name():
     said = lambda attrs: [(b.text, bool(b.flags & html._BADNAME)) for b in html.blocks(f"<body><div {attrs}><p>Some text here.</p></div></body>")]
     for attrs in ('data-title="Hidden gems of Paris"', "title='the hidden truth'", "data-hidden", 'data-id="footer"', 'title="class=sidebar"', "data-x=hidden", 'data-style="display:none"', 'alt="x" title=" hidden "'):

@@ -340,6 +340,17 @@ def test_scores_without_rows_or_training(spark):
     assert (got["n_known"] == 0).all() and (got["base_score"] == 0).all()
 
 
+def test_pipeline_keeps_documents_of_unknown_and_of_many_languages(spark):
+    import corpus_pipeline
+
+    texts = [(k, f"word number {k} of many", None) for k in range(8)] + [(8, "", None), (9, "12 !", None), (10, None, None)]
+    none = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.identify_language(spark, none, DATA).collect()} == set(range(8))
+    letters = "abcdefghijklmnopqrst"
+    many = spark.createDataFrame([(100 * i + k, "na", x) for i, x in enumerate(letters) for k in range(8)] + [(100 * i + 50 + k, f"na{x}", x) for i, x in enumerate(letters) for k in range(8)], "doc_id long, text string, lang string")
+    assert corpus_pipeline.identify_language(spark, many, DATA).where("length(text) = 3").count() == 8 * len(letters)
+
+
 def test_rare_words_have_classes_of_their_own(spark):
     """Words beyond the most frequent, alike in ending and length and seen equally often, after different words."""
     r = np.random.default_rng(5)
