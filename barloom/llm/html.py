@@ -177,7 +177,7 @@ def features(b: Block, place: float) -> list[float]:
     inside = bool(b.flags & (_MAIN | _GOODNAME))
     return [
         1.0, float(np.log1p(w)) / 5, min(1.0, b.linked / n), float(bool(b.flags & _BOILER)), float(bool(b.flags & _MAIN)), float(bool(b.flags & _BADNAME)), float(bool(b.flags & _GOODNAME)), float(bool(b.flags & _REMARK)), float(bool(b.flags & _CONTROL)),
-        float(bool(b.flags & _HEADER) and not inside), float(b.tag[:1] == "h" and b.tag[1:].isdigit()), float(b.tag == "p"), float(b.tag == "li"), float(b.text[-1] in ".!?…\"”»"), float(w < 5), float(bool(_LEGAL.search(b.text if n < 400 else b.text[:200] + b.text[-200:]))), float(place > 0.9 and not inside),
+        float(bool(b.flags & _HEADER) and not inside), float(b.tag[:1] == "h" and b.tag[1:].isdigit()), float(b.tag == "p"), float(b.tag == "li"), float(b.text[-1] in ".!?…\"”»"), float(w < 5), min(1.0, 10 * len(_LEGAL.findall(b.text)) / w), float(place > 0.9 and not inside),
     ]
 
 

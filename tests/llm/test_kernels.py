@@ -262,6 +262,14 @@ def test_attributes_are_read_by_exact_name():
     assert said('data-id="x" ID=footer') == said("CLASS='a sidebar'") == [("Some text here.", True)]
 
 
+def test_legal_words_are_sought_in_the_whole_block():
+    legal = lambda t: html.features(html.Block(t, "p", 0, 0, 0, ()), 0.5)[15]
+    filler = "some plain words " * 20
+    assert legal(filler + "cookie privacy copyright " * 10 + filler) == 1.0
+    assert legal("x" * 195 + " priv" + "y" * 200 + "acy " + "x" * 196) == 0.0
+    assert 0 < legal(filler * 20 + "a cookie " + filler * 20) < 0.05 and legal(filler) == 0
+
+
 def test_logs_are_finite():
     model = brown._model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(brown.GROUPS), np.zeros(brown.GROUPS), np.zeros((brown.ALL, brown.ALL)))
     assert np.isfinite(model.transit).all() and math.isfinite(math.log10(model.emit.min()))
