@@ -266,13 +266,37 @@ def test_exact_awkward(spark):
     assert exact.dedup_exact(awkward(spark).limit(0)).count() == 0
 
 
-def test_exact_filter_passes_single_rows(spark):
+@pytest.mark.parametrize("shard_blocks", [1, 1 << 13])
+def test_exact_filter_passes_single_rows(spark, shard_blocks):
+    """Whole or in shards, the filter has every repeated digest and few others; a shard sees its own rows only."""
     rows = exact.digests(spark.read.parquet(f"{DATA}/documents.parquet"))
-    tagged = exact.split_by_filter(rows, 1 << 16, exact.repeated_words(rows, 1 << 16), small=False)
+    positions, words = exact.repeated(rows, 24), 1 << 12
+    tagged = exact.tag(rows, 24, exact.filter_blocks(positions, words), words, shard_blocks)
+    assert len(tagged) == (4 if shard_blocks == 1 else 1)
     n = {r.text_sha256: r.n for r in rows.groupBy("text_sha256").agg(F.count("*").alias("n")).collect()}
-    for r in tagged.collect():
-        assert r.maybe or n[r.text_sha256] == 1
-    assert tagged.where("maybe").count() < sum(v for v in n.values() if v > 1) + 10
+    got = [r for t in tagged for r in t.collect()]
+    assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in rows.collect())
+    assert all(r.maybe or n[r.text_sha256] == 1 for r in got)
+    assert sum(r.maybe for r in got) < sum(v for v in n.values() if v > 1) + 10
+
+
+def test_exact_is_the_same_in_shards_and_shuffles_only_what_may_repeat(spark, monkeypatch):
+    texts = [f"text number {k} {'x' * (k % 7)}" for k in range(3000)] + ["a copy of all"] * 1500 + [f"text number {k}{' ' * (k % 5)} {'x' * (k % 7)}" for k in range(0, 3000, 10)]
+    table = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(7)
+    key = lambda d: sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in d.collect())
+    want = key(exact.dedup_exact(table))
+    monkeypatch.setattr(exact, "SHARD_BLOCKS", 1)
+    monkeypatch.setattr(exact, "BITS", 1 << 10)
+    monkeypatch.setattr(exact, "BROADCAST_GROUPS", 4)
+    found = exact.dedup_exact(table)
+    assert key(found) == want
+    by_text = defaultdict(list)
+    for k, t in enumerate(texts):
+        by_text[t.replace(" ", "")].append((-len(t), k))
+    assert want == sorted((k, min(g)[1], len(g), k == min(g)[1]) for g in by_text.values() for _, k in g)
+    # the plan of the result: single rows and the hot group take no part in the one shuffled join
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan and "maybe" in plan
 
 
 # ---- 7
