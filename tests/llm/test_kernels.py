@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from html import unescape
 
 import numpy as np
@@ -234,15 +235,48 @@ def test_main_text():
 
 
 def test_generated_pages_come_out_right():
+    """Pages that the classifier was not fitted on, a third of whose parts have names that say nothing or mislead."""
     model = html.train()
     r = random.Random(77)
-    right = 0
+    right = wrong = total = 0
     for _ in range(100):
         page, good = html._page(r)
         found = html.blocks(page)
-        right += all(x == (b.text in good) for b, x in zip(found, model.label(found), strict=True))
+        off = sum(x != (b.text in good) for b, x in zip(found, model.label(found), strict=True))
+        right, wrong, total = right + (not off), wrong + off, total + len(found)
         assert unescape("&amp;") == "&"
-    assert right >= 88
+    assert right >= 75 and wrong <= 0.025 * total
+
+
+@pytest.fixture(scope="module")
+def page_model():
+    return html.train()
+
+
+SENTENCES = "All of this is part of the article. It goes on for a while, as an article should."
+
+
+@pytest.mark.parametrize(
+    ("part", "want"),
+    [
+        ('<p title="the hidden garden">{}</p>', "{}"), ("<p data-hidden>{}</p>", "{}"), ('<p data-id="nav">{}</p>', "{}"), ('<p class=x">{}</p>', "{}"), ("<p class=x'>{}</p>", "{}"), ('<p class="a>b">{}</p>', "{}"),
+        ('<p hidden="hidden">{}</p>', "{}"), ('<section class="notice-board"><p>{}</p></section>', "{}"), ('<section id="search"><p>{}</p></section>', "{}"), ("<p><math><mi>E</mi><mo>=</mo><mi>mc</mi></math> {}</p>", "E=mc {}"),
+        ("<p>{} <svg><title>no</title><text>a label</text></svg></p>", "{} a label"), ("<noscript><p>{}</p></noscript>", "{}"), ("<p><object>{}</object></p>", "{}"), ("<p><canvas>{}</canvas></p>", "{}"), ("<xmp>a <b> {}</xmp>", "a <b> {}"),
+        ("<template><p>{}</p></template>", None), ("<script>{}</script>", None), ("<textarea>{}</textarea>", None), ('<div class="ad">{}</div>', None), ('<section class="comments"><p>{}</p></section>', None),
+    ],
+)
+def test_parts_of_an_article(page_model, part, want):
+    page = f"<nav><ul><li><a href=/>Home</a><li><a href=/b>About</a></ul></nav><article><h1>A title of some words</h1><p>The first paragraph is here.</p>{part.format(SENTENCES)}<p>The last paragraph ends it.</p></article><footer>&copy; All rights reserved.</footer>"
+    middle = [] if want is None else [want.format(SENTENCES)]
+    assert html.main_text(page, page_model).split("\n") == ["A title of some words", "The first paragraph is here.", *middle, "The last paragraph ends it."]
+
+
+def test_deep_and_broken_pages_take_time_in_proportion():
+    model = html.train(20)
+    began = time.perf_counter()
+    for page in ("<div>x " * 100_000, "<div>" * 50_000 + "<li>a</li>" * 50_000, "<p" * 100_000, '<a b="' * 100_000, "<p a=b " * 100_000, "<td><div>" * 20_000, "<p>same</p>" * 30_000, "</div>" * 100_000):
+        assert isinstance(html.main_text(page, model), str)
+    assert time.perf_counter() - began < 60
 
 
 def test_long_texts_outweigh_the_prior():
@@ -254,16 +288,16 @@ def test_long_texts_outweigh_the_prior():
 
 
 def test_attributes_are_read_by_exact_name():
-    said = lambda attrs: [(b.text, bool(b.flags & html._BADNAME)) for b in html.blocks(f"<body><div {attrs}><p>Some text here.</p></div></body>")]
+    flags = lambda attrs: [b.flags & (html._BADNAME | html._HIDDEN) for b in html.blocks(f"<body><div {attrs}><p>Some text here.</p></div></body>")]
     for attrs in ('data-title="Hidden gems of Paris"', "title='the hidden truth'", "data-hidden", 'data-id="footer"', 'title="class=sidebar"', "data-x=hidden", 'data-style="display:none"', 'alt="x" title=" hidden "'):
-        assert said(attrs) == [("Some text here.", False)], attrs
-    for attrs in ("hidden", "HIDDEN", 'data-x="1" hidden', 'aria-hidden="true"', "style='display: none'", "hidden data-x=1", 'title="a"hidden'):
-        assert said(attrs) == [], attrs
-    assert said('data-id="x" ID=footer') == said("CLASS='a sidebar'") == [("Some text here.", True)]
+        assert flags(attrs) == [0], attrs
+    for attrs in ("hidden", "HIDDEN", 'hidden="hidden"', "hidden=''", 'data-x="1" hidden', 'aria-hidden="true"', "style='display: none'", "hidden data-x=1", 'title="a"hidden'):
+        assert flags(attrs) == [html._HIDDEN], attrs
+    assert flags('data-id="x" ID=footer') == flags("CLASS='a sidebar'") == [html._BADNAME]
 
 
 def test_legal_words_are_sought_in_the_whole_block():
-    legal = lambda t: html.features(html.Block(t, "p", 0, 0, 0, ()), 0.5)[15]
+    legal = lambda t: html.features(html.Block(t, "p", 0, 0, html.Node("p", 0, None)), 0.5)[15]
     filler = "some plain words " * 20
     assert legal(filler + "cookie privacy copyright " * 10 + filler) == 1.0
     assert legal("x" * 195 + " priv" + "y" * 200 + "acy " + "x" * 196) == 0.0
