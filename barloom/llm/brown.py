@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.langid import remainder
-from barloom.llm.scratch import drop, stage
+from barloom.llm.scratch import drop, stage, sum_in_tree
 from barloom.llm.text import LOWER, buffers, mix, pieces, word_hashes, words
 
 ITEMS, GROUPS, CLASSES = 1024, 64, 48
@@ -37,8 +37,8 @@ SWEEPS = 8
 CLASSES_GROW = 2.0
 #: Training tokens whose neighbours are counted at a time, and words whose classes are chosen at a time.
 CONTEXT_TOKENS, CHOICE_WORDS = 1 << 21, 4096
-#: Rows of the item bigram matrix that are summed in one group.
-BLOCK = 16
+#: Blocks that the counts of a table of bigrams are dealt to.
+BLOCKS = 61
 #: Distinct words of all batches that a bucket gets, and the least number of buckets.
 BUCKET_WORDS, LEAST_BUCKETS = 400_000, 128
 #: Text bytes in a batch.
@@ -65,15 +65,25 @@ def token_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Non-negative integers in the narrowest type that holds them; unpack by the known length."""
+    """Non-negative integers in the narrowest type that holds them, compressed; unpack by the known length."""
     top = int(x.max()) if len(x) else 0
-    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64).tobytes()
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    return bytes([width]) + pa.compress(x.astype(f"u{width}").tobytes(), "zstd", asbytes=True)
 
 
 def _unpack(raw, n: int) -> np.ndarray:
-    raw = raw.as_buffer() if hasattr(raw, "as_buffer") else raw
-    width = memoryview(raw).nbytes // n if n else 1
-    return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[width])
+    raw = memoryview(raw.as_buffer() if hasattr(raw, "as_buffer") else raw)
+    width = raw[0]
+    return np.frombuffer(pa.decompress(raw[1:], n * width, "zstd"), f"u{width}") if n else np.zeros(0, np.uint8)
+
+
+def _pack_words(u: np.ndarray) -> bytes:
+    """Ascending hashes as their differences, compressed."""
+    return _pack(np.diff(u, prepend=np.uint64(0)))
+
+
+def _unpack_words(raw, n: int) -> np.ndarray:
+    return np.cumsum(_unpack(raw, n), dtype=np.uint64)
 
 
 _TOKENS = "batch long, doc_ids array<long>, held array<boolean>, sizes array<int>, n_words int, place binary, words binary, learn binary"
@@ -90,7 +100,7 @@ def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             taught = np.repeat(~np.asarray(held.to_pylist(), bool), size)
             u, back = np.unique(h, return_inverse=True)
             learn = np.bincount(back[taught], minlength=len(u))
-            yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + serial], pa.int64()), pa.array([batch.column(0).slice(i, j - i).to_pylist()], pa.list_(pa.int64())), pa.array([held.to_pylist()], pa.list_(pa.bool_())), pa.array([size.astype(np.int32)], pa.list_(pa.int32())), pa.array([len(u)], pa.int32()), pa.array([_pack(back)], pa.binary()), pa.array([u.tobytes()], pa.binary()), pa.array([_pack(learn)], pa.binary())], ["batch", "doc_ids", "held", "sizes", "n_words", "place", "words", "learn"])
+            yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + serial], pa.int64()), pa.array([batch.column(0).slice(i, j - i).to_pylist()], pa.list_(pa.int64())), pa.array([held.to_pylist()], pa.list_(pa.bool_())), pa.array([size.astype(np.int32)], pa.list_(pa.int32())), pa.array([len(u)], pa.int32()), pa.array([_pack(back)], pa.binary()), pa.array([_pack_words(u)], pa.binary()), pa.array([_pack(learn)], pa.binary())], ["batch", "doc_ids", "held", "sizes", "n_words", "place", "words", "learn"])
             serial += 1
 
 
@@ -99,16 +109,16 @@ def _slices(bits: int):
         edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
         for batch in batches:
             for r in range(batch.num_rows):
-                u = np.frombuffer(batch.column(1)[r].as_buffer(), np.uint64)
-                learn = _unpack(batch.column(2)[r], len(u))
+                n = batch.column(3)[r].as_py()
+                u, learn = _unpack_words(batch.column(1)[r], n), _unpack(batch.column(2)[r], n)
                 cuts = np.concatenate([[0], np.searchsorted(u, edges), [len(u)]])
                 full = np.flatnonzero(np.diff(cuts))
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([batch.column(0)[r].as_py()] * len(full), pa.int64()), pa.array([u[cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary()), pa.array([_pack(learn[cuts[k] : cuts[k + 1]]) for k in full], pa.binary())], ["bucket", "batch", "words", "learn"])
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([batch.column(0)[r].as_py()] * len(full), pa.int64()), pa.array([_pack_words(u[cuts[k] : cuts[k + 1]]) for k in full], pa.binary()), pa.array([_pack(learn[cuts[k] : cuts[k + 1]]) for k in full], pa.binary()), pa.array(np.diff(cuts)[full].astype(np.int32))], ["bucket", "batch", "words", "learn", "size"])
 
     return run
 
 
-_MERGED = "kind string, bucket int, batches array<long>, sizes array<int>, words binary, place binary, counts binary, word long, n long, v long"
+_MERGED = "kind string, bucket int, batches array<long>, sizes array<int>, size int, words binary, place binary, counts binary, word long, n long, v long"
 
 
 def _steps(place: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -127,7 +137,7 @@ def _places(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def _merge(table: pa.Table) -> pa.Table:
     """Of one bucket: its words with their counts and their places in every batch's slice, the most frequent words, and sums by group of words."""
     bucket = table.column("bucket")[0].as_py()
-    rows = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("words")]
+    rows = [_unpack_words(x, n) for x, n in zip(table.column("words"), table.column("size").to_pylist(), strict=True)]
     learn = np.concatenate([_unpack(x, len(w)) for x, w in zip(table.column("learn"), rows, strict=True)]).astype(np.float64)
     u, back = np.unique(np.concatenate(rows), return_inverse=True)
     count = np.bincount(back, learn, len(u)).astype(np.int64)
@@ -144,7 +154,8 @@ def _merge(table: pa.Table) -> pa.Table:
         "bucket": pa.array([bucket] * (1 + m + GROUPS), pa.int32()),
         "batches": pa.array([table.column("batch").to_pylist(), *none], pa.list_(pa.int64())),
         "sizes": pa.array([sizes.tolist(), *none], pa.list_(pa.int32())),
-        "words": pa.array([u.tobytes(), *none], pa.binary()),
+        "size": pa.array([len(u)] + [0] * (m + GROUPS), pa.int32()),
+        "words": pa.array([_pack_words(u), *none], pa.binary()),
         "place": pa.array([_pack(_steps(back, sizes)), *none], pa.binary()),
         "counts": pa.array([_pack(count), *none], pa.binary()),
         "word": pa.array([None, *u[best].view(np.int64).tolist(), *range(GROUPS)], pa.int64()),
@@ -162,7 +173,7 @@ def _items(u: np.ndarray, top: np.ndarray) -> np.ndarray:
     return item
 
 
-_PAIRS = "block int, pairs binary, counts binary"
+_PAIRS = "block int, task long, size int, pairs binary, counts binary"
 
 
 def _tokens(row: dict, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -194,35 +205,38 @@ def _bigrams(m: int, items_of):
         if held_back:
             total += np.bincount(np.concatenate(held_back), minlength=m * m)
         pair = np.flatnonzero(total)
-        cuts = np.searchsorted(pair, np.arange(0, m + BLOCK, BLOCK) * m)
-        full = np.flatnonzero(np.diff(cuts))
-        parts = [pair[cuts[k] : cuts[k + 1]] for k in full]
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([p.astype(np.uint32).tobytes() for p in parts], pa.binary()), pa.array([total[p].tobytes() for p in parts], pa.binary())], ["block", "pairs", "counts"])
+        yield from _parts(pair, total[pair], TaskContext.get().partitionId())
 
     return run
 
 
-def _add_pairs(m: int):
-    def run(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
-        base = block * BLOCK * m
-        total = np.zeros(BLOCK * m, np.int64)
-        for p, c in zip(table.column("pairs"), table.column("counts"), strict=True):
-            total[np.frombuffer(p.as_buffer(), np.uint32).astype(np.int64) - base] += np.frombuffer(c.as_buffer(), np.int64)
-        pair = np.flatnonzero(total)
-        return pa.table({"block": pa.array([block], pa.int32()), "pairs": pa.array([(pair + base).astype(np.uint32).tobytes()], pa.binary()), "counts": pa.array([total[pair].tobytes()], pa.binary())})
+def _parts(pair: np.ndarray, count: np.ndarray, task: int) -> Iterator[pa.RecordBatch]:
+    """Counts of pairs dealt to BLOCKS blocks, so that frequent pairs are spread; within one they are ascending."""
+    order = np.argsort(pair % BLOCKS, kind="stable")
+    cuts = np.searchsorted((pair % BLOCKS)[order], np.arange(BLOCKS + 1))
+    full = np.flatnonzero(np.diff(cuts))
+    own = [order[cuts[b] : cuts[b + 1]] for b in full]
+    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([task] * len(full), pa.int64()), pa.array([len(x) for x in own], pa.int32()), pa.array([_pack(np.diff(pair[x], prepend=0)) for x in own], pa.binary()), pa.array([_pack(count[x]) for x in own], pa.binary())], ["block", "task", "size", "pairs", "counts"])
 
-    return run
+
+def _add_pairs(table: pa.Table) -> pa.Table:
+    """The sum of partial counts of one block."""
+    pairs, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for n, p, c in zip(table.column("size").to_pylist(), table.column("pairs"), table.column("counts"), strict=True):
+        pairs, back = np.unique(np.concatenate([pairs, np.cumsum(_unpack(p, n), dtype=np.int64)]), return_inverse=True)
+        counts = np.bincount(back, np.concatenate([counts, _unpack(c, n)]).astype(float), len(pairs)).astype(np.int64)
+    return pa.table({"block": table.column("block").slice(0, 1), "task": table.column("task").slice(0, 1), "size": pa.array([len(pairs)], pa.int32()), "pairs": pa.array([_pack(np.diff(pairs, prepend=0))], pa.binary()), "counts": pa.array([_pack(counts)], pa.binary())})
 
 
 def _pair_table(rows: DataFrame, m: int, items_of) -> np.ndarray:
     out = np.zeros(m * m)
-    for r in rows.mapInArrow(_bigrams(m, items_of), _PAIRS).groupBy("block").applyInArrow(_add_pairs(m), _PAIRS).collect():
-        out[np.frombuffer(r.pairs, np.uint32)] = np.frombuffer(r.counts, np.int64)
+    parts = rows.mapInArrow(_bigrams(m, items_of), _PAIRS)
+    for r in sum_in_tree(parts, ["block"], "task", _add_pairs, _PAIRS).collect():  # BLOCKS rows, m * m counts at most
+        out[np.cumsum(_unpack(r.pairs, r.size), dtype=np.int64)] = _unpack(r.counts, r.size)
     return out.reshape(m, m)
 
 
-_CONTEXTS = "bucket int, words binary, sizes binary, features binary, counts binary"
+_CONTEXTS = "bucket int, n_words int, n_features int, words binary, sizes binary, features binary, counts binary"
 
 
 def _contexts(seeds, bits: int):
@@ -243,11 +257,15 @@ def _contexts(seeds, bits: int):
             inside = np.searchsorted(word, at)
             size = np.bincount(word, minlength=len(u))
             full = np.flatnonzero(np.diff(inside))
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([u[at[b] : at[b + 1]].tobytes() for b in full], pa.binary()), pa.array([_pack(size[at[b] : at[b + 1]]) for b in full], pa.binary()), pa.array([feature[inside[b] : inside[b + 1]].tobytes() for b in full], pa.binary()), pa.array([_pack(count[inside[b] : inside[b + 1]]) for b in full], pa.binary())], ["bucket", "words", "sizes", "features", "counts"])
+            words_of, features_of = [slice(at[b], at[b + 1]) for b in full], [slice(inside[b], inside[b + 1]) for b in full]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(full, pa.int32()), pa.array(np.diff(at)[full].astype(np.int32)), pa.array(np.diff(inside)[full].astype(np.int32)),
+                pa.array([_pack_words(u[x]) for x in words_of], pa.binary()), pa.array([_pack(size[x]) for x in words_of], pa.binary()), pa.array([_pack(feature[x]) for x in features_of], pa.binary()), pa.array([_pack(count[x]) for x in features_of], pa.binary()),
+            ], ["bucket", "n_words", "n_features", "words", "sizes", "features", "counts"])
 
         for batch in batches:
             for row in batch.to_pylist():
-                u = np.frombuffer(row["words"], np.uint64)
+                u = _unpack_words(row["words"], row["n_words"])
                 item = _items(u, top)
                 place, now, before = _tokens(row, cls[item])
                 taught = np.repeat(~np.asarray(row["held"], bool), row["sizes"])
@@ -277,15 +295,15 @@ def _choose(seeds, affinity):
         top, seed, k = seeds.value
         likes: np.ndarray = affinity.value
         row = bucket.to_pylist()[0]
-        u = np.frombuffer(row["words"], np.uint64)
+        u = _unpack_words(row["words"], row["size"])
         count = _unpack(row["counts"], len(u)).astype(np.int64)
         cls = seed[_items(u, top)].astype(np.uint16)
-        word, feature, times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        word, feature, times = [np.zeros(0, np.int32)], [np.zeros(0, np.uint16)], [np.zeros(0, np.uint32)]
         for r in contexts.to_pylist():
-            w = np.frombuffer(r["words"], np.uint64)
-            word.append(np.repeat(np.searchsorted(u, w), _unpack(r["sizes"], len(w))))
-            feature.append(np.frombuffer(r["features"], np.uint16).astype(np.int64))
-            times.append(_unpack(r["counts"], len(feature[-1])).astype(np.int64))
+            w = _unpack_words(r["words"], r["n_words"])
+            word.append(np.repeat(np.searchsorted(u, w), _unpack(r["sizes"], len(w))).astype(np.int32))
+            feature.append(_unpack(r["features"], r["n_features"]).astype(np.uint16))
+            times.append(_unpack(r["counts"], r["n_features"]).astype(np.uint32))
         word, feature, times = np.concatenate(word), np.concatenate(feature), np.concatenate(times)
         order = np.argsort(word, kind="stable")
         word, feature, times = word[order], feature[order], times[order]
@@ -464,21 +482,21 @@ def score_texts(docs: DataFrame, mod: int = 10, held: int = 0) -> DataFrame:
     tokens = stage(rows.mapInArrow(_tokenise, _TOKENS), "tokens")
     entries = tokens.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     bits = (max(LEAST_BUCKETS, -(-entries // BUCKET_WORDS)) - 1).bit_length()
-    merged = stage(tokens.select("batch", "words", "learn").mapInArrow(_slices(bits), "bucket int, batch long, words binary, learn binary").groupBy("bucket").applyInArrow(_merge, _MERGED), "counts")
+    merged = stage(tokens.select("batch", "words", "learn", "n_words").mapInArrow(_slices(bits), "bucket int, batch long, words binary, learn binary, size int").groupBy("bucket").applyInArrow(_merge, _MERGED), "counts")
     best = merged.where("kind = 'word'").select("word", "n").orderBy(F.desc("n"), "word").limit(ITEMS).collect()
     pairs = sorted((r.word & (1 << 64) - 1, r.n) for r in best)
     top, top_n = np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs], np.float64)
     group_n, group_v = np.zeros(GROUPS), np.zeros(GROUPS)
     for r in merged.where("kind = 'group'").groupBy("word").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
         group_n[r.word], group_v[r.word] = r.n, r.v
-    bigrams = _pair_table(tokens, ALL, lambda row: _items(np.frombuffer(row["words"], np.uint64), top))
+    bigrams = _pair_table(tokens, ALL, lambda row: _items(_unpack_words(row["words"], row["n_words"]), top))
     first = _model(top, top_n, group_n, group_v, bigrams)
     k = len(first.transit)
     member = np.eye(k)[first.classes]
     seeds = spark.sparkContext.broadcast((top, first.classes, k))
     likes = spark.sparkContext.broadcast(_affinity(member.T @ bigrams @ member))
     contexts = tokens.mapInArrow(_contexts(seeds, bits), _CONTEXTS)
-    buckets = merged.where("kind = 'bucket'").select("bucket", "batches", "sizes", "words", "place", "counts")
+    buckets = merged.where("kind = 'bucket'").select("bucket", "batches", "sizes", "size", "words", "place", "counts")
     classed = stage(buckets.groupBy("bucket").cogroup(contexts.groupBy("bucket")).applyInArrow(_choose(seeds, likes), _CLASSED), "classes")
     drop(merged)
     n, v = np.zeros(k), np.zeros(k)

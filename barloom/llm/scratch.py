@@ -12,9 +12,14 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Partial sums that are added up in one group.
+FAN = 64
 _OWN: list[str] = []
 _STAGED: list[tuple[SparkSession, str]] = []
 
@@ -68,3 +73,23 @@ def drop(df: DataFrame) -> None:
     if path:
         _delete(df.sparkSession, path)
         _STAGED[:] = [x for x in _STAGED if x[1] != path]
+
+
+def sum_in_tree(parts: DataFrame, keys: list[str], task: str, add: Callable[[pa.Table], pa.Table], schema: str, fan: int | None = None) -> DataFrame:
+    """One row for each value of keys: add() of the partial sums that tasks have made of it, at most FAN of them at a time.
+
+    parts has a column with the number of the task that made a row; add() makes one such row of several with
+    the same keys. So no group grows with the number of tasks.
+    """
+    fan = fan or FAN
+    parts = stage(parts, "parts")
+    top = parts.agg(F.coalesce(F.max(task), F.lit(0))).first()[0] + 1
+    while top > fan:
+        # a task's number becomes that of the group it is in
+        level = parts.withColumn(task, F.expr(f"{task} div {fan}")).groupBy(*keys, task).applyInArrow(add, schema)
+        level = stage(level, "parts")
+        drop(parts)
+        parts, top = level, -(-top // fan)
+    out = stage(parts.groupBy(*keys).applyInArrow(add, schema), "sums")
+    drop(parts)
+    return out
