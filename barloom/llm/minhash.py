@@ -17,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.components import connected_components
-from barloom.llm.scratch import stage
+from barloom.llm.scratch import drop, stage, sum_in_tree
 from barloom.llm.text import buffers, mix, pieces, shingles, word_hashes, words
 
 #: A pair at similarity 0.85 shares no band with a probability of (1 - 0.85**5)**30 = 2e-8, at 0.8 of 1e-5.
@@ -165,16 +166,21 @@ def _count_members(counters: int):
         cuts = np.searchsorted(hits, np.arange(0, counters + BLOCK, BLOCK))
         full = np.flatnonzero(np.diff(cuts))
         spans = [slice(cuts[k], cuts[k + 1]) for k in full]
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([(hits[s] % BLOCK).astype(np.uint32).tobytes() for s in spans], pa.binary()), pa.array([counts[s].astype(np.uint32).tobytes() for s in spans], pa.binary())], ["block", "slots", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([TaskContext.get().partitionId()] * len(full), pa.int64()), pa.array([(hits[s] % BLOCK).astype(np.uint32).tobytes() for s in spans], pa.binary()), pa.array([counts[s].astype(np.uint32).tobytes() for s in spans], pa.binary())], ["block", "task", "slots", "counts"])
 
     return run
 
 
+_COUNTS = "block int, task long, slots binary, counts binary"
+
+
 def _add_counts(table: pa.Table) -> pa.Table:
+    """The sum of partial counts of one block of counters; 65535 stands for more."""
     total = np.zeros(BLOCK, np.int64)
     for p, c in zip(table.column("slots"), table.column("counts"), strict=True):
         total[np.frombuffer(p.as_buffer(), np.uint32)] += np.frombuffer(c.as_buffer(), np.uint32)
-    return pa.table({"block": table.column("block").slice(0, 1), "counts": pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()], pa.binary())})
+    slots = np.flatnonzero(total)
+    return pa.table({"block": table.column("block").slice(0, 1), "task": table.column("task").slice(0, 1), "slots": pa.array([slots.astype(np.uint32).tobytes()], pa.binary()), "counts": pa.array([np.minimum(total[slots], 65535).astype(np.uint32).tobytes()], pa.binary())})
 
 
 def _prefixes(shared, num: int, den: int):
@@ -214,8 +220,8 @@ def _by_prefix(sets: DataFrame, found: DataFrame, num: int, den: int) -> DataFra
     members = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     counters = min(MOST_COUNTERS, max(FEWEST_COUNTERS, 1 << (members // 4).bit_length()))
     often = np.ones(counters, np.uint16)
-    for r in sets.select("members").mapInArrow(_count_members(counters), "block int, slots binary, counts binary").groupBy("block").applyInArrow(_add_counts, "block int, counts binary").collect():
-        often[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, np.uint16)
+    for r in sum_in_tree(sets.select("members").mapInArrow(_count_members(counters), _COUNTS), ["block"], "task", _add_counts, _COUNTS).collect():  # at most all counters
+        often[r.block * BLOCK + np.frombuffer(r.slots, np.uint32).astype(np.int64)] = np.frombuffer(r.counts, np.uint32)
     shared = sets.sparkSession.sparkContext.broadcast(often)
     rows = sets.select("doc_id", "members", "n").mapInArrow(_prefixes(shared, num, den), "doc_id long, member long, place int, n int, " + ", ".join(f"m{k} long" for k in range(MAPS)))
     rows = rows.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")

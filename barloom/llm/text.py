@@ -1,7 +1,8 @@
 """Batch text kernels: words, hashes and n-grams of many documents at once in numpy.
 
 Texts arrive as Arrow string arrays; a batch is worked through in pieces of bounded size, so memory
-does not depend on how Spark cuts its batches. A single document is never split.
+does not depend on how Spark cuts its batches. A longer document is a piece of its own; its words are hashed
+in chunks, so that what it needs beyond its own bytes is a few numbers a word.
 """
 
 from __future__ import annotations
@@ -96,13 +97,26 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def chunks(starts: np.ndarray, ends: np.ndarray, most: int = PIECE) -> Iterator[tuple[int, int]]:
+    """Ranges of words whose bytes span at most that many, at least one word each."""
+    i, n = 0, len(starts)
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + most, "right")))
+        yield i, j
+        i = j
+
+
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the words with A-Z lower-cased; equal words hash alike wherever they stand."""
-    up, down = _POWERS.need(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_TABLE[LOWER[buf]] * up[: len(buf)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    out = np.empty(len(starts), np.uint64)
+    for i, j in chunks(starts, ends):
+        a, b = starts[i], ends[j - 1]
+        up, down = _POWERS.need(b - a + 1)
+        sums = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(_TABLE[LOWER[buf[a:b]]] * up[: b - a], out=sums[1:])
+        h = (sums[ends[i:j] - a] - sums[starts[i:j] - a]) * down[starts[i:j] - a]
+        out[i:j] = mix(h + (ends[i:j] - starts[i:j]).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return out
 
 
 def shingles(h: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
