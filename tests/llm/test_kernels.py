@@ -4,6 +4,8 @@ import math
 import random
 import re
 import time
+import tracemalloc
+from collections import Counter
 from html import unescape
 
 import numpy as np
@@ -115,16 +117,75 @@ def test_piece_table_starts_anew(model_file, monkeypatch):
         assert codec.run([t])[0].tolist() == codec.sp.encode(t)
 
 
-def test_language_model_by_hand():
-    rows = pa.record_batch({"text": ["abab", "ABA", "xyxy"], "lang": ["a", "a", "x"]})
-    counted = list(langid._count(iter([rows])))
-    total = sum(int(np.frombuffer(b.as_buffer(), np.int64).sum()) for batch in counted for b in batch.column(3))
-    grams_of = lambda n: sum(min(k, n + 2) + 0 for k in [0]) + (n + 2) * 3 - 3 - sum(1 for _ in range(2))
-    assert total == sum(grams_of(n) for n in (4, 3, 4))
-    codes, offs = langid._codes(["Ab1", ""])
-    assert codes.tolist() == [32, 97, 98, 32, 32, 32, 32] and offs.tolist() == [0, 5, 7]
-    for g in langid.grams(codes, offs):
-        assert (g[offs[1] :] == langid.BUCKETS).all()
+def gram_counts(t):
+    """The hashed 1- to 3-grams of a text's letters, one by one."""
+    t = [ord(c.lower()[0]) if c.isalpha() else 32 for c in f" {t or ''} "]
+    out = Counter()
+    for n in (1, 2, 3):
+        for k in range(len(t) - n + 1):
+            if any(c != 32 for c in t[k : k + n]):
+                h = n * 0x27D4EB2F & 0xFFFFFFFF
+                for c, m in zip(t[k : k + n], (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35), strict=False):
+                    h ^= c * m & 0xFFFFFFFF
+                    h = ((h << 13 | h >> 19) & 0xFFFFFFFF) * 5 + 0xE6546B64 & 0xFFFFFFFF
+                out[(h * 0x2C1B3C6D & 0xFFFFFFFF) >> 16] += 1
+    return out
+
+
+def language_by_force(train, ts):
+    """Multinomial naive Bayes over those counts: the language and the scaled score of each text."""
+    langs = sorted({x for _, x in train if x is not None})
+    counts = {x: sum((gram_counts(t) for t, y in train if y == x), Counter()) for x in langs}
+    docs, totals = Counter(x for _, x in train if x is not None), {x: counts[x].total() for x in langs}
+    out = []
+    for t in ts:
+        own = gram_counts(t)
+        logit = {x: math.log(docs[x] / docs.total()) + sum(n * math.log((counts[x][g] + 0.5) / (totals[x] + 0.5 * 65536)) for g, n in own.items()) for x in langs}
+        top = max(logit.values())
+        scale = min(1, 60 / max(1, own.total()))
+        best = max(langs, key=logit.get)
+        out.append((best, 1 / sum(math.exp((v - top) * scale) for v in logit.values())) if any(c.isalpha() for c in t or "") else ("und", 0.0))
+    return out
+
+
+def language_model(train):
+    rows = pa.record_batch({"text": pa.array([t for t, _ in train], pa.string()), "lang": pa.array([x for _, x in train], pa.string())})
+    langs = sorted({x for _, x in train})
+    counts, docs = np.zeros((len(langs), langid.BUCKETS)), Counter(x for _, x in train)
+    for batch in langid._count(iter([rows])):
+        for r in batch.to_pylist():
+            step = langid.BUCKETS // langid.SHARDS
+            counts[langs.index(r["lang"]), r["shard"] * step : (r["shard"] + 1) * step] += np.frombuffer(r["counts"], np.int64)
+    weights = np.zeros((langid.BUCKETS + 1, len(langs)), np.float32)
+    weights[:-1] = (np.log(counts + 0.5) - np.log(counts.sum(axis=1, keepdims=True) + 0.5 * langid.BUCKETS)).T
+    return langid.Model(langs, weights, np.log([docs[x] / len(train) for x in langs]))
+
+
+@pytest.mark.parametrize("part", [1, 2, 3, 7, 1 << 18])
+def test_languages_by_force(monkeypatch, part):
+    """Whatever the parts that texts are cut into, counts, languages and scores are those of whole texts."""
+    monkeypatch.setattr(langid, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda s: 3})())}))
+    monkeypatch.setattr(langid, "PART", part)
+    monkeypatch.setattr(langid, "CELLS", 64)
+    train = [("the cat and the dog", "en"), ("der Hund und die Katze", "de"), ("le chat et le chien noir", "fr"), ("And THE one", "en"), (None, "fr"), ("Ünd dér ßtraße", "de")]
+    ts = ["the dog", "die Hunde", None, "", " ", "12 !?", "a", "x" * 50, "le chien et le chat " * 40, "b", "é1 à", "und the et", "the " * 9]
+    model = language_model(train)
+    assert {x: int(gram_counts(t).total()) for t, x in train[:1]} == {"en": 3 * 21 - 3 - 6}
+    told, score = model.score(ts)
+    want = language_by_force(train, ts)
+    assert told == [w[0] for w in want]
+    assert score == pytest.approx([w[1] for w in want], abs=1e-5)
+
+
+def test_long_texts_need_bounded_memory():
+    """What 20 languages need for 20 million letters is far below letters times languages."""
+    model = langid.Model([f"l{k:02d}" for k in range(20)], np.zeros((langid.BUCKETS + 1, 20), np.float32), np.zeros(20))
+    long = "some words of it " * 1_200_000
+    tracemalloc.start()
+    model.score([long, "short"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
 
 
 def test_toxic_words_and_their_kin():
@@ -141,8 +202,42 @@ def test_toxic_words_and_their_kin():
     assert score("ab cd zqrkuxi ef") > 3 * score("ab cd mona ef")
     assert 0 <= score("") <= 1
     assert score(" ".join(clean[:20]) + " wvvox " + " ".join(clean[20:40])) > 0.5
-    best, at = toxicity.best_spans(np.array([0.0, 3.0, 1.0, -1.0]), np.array([0, 3, 3, 4]))
-    assert best.tolist() == [3.0, 0.0, -1.0] and at.tolist() == [1, 0, 3]
+    best, at = toxicity.best_spans(np.array([0.0, 3.0, 3.0, -1.0]), np.array([0, 3, 3, 4]))
+    assert best.tolist() == [3.0, 0.0, -1.0] and at.tolist() == [1, 0, 3]  # the first of equal runs
+
+
+def toxicity_by_force(model, t):
+    """Word by word, n-gram by n-gram."""
+    full, shift = (1 << 64) - 1, 64 - toxicity.BUCKETS.bit_length() + 1
+    row = lambda h: int(text.mix(np.array([h & full], np.uint64))[0]) >> shift
+    scores = []
+    for w in WORD.findall((t or "").encode()):
+        w = bytes(c + 32 if 65 <= c <= 90 else c for c in w)
+        padded, values = b" " + w + b" ", []
+        for n in range(toxicity.SHORTEST, toxicity.LONGEST + 1):
+            for k in range(len(padded) - n + 1):
+                h = 0
+                for c in padded[k : k + n]:
+                    h = (h * 0x100000001B3 + c) & full
+                values.append(model.table[row(h + n)])
+        own = text.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))
+        values.append(model.table[row(int(own[0]) + 99)])
+        scores.append(np.mean(values, dtype=float))
+    width = min(toxicity.SPAN, len(scores))
+    runs = [np.mean(scores[k : k + width]) for k in range(len(scores) - width + 1)] if scores else [0]
+    z = model.bias + (model.weights[0] * np.mean(scores) + model.weights[1] * max(runs) if scores else 0)
+    return 1 / (1 + math.exp(-(model.slope * z + model.shift)))
+
+
+@pytest.mark.parametrize(("span", "chunk"), [(1, 1 << 20), (1, 1), (2, 9), (5, 30)])
+def test_toxicity_by_force(monkeypatch, span, chunk):
+    monkeypatch.setattr(toxicity, "SPAN", span)
+    monkeypatch.setattr(toxicity, "CHUNK", chunk)
+    r = np.random.default_rng(8)
+    model = toxicity.Model(r.normal(0, 1, toxicity.BUCKETS).astype(np.float32), -0.3, (1.5, 0.7), 0.8, 0.1)
+    ts = ["", "a", "A bc", "One two\tthree  four", "été à 日本 x", None, " ", "w" * 40, "the same the same the same", "x\x0by"]
+    got = model.scores(*text.buffers(pa.array(ts, pa.string())))
+    assert got == pytest.approx([toxicity_by_force(model, t) for t in ts], abs=1e-6)
 
 
 def test_constant_toxicity_models():

@@ -13,8 +13,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from barloom.llm import brown, embeddings, exact, html, langid, minhash, mixing, pieces, pii, queries, toxicity
+from barloom.llm import brown, embeddings, exact, html, langid, minhash, mixing, pieces, pii, queries, scratch, toxicity
 from barloom.llm.components import connected_components
+from tests.llm.test_kernels import language_by_force
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -208,6 +209,29 @@ def test_language(spark, docs):
     assert {r.lang_pred for r in langid.identify(blank).collect()} == {"und"}
 
 
+def test_language_by_force(spark, docs):
+    """The query's results are those of naive Bayes counted one n-gram at a time."""
+    got = {r.doc_id: r for r in queries.op4_langid(spark, DATA).collect()}
+    train = [(r.text, r.lang) for r in docs.itertuples() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    some = docs[docs["text"].str.len() < 4000]
+    want = language_by_force([(t, x if isinstance(x, str) else None) for t, x in train], some["text"].tolist())
+    for d, (lang, score) in zip(some["doc_id"], want, strict=True):
+        assert got[d].lang_pred == lang and got[d].score == pytest.approx(score, abs=1e-4)
+
+
+def test_sums_in_a_tree(spark, docs, monkeypatch):
+    """Partial sums of many tasks are added two at a time, and come to the same."""
+    table = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
+    key = lambda d: sorted(map(str, d.collect()))
+    want = [key(langid.identify(table)), key(brown.score_texts(table)), key(minhash.near_duplicates(table))]
+    monkeypatch.setattr(scratch, "FAN", 2)
+    cut = table.repartition(9)
+    assert key(langid.identify(cut)) == want[0]
+    tidy = lambda rows: [re.sub(r"score=(-?[\d.]+)", lambda m: f"{float(m[1]):.6g}", r) for r in rows]
+    assert tidy(key(brown.score_texts(cut))) == tidy(want[1])
+    assert key(minhash.near_duplicates(cut)) == want[2]
+
+
 def test_language_ignores_its_inputs_order(spark):
     a = langid.identify(awkward(spark)).select("text", "lang_pred", "lang_score")
     b = langid.identify(awkward(spark).repartition(7).withColumn("source", F.lit("z"))).select("text", "lang_pred", "lang_score")
@@ -317,6 +341,13 @@ def test_toxicity(spark):
     assert toxicity.rate(awkward(spark), labels.limit(0)).count() == 16
 
 
+def test_toxicity_labels_that_repeat(spark):
+    """The worst of a document's labels counts; null ids and labels teach nothing; repeated ids are one document."""
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (3, "d"), (None, "e"), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, None), (3, 0), (3, 0), (None, 1), (4, 0), (9, 1)], "doc_id long, toxic int")
+    assert sorted(map(tuple, toxicity.sample(docs, labels).collect()), key=str) == [("a", 1), ("d", 0), (None, 0)]
+
+
 # ---- 8
 
 
