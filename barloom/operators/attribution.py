@@ -9,6 +9,7 @@ from barloom.functions.columns import KEY, bars_window
 from barloom.functions.indicators import add_atr, add_ema
 from barloom.functions.time_filters import SESSIONS, local_time
 from barloom.operators.statistics import trade_stats
+from barloom.staging import stage
 
 #: The names of the days.
 DAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
@@ -56,7 +57,7 @@ def by_regime(trades: DataFrame, bars: DataFrame, ema_period: int = 200, atr_per
         raise ValueError("vol_buckets must be 1, 2 or 3")
     seen = add_atr(add_ema(bars, ema_period, out="_mean"), atr_period, "_range")
     seen = seen.select(KEY, (F.row_number().over(bars_window()) - 1).alias("entry_i"), (F.coalesce(F.col("close") >= F.col("_mean"), F.lit(False))).alias("_up"), (F.col("_range") / F.col("close")).alias("_vol"))
-    at = trades.join(seen, [KEY, "entry_i"], "left")
+    at = stage(trades.join(seen, [KEY, "entry_i"], "left").select("pnl", "_up", "_vol"), "regimes")  # read twice below
     # one row: the edges of the buckets, exact quantiles
     edges = at.agg(F.percentile("_vol", [k / vol_buckets for k in range(vol_buckets + 1)]).alias("_q"), F.count("_vol").alias("_n"))
     at = at.crossJoin(F.broadcast(edges)).withColumn("_e", F.array_distinct("_q"))

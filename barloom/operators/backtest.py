@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,7 @@ from barloom.functions.columns import KEY, TIME
 from barloom.operators.config import BacktestConfig
 from barloom.operators.fold import fold_sorted
 from barloom.operators.simulator import Simulation, Trade
+from barloom.staging import drop, stage
 
 SIGNALS = ("entry_long", "exit_long", "entry_short", "exit_short")
 RUN = "run_id"
@@ -33,14 +34,36 @@ def _schema(parts: list[tuple[str, str]]) -> str:
     return ", ".join(f"{c} {t}" for c, t in [(RUN, "long"), (KEY, "string"), *parts])
 
 
-@dataclass
 class SimResult:
-    """Lazy tables of a backtest: trades, the equity curve, and one row of final cash a run and symbol."""
+    """Tables of a backtest: trades, the equity curve, and one row of final cash a run and symbol.
 
-    trades: DataFrame
-    equity: DataFrame
-    accounts: DataFrame
-    cfg: BacktestConfig
+    The simulation runs when the first of them is asked for, once, and is staged in the shared folder by kind
+    of row; all three are read from there.
+    """
+
+    def __init__(self, made: DataFrame, cfg: BacktestConfig) -> None:
+        self._made, self.cfg = made, cfg
+
+    @cached_property
+    def _rows(self) -> DataFrame:
+        return stage(self._made, "backtest", by="kind")
+
+    @property
+    def trades(self) -> DataFrame:
+        return self._rows.where("kind = 'trade'").select(RUN, KEY, *TRADE_COLUMNS)
+
+    @property
+    def equity(self) -> DataFrame:
+        return self._rows.where("kind = 'equity'").select(RUN, KEY, F.col("entry_time").alias("t"), "equity", "open_trades", "drawdown")
+
+    @property
+    def accounts(self) -> DataFrame:
+        return self._rows.where("kind = 'account'").select(RUN, KEY, F.col("equity").alias("final_cash"), F.col("open_trades").alias("n_bars"), F.lit(float(self.cfg.initial_cash)).alias("initial_cash"))
+
+    def drop(self) -> None:
+        """Delete the staged rows, when nothing will read them any more."""
+        if "_rows" in self.__dict__:
+            drop(self._rows)
 
 
 def _arrays(pdf: pd.DataFrame, cfg: BacktestConfig, price: str) -> dict[str, np.ndarray]:
@@ -185,13 +208,7 @@ def run_backtest(signals: DataFrame, cfg: BacktestConfig, price: str = "close")
     table = signals.select(*needed)
     table = table.withColumn(RUN, F.col(RUN).cast("long") if RUN in needed else F.lit(0).cast("long"))
     schema = _schema([("kind", "string"), *_TRADE, ("equity", "double"), ("open_trades", "long"), ("drawdown", "double")])
-    made = fold_sorted(table, [RUN, KEY], [TIME], _run(cfg, price), schema)
-    return SimResult(
-        made.where("kind = 'trade'").select(RUN, KEY, *TRADE_COLUMNS),
-        made.where("kind = 'equity'").select(RUN, KEY, F.col("entry_time").alias("t"), "equity", "open_trades", "drawdown"),
-        made.where("kind = 'account'").select(RUN, KEY, F.col("equity").alias("final_cash"), F.col("open_trades").alias("n_bars"), F.lit(float(cfg.initial_cash)).alias("initial_cash")),
-        cfg,
-    )
+    return SimResult(fold_sorted(table, [RUN, KEY], [TIME], _run(cfg, price), schema), cfg)
 
 
 def periods_per_year(curve: DataFrame, time: str = "t", keys: tuple[str, ...] = (RUN, KEY)) -> DataFrame:
@@ -209,33 +226,34 @@ def with_drawdown(equity: DataFrame, time: str = "t") -> DataFrame:
     return equity.withColumn("drawdown", F.when(peak > 0, (peak - F.col("equity")) / peak).otherwise(0.0))
 
 
-def run_many(signals: DataFrame, runs: dict[int, BacktestConfig], column: str = "flags", price: str = "close", block: int = 16) -> DataFrame:
+def run_many(signals: DataFrame, runs: dict[int, BacktestConfig], column: str = "flags", price: str = "close", most: int = 8) -> DataFrame:
     """Statistics of many runs a symbol: one row for each (run_id, symbol).
 
-    signals has an array of small integers, one for each distinct signal variant (bit 0 to 3: the four
+    signals has a string with one hexadecimal digit for each distinct signal variant (bit 0 to 3: the four
     signals). A run is a pair of variant and configuration, coded as variant * 100000 + number of the
-    configuration. Bars are shuffled once for each block of variants, not once a run.
+    configuration. Runs are dealt to jobs of `most` runs; a task is one job of one symbol, and bars are shuffled
+    once a job.
     """
     refs = sorted({c for cfg in runs.values() for c in (cfg.sl_ref_long_col, cfg.sl_ref_short_col) if c and c in signals.columns})
-    top = max(k // 100_000 for k in runs)
-    blocks = top // block + 1
+    codes = sorted(runs)
+    jobs = [codes[k : k + most] for k in range(0, len(codes), most)]
+    spans = [(own[0] // 100_000, own[-1] // 100_000 - own[0] // 100_000 + 1) for own in jobs]  # first variant, how many
     # the median spacing needs all bars at once: Spark finds it
     per_year = periods_per_year(signals.select(KEY, F.col(TIME).alias("t")), keys=(KEY,)).withColumnRenamed("periods_per_year", "_year")
-    table = signals.select(KEY, TIME, price, "high", "low", *refs, F.posexplode(F.array(*[F.slice(column, 1 + b * block, block) for b in range(blocks)])).alias("_block", "_flags"))
+    table = signals.select(KEY, TIME, price, "high", "low", *refs, F.posexplode(F.array(*[F.substring(column, 1 + a, n) for a, n in spans])).alias("_job", "_flags"))
     table = table.join(per_year, KEY, "left")
-    by_block: dict[int, list[tuple[int, BacktestConfig]]] = {}
-    for k, cfg in runs.items():
-        by_block.setdefault(k // 100_000 // block, []).append((k, cfg))
 
     def fold(key: tuple, pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = [(k, cfg, _FastStats(cfg)) for k, cfg in by_block.get(int(key[1]), [])]
+        own = [(k, runs[k], _FastStats(runs[k])) for k in jobs[int(key[1])]]
+        first, width = spans[int(key[1])]
         year = 0.0
         for pdf in pieces:
             year = float(pdf["_year"].iloc[0])
-            flags = np.array([np.asarray(x) for x in pdf["_flags"]], np.int64).reshape(len(pdf), -1)
+            digits = np.frombuffer("".join(pdf["_flags"]).encode(), np.uint8).reshape(len(pdf), width)
+            flags = digits - np.where(digits < 58, 48, 55).astype(np.uint8)
             for k, cfg, stats in own:
-                mine = flags[:, k // 100_000 % block]
+                mine = flags[:, k // 100_000 - first]
                 stats.feed(_arrays(pdf, cfg, price), {c: (mine >> bit & 1).astype(bool) for bit, c in enumerate(SIGNALS)})
         yield pd.DataFrame([{RUN: k, KEY: key[0], **stats.row(year)} for k, _, stats in own], columns=[RUN, KEY, *_FAST])
 
-    return fold_sorted(table, [KEY, "_block"], [TIME], fold, _schema([(c, "double") for c in _FAST]))
+    return fold_sorted(table, [KEY, "_job"], [TIME], fold, _schema([(c, "double") for c in _FAST]))

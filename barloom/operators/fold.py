@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -23,13 +24,15 @@ def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tu
     for pdf in batches:
         if not len(pdf):
             continue
-        cells = pdf[keys].astype(object).where(pdf[keys].notna(), None)
-        marks = list(zip(*(cells[k] for k in keys), strict=True))
-        start = 0
-        for k in range(1, len(marks) + 1):
-            if k == len(marks) or marks[k] != marks[start]:
-                yield marks[start], pdf.iloc[start:k]
-                start = k
+        new = np.zeros(len(pdf), bool)
+        new[0] = True
+        for k in keys:
+            code, _ = pd.factorize(pdf[k])  # -1 for nulls
+            new[1:] |= code[1:] != code[:-1]
+        cuts = [*np.flatnonzero(new).tolist(), len(pdf)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            first = (pdf[k].iloc[a] for k in keys)
+            yield tuple(None if pd.isna(v) else v for v in first), pdf.iloc[a:b]
 
 
 def each_key(fold: Fold, keys: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:

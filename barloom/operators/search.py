@@ -27,7 +27,7 @@ def expand_grid(grid: dict[str, list]) -> list[dict]:
 
 
 def _flags(bars: DataFrame, variants: list[Strategy], extra: list[str]) -> DataFrame:
-    """Bars with one small integer for each variant in `flags`, and the columns that stops refer to.
+    """Bars with one hexadecimal digit for each variant in `flags`, and the columns that stops refer to.
 
     Indicators that variants share are computed once. Those of other parameters under the same name are not
     mixed up: each variant's flags are fixed before the next one's columns replace its own.
@@ -48,7 +48,7 @@ def _flags(bars: DataFrame, variants: list[Strategy], extra: list[str]) -> DataF
             table = prepared
             pending[f"_f{k}"] = sum((r.cast("int") * (1 << bit) for bit, r in enumerate(s.signal_rules(table))), F.lit(0)).cast("tinyint")
         table = table.withColumns(pending)
-    flags = F.array(*[F.col(f"_f{k}") for k in range(len(variants))])
+    flags = F.concat(*[F.hex(F.col(f"_f{k}").cast("long")) for k in range(len(variants))])
     return table.select(*[c for c in table.columns if c in kept or c in extra], flags.alias("flags"))
 
 

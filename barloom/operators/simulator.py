@@ -264,6 +264,11 @@ class Simulation:
         leave = {1: np.asarray(signals["exit_long"], bool).tolist(), -1: np.asarray(signals["exit_short"], bool).tolist()}
         px, hi, lo, want_long, want_short, ok = close.tolist(), high.tolist(), low.tolist(), go_long.tolist(), go_short.tolist(), known.tolist()
         able = cfg.max_open_trades > 0 and cfg.trade_cash > 0.0
+        # without margin and trailing stops a position waits for a known price, a signal, its stop or a target
+        waits = not cfg.margin_enabled and (cfg.trail_mode == "none" or not cfg.exit_enabled)
+        no_exit = np.zeros(n, bool)
+        marks = {s: np.asarray(signals["exit_long" if s > 0 else "exit_short"], bool) if rule else no_exit for s in (1, -1)}
+        wants = go_long | go_short
         i = at = 0
         while i < n:
             if not account.held:  # on to the next entry
@@ -274,6 +279,14 @@ class Simulation:
                     equity[i:to] = account.cash
                     i = to
                     continue
+            elif waits and (to := self._wait(i, close, high, low, known, marks, wants if able else no_exit)) > i:
+                gain = np.zeros(to - i)
+                for h in account.held:
+                    gain += h.trade.side * (close[i:to] - h.trade.entry_price) * h.left
+                equity[i:to] = account.cash + gain
+                counts[i:to] = len(account.held)
+                i = to
+                continue
             p = px[i]
             if not ok[i]:
                 equity[i] = account.cash
@@ -308,6 +321,29 @@ class Simulation:
         self.offset += n
         return equity, counts, self._ended(times, base)
 
+    def _wait(self, i: int, close: np.ndarray, high: np.ndarray, low: np.ndarray, known: np.ndarray, leave: dict[int, np.ndarray], wants: np.ndarray) -> int:
+        """The first bar from i on at which anything can happen to what is held, or a new entry."""
+        held, n, width = self.account.held, len(close), 32
+        room = len(held) < self.cfg.max_open_trades
+        sides = {h.trade.side for h in held}
+        while i < n:
+            part = slice(i, min(n, i + width))
+            event = ~known[part]
+            for s in sides:
+                event |= leave[s][part]
+            if room:
+                event |= wants[part]
+            if self.cfg.exit_enabled:
+                for h in held:
+                    adverse, good = (low[part], high[part]) if h.trade.side > 0 else (-high[part], -low[part])
+                    event |= adverse <= h.trade.side * h.stop  # never, where there is no stop
+                    for price, _ in h.ladder:
+                        event |= good >= h.trade.side * price
+            if event.any():
+                return i + int(event.argmax())
+            i, width = part.stop, min(2 * width, 8192)
+        return n
+
     def _ended(self, times: np.ndarray | None, base: int) -> list[Trade]:
         account = self.account
         if times is not None:
