@@ -232,18 +232,9 @@ def align_htf_ema(spark, d):
     return out.select(KEY, TIME, F.round("4h__ema_5", 6).alias("4h__ema_5"))
 
 
-@query("asof_general", f"WITH {BARS}, t AS (SELECT symbol, ts, px, lag(event_id) OVER (PARTITION BY symbol ORDER BY ts, event_id) AS before FROM ticks WHERE event_id % 7 = 0) SELECT bars.symbol, open_time, px, CAST(before AS DOUBLE) AS before FROM bars ASOF LEFT JOIN t ON bars.symbol = t.symbol AND bars.open_time >= t.ts")
+@query("asof_general", f"WITH {BARS}, t AS (SELECT symbol, ts, px, lag(event_id) OVER w AS before FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts, event_id) QUALIFY lead(ts) OVER w IS DISTINCT FROM ts) SELECT bars.symbol, open_time, px, CAST(before AS DOUBLE) AS before FROM bars ASOF LEFT JOIN t ON bars.symbol = t.symbol AND bars.open_time >= t.ts")
 def asof_general(spark, d):
-    from barloom.sources.ticks import event_ticks
-
-    w = Window.partitionBy(KEY).orderBy(TIME, "event_id")
-    ticks = event_ticks(spark, d).where("event_id % 7 = 0").select(KEY, F.col("ts").alias(TIME), F.col("price").alias("px"), "event_id").withColumn("before", F.lag("event_id").over(w).cast("double"))
-    return R.asof_join(_bars(spark, d).select(KEY, TIME), ticks, ["px", "before"])
-
-
-@query("asof_all", f"WITH {BARS}, t AS (SELECT symbol, ts, px, lag(event_id) OVER w AS before FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts, event_id) QUALIFY lead(ts) OVER w IS DISTINCT FROM ts) SELECT bars.symbol, open_time, px, CAST(before AS DOUBLE) AS before FROM bars ASOF LEFT JOIN t ON bars.symbol = t.symbol AND bars.open_time >= t.ts")
-def asof_all(spark, d):
-    """asof_general over every tick; of ticks at one time, the last by event_id."""
+    """The last tick at or before each bar's start; of ticks at one time, the last by event_id."""
     from barloom.sources.ticks import event_ticks
 
     w = Window.partitionBy(KEY).orderBy(TIME, "event_id")
@@ -432,6 +423,79 @@ SQL["bt_sl_tp"] = f"WITH RECURSIVE {BARS}, " + _risk_fold(_PLAIN, "e * (1 - 0.00
 SQL["bt_trailing"] = f"WITH RECURSIVE {BARS}, " + _risk_fold(_PLAIN, "e * (1 - 0.006)", None, 0.8)
 SQL["bt_ref_stop"] = f"WITH RECURSIVE {BARS}, " + _risk_fold(_SWUNG, _REF, "e + (e - s) * 2")
 
+_PF = "CASE WHEN coalesce(-sum(pnl) FILTER (pnl < 0), 0) > 0 THEN coalesce(sum(pnl) FILTER (pnl > 0), 0) / -sum(pnl) FILTER (pnl < 0) WHEN coalesce(sum(pnl) FILTER (pnl > 0), 0) > 0 THEN 'inf'::DOUBLE ELSE 0 END"
+_BY_RISK = "least(eq * 0.01 / abs(e - s), least(eq, cash) / e)"
+
+
+def _trading(stop: str = "NULL", target: str = "NULL", size: str = "10000 / e", fee: float = 0.0, slip: float = 0.0, half: float = 0.0, commission: float = 0.0, margin: tuple[float, float] | None = None, extra: tuple[str, ...] = ()) -> str:
+    """CTEs sim (an account a symbol of f, one long position at a time), trades and told (statistics a symbol).
+
+    stop and target are expressions of the entry price e, the stop s and the columns extra of f; size also of
+    eq, the equity, and cash. commission is a unit of quantity; margin is leverage and stop-out level.
+    """
+    cost = lambda price, qty: f"({price} * {qty} * {fee} + {qty} * {commission})"
+    more = "".join(f", {c}" for c in extra)
+    out = f"p.cash + (f.close - p.px) * p.qty <= {margin[1] / 100} * p.px * p.qty / {margin[0]}" if margin else "false"
+    bound = f" AND e * size / {margin[0]} <= cash" if margin else ""
+    double = "0.0::DOUBLE"
+    return f"""sim(symbol, rn, cash, qty, px, stop, target, k, eq, ex, why) AS (
+SELECT symbol, CAST(0 AS BIGINT), 10000.0::DOUBLE, {double}, {double}, {double}, {double}, CAST(0 AS BIGINT), 10000.0::DOUBLE, NULL::DOUBLE, NULL::VARCHAR FROM f WHERE rn = 1
+UNION ALL SELECT symbol, rn, CASE WHEN go THEN cash - {cost('e', 'size')} ELSE cash END, CASE WHEN go THEN size ELSE qty END, CASE WHEN go THEN e ELSE px END, CASE WHEN go THEN s ELSE stop END, CASE WHEN go THEN {target} ELSE target END, CASE WHEN go THEN k + 1 ELSE k END, eq, ex, why
+FROM (SELECT *, up AND qty = 0 AND cash > 0 AND size > 0 AND {cost('e', 'size')} <= cash AND coalesce(why, '') <> 'margin_call'{bound} AS go
+FROM (SELECT *, {size} AS size FROM (SELECT *, {stop} AS s
+FROM (SELECT symbol, rn, close, up, eq, px, stop, target, k, why, x AS ex{more}, close * {1 + slip} + {half} AS e, CASE WHEN x IS NULL THEN cash ELSE cash + (x - px) * qty - {cost('x', 'qty')} END AS cash, CASE WHEN x IS NULL THEN qty ELSE 0 END AS qty
+FROM (SELECT *, CASE why WHEN 'stop_loss' THEN stop WHEN 'take_profit' THEN target WHEN 'signal' THEN close WHEN 'margin_call' THEN close END * {1 - slip} - {half} AS x
+FROM (SELECT f.symbol, f.rn, f.close, f.up{"".join(f", f.{c}" for c in extra)}, p.cash, p.qty, p.px, p.stop, p.target, p.k, p.cash + (f.close - p.px) * p.qty AS eq,
+CASE WHEN p.qty = 0 THEN NULL WHEN {out} THEN 'margin_call' WHEN f.low <= p.stop THEN 'stop_loss' WHEN f.high >= p.target THEN 'take_profit' WHEN f.down THEN 'signal' END AS why FROM sim p JOIN f ON f.symbol = p.symbol AND f.rn = p.rn + 1))))))),
+steps AS (SELECT *, lag(k) OVER (PARTITION BY symbol ORDER BY rn) AS k0, lag(eq) OVER (PARTITION BY symbol ORDER BY rn) AS eq0, max(eq) OVER (PARTITION BY symbol ORDER BY rn ROWS UNBOUNDED PRECEDING) AS peak FROM sim),
+ends AS (SELECT symbol, max(rn) AS rn, arg_max(close, rn) AS close FROM f GROUP BY symbol),
+trades AS (SELECT w.symbol, 'long' AS side, w.rn - 1 AS entry_i, coalesce(c.rn, l.rn) - 1 AS exit_i, i.open_time AS entry_time, o.open_time AS exit_time, w.px AS entry_price, coalesce(c.ex, l.close * {1 - slip} - {half}) AS exit_price, w.stop AS stop_price, w.qty,
+(coalesce(c.ex, l.close * {1 - slip} - {half}) - w.px) * w.qty AS gross_pnl, {cost('w.px', 'w.qty')} + {cost(f'coalesce(c.ex, l.close * {1 - slip} - {half})', 'w.qty')} AS fees, coalesce(c.why, 'forced_close_end') AS close_reason
+FROM steps w JOIN ends l ON l.symbol = w.symbol LEFT JOIN steps c ON c.symbol = w.symbol AND c.k0 = w.k AND c.ex IS NOT NULL JOIN f i ON i.symbol = w.symbol AND i.rn = w.rn JOIN f o ON o.symbol = w.symbol AND o.rn = coalesce(c.rn, l.rn) WHERE w.k > w.k0),
+won AS (SELECT *, gross_pnl - fees AS pnl, (gross_pnl - fees) / (entry_price * qty) * 100 AS return_pct, exit_i - entry_i AS bars_held FROM trades),
+spaced AS (SELECT symbol, 365.25 * 86400 / quantile_cont(s, 0.5) AS per_year FROM (SELECT symbol, epoch(open_time - lag(open_time) OVER ({W})) AS s FROM f) GROUP BY symbol),
+curve AS (SELECT symbol, max(CASE WHEN peak > 0 THEN (peak - eq) / peak ELSE 0 END) AS fall, avg(eq / eq0 - 1) FILTER (rn > 1) AS mean, stddev_samp(eq / eq0 - 1) FILTER (rn > 1) AS sd, stddev_samp(eq / eq0 - 1) FILTER (rn > 1 AND eq < eq0) AS down FROM steps WHERE rn > 0 GROUP BY symbol),
+told AS (SELECT ends.symbol, count(pnl) AS n_trades, sum(pnl) AS total_pnl, 10000 + coalesce(sum(pnl), 0) AS final_cash, coalesce(sum(pnl), 0) / 100 AS total_return_pct, any_value(fall) AS max_drawdown, coalesce(avg(CAST(pnl > 0 AS DOUBLE)) * 100, 0) AS win_rate_pct, {_PF} AS profit_factor, coalesce(avg(pnl), 0) AS expectancy,
+any_value(CASE WHEN sd > 0 THEN mean / sd * sqrt(per_year) ELSE 0 END) AS sharpe, any_value(CASE WHEN down > 0 THEN mean / down * sqrt(per_year) ELSE 0 END) AS sortino, coalesce(sum(fees), 0) AS total_fees, avg(bars_held) AS avg_bars_held, max(pnl) AS best, min(pnl) AS worst
+FROM ends JOIN curve USING (symbol) JOIN spaced USING (symbol) LEFT JOIN won USING (symbol) GROUP BY ends.symbol)"""
+
+
+_ACCOUNT = "symbol, n_trades, round(total_pnl, 4) AS total_pnl, round(final_cash, 4) AS final_cash, round(max_drawdown, 4) AS max_drawdown FROM told"
+_RISK_SQL = _trading("e * (1 - 0.006)", "e + (e - s) * 2", _BY_RISK, 0.0008, 0.00015)
+SQL["bt_margin"] = f"WITH RECURSIVE {BARS}, {_SIG}, {_trading(size='200', half=0.01, margin=(50, 50))} SELECT {_ACCOUNT}"
+SQL["bt_costs"] = f"WITH RECURSIVE {BARS}, {_SIG}, {_trading(size='200', half=0.01, commission=0.035)} SELECT {_ACCOUNT}"
+SQL["bt_targets_pct"] = f"WITH RECURSIVE {BARS}, {_SIG}, {_trading('e - 1.5', 'e * 1.012', 'least(80 / abs(e - s), least(eq, cash) / e)', 0.0005)} SELECT {_ACCOUNT}"
+SQL["bt_ladder"] = f"""WITH RECURSIVE {BARS}, {_SIG}, sim(symbol, rn, cash, qty, px, stop, one, two, first, k, eq) AS (
+SELECT symbol, CAST(0 AS BIGINT), 10000.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, false, CAST(0 AS BIGINT), 10000.0::DOUBLE FROM f WHERE rn = 1
+UNION ALL SELECT symbol, rn, CASE WHEN go THEN cash - e * size * 0.0008 ELSE cash END, CASE WHEN go THEN size ELSE qty END, CASE WHEN go THEN e ELSE px END, CASE WHEN go THEN s ELSE stop END, CASE WHEN go THEN e * 1.004 ELSE one END, CASE WHEN go THEN e * 1.01 ELSE two END, first AND NOT go, CASE WHEN go THEN k + 1 ELSE k END, eq
+FROM (SELECT *, up AND qty = 0 AND cash > 0 AND size > 0 AND e * size * 0.0008 <= cash AS go FROM (SELECT *, {_BY_RISK} AS size FROM (SELECT *, e * (1 - 0.006) AS s
+FROM (SELECT symbol, rn, up, eq, px, one, two, k, close * 1.00015 AS e, first OR a AS first, CASE WHEN a THEN greatest(stop, px) ELSE stop END AS stop, CASE WHEN hit OR b THEN 0 WHEN a THEN qty * 0.5 ELSE qty END AS qty,
+cash + CASE WHEN hit THEN (stop * 0.99985 - px) * qty - stop * 0.99985 * qty * 0.0008 ELSE CASE WHEN a THEN (one * 0.99985 - px) * qty * 0.5 - one * 0.99985 * qty * 0.5 * 0.0008 ELSE 0 END + CASE WHEN b THEN ((two * 0.99985 - px) - two * 0.99985 * 0.0008) * CASE WHEN a THEN qty * 0.5 ELSE qty END ELSE 0 END END AS cash
+FROM (SELECT *, held AND NOT hit AND NOT first AND high >= one AS a, held AND NOT hit AND high >= two AS b
+FROM (SELECT f.symbol, f.rn, f.close, f.high, f.up, p.* EXCLUDE (symbol, rn, eq), p.qty > 0 AS held, p.qty > 0 AND f.low <= p.stop AS hit, p.cash + (f.close - p.px) * p.qty AS eq FROM sim p JOIN f ON f.symbol = p.symbol AND f.rn = p.rn + 1))))))),
+done AS (SELECT s.symbol, s.k, s.cash + (f.close * 0.99985 - s.px) * s.qty - f.close * 0.99985 * s.qty * 0.0008 AS cash FROM sim s JOIN f USING (symbol, rn) WHERE rn = (SELECT max(rn) FROM f g WHERE g.symbol = s.symbol)),
+dd AS (SELECT symbol, max(CASE WHEN peak > 0 THEN (peak - eq) / peak ELSE 0 END) AS fall FROM (SELECT symbol, eq, max(eq) OVER (PARTITION BY symbol ORDER BY rn) AS peak FROM sim WHERE rn > 0) GROUP BY symbol)
+SELECT symbol, k AS n_trades, CASE WHEN k > 0 THEN round(cash - 10000, 4) END AS total_pnl, round(cash, 4) AS final_cash, round(fall, 4) AS max_drawdown FROM done JOIN dd USING (symbol)"""
+
+
+def _several(up: str) -> str:
+    """Up to three positions at once, as a list; sized by cash, with stops and targets in units of price."""
+    gone = "low <= x.stop OR high >= x.target OR down"
+    price = "CASE WHEN low <= x.stop THEN x.stop WHEN high >= x.target THEN x.target ELSE close END"
+    return f"""sim(symbol, rn, cash, held, k, eq) AS (
+SELECT symbol, CAST(0 AS BIGINT), 10000.0::DOUBLE, CAST([] AS STRUCT(px DOUBLE, qty DOUBLE, stop DOUBLE, target DOUBLE)[]), CAST(0 AS BIGINT), 10000.0::DOUBLE FROM f WHERE rn = 1
+UNION ALL SELECT symbol, rn, CASE WHEN go THEN cash - close * qty * 0.0005 ELSE cash END, CASE WHEN go THEN list_append(held, {{'px': close, 'qty': qty, 'stop': close - 1, 'target': close + 2}}) ELSE held END, CASE WHEN go THEN k + 1 ELSE k END, eq
+FROM (SELECT *, {up} AND len(held) < 3 AND cash > 0 AND qty > 0 AND close * qty * 0.0005 <= cash AS go FROM (SELECT *, least(10000.0 / 3, least(eq, cash)) / close AS qty
+FROM (SELECT * EXCLUDE (held, cash), cash + coalesce(list_sum(list_transform(list_filter(held, lambda x: {gone}), lambda x: ({price} - x.px) * x.qty - {price} * x.qty * 0.0005)), 0) AS cash, list_filter(held, lambda x: NOT ({gone})) AS held
+FROM (SELECT f.*, p.cash, p.held, p.k, p.cash + coalesce(list_sum(list_transform(p.held, lambda x: (f.close - x.px) * x.qty)), 0) AS eq FROM sim p JOIN f ON f.symbol = p.symbol AND f.rn = p.rn + 1))))),
+done AS (SELECT s.symbol, s.k, s.cash + coalesce(list_sum(list_transform(s.held, lambda x: (f.close - x.px) * x.qty - f.close * x.qty * 0.0005)), 0) AS cash FROM sim s JOIN f USING (symbol, rn) WHERE rn = (SELECT max(rn) FROM f g WHERE g.symbol = s.symbol)),
+dd AS (SELECT symbol, max(CASE WHEN peak > 0 THEN (peak - eq) / peak ELSE 0 END) AS fall FROM (SELECT symbol, eq, max(eq) OVER (PARTITION BY symbol ORDER BY rn) AS peak FROM sim WHERE rn > 0) GROUP BY symbol)
+SELECT symbol, k AS n_trades, CASE WHEN k > 0 THEN round(cash - 10000, 4) END AS total_pnl, round(cash, 4) AS final_cash, round(fall, 4) AS max_drawdown FROM done JOIN dd USING (symbol)"""
+
+
+SQL["bt_multi_position"] = f"WITH RECURSIVE {BARS}, {_SIG}, {_several('up')}"
+SQL["bt_pyramid"] = f"WITH RECURSIVE {BARS}, {_SIG}, {_several('a AND g')}"
+
 _RISK = BacktestConfig(fee_bps=8, slippage_bps=1.5, exit_enabled=True, sl_mode="entry_pct", sl_value=0.6, tp_mode="rr", tp_value=2.0, sizing_mode="risk_pct_equity", sizing_value=1.0)
 for _name, _cfg in {
     "bt_sl_tp": _RISK,
@@ -439,19 +503,39 @@ for _name, _cfg in {
     "bt_trailing": _RISK.replace(trail_mode="pct", trail_value=0.8, tp_mode="none"),
     "bt_ref_stop": _RISK.replace(sl_mode="ref_col", sl_buffer_pct=0.05, sl_fallback_value=0.8, sl_ref_long_col="swing_last_low"),
     "bt_margin": BacktestConfig(margin_enabled=True, leverage=50, contract_size=100, sizing_mode="lots", sizing_value=2, stop_out_level=50, spread=0.02),
+    "bt_costs": BacktestConfig(contract_size=100, sizing_mode="lots", sizing_value=2, spread=0.02, commission_per_lot=3.5),
+    "bt_targets_pct": BacktestConfig(fee_bps=5, exit_enabled=True, sl_mode="price_abs", sl_value=1.5, tp_mode="entry_pct", tp_value=1.2, sizing_mode="risk_amount", sizing_value=80),
     "bt_multi_position": BacktestConfig(max_open_trades=3, fee_bps=5, exit_enabled=True, sl_mode="price_abs", sl_value=1.0, tp_mode="price_abs", tp_value=2.0),
 }.items():
     QUERIES[_name] = lambda spark, d, cfg=_cfg: _account(run_backtest(_crossing(spark, d), cfg))
 
 
-@query("bt_trades")
+@query("bt_pyramid")
+def bt_pyramid(spark, d):
+    """Three positions at once: an entry on every rising bar above the mean."""
+    cfg = BacktestConfig(max_open_trades=3, fee_bps=5, exit_enabled=True, sl_mode="price_abs", sl_value=1.0, tp_mode="price_abs", tp_value=2.0)
+    rows = _crossing(spark, d).withColumn("entry_long", S.all_of(S.above("close", "sma_20"), S.is_green()))
+    return _account(run_backtest(rows, cfg))
+
+
+_TRADE_DIGITS = {"entry_price": 6, "exit_price": 6, "stop_price": 6, "qty": 6, "gross_pnl": 4, "fees": 4, "pnl": 4, "return_pct": 6}
+
+
+@query("bt_trades", f"WITH RECURSIVE {BARS}, {_SIG}, {_RISK_SQL} SELECT symbol, side, entry_time, exit_time, entry_i, exit_i, bars_held, close_reason, " + ", ".join(f"round({c}, {k}) AS {c}" for c, k in _TRADE_DIGITS.items()) + " FROM won")
 def bt_trades(spark, d):
-    return run_backtest(_crossing(spark, d), _RISK).trades
+    made = run_backtest(_crossing(spark, d), _RISK).trades
+    return made.select(KEY, "side", "entry_time", "exit_time", "entry_i", "exit_i", "bars_held", "close_reason", *[F.round(c, k).alias(c) for c, k in _TRADE_DIGITS.items()])
+
 
+_TOLD = {"n_trades": ("num_trades", 0), "total_pnl": ("total_pnl", 4), "final_cash": ("final_cash", 4), "total_return_pct": ("total_return_pct", 6), "max_drawdown * 100": ("max_drawdown_pct", 6), "win_rate_pct": ("win_rate_pct", 6), "profit_factor": ("profit_factor", 6), "expectancy": ("expectancy_per_trade", 4), "sharpe": ("sharpe", 6), "sortino": ("sortino", 6)}
+_TOLD_SQL = ", ".join(f"CAST(round({e}, {k}) AS DOUBLE) AS {n}" for e, (n, k) in _TOLD.items())
+_MORE = {"total_fees": ("total_fees", 4), "avg_bars_held": ("avg_bars_held", 6), "best": ("largest_winner", 4), "worst": ("largest_loser", 4)}
 
-@query("bt_stats")
+
+@query("bt_stats", f"WITH RECURSIVE {BARS}, {_SIG}, {_RISK_SQL} SELECT symbol, {_TOLD_SQL}, " + ", ".join(f"round({e}, {k}) AS {n}" for e, (n, k) in _MORE.items()) + " FROM told")
 def bt_stats(spark, d):
-    return statistics.compute_stats(run_backtest(_crossing(spark, d), _RISK))
+    told = statistics.compute_stats(run_backtest(_crossing(spark, d), _RISK))
+    return told.select(KEY, *[F.round(n, k).alias(n) for n, k in [*_TOLD.values(), *_MORE.values()]])
 
 
 @query("drawdown_curve", f"WITH {DAILY} SELECT symbol, open_time AS t, close AS equity, round(CASE WHEN max(close) OVER ({W}) > 0 THEN (max(close) OVER ({W}) - close) / max(close) OVER ({W}) ELSE 0 END, 8) AS drawdown FROM daily")
@@ -475,7 +559,6 @@ def _curve(spark: SparkSession, d: str) -> DataFrame:
     return order_bars(spark, d).select(F.lit(0).cast("long").alias(RUN), KEY, F.col(TIME).alias("t"), F.col("close").alias("equity"), F.lit(0).cast("long").alias("open_trades"))
 
 
-_PF = "CASE WHEN coalesce(-sum(pnl) FILTER (pnl < 0), 0) > 0 THEN coalesce(sum(pnl) FILTER (pnl > 0), 0) / -sum(pnl) FILTER (pnl < 0) WHEN coalesce(sum(pnl) FILTER (pnl > 0), 0) > 0 THEN 'inf'::DOUBLE ELSE 0 END"
 _STATS = f"count(pnl) AS n_trades, round(coalesce(avg(CAST(pnl > 0 AS DOUBLE)) * 100, 0), 6) AS win_rate_pct, round(coalesce(sum(pnl), 0), 2) AS total_pnl, round(coalesce(avg(pnl), 0), 6) AS avg_pnl, round({_PF}, 6) AS profit_factor"
 
 
@@ -504,25 +587,19 @@ def by_session(spark, d):
     return _told(A.by_session(_trades(spark, d)), "session")
 
 
-def _bar_trades(spark: SparkSession, d: str, every: int = 1) -> tuple[DataFrame, DataFrame]:
+def _bar_trades(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A trade of every bar, held for three bars."""
     bars = _bars(spark, d)
     w = bars_window()
     numbered = bars.withColumn("entry_i", F.row_number().over(w) - 1).withColumn("pnl", F.round(F.lead("close", 3).over(w) - F.col("close"), 6))
-    return numbered.where(f"entry_i % {every} = 0 and pnl is not null").select(KEY, "entry_i", "pnl"), bars
+    return numbered.where("pnl is not null").select(KEY, "entry_i", "pnl"), bars
 
 
-def _regime_sql(rows: str = "") -> str:
-    return f"WITH RECURSIVE {BARS}, {_TR}, {recursive_mean('e', 'n', 'close', '(2.0 / 21)')}, {recursive_mean('a', 'tr', 'tr', '(1.0 / 5)')}, t0 AS (SELECT *, round(lead(close, 3) OVER ({W}) - close, 6) AS pnl FROM n), t AS (SELECT t0.*, coalesce(rn >= 20 AND close >= e.y, false) AS up, CASE WHEN rn >= 5 THEN a.y / close END AS v FROM t0 JOIN e USING (symbol, rn) JOIN a USING (symbol, rn) WHERE {rows}pnl IS NOT NULL), q AS (SELECT quantile_cont(v, 1.0 / 3) AS q1, quantile_cont(v, 2.0 / 3) AS q2 FROM t) SELECT CASE WHEN up THEN 'uptrend' ELSE 'downtrend' END || '/' || CASE WHEN v IS NULL OR v <= q1 THEN 'lowvol' WHEN v <= q2 THEN 'midvol' ELSE 'highvol' END AS regime, {_STATS} FROM t, q GROUP BY 1"
+_REGIME = f"WITH RECURSIVE {BARS}, {_TR}, {recursive_mean('e', 'n', 'close', '(2.0 / 21)')}, {recursive_mean('a', 'tr', 'tr', '(1.0 / 5)')}, t0 AS (SELECT *, round(lead(close, 3) OVER ({W}) - close, 6) AS pnl FROM n), t AS (SELECT t0.*, coalesce(rn >= 20 AND close >= e.y, false) AS up, CASE WHEN rn >= 5 THEN a.y / close END AS v FROM t0 JOIN e USING (symbol, rn) JOIN a USING (symbol, rn) WHERE pnl IS NOT NULL), q AS (SELECT quantile_cont(v, 1.0 / 3) AS q1, quantile_cont(v, 2.0 / 3) AS q2 FROM t) SELECT CASE WHEN up THEN 'uptrend' ELSE 'downtrend' END || '/' || CASE WHEN v IS NULL OR v <= q1 THEN 'lowvol' WHEN v <= q2 THEN 'midvol' ELSE 'highvol' END AS regime, {_STATS} FROM t, q GROUP BY 1"
 
 
-@query("by_regime", _regime_sql("(rn - 1) % 7 = 0 AND "))
+@query("by_regime", _REGIME)
 def by_regime(spark, d):
-    return _told(A.by_regime(*_bar_trades(spark, d, 7), ema_period=20, atr_period=5), "regime")
-
-
-@query("by_regime_all", _regime_sql())
-def by_regime_all(spark, d):
-    """by_regime with a trade of every bar."""
     return _told(A.by_regime(*_bar_trades(spark, d), ema_period=20, atr_period=5), "regime")
 
 
@@ -579,82 +656,73 @@ def stats_curve(spark, d):
 # ---- searches
 
 _GRID = {"fast": [3, 5, 8], "slow": [15, 20], "confirm_n": [1, 3]}
-#: A smaller grid without exits but the rules', which SQL can fold.
-_SMALL = {"fast": [3, 5], "slow": [20], "confirm_n": [1, 3]}
+_MINUTE_GRID = _GRID | {"confirm_n": [1, 2, 3, 4]}
 _COLUMNS = ("run_id", "symbol", "fast", "slow", "confirm_n", "num_trades", "total_return_pct", "max_drawdown_pct", "final_cash")
 
 
-def _sweep_sql() -> str:
-    """The small grid's runs as (runs): each run is one more symbol of the signal-only fold."""
-    combos = search.expand_grid(_SMALL)
-    means = ", ".join(recursive_mean(f"m{p}", "n", "close", f"(2.0 / {p + 1})") for p in sorted({*_SMALL["fast"], *_SMALL["slow"]}))
+def _sweep_sql(grid: dict, trading: str, bars: str = BARS, settings: list[dict] | None = None) -> str:
+    """The runs of a grid of ribbons (and of settings) as (runs): each is one more symbol of the fold."""
+    combos = [c | t for c in search.expand_grid(grid) for t in settings or [{}]]
+    means = ", ".join(recursive_mean(f"m{p}", "n", "close", f"(2.0 / {p + 1})") for p in sorted({*grid["fast"], *grid["slow"]}))
     parts, last = [], []
     for k, c in enumerate(combos):
         fast, slow = c["fast"], c["slow"]
-        parts.append(f"x{k} AS (SELECT n.*, CASE WHEN rn >= {fast} THEN close - m{fast}.y END AS d, rn >= {slow} AND close > m{slow}.y AS above FROM n JOIN m{fast} USING (symbol, rn) JOIN m{slow} USING (symbol, rn)), y{k} AS (SELECT symbol || '/{k}' AS symbol, rn, close, coalesce(lag(d) OVER ({W}) <= 0 AND d > 0, false) AND {_rows('above', c['confirm_n'])} AS up, coalesce(lag(d) OVER ({W}) >= 0 AND d < 0, false) AS down FROM x{k})")
+        own = "".join(f", {v}::DOUBLE AS {n}" for n, v in c.items() if n not in grid)
+        parts.append(f"x{k} AS (SELECT n.*, CASE WHEN rn >= {fast} THEN close - m{fast}.y END AS d, rn >= {slow} AND close > m{slow}.y AS above FROM n JOIN m{fast} USING (symbol, rn) JOIN m{slow} USING (symbol, rn)), y{k} AS (SELECT symbol || '/{k}' AS symbol, open_time, rn, close, high, low{own}, coalesce(lag(d) OVER ({W}) <= 0 AND d > 0, false) AND {_rows('above', c.get('confirm_n', 3))} AS up, coalesce(lag(d) OVER ({W}) >= 0 AND d < 0, false) AS down FROM x{k})")
         last.append(f"SELECT * FROM y{k}")
-    values = ", ".join(f"({k}, {c['fast']}, {c['slow']}, {c['confirm_n']})" for k, c in enumerate(combos))
-    return f"WITH RECURSIVE {BARS}, {means}, {', '.join(parts)}, f AS ({' UNION ALL '.join(last)}), {_FOLD}, g(k, fast, slow, confirm_n) AS (VALUES {values}), runs AS (SELECT CAST(g.k AS BIGINT) AS run_id, split_part(symbol, '/', 1) AS symbol, CAST(fast AS BIGINT) AS fast, CAST(slow AS BIGINT) AS slow, CAST(confirm_n AS BIGINT) AS confirm_n, CAST(done.k AS DOUBLE) AS num_trades, (cash / 10000 - 1) * 100 AS total_return_pct, fall * 100 AS max_drawdown_pct, cash AS final_cash FROM done JOIN dd USING (symbol) JOIN g ON g.k = CAST(split_part(symbol, '/', 2) AS INTEGER))"
+    names = list(combos[0])
+    values = ", ".join(f"({k}, {', '.join(str(v) for v in c.values())})" for k, c in enumerate(combos))
+    kinds = ", ".join(f"CAST({n} AS {'BIGINT' if n in grid else 'DOUBLE'}) AS {n}" for n in names)
+    told = ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for e, (n, _) in _TOLD.items())
+    return f"WITH RECURSIVE {bars}, {means}, {', '.join(parts)}, f AS ({' UNION ALL '.join(last)}), {trading}, g(k, {', '.join(names)}) AS (VALUES {values}), runs AS (SELECT CAST(g.k AS BIGINT) AS run_id, split_part(symbol, '/', 1) AS symbol, {kinds}, {told} FROM told JOIN g ON g.k = CAST(split_part(symbol, '/', 2) AS INTEGER))"
 
 
 _RUNS = ", ".join([*_COLUMNS[:6], *[f"round({c}, 4) AS {c}" for c in _COLUMNS[6:]]])
+_GRID_SQL = _sweep_sql(_GRID, _RISK_SQL)
 
 
 def _sweep(spark: SparkSession, d: str) -> DataFrame:
-    return search.run_grid(_bars(spark, d), Y.EmaRibbon, _SMALL, BacktestConfig(fee_bps=10))
+    return search.run_grid(_bars(spark, d), Y.EmaRibbon, _GRID, _RISK)
 
 
 def _short(runs: DataFrame) -> DataFrame:
     return runs.select(*_COLUMNS[:6], *[F.round(c, 4).alias(c) for c in _COLUMNS[6:]])
 
 
-@query("grid_sweep", f"{_sweep_sql()} SELECT {_RUNS} FROM runs")
+@query("grid_sweep", f"{_sweep_sql(_GRID, _trading(fee=0.001))} SELECT {_RUNS} FROM runs")
 def grid_sweep(spark, d):
-    return _short(_sweep(spark, d))
-
-
-@query("sweep_topk", f"{_sweep_sql()} SELECT {_RUNS} FROM runs WHERE num_trades >= 3 ORDER BY runs.total_return_pct DESC, run_id LIMIT 8")
-def sweep_topk(spark, d):
-    return _short(search.top(_sweep(spark, d), 8, "total_return_pct", min_trades=3))
-
+    return _short(search.run_grid(_bars(spark, d), Y.EmaRibbon, _GRID, BacktestConfig(fee_bps=10)))
 
-@query("sweep_pivot", f"{_sweep_sql()} SELECT confirm_n, " + ", ".join(f'round(max(total_return_pct) FILTER (fast = {v}), 4) AS "{v}"' for v in _SMALL["fast"]) + " FROM runs GROUP BY 1")
-def sweep_pivot(spark, d):
-    out = search.sweep_table(_sweep(spark, d), "fast", "confirm_n", "total_return_pct", _SMALL["fast"])
-    return out.select("confirm_n", *[F.round(str(v), 4).alias(str(v)) for v in _SMALL["fast"]])
 
-
-def _sweep_all(spark: SparkSession, d: str) -> DataFrame:
-    return search.run_grid(_bars(spark, d), Y.EmaRibbon, _GRID, _RISK)
+@query("grid_sweep_exits", f"{_GRID_SQL} SELECT run_id, symbol, fast, slow, confirm_n, " + ", ".join(f"round({n}, {min(k, 4)}) AS {n}" for n, k in _TOLD.values() if n != "total_pnl") + " FROM runs")
+def grid_sweep_exits(spark, d):
+    return _sweep(spark, d).select(*_COLUMNS[:5], *[F.round(n, min(k, 4)).alias(n) for n, k in _TOLD.values() if n != "total_pnl"])
 
 
-@query("sweep_topk_all")
-def sweep_topk_all(spark, d):
-    """sweep_topk over the whole grid with stops and targets."""
-    return _short(search.top(_sweep_all(spark, d), 15, "total_return_pct", min_trades=3))
+@query("sweep_topk", f"{_GRID_SQL} SELECT {_RUNS} FROM runs WHERE num_trades >= 3 ORDER BY runs.total_return_pct DESC, run_id LIMIT 15")
+def sweep_topk(spark, d):
+    return _short(search.top(_sweep(spark, d), 15, "total_return_pct", min_trades=3))
 
 
-@query("sweep_pivot_all")
-def sweep_pivot_all(spark, d):
-    """sweep_pivot over the whole grid with stops and targets."""
-    out = search.sweep_table(_sweep_all(spark, d), "fast", "confirm_n", "total_return_pct", _GRID["fast"])
+@query("sweep_pivot", f"{_GRID_SQL} SELECT confirm_n, " + ", ".join(f'round(max(total_return_pct) FILTER (fast = {v}), 4) AS "{v}"' for v in _GRID["fast"]) + " FROM runs GROUP BY 1")
+def sweep_pivot(spark, d):
+    out = search.sweep_table(_sweep(spark, d), "fast", "confirm_n", "total_return_pct", _GRID["fast"])
     return out.select("confirm_n", *[F.round(str(v), 4).alias(str(v)) for v in _GRID["fast"]])
 
 
-@query("sweep_minute")
+@query("sweep_minute", f"{_sweep_sql(_MINUTE_GRID, _trading(fee=0.001), _MINUTES)} SELECT {_RUNS} FROM runs")
 def sweep_minute(spark, d):
-    return search.run_grid(_bars(spark, d, "1min"), Y.EmaRibbon, _GRID | {"confirm_n": [1, 2, 3, 4]}, BacktestConfig(fee_bps=10))
+    return _short(search.run_grid(_bars(spark, d, "1min"), Y.EmaRibbon, _MINUTE_GRID, BacktestConfig(fee_bps=10)))
 
 
-@query("grid_sweep_exits")
-def grid_sweep_exits(spark, d):
-    return search.run_grid(_bars(spark, d), Y.EmaRibbon, _GRID, _RISK)
+_EXITS = search.expand_grid({"sl_value": [0.4, 0.8], "tp_value": [1.5, 3.0]})
+_EXIT_SQL = _trading("e * (1 - sl_value / 100)", "e + (e - s) * tp_value", _BY_RISK, 0.0008, 0.00015, extra=("sl_value", "tp_value"))
 
 
-@query("experiment_rank")
+@query("experiment_rank", f"{_sweep_sql({'fast': [3, 8], 'slow': [20]}, _EXIT_SQL, settings=_EXITS)}, enough AS (SELECT *, num_trades >= 3 AS kept, bool_or(num_trades >= 3) OVER () AS any_kept FROM runs) SELECT run_id, symbol, fast, slow, sl_value, tp_value, num_trades, round(total_return_pct, 4) AS total_return_pct, round(sharpe, 4) AS sharpe, round(sortino, 4) AS sortino, CASE WHEN NOT isinf(profit_factor) THEN round(profit_factor, 4) END AS profit_factor FROM enough WHERE kept OR NOT any_kept")
 def experiment_rank(spark, d):
     e = search.Experiment("exits", Y.EmaRibbon, _RISK, strategy_space={"fast": [3, 8], "slow": [20]}, cfg_space={"sl_value": [0.4, 0.8], "tp_value": [1.5, 3.0]}, min_trades=3, valid=lambda p: p["tp_value"] > p["sl_value"])
-    return e.run(_bars(spark, d))
+    return e.run(_bars(spark, d)).select("run_id", "symbol", "fast", "slow", "sl_value", "tp_value", "num_trades", *[F.round(c, 4).alias(c) for c in ("total_return_pct", "sharpe", "sortino", "profit_factor")])
 
 
 @query("random_search")

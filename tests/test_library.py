@@ -248,7 +248,7 @@ T, F_ = True, False
 TABLES = "events orders".split()
 DATA = "/root/testdata/sf0.001"
 #: A few of each kind here; the others differ from these in an expression.
-CHECKED = ["bars_1h", "resample_week", "incremental_merge", "ema_20", "rsi_14", "macd", "supertrend", "swings", "pivot_points", "align_htf_ema", "asof_general", "build_mtf_two", "sig_crossed_up_within", "tf_local_hour", "strat_ema_ribbon_hours", "strat_key_level", "bt_signal_only", "by_session", "by_regime", "monthly_returns", "stats_core", "max_consecutive", "stats_curve"]
+CHECKED = ["bars_1h", "resample_week", "incremental_merge", "ema_20", "rsi_14", "macd", "supertrend", "swings", "pivot_points", "align_htf_ema", "asof_general", "build_mtf_two", "sig_crossed_up_within", "tf_local_hour", "strat_ema_ribbon_hours", "strat_key_level", "bt_signal_only", "by_session", "by_regime", "monthly_returns", "stats_core", "max_consecutive", "stats_curve", "bt_trades", "bt_stats", "bt_ladder", "bt_margin", "bt_costs", "bt_pyramid", "grid_sweep_exits", "experiment_rank"]
 
 
 @pytest.mark.parametrize("name", CHECKED)
@@ -265,10 +265,9 @@ def test_query_equals_sql(spark, name):
 
 
 def test_asof_takes_the_last_of_all_ticks(spark):
-    test_query_equals_sql(spark, "asof_all")
     ticks = pd.read_parquet(f"{DATA}/events.parquet").sort_values(["event_type", "ts", "event_id"])
     bars = catalogue.queries()["bars_1h"](spark, DATA).select("symbol", "open_time").toPandas()
-    got = {(r.symbol, r.open_time): r.before for r in catalogue.queries()["asof_all"](spark, DATA).collect()}
+    got = {(r.symbol, r.open_time): r.before for r in catalogue.queries()["asof_general"](spark, DATA).collect()}
     assert len(got) == len(bars)
     for symbol, own in ticks.groupby("event_type"):
         times, ids = own["ts"].tolist(), own["event_id"].tolist()
@@ -278,9 +277,8 @@ def test_asof_takes_the_last_of_all_ticks(spark):
 
 
 def test_regimes_of_a_trade_of_every_bar(spark):
-    test_query_equals_sql(spark, "by_regime_all")
     close = catalogue.queries()["bars_1h"](spark, DATA).toPandas().sort_values(["symbol", "open_time"]).groupby("symbol")["close"]
-    got = catalogue.queries()["by_regime_all"](spark, DATA).toPandas()
+    got = catalogue.queries()["by_regime"](spark, DATA).toPandas()
     pnl = (close.shift(-3) - close.shift(0)).dropna()
     assert got["n_trades"].sum() == len(pnl)
     assert got["total_pnl"].sum() == pytest.approx(pnl.sum(), abs=0.1)
@@ -300,9 +298,9 @@ def test_sweeps_over_the_whole_grid(spark):
     want = pd.DataFrame(rows)
     assert want["run_id"].nunique() == 12
     best = want[want["num_trades"] >= 3].sort_values("ret", ascending=False)["ret"].head(15).tolist()
-    got = catalogue.queries()["sweep_topk_all"](spark, DATA).toPandas()
+    got = catalogue.queries()["sweep_topk"](spark, DATA).toPandas()
     assert got["total_return_pct"].tolist() == pytest.approx(best, abs=2e-4) and len(got) == 15
-    table = catalogue.queries()["sweep_pivot_all"](spark, DATA).toPandas().set_index("confirm_n")
+    table = catalogue.queries()["sweep_pivot"](spark, DATA).toPandas().set_index("confirm_n")
     for (n, fast), top in want.groupby(["confirm_n", "fast"])["ret"].max().items():
         assert table.loc[n, str(fast)] == pytest.approx(top, abs=2e-4)
 
