@@ -1,78 +1,19 @@
-"""Intermediate tables in the folder that all executors share.
-
-A staged table cuts the lineage: losing an executor later never recomputes what came before, and one
-materialisation serves every later reader. The folder is ``spark.checkpoint.dir``. A local session
-without that setting (tests, notebooks) gets a temporary folder of its own; on a cluster, where executors
-would not see each other's, the setting is required.
-"""
+"""Sums over tasks of any number, beside the staging of tables that the whole library shares."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Partial sums that are added up in one group.
-FAN = 64
-_OWN: list[str] = []
-_STAGED: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (the master is {master})")
-    if not _OWN:
-        _OWN.append("file://" + tempfile.mkdtemp(prefix="barloom-"))
-    return _OWN[0]
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
+from barloom.staging import drop, stage, stage_parts
 
-@atexit.register
-def _clean() -> None:
-    for spark, path in _STAGED:
-        with contextlib.suppress(Exception):  # the session may be gone at exit; nothing depends on this
-            if spark.sparkContext._jsc is not None:
-                _delete(spark, path)
+__all__ = ["drop", "stage", "stage_parts", "sum_in_tree"]
 
-
-def stage_parts(parts: list[DataFrame], name: str) -> DataFrame:
-    """Write tables of one schema, one after another, as one Parquet table under the shared folder, and read it back."""
-    spark = parts[0].sparkSession
-    path = f"{shared_dir(spark)}/barloom/{name}-{uuid.uuid4().hex}"
-    for part in parts:
-        part.write.mode("append").parquet(path)
-    _STAGED.append((spark, path))
-    out = spark.read.schema(parts[0].schema).parquet(path)
-    out._barloom_path = path
-    return out
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet under the shared folder and read it back."""
-    return stage_parts([df], name)
-
-
-def drop(df: DataFrame) -> None:
-    """Delete a table from stage() that nothing will read any more."""
-    path = getattr(df, "_barloom_path", None)
-    if path:
-        _delete(df.sparkSession, path)
-        _STAGED[:] = [x for x in _STAGED if x[1] != path]
+#: Partial sums that are added up in one group.
+FAN = 64
 
 
 def sum_in_tree(parts: DataFrame, keys: list[str], task: str, add: Callable[[pa.Table], pa.Table], schema: str, fan: int | None = None) -> DataFrame:
