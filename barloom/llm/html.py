@@ -15,6 +15,7 @@ import re
 from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from html import unescape
 
 import numpy as np
@@ -390,8 +391,9 @@ def _max_flow(nodes: list[int], u: list[float], near: list[dict[int, float]]) ->
                 break
 
 
+@cache
 def train(pages: int = 400, seed: int = 23) -> Model:
-    """A ridge-penalised logistic classifier of the blocks of generated pages."""
+    """A ridge-penalised logistic classifier of the blocks of generated pages, fitted once a process."""
     r = random.Random(seed)
     xs, ys = [], []
     for _ in range(pages):
@@ -419,7 +421,9 @@ def main_text(html: str | None, model: Model) -> str:
 def extract(pages: DataFrame, model: Model, html: str = "html") -> DataFrame:
     """pages with main_text added, in place of a column of that name.
 
-    Null and empty pages, and pages without content, have the empty text. Equal pages get equal texts.
+    Null and empty pages, and pages without content, have the empty text. Equal pages get equal texts, whatever
+    their ids; of labellings with equal cost the one that the flow finds first is taken, always the same. An
+    empty table gives no rows.
     """
     pages = pages.drop("main_text")
     shared = pages.sparkSession.sparkContext.broadcast(model)

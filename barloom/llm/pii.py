@@ -11,9 +11,10 @@ from __future__ import annotations
 
 import random
 import re
-from bisect import bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -139,7 +140,23 @@ def _kind_of(ch: str) -> int:
     return 0 if not ch else 1 if ch.isspace() else 2 if ch.isdigit() else 3 if ch.isalpha() else 4 if ch in ".,;:!?" else 5
 
 
-def features(text: str, span: Span, base: list[Span]) -> list[float]:
+class Places:
+    """Base spans of a text by kind; within a kind they do not overlap, so their ends are in order too."""
+
+    def __init__(self, base: list[Span]) -> None:
+        self.starts: list[list[int]] = [[] for _ in KINDS]
+        self.ends: list[list[int]] = [[] for _ in KINDS]
+        for kind, a, b in sorted(base):
+            self.starts[kind].append(a)
+            self.ends[kind].append(b)
+
+    def overlaps(self, kind: int, a: int, b: int) -> bool:
+        """Whether a span of that kind overlaps [a, b)."""
+        k = bisect_left(self.ends[kind], a + 1)
+        return k < len(self.starts[kind]) and self.starts[kind][k] < b
+
+
+def features(text: str, span: Span, base: Places) -> list[float]:
     """Format and context of a candidate as numbers."""
     kind, a, b = span
     s = text[a:b]
@@ -155,7 +172,7 @@ def features(text: str, span: Span, base: list[Span]) -> list[float]:
     row += [_kind_of(before[-1:]), _kind_of(after[:1]), float(bool(re.search(r"[0-9][ ().-]{0,2}$", before))), float(bool(re.match(r"[ ().-]{0,2}[0-9]", after))), float(before[-1:] in ("+", "(")), float(sizes[-3:] == [3, 3, 4]), float(sizes[-2:] == [3, 4]), float(sizes == [4, 4, 4, 4])]
     row += [float(bool(w.search(before))) for w in _WORDS]
     row += [float("@" in s), len(tail), float(tail.isalpha() and tail.islower()), float(bool(re.search(r"[\[({<]", s))), float(" at " in s.lower()), float(" dot " in s.lower())]
-    row += [float(any(k == kind and x < b and y > a for k, x, y in base)), float(any(k != kind and x < b and y > a for k, x, y in base))]
+    row += [float(base.overlaps(kind, a, b)), float(any(base.overlaps(k, a, b) for k in range(len(KINDS)) if k != kind))]
     return row
 
 
@@ -218,7 +235,7 @@ def _cases(n: int, seed: int = 17) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                     text += s + r.choice((" ", " ", ", ", ". ", "; "))
                 else:
                     text += _decoy(r) + r.choice((" ", ", ", ". "))
-        base = base_spans(text)
+        base = Places(base_spans(text))
         for c in candidates(text):
             xs.append(features(text, c, base))
             ys.append(c in truth)
@@ -236,10 +253,10 @@ class Model:
         found = [base_spans(t) for t in texts]
         rows, owner, spans = [], [], []
         for k, t in enumerate(texts):
-            known = set(found[k])
+            known, places = set(found[k]), Places(found[k])
             for c in candidates(t):
                 if c not in known:
-                    rows.append(features(t, c, found[k]))
+                    rows.append(features(t, c, places))
                     owner.append(k)
                     spans.append(c)
         extra: list[list[tuple[float, Span]]] = [[] for _ in texts]
@@ -250,40 +267,23 @@ class Model:
                     extra[k].append((float(v), c))
         order = lambda s: (s[1], s[0])
         out = []
-        for base, more in zip(found, extra, strict=True):
-            taken = _Taken(base)
-            for _, c in sorted(more, key=lambda z: (-z[0], z[1])):
-                taken.put(c)
-            out.append((sorted(base, key=order), sorted(taken.spans, key=order)))
+        for text, base, more in zip(texts, found, extra, strict=True):
+            spans = list(base)
+            if more:
+                taken = bytearray(len(text))  # base spans of different kinds may overlap, added ones overlap none
+                for _, a, b in base:
+                    taken[a:b] = b"\1" * (b - a)
+                for _, c in sorted(more, key=lambda z: (-z[0], z[1])):
+                    if taken.find(1, c[1], c[2]) < 0:
+                        taken[c[1] : c[2]] = b"\1" * (c[2] - c[1])
+                        spans.append(c)
+            out.append((sorted(base, key=order), sorted(spans, key=order)))
         return out
 
 
-class _Taken:
-    """Spans; put() adds one that overlaps none before. Base spans of different kinds may overlap."""
-
-    def __init__(self, base: list[Span]) -> None:
-        self.spans = list(base)
-        self.starts: list[int] = []
-        self.ends: list[int] = []
-        for _, a, b in sorted(base, key=lambda s: s[1:]):
-            if self.ends and a < self.ends[-1]:
-                self.ends[-1] = max(self.ends[-1], b)
-            else:
-                self.starts.append(a)
-                self.ends.append(b)
-
-    def put(self, span: Span) -> None:
-        _, a, b = span
-        k = bisect_right(self.starts, a)
-        if (k and self.ends[k - 1] > a) or (k < len(self.starts) and self.starts[k] < b):
-            return
-        self.starts.insert(k, a)
-        self.ends.insert(k, b)
-        self.spans.append(span)
-
-
+@cache
 def train(cases: int = CASES) -> Model:
-    """Trees and calibrated thresholds from generated cases."""
+    """Trees and calibrated thresholds from generated cases, fitted once a process."""
     x, y, kinds = _cases(cases)
     held = np.random.default_rng(3).random(len(x)) < KEPT
     trees = boost.fit(x[~held], y[~held], trees=120, depth=4)
@@ -335,7 +335,11 @@ def find(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts of the base spans, the hash of their list, and the list of all spans, in place of the arrays."""
+    """Counts of the base spans, the hash of their list, and the list of all spans, in place of the arrays.
+
+    Without spans the counts are 0, the hash is that of the empty text and the list is empty. Rows that repeat
+    are told alike; an empty table gives no rows.
+    """
     name = F.array(*[F.lit(k) for k in KINDS])
     listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", F.get(name, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
     out = found

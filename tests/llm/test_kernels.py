@@ -301,6 +301,17 @@ def test_pii_candidates_are_judged():
     assert model.add(["1" * 60_000 + "@" * 60_000])[0][0] == []
 
 
+def test_many_hits_in_one_text_take_time_in_proportion():
+    model = pii.train()
+    assert model is pii.train()
+    began = time.perf_counter()
+    (base, spans), = model.add(["write a.b@c.de or call +1 (269) 555-3296 now. " * 5000])
+    assert len(base) == 10_000 and len(spans) >= 10_000 and time.perf_counter() - began < 40
+    places = pii.Places([(0, 5, 9), (0, 20, 30), (2, 7, 8)])
+    assert [places.overlaps(0, a, b) for a, b in ((0, 5), (0, 6), (8, 20), (9, 20), (29, 31), (30, 40))] == [False, True, True, False, True, False]
+    assert places.overlaps(2, 0, 99) and not places.overlaps(1, 0, 99)
+
+
 def cost(gain, edges, label):
     return sum(max(0, -g) if x else max(0, g) for g, x in zip(gain, label, strict=True)) + sum(w for i, j, w in edges if label[i] != label[j])
 
