@@ -36,6 +36,8 @@ BROADCAST_IDS = 1 << 20
 #: sharply, and the search gets slower, not less complete). Those in a group.
 FEWEST_COUNTERS, MOST_COUNTERS = 1 << 20, 1 << 25
 BLOCK = 1 << 14
+#: Pairs of one document that a task joins at most, unless that is less than one part in LEAST_SHARE of all pairs.
+LARGE, LEAST_SHARE = 2048, 100_000
 #: 64-bit words of a set's parity map.
 MAPS = 8
 
@@ -124,20 +126,50 @@ def similar(a: bytes, b: bytes, num: int, den: int) -> bool:
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar. Columns of sets: doc_id, sig, members."""
-    one = sets.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a"), F.col("members").alias("set_a"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b"), F.col("members").alias("set_b"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, sa, sb, ma, mb = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "sig_a", "sig_b", "set_a", "set_b"))
-            keep = []
-            for k in range(batch.num_rows):
-                same = np.frombuffer(sa[k].as_buffer(), np.uint32) == np.frombuffer(sb[k].as_buffer(), np.uint32)
-                keep.append(bool(same.mean() >= num / den - SLACK) and similar(ma[k].as_buffer(), mb[k].as_buffer(), num, den))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["u", "v"])
-
-    return pairs.join(one, "a").join(two, "b").mapInArrow(run, "u long, v long")
+    def by_signature(x, y) -> bool:
+        return bool((np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)).mean() >= num / den - SLACK)
+
+    def filtered(test, with_: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                a, b, x, y = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", f"{with_}_a", f"{with_}_b"))
+                mask = pa.array([test(x[k].as_buffer(), y[k].as_buffer()) for k in range(batch.num_rows)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
+
+        hot = _hot(pairs)
+        both = _beside(_beside(pairs, sets, "a", with_, hot), sets, "b", with_, hot)
+        return both.mapInArrow(run, "a long, b long")
+
+    # signatures are of one size and small: full sets are sent for the pairs only that these leave
+    pairs = stage(filtered(by_signature, "sig"), "alike")
+    return filtered(lambda x, y: similar(x, y, num, den), "members").select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def _hot(pairs: DataFrame) -> DataFrame | None:
+    """id, parts: the documents of more than LARGE pairs (the pivot of a large bucket), or of more than one part in
+    LEAST_SHARE of all, and in how many parts their pairs are joined. None if there are none."""
+    total = pairs.count()
+    large = max(LARGE, total // LEAST_SHARE)
+    if total <= large:
+        return None
+    both = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    # at most twice LEAST_SHARE rows, as their counts add up to twice the total
+    hot = stage(both.groupBy("id").agg(F.count("*").alias("k")).where(F.col("k") > large).select("id", F.ceil(F.col("k") / large).cast("int").alias("parts")), "hot")
+    return None if hot.isEmpty() else hot
+
+
+def _beside(pairs: DataFrame, sets: DataFrame, side: str, column: str, hot: DataFrame | None) -> DataFrame:
+    """pairs with a column of sets for the document of that side, as column_side; hot documents' pairs are dealt
+    to several tasks, and their sets go to each of these."""
+    own = sets.select(F.col("doc_id").alias(side), F.col(column).alias(f"{column}_{side}"))
+    if hot is None:
+        return pairs.join(own, side)
+    hot = F.broadcast(hot.withColumnRenamed("id", side))
+    other = "b" if side == "a" else "a"
+    dealt = pairs.join(hot, side, "left").withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    spread = own.join(hot, side, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(spread, [side, "part"]).drop("part")
 
 
 def _slot(h: np.ndarray, counters: int) -> np.ndarray:

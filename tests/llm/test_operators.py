@@ -153,6 +153,23 @@ def test_near_duplicates_of_one_original(spark):
     assert 1 < len({c for _, c in want.values()}) < 160
 
 
+def test_near_duplicates_of_a_hot_pivot(spark, docs, monkeypatch):
+    """One original with hundreds of near copies; its pairs are dealt to many tasks and come to the same."""
+    monkeypatch.setattr(minhash, "LARGE", 7)
+    base = docs["text"][0].split()[:120]
+    texts = [" ".join([*base[:k], "changed", *base[k + 1 :]]) for k in range(120)] + [f"{' '.join(base)} end{k}" for k in range(200)]
+    table = pd.concat([pd.DataFrame({"doc_id": range(320), "text": texts}), docs[["doc_id", "text"]].head(30).assign(doc_id=range(1000, 1030))])
+    want = near_by_force(table["doc_id"], table["text"], 3, 85, 100)
+    got = minhash.near_duplicates(spark.createDataFrame(table, "doc_id long, text string"), 3, 85, 100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    pairs = spark.createDataFrame([(0, k) for k in range(1, 101)] + [(k, 200) for k in range(1, 20)], "a long, b long")
+    sets = spark.range(201).select(F.col("id").alias("doc_id"), (F.col("id") * 3).alias("sig"))
+    hot = minhash._hot(pairs)
+    assert {r.id: r.parts for r in hot.collect()} == {0: 15, 200: 3}
+    both = minhash._beside(minhash._beside(pairs, sets, "a", "sig", hot), sets, "b", "sig", hot)
+    assert sorted((r.a, r.b, r.sig_a, r.sig_b) for r in both.collect()) == sorted((r.a, r.b, 3 * r.a, 3 * r.b) for r in pairs.collect())
+
+
 def test_near_duplicates_awkward(spark):
     got = minhash.near_duplicates(awkward(spark)).toPandas()
     assert len(got) == 16
