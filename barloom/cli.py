@@ -7,13 +7,15 @@ from __future__ import annotations
 
 import argparse
 import json
+from datetime import UTC, datetime
 
 from barloom.operators.config import BacktestConfig
 from barloom.plans.experiments import EXPERIMENTS
 from barloom.plans.report import print_summary, to_html
 from barloom.plans.strategies import REGISTRY
 from barloom.session import local_session
-from barloom.sources.providers import get_ohlcv, get_provider
+from barloom.settings import Settings
+from barloom.sources.providers import fetch_by_month, get_ohlcv, get_provider, last
 from barloom.sources.store import BarStore
 
 
@@ -37,14 +39,17 @@ def parser() -> argparse.ArgumentParser:
     sub = top.add_subparsers(dest="command", required=True)
     for name in ("fetch", "backtest", "report", "experiment"):
         p = sub.add_parser(name)
-        p.add_argument("--store", required=True)
+        p.add_argument("--store", default=Settings.load().store)
         p.add_argument("--symbol", required=True)
         p.add_argument("--tf", default="1h")
         p.add_argument("--start")
+        p.add_argument("--last", help="instead of a start: 2weeks, 5d, 36h")
         p.add_argument("--end")
         p.add_argument("--source", default="binance")
         p.add_argument("--market", default="spot")
         p.add_argument("--master", default="*")
+        if name == "fetch":
+            p.add_argument("--by-month", action="store_true", help="keep each month before the next is fetched")
         if name in ("backtest", "report"):
             p.add_argument("--strategy", required=True, choices=sorted(REGISTRY))
             p.add_argument("--params", default="{}", help="JSON")
@@ -64,7 +69,12 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = local_session(args.master)
     store = BarStore(spark, args.store)
+    if args.last:
+        args.start = str(last(args.last))
     if args.command == "fetch":
+        if args.by_month:
+            until = datetime.fromisoformat(args.end) if args.end else datetime.now(UTC).replace(tzinfo=None, microsecond=0)
+            return 0 if fetch_by_month(store, args.symbol, args.tf, datetime.fromisoformat(args.start), until, get_provider(args.source), args.market) else 1
         rows = get_ohlcv(store, args.symbol, args.tf, args.start, args.end, get_provider(args.source), args.market)
         print(f"{rows.count()} bars")
         return 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import math
 import random
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -156,6 +157,108 @@ def random_search(bars: DataFrame, strategy: type[Strategy], space: dict[str, li
     return out
 
 
+@dataclass
+class Trial:
+    """Parameters, and the metric's mean over symbols; None where no symbol has it."""
+
+    number: int
+    params: dict
+    value: float | None
+
+
+@dataclass
+class Study:
+    """Trials of a search in order."""
+
+    direction: str
+    trials: list[Trial] = field(default_factory=list)
+
+    def ranked(self) -> list[Trial]:
+        """Trials with a value, the best first."""
+        known = [t for t in self.trials if t.value is not None]
+        return sorted(known, key=lambda t: -t.value if self.direction in ("max", "maximize") else t.value)
+
+    @property
+    def best_trial(self) -> Trial:
+        if not self.ranked():
+            raise ValueError("no trial has a value")
+        return self.ranked()[0]
+
+    @property
+    def best_params(self) -> dict:
+        return self.best_trial.params
+
+    @property
+    def best_value(self) -> float:
+        return self.best_trial.value
+
+
+def _is_range(spec) -> bool:
+    return isinstance(spec, (list, tuple)) and len(spec) == 2 and all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in spec)
+
+
+def _log_density(spec, value, seen: list) -> float:
+    """Log density of a value by a Parzen estimate over the values seen and one wide prior."""
+    if not _is_range(spec):
+        return math.log((sum(v == value for v in seen) + 1 / len(spec)) / (len(seen) + 1))
+    room = float(spec[1] - spec[0]) or 1.0
+    width = room / (1 + len(seen)) ** 0.5
+    bells = [math.exp(-0.5 * ((value - m) / s) ** 2) / s for m, s in [(spec[0] + room / 2, room), *((v, width) for v in seen)]]
+    return math.log(sum(bells) / len(bells) + 1e-300)
+
+
+def _propose(space: dict[str, list], good: list[dict], rest: list[dict], r: random.Random, draws: int = 24) -> dict:
+    """Of draws near good trials, parameter by parameter, the one that is likelier among these than among the rest."""
+    out = {}
+    for name, spec in space.items():
+        near = []
+        for _ in range(draws):
+            base = r.choice([*good, None])
+            if base is None or not _is_range(spec):
+                near.append(_draw(spec, r) if base is None else base[name])
+            else:
+                v = r.gauss(base[name], (spec[1] - spec[0]) / (1 + len(good)) ** 0.5)
+                v = min(max(v, spec[0]), spec[1])
+                near.append(round(v) if all(isinstance(x, int) for x in spec) else v)
+        out[name] = max(near, key=lambda v: _log_density(spec, v, [g[name] for g in good]) - _log_density(spec, v, [b[name] for b in rest]))  # noqa: B023
+    return out
+
+
+def model_search(bars: DataFrame, strategy: type[Strategy], space: dict[str, list], cfg: BacktestConfig, metric: str = "sharpe", direction: str = "maximize", n_trials: int = 50, valid: Callable[[dict], bool] | None = None, seed: int = 0, batch: int = 8, startup: int = 10, good_share: float = 0.25) -> Study:
+    """A study whose trials are drawn by a model of which parameters did well (tree-structured Parzen estimates).
+
+    The first startup trials are random. Then trials with a value are parted into a good share and the rest, and
+    each parameter is drawn where the good ones are likelier than the others. Trials run batch by batch, each
+    batch one Spark job over all symbols; one row a trial is collected.
+    """
+    r, study = random.Random(seed), Study(direction)
+    seen: set[str] = set()
+    while len(study.trials) < n_trials:
+        ranked = study.ranked()
+        n_good = max(1, math.ceil(good_share * len(ranked)))
+        wanted = min(batch, n_trials - len(study.trials))
+        params: list[dict] = []
+        for attempt in range(200 * wanted):
+            if len(params) == wanted:
+                break
+            # where the model only draws what has been tried, chance finds the rest
+            random_ = len(study.trials) < startup or len(ranked) < 2 or attempt > 20 * wanted
+            p = {k: _draw(v, r) for k, v in space.items()} if random_ else _propose(space, [t.params for t in ranked[:n_good]], [t.params for t in ranked[n_good:]], r)
+            mark = json.dumps(p, sort_keys=True, default=str)
+            if mark not in seen and (valid is None or valid(p)):
+                seen.add(mark)
+                params.append(p)
+        if not params:
+            break  # the space has no further valid point that was found
+        rows = sweep(bars, [(p, strategy(**p)) for p in params], [({}, cfg)])
+        value = F.when(F.abs(metric) != float("inf"), F.col(metric))
+        told = {x[RUN]: x["m"] for x in rows.groupBy(RUN).agg(F.avg(value).alias("m")).collect()}
+        study.trials += [Trial(len(study.trials) + k, p, told.get(k)) for k, p in enumerate(params)]
+    if not study.trials:
+        raise ValueError("no valid trial")
+    return study
+
+
 @dataclass
 class Experiment:
     """A named search over strategy parameters and account settings, ranked by a metric."""

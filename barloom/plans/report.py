@@ -13,9 +13,12 @@ from barloom.operators import attribution as A
 from barloom.operators import statistics as M
 from barloom.operators.backtest import RUN, SimResult
 from barloom.operators.timeframe import span
+from barloom.plans import charts
 
 #: Points that a drawing may have; the curve is cut to as many buckets before it is collected.
 POINTS = 1000
+#: Runs and symbols that a page draws.
+DRAWN = 20
 
 
 def summary(result: SimResult, bars: DataFrame | None = None, tz: str | None = None) -> dict[str, list[dict]]:
@@ -68,15 +71,6 @@ def _table(rows: list[dict]) -> str:
     return f"<table><tr>{head}</tr>" + "".join("<tr>" + "".join(f"<td>{_cell(v)}</td>" for v in r.values()) + "</tr>" for r in rows) + "</table>"
 
 
-def _line(values: list[float], width: int = 900, height: int = 220) -> str:
-    if len(values) < 2:
-        return ""
-    low, high = min(values), max(values)
-    room = (high - low) or 1.0
-    path = " ".join(f"{width * k / (len(values) - 1):.1f},{height - height * (v - low) / room:.1f}" for k, v in enumerate(values))
-    return f'<svg viewBox="0 0 {width} {height}" width="{width}" height="{height}"><polyline fill="none" stroke="#247" points="{path}"/></svg>'
-
-
 def print_summary(result: SimResult, tz: str | None = None) -> dict[str, list[dict]]:
     """The main numbers of each symbol and the best weekday and session, printed; gives all tables."""
     tables = summary(result, tz=tz)
@@ -88,15 +82,14 @@ def print_summary(result: SimResult, tz: str | None = None) -> dict[str, list[di
 
 
 def to_html(result: SimResult, path: str, title: str = "Backtest", bars: DataFrame | None = None, tz: str | None = None) -> str:
-    """One self-contained page: equity and drawdown curves, and all tables."""
+    """One self-contained page: all tables, and the drawings of the first DRAWN runs and symbols."""
     tables = summary(result, bars, tz)
     parts = [f"<h1>{escape(title)}</h1>"]
-    for column in ("equity", "drawdown"):
-        rows = curve(result, column=column).orderBy(RUN, KEY, "t").collect()
-        series: dict[str, list[float]] = {}
-        for r in rows:
-            series.setdefault(r[KEY], []).append(r["last"])
-        parts += [f"<h2>{column}: {escape(str(k))}</h2>{_line(v)}" for k, v in series.items()]
+    for run, symbol in [(r[RUN], r[KEY]) for r in result.accounts.orderBy(RUN, KEY).limit(DRAWN).collect()]:
+        parts += [charts.equity_and_drawdown(result.equity, symbol, run), charts.monthly_heatmap(result.equity, symbol, run)]
+        if bars is not None:
+            parts.append(charts.price_and_trades(bars, result.trades.where(F.col(RUN) == run), symbol))
+    parts.append(charts.hour_weekday_heatmap(result.trades, tz=tz))
     parts += [f"<h2>{escape(name)}</h2>{_table(rows)}" for name, rows in tables.items()]
     style = "body{font:14px sans-serif;margin:2em}td,th{padding:2px 8px;text-align:right;border-bottom:1px solid #ddd}"
     Path(path).write_text(f"<!doctype html><meta charset=utf-8><title>{escape(title)}</title><style>{style}</style>{''.join(parts)}")

@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from barloom.functions.columns import KEY, TIME
-from barloom.sources.store import BarStore, merge_bars, missing_ranges, validate_ohlcv
+from barloom.settings import get_logger
+from barloom.sources.store import BarStore, merge_bars, missing_ranges, pages_needed, show_last, validate_ohlcv
+from barloom.staging import drop, stage
 
 #: Timeframes and request limits of the providers.
 KLINE_INTERVALS = ("1m", "3m", "5m", "15m", "30m", "1h", "2h", "4h", "6h", "8h", "12h", "1d", "3d", "1w", "1M")
@@ -27,6 +29,8 @@ KLINE_LIMIT = 1000
 RETRY_STATUS = frozenset((418, 429, 500, 502, 503, 504))
 FX_INTERVALS = {"1m": "1m", "5m": "5m", "10m": "10m", "15m": "15m", "30m": "30m", "1h": "1h", "4h": "4h", "1d": "1d"}
 FX_SYMBOLS = {"GOLD": "XAU/USD", "XAUUSD": "XAU/USD", "SILVER": "XAG/USD", "XAGUSD": "XAG/USD"}
+#: Pages of one task, at most: long ranges are cut.
+PAGES_A_TASK = 50
 
 _KLINES = "symbol string, open_time timestamp_ntz, open double, high double, low double, close double, volume double, quote_volume double, num_trades long, taker_buy_base double, taker_buy_quote double"
 
@@ -37,6 +41,15 @@ class HttpError(Exception):
         self.status, self.retry_after = status, retry_after
 
 
+class IncompleteError(Exception):
+    """Some pages could not be fetched; the others are in the store."""
+
+
+def spacing_seconds(tf: str) -> int:
+    """Seconds of a bar."""
+    return show_last(tf.replace("M", "mo"))
+
+
 def wait_for(attempt: int, base: float = 1.0, most: float = 60.0, retry_after: float | None = None) -> float:
     """Seconds before the next try: what the server asks for, or twice as long each time, up to a limit."""
     return min(most, retry_after) if retry_after is not None else min(most, base * 2 ** (attempt - 1))
@@ -61,11 +74,20 @@ def with_retries(fetch: Callable[[], list], tries: int = 5, sleep: Callable[[flo
 Page = Callable[[str, str, int, int, int], list]  # symbol, tf, start ms, end ms, limit -> kline rows
 
 
-def kline_rows(symbol: str, tf: str, start: int, end: int, page: Page, limit: int = KLINE_LIMIT, sleep: Callable[[float], None] = time.sleep) -> Iterator[tuple]:
-    """All rows from start to end (milliseconds, both included), page after page."""
+def kline_rows(symbol: str, tf: str, start: int, end: int, page: Page, limit: int = KLINE_LIMIT, sleep: Callable[[float], None] = time.sleep, keep: bool = False) -> Iterator[tuple]:
+    """All rows from start to end (milliseconds, both included), page after page.
+
+    If a page fails for good: an error, or with keep the rows so far and a row without a time, as a mark.
+    """
     at = start
     while at <= end:
-        rows = with_retries(lambda: page(symbol, tf, at, end, limit), sleep=sleep)  # noqa: B023
+        try:
+            rows = with_retries(lambda: page(symbol, tf, at, end, limit), sleep=sleep)  # noqa: B023
+        except (HttpError, TimeoutError, ConnectionError):
+            if not keep:
+                raise
+            yield (symbol, *[None] * 10)
+            return
         for r in rows:
             when = datetime.fromtimestamp(int(r[0]) / 1000, UTC).replace(tzinfo=None)
             yield (symbol, when, *[float(x) for x in r[1:6]], float(r[7]), int(r[8]), float(r[9]), float(r[10]))
@@ -74,6 +96,13 @@ def kline_rows(symbol: str, tf: str, start: int, end: int, page: Page, limit: in
         at = int(rows[-1][0]) + 1
 
 
+def cut_ranges(ranges: list[tuple[int, int]], tf: str, bars: int) -> list[tuple[int, int]]:
+    """Ranges (milliseconds, both ends included) of at most that many bars each; empty ones go."""
+    unit = {"m": 60, "h": 3600, "d": 86_400, "w": 604_800, "M": 2_592_000}[tf[-1]]
+    width = int(tf[:-1]) * unit * 1000 * bars
+    return [(at, min(int(b), at + width - 1)) for a, b in ranges for at in range(int(a), int(b) + 1, width)]
+
+
 @dataclass
 class _Range(InputPartition):
     start: int
@@ -81,7 +110,8 @@ class _Range(InputPartition):
 
 
 class KlineSource(DataSource):
-    """spark.read.format("klines") with options symbol, tf, ranges (JSON pairs of ms) and page (module:function)."""
+    """spark.read.format("klines") with options symbol, tf, ranges (JSON pairs of ms), page (module:function), limit,
+    pages (of a task), and keep (true: see kline_rows)."""
 
     @classmethod
     def name(cls) -> str:
@@ -100,15 +130,17 @@ class _KlineReader(DataSourceReader):
         self.ranges = json.loads(options["ranges"])
         self.page = options["page"]
         self.limit = int(options.get("limit", KLINE_LIMIT))
+        self.pages = int(options.get("pages", PAGES_A_TASK))
+        self.keep = options.get("keep", "false") == "true"
 
     def partitions(self) -> list[InputPartition]:
-        return [_Range(int(a), int(b)) for a, b in self.ranges if a <= b]
+        return [_Range(a, b) for a, b in cut_ranges(self.ranges, self.tf, self.limit * self.pages)]
 
     def read(self, partition: _Range) -> Iterator[tuple]:
         import importlib
 
         module, _, name = self.page.partition(":")
-        yield from kline_rows(self.symbol, self.tf, partition.start, partition.end, getattr(importlib.import_module(module), name), self.limit)
+        yield from kline_rows(self.symbol, self.tf, partition.start, partition.end, getattr(importlib.import_module(module), name), self.limit, keep=self.keep)
 
 
 def http_page(symbol: str, tf: str, start: int, end: int, limit: int) -> list:  # pragma: no cover - needs a network
@@ -154,6 +186,7 @@ class KlineProvider:
 
     page: str = "barloom.sources.providers:http_page"
     limit: int = KLINE_LIMIT
+    pages_a_task: int = PAGES_A_TASK
     name: str = "binance"
 
     def fetch(self, spark: SparkSession, symbol: str, tf: str, ranges: list[tuple[datetime, datetime]]) -> DataFrame:
@@ -161,13 +194,15 @@ class KlineProvider:
             raise ValueError(f"unknown interval {tf!r}")
         spark.dataSource.register(KlineSource)
         pairs = json.dumps([[_ms(a), _ms(b)] for a, b in ranges])
-        return spark.read.format("klines").options(symbol=symbol.upper(), tf=tf, ranges=pairs, page=self.page, limit=str(self.limit)).load()
+        return spark.read.format("klines").options(symbol=symbol.upper(), tf=tf, ranges=pairs, page=self.page, limit=str(self.limit), pages=str(self.pages_a_task), keep="true").load()
 
 
 def fx_symbol(symbol: str) -> str:
-    """A six-letter pair as XXX/YYY, and some names of metals."""
-    s = symbol.upper()
-    return FX_SYMBOLS.get(s, f"{s[:3]}/{s[3:]}" if len(s) == 6 and s.isalpha() else s)
+    """A pair of six characters, with or without a slash, as XXX/YYY, and some names of metals; others are errors."""
+    s = symbol.upper().replace("/", "")
+    if s not in FX_SYMBOLS and len(s) != 6:
+        raise ValueError(f"no instrument is known for {symbol!r}")
+    return FX_SYMBOLS.get(s, f"{s[:3]}/{s[3:]}")
 
 
 def normalise(raw: DataFrame, symbol: str) -> DataFrame:
@@ -213,15 +248,30 @@ def get_provider(name: str) -> Provider:
 
 
 def get_ohlcv(store: BarStore, symbol: str, tf: str, start: str, end: str | None = None, provider: Provider | None = None, market: str = "spot", tz: str = "UTC", columns: list[str] | None = None, refresh: bool = False) -> DataFrame:
-    """Bars from start to end, both included, with their local time t. Only what the store lacks is fetched."""
+    """Bars from start to end, both included, with their local time t. Only what the store lacks is fetched.
+
+    If pages fail for good, what was fetched is put into the store all the same, and IncompleteError is raised:
+    the next call fetches the rest.
+    """
     provider = provider or get_provider("binance")
     where = {"source": provider.name, "market": market}
     until = end or datetime.now(UTC).replace(tzinfo=None).isoformat(sep=" ", timespec="seconds")
-    if refresh or not store.covers(symbol, tf, start, end, **where):
+    series = (provider.name, market, symbol.upper(), tf)
+    if refresh or store.incomplete(*series) or not store.covers(symbol, tf, start, end, **where):
         have = store.load(symbol, tf, **where).limit(0) if refresh else store.load(symbol, tf, **where)
         ranges = [(r["from"], r["to"]) for r in missing_ranges(have, tf, start, until, symbol.upper()).collect()]
         if ranges:
-            store.write(provider.fetch(store.spark, symbol, tf, ranges), tf, **where)
+            log = get_logger("barloom.fetch")
+            step = int(spacing_seconds(tf))
+            log.info("%s %s: %d ranges, about %d pages", symbol, tf, len(ranges), sum(pages_needed(_ms(a) // 1000, _ms(b) // 1000, step, KLINE_LIMIT) for a, b in ranges))
+            got = stage(provider.fetch(store.spark, symbol, tf, ranges), "fetched")  # once, however often it is read below
+            store.write(got.where(F.col(TIME).isNotNull()), tf, **where)
+            failed = got.where(F.col(TIME).isNull()).count()
+            drop(got)
+            if failed or store.incomplete(*series):
+                store.incomplete(*series, set_to=failed > 0)
+            if failed:
+                raise IncompleteError(f"{symbol} {tf}: {failed} ranges broke off; what was fetched is kept")
     rows = store.load(symbol, tf, start, until, columns, **where)
     return rows.withColumn("t", F.convert_timezone(F.lit("UTC"), F.lit(tz), F.col(TIME)))
 
@@ -235,3 +285,22 @@ def month_ends(start: datetime, end: datetime) -> list[datetime]:
     return out
 
 
+def fetch_by_month(store: BarStore, symbol: str, tf: str, start: datetime, end: datetime, provider: Provider | None = None, market: str = "spot") -> bool:
+    """Fetch a long span month by month, each kept before the next is asked for; whether all of it is there.
+
+    After a failure the next call goes on where this one stopped.
+    """
+    log = get_logger("barloom.fetch")
+    for until in month_ends(start, end):
+        try:
+            get_ohlcv(store, symbol, tf, str(start), str(until), provider, market)
+        except (IncompleteError, HttpError, TimeoutError, ConnectionError) as e:
+            log.error("%s %s stopped before %s (%s); call again to go on", symbol, tf, until, e)
+            return False
+        log.info("%s %s is there until %s", symbol, tf, until)
+    return True
+
+
+def last(text: str, now: datetime | None = None) -> datetime:
+    """The start of the span before now that a text such as 2weeks or 36h names."""
+    return (now or datetime.now(UTC).replace(tzinfo=None, microsecond=0)) - timedelta(seconds=show_last(text))

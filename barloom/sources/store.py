@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -64,7 +65,10 @@ class BarStore:
             extra = [T.StructField(c, T.StringType()) for c in ("source", "market", "tf", "month")]
             return self.spark.createDataFrame([], T.StructType([*BAR_SCHEMA.fields, *extra]))
         text = T.StructType([T.StructField(c, T.StringType()) for c in PARTITIONS])
-        return self.spark.read.schema(T.StructType([*[f for f in self.spark.read.parquet(self.root).schema.fields if f.name not in PARTITIONS], *text.fields])).parquet(self.root)
+        # a damaged file counts as not there: its bars are missing, and are fetched again
+        reader = lambda: self.spark.read.option("ignoreCorruptFiles", "true")
+        own = [f for f in reader().parquet(self.root).schema.fields if f.name not in PARTITIONS]
+        return reader().schema(T.StructType([*own, *text.fields])).parquet(self.root)
 
     def load(self, symbol: str, tf: str, start: str | None = None, end: str | None = None, columns: list[str] | None = None, source: str = "binance", market: str = "spot") -> DataFrame:
         """A series: partitions are pruned by its keys and months, times are pushed to the scan, columns pruned."""
@@ -87,13 +91,23 @@ class BarStore:
         else:
             new = validate_ohlcv(new, keys)
         # read in full before partitions that it reads are replaced
-        staged = f"{self.root}__staging"
-        new.write.mode("overwrite").parquet(staged)
+        staged = f"{self.root}__staging-{uuid.uuid4().hex}"
+        new.write.parquet(staged)
         ready = self.spark.read.schema(new.schema).parquet(staged)
         ready.repartition(*PARTITIONS).sortWithinPartitions(KEY, TIME).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(self.root)
         path = self.spark._jvm.org.apache.hadoop.fs.Path(staged)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def incomplete(self, *series: str, set_to: bool | None = None) -> bool:
+        """Whether a fetch of the series broke off, so that it may have gaps to fill; set_to changes that."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}__incomplete/{'-'.join(series)}")
+        files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if set_to:
+            files.create(path, True).close()
+        elif set_to is False:
+            files.delete(path, False)
+        return bool(files.exists(path))
+
     def catalog(self) -> DataFrame:
         """Rows and first and last time of each series."""
         return catalog(self.table(), ("source", "market", KEY, "tf"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from typing import Any
 
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from barloom.functions.columns import KEY, TIME
+from barloom.operators.backtest import SIGNALS, _arrays, _signals
+from barloom.operators.config import BacktestConfig
+from barloom.operators.simulator import Simulation
 from barloom.operators.timeframe import span
 from barloom.session import ship
 
@@ -27,42 +31,40 @@ def stream_bars(ticks: DataFrame, rule: str, late: str = "10 minutes", symbol: s
     return out.select(KEY, F.col("window.start").cast("timestamp_ntz").alias(TIME), "open", "high", "low", "close", "volume")
 
 
+_OUT = [("side", "string"), ("entry_time", "timestamp"), ("exit_time", "timestamp"), *[(c, "double") for c in ("entry_price", "exit_price", "stop_price", "qty", "gross_pnl", "fees", "pnl")], ("close_reason", "string")]
+
+
 class _Follower(StatefulProcessor):
-    """One long position a symbol, entered and left by signals as bars arrive in order."""
+    """The account of a symbol, traded as bars arrive in order; what is open is all its state."""
 
-    def __init__(self, cash: float, fee: float) -> None:
-        self.start, self.fee = cash, fee
+    def __init__(self, cfg: BacktestConfig) -> None:
+        self.cfg = cfg
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("account", "cash double, entry double, qty double, entry_time timestamp")
+        self.state = handle.getValueState("account", "simulation binary")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         got = self.state.get()
-        cash, entry, qty, since = got if got is not None else (self.start, None, None, None)
-        out = []
-        for bar in pd.concat(list(rows)).sort_values(TIME).itertuples():
-            if qty and bar.exit_long:
-                gross = (bar.close - entry) * qty
-                fee = bar.close * qty * self.fee
-                cash += gross - fee
-                out.append((key[0], since, getattr(bar, TIME), entry, bar.close, qty, gross - fee - entry * qty * self.fee))
-                qty = None
-            if not qty and bar.entry_long and cash > 0:
-                entry, qty, since = bar.close, self.start / bar.close, getattr(bar, TIME)
-                cash -= entry * qty * self.fee
-        self.state.update((cash, entry, qty, since))
-        yield pd.DataFrame(out, columns=[KEY, "entry_time", "exit_time", "entry_price", "exit_price", "qty", "pnl"])
+        run = pickle.loads(got[0]) if got is not None else Simulation(self.cfg)  # noqa: S301 - written below
+        bars = pd.concat(list(rows)).sort_values(TIME)
+        _, _, ended = run.feed(_arrays(bars, self.cfg, "close"), _signals(bars), bars[TIME].to_numpy())
+        self.state.update((pickle.dumps(run),))
+        out = [(key[0], "long" if t.side > 0 else "short", t.entry_time, t.exit_time, t.entry_price, t.exit_price, t.stop_price, t.qty, t.gross, t.entry_fee + t.exit_fee, t.pnl, t.reason) for t in ended]
+        yield pd.DataFrame(out, columns=[KEY, *[c for c, _ in _OUT]])
 
     def close(self) -> None:
         pass
 
 
-def stream_trades(signals: DataFrame, initial_cash: float = 10_000.0, fee_bps: float = 0.0) -> DataFrame:
-    """Finished trades of a stream of bars with entry_long and exit_long; the account is the state of a symbol.
+def stream_trades(signals: DataFrame, cfg: BacktestConfig) -> DataFrame:
+    """Finished trades of a stream of bars with the four signal columns, under any account: costs, stops, ladders,
+    trailing, sizing, margin. The account is the state of a symbol.
 
+    Bars of a symbol must arrive in order of time from one micro-batch to the next, as stream_bars gives them.
     Needs the RocksDB state store.
     """
     ship(signals.sparkSession)
-    rows = signals.select(KEY, F.col(TIME).cast("timestamp").alias(TIME), "close", "entry_long", "exit_long")
-    schema = f"{KEY} string, entry_time timestamp, exit_time timestamp, entry_price double, exit_price double, qty double, pnl double"
-    return rows.groupBy(KEY).transformWithStateInPandas(_Follower(initial_cash, fee_bps / 10_000), schema, "append", "none")
+    refs = [c for c in (cfg.sl_ref_long_col, cfg.sl_ref_short_col) if c and c in signals.columns]
+    rows = signals.select(KEY, F.col(TIME).cast("timestamp").alias(TIME), "close", "high", "low", *[c for c in SIGNALS if c in signals.columns], *dict.fromkeys(refs))
+    schema = ", ".join([f"{KEY} string", *[f"{c} {t}" for c, t in _OUT]])
+    return rows.groupBy(KEY).transformWithStateInPandas(_Follower(cfg), schema, "append", "none")

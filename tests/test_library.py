@@ -1,6 +1,7 @@
 """Strategies, attribution, searches, the store, providers, streams and every query against its SQL."""
 
 import json
+import random
 from datetime import datetime
 
 import duckdb
@@ -177,6 +178,120 @@ def test_provider_fetches_only_what_lacks(spark, tmp_path):
     assert calls[1] == [(datetime(2025, 1, 1, 3, 1), datetime(2025, 1, 1, 4))]
 
 
+def breaking_page(symbol, tf, start, end, limit):
+    """Pages of a server that has nothing to say about the third hour."""
+    if start // 3_600_000 == 482_138:
+        raise P.HttpError(404)
+    return fake_page(symbol, tf, start, end, limit)
+
+
+def test_pages_that_fail_lose_their_range_only(spark, tmp_path):
+    store = ST.BarStore(spark, str(tmp_path / "bars"))
+    ask = lambda page: P.get_ohlcv(store, "abc", "1m", "2025-01-01 00:00:00", "2025-01-01 04:59:00", P.KlineProvider(f"tests.test_library:{page}", limit=60, pages_a_task=1))
+    with pytest.raises(P.IncompleteError):
+        ask("breaking_page")
+    kept = store.load("abc", "1m")
+    assert kept.count() == 240 and kept.where("hour(open_time) = 2").isEmpty()
+    assert ask("fake_page").count() == 300
+    assert P.cut_ranges([[0, 59_999], [60_000, 299_999], [5, 4]], "1m", 2) == [(0, 59_999), (60_000, 179_999), (180_000, 299_999)]
+
+
+def test_months_are_kept_one_by_one(spark, tmp_path):
+    store = ST.BarStore(spark, str(tmp_path / "bars"))
+    asked = []
+
+    class Monthly:
+        name = "binance"
+
+        def fetch(self, spark, symbol, tf, ranges):
+            asked.extend(ranges)
+            if len(asked) == 3:
+                raise TimeoutError
+            rows = [r for a, b in ranges for r in P.kline_rows(symbol, tf, P._ms(a), P._ms(b), daily_page, 500)]
+            return spark.createDataFrame(rows, P._KLINES)
+
+    span = datetime(2025, 1, 1), datetime(2025, 4, 10)
+    assert not P.fetch_by_month(store, "abc", "1d", *span, Monthly())
+    assert store.load("abc", "1d").count() == 60  # two months and the first day of the third
+    assert P.fetch_by_month(store, "abc", "1d", *span, Monthly())
+    assert store.load("abc", "1d").count() == 100
+    assert P.last("2weeks", datetime(2025, 1, 15)) == datetime(2025, 1, 1)
+
+
+def daily_page(symbol, tf, start, end, limit):
+    day = 86_400_000
+    return [[k * day, "1", "2", "0.5", "1.5", "3", 0, "4", 5, "6", "7", "0"] for k in range(-(-start // day), end // day + 1)][:limit]
+
+
+def test_damaged_files_count_as_not_there(spark, tmp_path):
+    store = ST.BarStore(spark, str(tmp_path / "bars"))
+    for k in (1, 2):
+        store.write(to_spark(spark, series([k, k + 1])).withColumn("open_time", F.expr(f"open_time + interval {40 * k} days")), "1m")
+    assert store.load("S", "1m").count() == 4
+    file = next((tmp_path / "bars").rglob("month=2025-03/*.parquet"))
+    file.write_bytes(b"not parquet")
+    for crc in file.parent.glob(".*.crc"):
+        crc.unlink()
+    assert store.load("S", "1m").count() == 2
+
+
+def test_fx_symbols():
+    assert [P.fx_symbol(s) for s in ("xau/usd", "XAUUSD", "eurusd", "gold")] == ["XAU/USD", "XAU/USD", "EUR/USD", "XAU/USD"]
+    with pytest.raises(ValueError):
+        P.fx_symbol("SOMETHING")
+
+
+def test_settings(tmp_path):
+    from barloom.settings import Settings, get_logger
+
+    env = tmp_path / ".env"
+    env.write_text("# a comment\nBARLOOM_STORE='/data/bars'\nBARLOOM_LOG_LEVEL=debug\nnonsense\n")
+    got = Settings.load(env, {"BARLOOM_LOG_LEVEL": "warning"})
+    assert (got.store, got.log_level, got.display_tz) == ("/data/bars", "warning", "UTC")
+    assert Settings.load(tmp_path / "none", {}).store == "bars"
+    assert get_logger("barloom.test", "error").level == 40 and len(get_logger("barloom.test").handlers) == 1
+
+
+def test_charts(spark, gold):
+    from barloom.plans import charts
+
+    result = Y.EmaRibbon(fast=5, slow=20).backtest(gold, CFG)
+    symbol = gold.first()["symbol"]
+    chart = charts.Chart(gold, symbol, first_bars=100).add_ema(50).add_trades(result.trades)
+    near = chart.show()
+    assert near.count('class="candle"') == 100 and "EMA 50" in near
+    wide = chart.zoom().show()
+    assert 100 < wide.count('class="candle"') <= 1.1 * charts.CANDLES and wide.count('class="entry"') == min(result.trades.count(), charts.MARKS)
+    assert len(wide) < 600_000
+    assert "polyline" in charts.price_and_trades(gold, result.trades, symbol)
+    assert charts.equity_and_drawdown(result.equity, symbol).count("polyline") == 2
+    assert 'class="cell"' in charts.monthly_heatmap(result.equity, symbol) + charts.hour_weekday_heatmap(result.trades)
+    assert charts.Chart(gold, "none").show().startswith("<svg") and charts.equity_and_drawdown(result.equity, "none").startswith("<svg")
+    with pytest.raises(ValueError):
+        chart.add_line("no such column")
+    runs = spark.createDataFrame([(3, 10, 1.0), (3, 20, -2.0), (5, 10, None)], "fast long, slow long, r double")
+    assert charts.sweep_heatmap(runs, "fast", "slow", "r").count('class="cell"') == 2
+
+
+def test_model_search_learns(gold):
+    study = search.model_search(gold, Y.EmaRibbon, {"fast": (3, 12), "slow": (15, 40), "confirm_n": [1, 3]}, CFG, "total_return_pct", n_trials=14, batch=5, startup=5, seed=2, valid=lambda p: p["fast"] < p["slow"])
+    assert len(study.trials) == 14 and [t.number for t in study.trials] == list(range(14))
+    assert study.best_value == max(t.value for t in study.trials if t.value is not None) and study.best_params == study.best_trial.params
+    assert len({json.dumps(t.params) for t in study.trials}) == 14
+    good, rest = [{"fast": 4}, {"fast": 5}], [{"fast": 30}, {"fast": 28}, {"fast": 33}]
+    r = random.Random(1)
+    drawn = [search._propose({"fast": (2, 40)}, good, rest, r)["fast"] for _ in range(40)]
+    assert np.mean([v < 15 for v in drawn]) > 0.9
+
+
+def test_shipped_experiments():
+    from barloom.plans.experiments import EXPERIMENTS
+
+    shapes = {n: (e.strategy.name, len(search.expand_grid(e.strategy_space)), len(search.expand_grid(e.cfg_space)), e.metric, e.min_trades) for n, make in EXPERIMENTS.items() for e in [make()]}
+    assert shapes == {"ema_mtf": ("mtf_trend", 24, 1, "sharpe", 20), "session_timing": ("ema_ribbon", 5, 1, "total_return_pct", 10), "exit_design": ("ema_ribbon", 1, 20, "sharpe", 20)}
+    assert not EXPERIMENTS["exit_design"]().base_cfg.allow_rule_close
+
+
 def test_retries_and_pages():
     tries = []
 
@@ -235,12 +350,33 @@ def test_stream_trades_keep_state(spark, tmp_path):
     df.where("close <= 11").coalesce(1).write.parquet(str(tmp_path / "in/a"))
     df.where("close > 11").coalesce(1).write.parquet(str(tmp_path / "in/b"))
     source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-    q = stream_trades(source, 1000.0).writeStream.format("memory").queryName("stream_trades").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q = stream_trades(source, BacktestConfig(initial_cash=1000.0)).writeStream.format("memory").queryName("stream_trades").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(180)
     got = sorted((r.entry_price, r.exit_price) for r in spark.table("stream_trades").collect())
     assert got == [(10.0, 12.0), (13.0, 14.0)]
 
 
+def test_stream_trades_equal_a_backtest(spark, tmp_path):
+    """Stops, targets, shorts and costs on a stream are those of the simulator, whatever the micro-batches."""
+    from barloom.operators.backtest import run_backtest
+    from barloom.streaming.bars import stream_trades
+
+    r = np.random.default_rng(3)
+    close = 100 * np.exp(np.cumsum(r.normal(0, 0.004, 300)))
+    flags = lambda: r.random(300) < 0.08
+    bars = series(close, high=close * 1.003, low=close * 0.997).assign(entry_long=flags(), exit_long=flags(), entry_short=flags(), exit_short=flags())
+    df = to_spark(spark, bars)
+    for k in range(3):
+        df.where((F.col("open_time") >= F.lit(bars["open_time"][100 * k])) & (F.col("open_time") < F.lit(bars["open_time"][100 * k] + pd.Timedelta(minutes=100)))).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    cfg = BacktestConfig(fee_bps=5, slippage_bps=1, exit_enabled=True, sl_mode="entry_pct", sl_value=0.8, tp_mode="rr", tp_value=2.0, trail_mode="pct", trail_value=0.7, sizing_mode="risk_pct_equity")
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    q = stream_trades(source, cfg).writeStream.format("memory").queryName("stream_all").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.awaitTermination(180)
+    key = lambda d: sorted((x.side, str(x.entry_time)[:19], str(x.exit_time)[:19], round(x.pnl, 6), x.close_reason) for x in d.collect())
+    want = key(run_backtest(df, cfg).trades.where("close_reason <> 'forced_close_end'"))
+    assert len(want) > 10 and key(spark.table("stream_all")) == want
+
+
 T, F_ = True, False
 
 # ---- queries against SQL
