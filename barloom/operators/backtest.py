@@ -44,6 +44,12 @@ class SimResult:
     def __init__(self, made: DataFrame, cfg: BacktestConfig) -> None:
         self._made, self.cfg = made, cfg
 
+    @classmethod
+    def of(cls, equity: DataFrame, cfg: BacktestConfig | None = None) -> SimResult:
+        """A result that has an equity curve alone, made elsewhere."""
+        made = equity.select(RUN, KEY, F.lit("equity").alias("kind"), F.col("t").alias("entry_time"), "equity", F.col("open_trades").cast("long").alias("open_trades"))
+        return cls(made.withColumn("drawdown", F.lit(0.0)), cfg or BacktestConfig())
+
     @cached_property
     def _rows(self) -> DataFrame:
         return stage(self._made, "backtest", by="kind")

@@ -116,6 +116,21 @@ def _draw(spec, r: random.Random):
     return r.randint(*spec) if all(isinstance(v, int) for v in spec) else r.uniform(*map(float, spec))
 
 
+def draws(space: dict[str, list], n: int, r: random.Random, valid: Callable[[dict], bool] | None = None, seen: set[str] | None = None) -> list[dict]:
+    """n different random points of a space, or as many as fifty times as many tries find."""
+    seen = set() if seen is None else seen
+    out: list[dict] = []
+    for _ in range(50 * n):
+        if len(out) == n:
+            break
+        p = {k: _draw(v, r) for k, v in space.items()}
+        mark = json.dumps(p, sort_keys=True, default=str)
+        if mark not in seen and (valid is None or valid(p)):
+            seen.add(mark)
+            out.append(p)
+    return out
+
+
 def random_search(bars: DataFrame, strategy: type[Strategy], space: dict[str, list], cfg: BacktestConfig, metric: str = "sharpe", direction: str = "max", n_trials: int = 50, valid: Callable[[dict], bool] | None = None, seed: int = 0, rounds: int = 1, keep: float = 0.25) -> DataFrame:
     """Random trials in batches; later rounds draw ranges around the best of the rounds before.
 
@@ -127,15 +142,7 @@ def random_search(bars: DataFrame, strategy: type[Strategy], space: dict[str, li
     seen: set[str] = set()
     out, first = None, 0
     for turn in range(max(1, rounds)):
-        trials: list[dict] = []
-        for _ in range(50 * n_trials):
-            if len(trials) >= -(-n_trials // max(1, rounds)):
-                break
-            p = {k: _draw(v, r) for k, v in narrowed.items()}
-            mark = json.dumps(p, sort_keys=True, default=str)
-            if mark not in seen and (valid is None or valid(p)):
-                seen.add(mark)
-                trials.append(p)
+        trials = draws(narrowed, -(-n_trials // max(1, rounds)), r, valid, seen)
         if not trials:
             break
         rows = sweep(bars, [(p, strategy(**p)) for p in trials], [({}, cfg)]).withColumn(RUN, F.col(RUN) + first).withColumn("round", F.lit(turn))

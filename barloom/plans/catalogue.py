@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,12 +16,14 @@ from barloom.functions.columns import KEY, TIME, bars_window, without_nan
 from barloom.operators import attribution as A
 from barloom.operators import search, statistics
 from barloom.operators import timeframe as R
-from barloom.operators.backtest import RUN, SIGNALS, run_backtest, with_drawdown
+from barloom.operators.backtest import RUN, SIGNALS, SimResult, run_backtest, with_drawdown
 from barloom.operators.chunks import in_chunks
 from barloom.operators.config import BacktestConfig, TakeProfit
+from barloom.plans import report
 from barloom.plans import strategies as Y
-from barloom.sources import store
+from barloom.sources import providers, store
 from barloom.sources.ticks import event_bars, order_bars
+from barloom.staging import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -132,6 +136,43 @@ def incremental_merge(spark, d):
     return store.merge_bars(head, tail).select(KEY, TIME, "close")
 
 
+@query("store_load", f"WITH {BARS} SELECT symbol, open_time, close FROM bars WHERE symbol = (SELECT min(symbol) FROM bars) AND open_time BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-02-12 12:00:00'")
+def store_load(spark, d):
+    """A series put into a new store, its tail twice, and a span of it loaded."""
+    bars = _bars(spark, d)
+    bars = bars.join(F.broadcast(bars.agg(F.min(KEY).alias(KEY))), KEY).withColumn("own", F.col(KEY)).withColumn(KEY, F.lit("S"))
+    kept = store.BarStore(spark, f"{shared_dir(spark)}/barloom/store-{uuid.uuid4().hex}")
+    kept.write(store.time_slice(bars, None, "2024-01-20 00:00:00").withColumn("close", F.col("close") + 1), "1h")
+    kept.write(bars, "1h")
+    return kept.load("S", "1h", "2024-01-05 00:00:00", "2024-02-12 12:00:00", ["own"]).select(F.col("own").alias(KEY), TIME, "close")
+
+
+@query("fetch_klines", "WITH k AS (SELECT CAST(range AS BIGINT) AS m FROM range(0, 2881)) SELECT 'TEST' AS symbol, TIMESTAMP '2024-03-01 00:00:00' + to_minutes(m) AS open_time, 100 + (28487520 + m) % 97 / 10 AS open, 100 + (28487520 + m) % 89 / 10 AS close, CAST((28487520 + m) % 13 AS DOUBLE) AS volume, (28487520 + m) % 7 AS num_trades FROM k")
+def fetch_klines(spark, d):
+    """Two days of a generated source's klines, page after page, through a new store."""
+    kept = store.BarStore(spark, f"{shared_dir(spark)}/barloom/store-{uuid.uuid4().hex}")
+    provider = providers.KlineProvider("barloom.sources.providers:generated_page", limit=100, pages_a_task=5)
+    rows = providers.get_ohlcv(kept, "test", "1m", "2024-03-01 00:00:00", "2024-03-03 00:00:00", provider)
+    return rows.select(KEY, TIME, "open", "close", "volume", "num_trades")
+
+
+@query("parse_klines", f"WITH {BARS} SELECT 'X' AS symbol, open_time, open, high, low, close, round(volume, 6) AS volume, CAST(7 AS BIGINT) AS num_trades FROM bars WHERE symbol = (SELECT min(symbol) FROM bars)")
+def parse_klines(spark, d):
+    bars = _bars(spark, d)
+    bars = bars.join(F.broadcast(bars.agg(F.min(KEY).alias(KEY))), KEY)
+    text = lambda c: F.col(c).cast("string")
+    row = F.array(F.unix_millis(F.col(TIME).cast("timestamp")).cast("string"), *[text(c) for c in _OHLCV], *[F.lit("0")] * 2, F.lit("7"), *[F.lit("0")] * 3)
+    pages = bars.groupBy(F.trunc(TIME, "month")).agg(F.to_json(F.collect_list(row)).alias("page"))
+    return providers.parse_klines(pages, "page", "X").select(KEY, TIME, *_OHLCV[:4], F.round("volume", 6).alias("volume"), "num_trades")
+
+
+@query("normalise_bars", f"WITH {BARS} SELECT 'EURUSD' AS symbol, open_time, open, high, low, close, 0.0::DOUBLE AS volume FROM bars WHERE symbol = (SELECT max(symbol) FROM bars)")
+def normalise_bars(spark, d):
+    bars = _bars(spark, d)
+    bars = bars.join(F.broadcast(bars.agg(F.max(KEY).alias(KEY))), KEY)
+    return providers.normalise(bars.select(F.col(TIME).cast("string").alias("Timestamp"), *[F.col(c).alias(c.title()) for c in _OHLCV[:4]]), "eurusd")
+
+
 # ---- indicators
 
 
@@ -271,6 +312,7 @@ def _signal(name: str, make: Callable[[], Column], sql: str) -> None:
 for _name, _make, _text in (
     ("sig_above", lambda: S.above("close", "sma_20"), "a"),
     ("sig_below", lambda: S.below("close", "sma_20"), "b"),
+    ("sig_operand", lambda: S.above("close", F.col("open") + 0.001) & S.below("low", 105), "close > open + 0.001 AND low < 105"),
     ("sig_above_all", lambda: S.above_all("close", ["sma_5", "sma_20"]), "coalesce(close > sma_5, false) AND a"),
     ("sig_below_all", lambda: S.below_all("close", ["sma_5", "sma_20"]), "coalesce(close < sma_5, false) AND b"),
     ("sig_cross_up", lambda: S.cross_up("close", "sma_20"), "up"),
@@ -623,6 +665,24 @@ def monthly_returns(spark, d):
     return statistics.monthly_returns(_curve(spark, d)).select(KEY, "year", "month", F.round("return_pct", 6).alias("return_pct"))
 
 
+@query("monthly_table", f"WITH {DAILY}, m AS (SELECT symbol, date_trunc('month', open_time) AS m, arg_max(close, open_time) AS e, arg_min(close, open_time) AS s FROM daily GROUP BY 1, 2), r AS (SELECT symbol, m, (e / coalesce(lag(e) OVER (PARTITION BY symbol ORDER BY m), s) - 1) * 100 AS r FROM m) SELECT symbol, year(m) AS year, " + ", ".join(f'round(max(r) FILTER (month(m) = {k}), 6) AS "{k}"' for k in range(1, 13)) + " FROM r GROUP BY 1, 2")
+def monthly_table(spark, d):
+    return statistics.monthly_table(_curve(spark, d)).select(KEY, "year", *[F.round(str(k), 6).alias(str(k)) for k in range(1, 13)])
+
+
+@query("curve_points", f"WITH {DAILY}, c AS (SELECT symbol, open_time, close, floor((row_number() OVER ({W}) - 1) / ceil(count(*) OVER (PARTITION BY symbol) / 50)) AS b FROM daily) SELECT symbol, min(open_time) AS t, min(close) AS low, max(close) AS high, arg_max(close, open_time) AS last FROM c GROUP BY symbol, b")
+def curve_points(spark, d):
+    """An equity curve cut to fifty points, for a drawing."""
+    return report.curve(SimResult.of(_curve(spark, d)), 50).drop(RUN)
+
+
+@query("chart_trades", f"WITH RECURSIVE {BARS}, {_SIG}, {_RISK_SQL} SELECT symbol, 'entry' AS what, entry_time AS open_time, round(entry_price, 6) AS price, side FROM won UNION ALL SELECT symbol, 'exit', exit_time, round(exit_price, 6), side FROM won")
+def chart_trades(spark, d):
+    """Entries and exits of all trades as points of a chart."""
+    made = run_backtest(_crossing(spark, d), _RISK).trades
+    return report.price_and_trades(_bars(spark, d), made, "4h")[1].withColumn("price", F.round("price", 6))
+
+
 @query("periods_per_year", f"WITH {BARS}, s AS (SELECT symbol, epoch(open_time - lag(open_time) OVER ({W})) AS s FROM bars) SELECT symbol, round(365.25 * 86400 / quantile_cont(s, 0.5), 6) AS periods_per_year FROM s GROUP BY 1")
 def periods_per_year(spark, d):
     return statistics.periods_per_year(_bars(spark, d).withColumnRenamed(TIME, "t"), keys=(KEY,)).withColumn("periods_per_year", F.round("periods_per_year", 6))
@@ -660,10 +720,10 @@ _MINUTE_GRID = _GRID | {"confirm_n": [1, 2, 3, 4]}
 _COLUMNS = ("run_id", "symbol", "fast", "slow", "confirm_n", "num_trades", "total_return_pct", "max_drawdown_pct", "final_cash")
 
 
-def _sweep_sql(grid: dict, trading: str, bars: str = BARS, settings: list[dict] | None = None) -> str:
-    """The runs of a grid of ribbons (and of settings) as (runs): each is one more symbol of the fold."""
-    combos = [c | t for c in search.expand_grid(grid) for t in settings or [{}]]
-    means = ", ".join(recursive_mean(f"m{p}", "n", "close", f"(2.0 / {p + 1})") for p in sorted({*grid["fast"], *grid["slow"]}))
+def _sweep_sql(grid: dict, trading: str, bars: str = BARS, settings: list[dict] | None = None, drawn: list[dict] | None = None) -> str:
+    """The runs of a grid of ribbons (and of settings), or of drawn ones, as (runs): each is one more symbol of the fold."""
+    combos = drawn or [c | t for c in search.expand_grid(grid) for t in settings or [{}]]
+    means = ", ".join(recursive_mean(f"m{p}", "n", "close", f"(2.0 / {p + 1})") for p in sorted({c[k] for c in combos for k in ("fast", "slow")}))
     parts, last = [], []
     for k, c in enumerate(combos):
         fast, slow = c["fast"], c["slow"]
@@ -725,9 +785,13 @@ def experiment_rank(spark, d):
     return e.run(_bars(spark, d)).select("run_id", "symbol", "fast", "slow", "sl_value", "tp_value", "num_trades", *[F.round(c, 4).alias(c) for c in ("total_return_pct", "sharpe", "sortino", "profit_factor")])
 
 
-@query("random_search")
+_SPACE = {"fast": (3, 9), "slow": (12, 30), "confirm_n": [1, 2, 3]}
+_DRAWN = search.draws(_SPACE, 8, random.Random(1))
+
+
+@query("random_search", f"{_sweep_sql(_SPACE, _RISK_SQL, drawn=_DRAWN)} SELECT {_RUNS} FROM runs")
 def random_search(spark, d):
-    return search.random_search(_bars(spark, d), Y.EmaRibbon, {"fast": (3, 9), "slow": (12, 30), "confirm_n": [1, 2, 3]}, _RISK, n_trials=8, seed=1)
+    return _short(search.random_search(_bars(spark, d), Y.EmaRibbon, _SPACE, _RISK, n_trials=8, seed=1))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

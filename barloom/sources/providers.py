@@ -159,6 +159,13 @@ def http_page(symbol: str, tf: str, start: int, end: int, limit: int) -> list:
         raise HttpError(e.code, float(after) if after else None) from e
 
 
+def generated_page(symbol: str, tf: str, start: int, end: int, limit: int) -> list:
+    """A page of one-minute klines that depend on their minute alone: a source for tests and trials."""
+    first = -(-start // 60_000)
+    minutes = range(first, min(end // 60_000, first + limit - 1) + 1)
+    return [[k * 60_000, str(100 + k % 97 / 10), "120", "90", str(100 + k % 89 / 10), str(k % 13), k * 60_000 + 59_999, "0", k % 7, "0", "0", "0"] for k in minutes]
+
+
 def parse_klines(raw: DataFrame, column: str, symbol: str) -> DataFrame:
     """Bars from a column of JSON pages: arrays of arrays of twelve values."""
     rows = raw.select(F.explode(F.from_json(column, "array<array<string>>")).alias("r"))

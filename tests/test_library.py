@@ -384,7 +384,7 @@ T, F_ = True, False
 TABLES = "events orders".split()
 DATA = "/root/testdata/sf0.001"
 #: A few of each kind here; the others differ from these in an expression.
-CHECKED = ["bars_1h", "resample_week", "incremental_merge", "ema_20", "rsi_14", "macd", "supertrend", "swings", "pivot_points", "align_htf_ema", "asof_general", "build_mtf_two", "sig_crossed_up_within", "tf_local_hour", "strat_ema_ribbon_hours", "strat_key_level", "bt_signal_only", "by_session", "by_regime", "monthly_returns", "stats_core", "max_consecutive", "stats_curve", "bt_trades", "bt_stats", "bt_ladder", "bt_margin", "bt_costs", "bt_pyramid", "grid_sweep_exits", "experiment_rank"]
+CHECKED = ["bars_1h", "resample_week", "incremental_merge", "ema_20", "rsi_14", "macd", "supertrend", "swings", "pivot_points", "align_htf_ema", "asof_general", "build_mtf_two", "sig_crossed_up_within", "tf_local_hour", "strat_ema_ribbon_hours", "strat_key_level", "bt_signal_only", "by_session", "by_regime", "monthly_returns", "stats_core", "max_consecutive", "stats_curve", "bt_trades", "bt_stats", "bt_ladder", "bt_margin", "bt_costs", "bt_pyramid", "grid_sweep_exits", "experiment_rank", "fetch_klines", "store_load", "chart_trades"]
 
 
 @pytest.mark.parametrize("name", CHECKED)
