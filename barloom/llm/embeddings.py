@@ -24,6 +24,8 @@ from barloom.llm.scratch import stage
 TILE = 2048
 STRIP = 512
 TINY = 1e-9
+#: Distinct vectors that are broadcast to their rows, at most, and the rows that such a one has at least.
+LARGEST, LEAST_ROWS = 10_000, 16
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -136,7 +138,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.8, vec_id: str = "vec_
     found = connected_components(made.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")))
     links = made.where("a = b").groupBy("a").agg(F.sum("links").alias("links"))
     info = classes.join(links.withColumnRenamed("a", "rep"), "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    info = info.select("label", "v", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = rows.where("good").join(info, ["label", "v"]).select("vec_id", "n_links", "component_id")
+    info = stage(info.select("label", "v", "n", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "told")
+    # vectors that very many rows share are told by broadcast (fewer than LARGEST, as their counts add up to all)
+    large = max(LEAST_ROWS, info.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // LARGEST)
+    hot = F.broadcast(info.where(F.col("n") > large).drop("n"))
+    told = rows.where("good").join(hot, ["label", "v"], "left")
+    cold = told.where("component_id is null").select("vec_id", "label", "v").join(info.where(F.col("n") <= large).drop("n"), ["label", "v"])
+    linked = told.where("component_id is not null").unionByName(cold, allowMissingColumns=True).select("vec_id", "n_links", "component_id")
     alone = rows.where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

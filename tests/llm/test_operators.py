@@ -289,6 +289,9 @@ def test_vectors(spark, monkeypatch):
             assert got[i].component_id == min(seen) and got[i].kept == (i == min(seen))
     assert len(got) == len(rows) and sum(map(len, links.values())) > 900
     assert embeddings.near_vectors(table.limit(0)).count() == 0
+    key = lambda d: sorted((str(x.vec_id), x.n_links, str(x.component_id), x.kept) for x in d.collect())
+    clash = table.withColumns({c: F.lit("x") for c in ("v", "rep", "good", "n", "tile", "Links", "component_id", "kept")})
+    assert key(embeddings.near_vectors(clash, 0.93)) == key(spark.createDataFrame(list(got.values())))
 
 
 # ---- 6
