@@ -43,7 +43,7 @@ _TAG_FLAGS = {"nav": _BOILER, "footer": _BOILER, "aside": _BOILER, "menu": _BOIL
 _BAD = re.compile(r"(?:^|[\s_-])(?:nav\w*|menu\w*|foot\w*|head(?:er)?|masthead|banner|side\w*|ads?|advert\w*|sponsor\w*|promo\w*|cookie\w*|consent|notice\w*|popup|modal|overlay|share|social|related|recommend\w*|breadcrumb\w*|pagination|pager|subscribe|newsletter|login|signup|search|widget\w*|toolbar|copyright|legal|disclaimer|tags?|skip|alert|gdpr|cta|contentinfo|navigation|complementary)(?:$|[\s_-])", re.I)
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|content|main\w*|post|entry|story|body|text|blog|prose)(?:$|[\s_-])", re.I)
 _REMARKS = re.compile(r"(?:^|[\s_-])(?:comments?\w*|replies|reply|disqus|respond|discussion|reader\w*|responses)(?:$|[\s_-])", re.I)
-_LEGAL = re.compile(r"©|\(c\)|copyright|all rights|cookie|privacy|subscribe|sign up|log ?in|advert|sponsored|terms of", re.I)
+_LEGAL = ("©", "(c)", "copyright", "all rights", "cookie", "privacy", "subscribe", "sign up", "login", "log in", "advert", "sponsored", "terms of")
 _NONE = re.compile(r"display\s*:\s*none", re.I)
 
 
@@ -195,7 +195,7 @@ def features(b: Block, place: float, marked: bool = False) -> list[float]:
     inside = has(_MAIN | _GOODNAME)
     return [
         1.0, float(np.log1p(w)) / 5, min(1.0, b.linked / n), float(has(_BOILER)), float(has(_MAIN)), float(has(_BADNAME)), float(has(_GOODNAME)), float(has(_REMARK)), float(has(_CONTROL)),
-        float(has(_HEADER) and not inside), float(b.tag in _HEADINGS), float(b.tag == "p"), float(b.tag == "li"), float(b.text[-1] in ".!?…\"”»"), float(w < 5), min(1.0, 10 * len(_LEGAL.findall(b.text)) / w), float(place > 0.9 and not inside),
+        float(has(_HEADER) and not inside), float(b.tag in _HEADINGS), float(b.tag == "p"), float(b.tag == "li"), float(b.text[-1] in ".!?…\"”»"), float(w < 5), min(1.0, 10 * sum(map(b.text.lower().count, _LEGAL)) / w), float(place > 0.9 and not inside),
         float(has(_WEAKNAME) and not inside), float(has(_HIDDEN) and not inside), float(marked and not inside), float(has(_BOILER) and inside),
     ]
 
