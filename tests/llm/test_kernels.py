@@ -61,6 +61,20 @@ def test_shingle_sets(ts):
             assert len(sets[a] & sets[b]) == len(want[a] & want[b])
 
 
+def test_texts_of_several_pieces():
+    """Words of a text beyond one piece hash as they do anywhere; a word may be longer than a piece itself."""
+    long = " ".join(f"w{k % 5000}" for k in range(700_000)) + " " + "y" * (3 << 20) + " w17"
+    buf = np.frombuffer(long.encode(), np.uint8)
+    starts, ends, first = text.words(buf, np.array([0, len(buf)]))
+    assert len(buf) > 3 * text.PIECE and len(list(text.chunks(starts, ends))) > 3
+    h = text.word_hashes(buf, starts, ends)
+    few = np.frombuffer(" ".join(f"w{k}" for k in range(5000)).encode(), np.uint8)
+    own = text.word_hashes(few, *text.words(few, np.array([0, len(few)]))[:2])
+    assert (h[:700_000] == own[np.arange(700_000) % 5000]).all() and h[-1] == own[17] and h[-2] not in own
+    (_, _, got, offs), = minhash.shingle_sets(pa.array([long]), 3)
+    assert offs.tolist() == [0, 5000 + 2]
+
+
 def test_minhash_estimates():
     r = np.random.default_rng(0)
     a = r.integers(0, 1 << 63, 900, dtype=np.uint64)
