@@ -25,6 +25,7 @@ def run(pdf, cfg, signals=None, **refs):
     return simulate(bars, signals or crosses(pdf), cfg)
 
 
+# Seeded series, accounts, and what must come of them.
 A0, A3 = (0.001, 0.0006), (0.0012, 0.0007)
 GOLDEN = {
     "signal only": (walk(3000, 0, *A0), BacktestConfig(fee_bps=10, slippage_bps=1), 200, 5187.067737),
