@@ -215,6 +215,17 @@ def _add_counts(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block").slice(0, 1), "task": table.column("task").slice(0, 1), "slots": pa.array([slots.astype(np.uint32).tobytes()], pa.binary()), "counts": pa.array([np.minimum(total[slots], 65535).astype(np.uint32).tobytes()], pa.binary())})
 
 
+def _dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The 16-bit counters of whole blocks."""
+    for batch in batches:
+        rows = []
+        for p, c in zip(batch.column(2), batch.column(3), strict=True):
+            block = np.zeros(BLOCK, np.uint16)
+            block[np.frombuffer(p.as_buffer(), np.uint32)] = np.frombuffer(c.as_buffer(), np.uint32)
+            rows.append(block.tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["block", "counts"])
+
+
 def _prefixes(shared, num: int, den: int):
     """The rarest members of each set: two similar sets share one of them, whatever fixed order says what is rare."""
 
@@ -252,8 +263,9 @@ def _by_prefix(sets: DataFrame, found: DataFrame, num: int, den: int) -> DataFra
     members = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     counters = min(MOST_COUNTERS, max(FEWEST_COUNTERS, 1 << (members // 4).bit_length()))
     often = np.ones(counters, np.uint16)
-    for r in sum_in_tree(sets.select("members").mapInArrow(_count_members(counters), _COUNTS), ["block"], "task", _add_counts, _COUNTS).collect():  # at most all counters
-        often[r.block * BLOCK + np.frombuffer(r.slots, np.uint32).astype(np.int64)] = np.frombuffer(r.counts, np.uint32)
+    summed = sum_in_tree(sets.select("members").mapInArrow(_count_members(counters), _COUNTS), ["block"], "task", _add_counts, _COUNTS)
+    for r in summed.mapInArrow(_dense, "block int, counts binary").collect():  # two bytes a counter
+        often[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, np.uint16)
     shared = sets.sparkSession.sparkContext.broadcast(often)
     rows = sets.select("doc_id", "members", "n").mapInArrow(_prefixes(shared, num, den), "doc_id long, member long, place int, n int, " + ", ".join(f"m{k} long" for k in range(MAPS)))
     rows = rows.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
