@@ -17,6 +17,7 @@ from barloom.functions.columns import KEY, TIME, reusing_columns
 from barloom.operators.backtest import _FAST, RUN, run_many
 from barloom.operators.config import BacktestConfig
 from barloom.plans.strategies import Strategy
+from barloom.staging import stage
 
 #: Distinct signal variants in one plan; larger grids are run in parts of this size.
 VARIANTS = 48
@@ -71,7 +72,7 @@ def sweep(bars: DataFrame, strategies: list[tuple[dict, Strategy]], configs: lis
     out = None
     for start in range(0, len(strategies), VARIANTS):
         part = strategies[start : start + VARIANTS]
-        table = _flags(bars, [s for _, s in part], refs)
+        table = stage(_flags(bars, [s for _, s in part], refs), "flags")  # read for the spacing and for the runs
         runs = {k * 100_000 + j: cfg for k in range(len(part)) for j, (_, cfg) in enumerate(configs)}
         labels = {k * 100_000 + j: part[k][0] | configs[j][0] for k in range(len(part)) for j in range(len(configs))}
         done = _labelled(run_many(table, runs), labels)
