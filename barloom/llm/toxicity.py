@@ -180,7 +180,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     for epoch in range(1, EPOCHS + 1):
         emb, soft, bias, pool = params
-        line = soft[:, 1] - soft[:, 0]
+        line = (soft[:, 1] - soft[:, 0]).astype(np.float32)
         word = (share * np.add.reduceat((emb @ line).astype(np.float32)[bucket_of], word_starts))[number].astype(float)
         whole = np.bincount(doc, word, len(n)) / wide
         run, at = best_spans(word, first)
@@ -189,14 +189,14 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
         mass = pool[0] * (g / wide)[doc]
         mass[np.repeat(at, size) + inside] += pool[1] * np.repeat(g / np.maximum(size, 1), size)  # a run has each word once
         by_word = np.bincount(number, mass, total)
-        by_bucket = np.zeros(BUCKETS)
+        by_bucket = np.zeros(BUCKETS, np.float32)
         by_bucket[used_buckets] = np.add.reduceat((share * by_word).astype(np.float32)[word_of], bucket_starts)
         touched = emb.T @ by_bucket
         grads = [by_bucket[:, None] * line[None, :], np.stack([-touched, touched], 1), np.array([-g.sum(), g.sum()]), np.array([g @ whole, g @ run])]
         for k, rate in enumerate((0.1, 0.05, 0.05, 0.05)):
-            m1[k] = 0.9 * m1[k] + 0.1 * grads[k]
-            m2[k] = 0.99 * m2[k] + 0.01 * grads[k] ** 2
-            params[k] -= rate * (m1[k] / (1 - 0.9**epoch)) / (np.sqrt(m2[k] / (1 - 0.99**epoch)) + 1e-8)
+            m1[k] += 0.1 * (grads[k] - m1[k])
+            m2[k] += 0.01 * (grads[k] * grads[k] - m2[k])
+            params[k] -= (rate / (1 - 0.9**epoch)) * m1[k] / (np.sqrt(m2[k] * (1 / (1 - 0.99**epoch))) + 1e-8)
     emb, soft, bias, pool = params
     model = Model((emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]), (float(pool[0]), float(pool[1])))
     return calibrate(model, [texts[k] for k in held], toxic[held]) if len(held) else model
