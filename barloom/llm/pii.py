@@ -15,6 +15,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ from barloom.llm.text import buffers
 KINDS = ("email", "ip", "card", "phone")
 #: Training cases, the share of them kept for calibration, and the precision that a threshold must reach there.
 CASES, KEPT, PRECISION = 15_000, 0.3, 0.98
+#: Candidates whose features are held at once.
+JUDGED = 8192
 Span = tuple[int, int, int]  # kind, start, end
 
 # The base rules.
@@ -39,6 +42,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: What any of the number rules can match lies within such a run.
 _RUN = re.compile(r"[+(]{0,2}[0-9][0-9\x20().-]*")
 _GROUP = re.compile(r"[0-9]+")
+#: What may stand between two digit groups of one number, numbered.
+_GAPS = {"".join(x): k for k, x in enumerate(x for n in (1, 2, 3) for x in product(" ().-", repeat=n))}
 _VEILED = re.compile(r"[\w.+%-]{1,64}\s{0,3}(?:@|[\[({<]\s?at\s?[\])}>]|\sat\s)\s{0,3}[\w-]{1,63}(?:\s{0,3}(?:\.|[\[({<]\s?dot\s?[\])}>]|\sdot\s)\s{0,3}[\w-]{1,63}){1,6}", re.I)
 _VEILS = re.compile(r"@|[\[({<]\s?at\s?[\])}>]|\sdot\s|[\[({<]\s?dot\s?[\])}>]", re.I)
 
@@ -92,39 +97,110 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def candidates(text: str) -> list[Span]:
-    """High-recall proposals; they overlap each other. Their number is in proportion to the text."""
-    out: set[Span] = set()
-    if _VEILS.search(text):
-        for m in _VEILED.finditer(text):
-            out.add((0, m.start(), m.end()))
-    for run in _RUN.finditer(text):
-        a, b = run.span()
-        if b - a < 7:
+class _Groups:
+    """The digit groups of texts, as arrays: which text, start, end, the run a group is in, and what is between a
+    group and the next one of its run, as one bit of three words (none after the last, or over more than 3 signs)."""
+
+    def __init__(self, texts: list[str]) -> None:
+        text, start, end, run, gap = [], [], [], [], []
+        number = -1
+        for k, t in enumerate(texts):
+            for m in _RUN.finditer(t):
+                a, b = m.span()
+                if b - a < 7:
+                    continue
+                number += 1
+                for g in _GROUP.finditer(t, a, b):
+                    if run and run[-1] == number:
+                        gap.append(_GAPS.get(t[end[-1] : g.start()], -1))
+                    elif run:
+                        gap.append(-1)
+                    text.append(k)
+                    start.append(g.start())
+                    end.append(g.end())
+                    run.append(number)
+        gap.append(-1)
+        self.text, self.start, self.end, self.run = (np.array(x, np.int64) for x in (text, start, end, run))
+        self.gap = np.array(gap[: len(run)], np.int64)
+        self.bits = np.zeros((len(run), 3), np.uint64)
+        at = np.flatnonzero(self.gap >= 0)
+        self.bits[at, self.gap[at] // 64] = np.uint64(1) << (self.gap[at] % 64).astype(np.uint64)
+
+
+def _spans_of(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, kind, start, end) of all proposals made of digit groups, those of one number of groups at a time.
+
+    A piece of a list is no proposal: groups whose two neighbours on either side are joined on by separators
+    that are all among its own inner ones.
+    """
+    g = _Groups(texts)
+    n = len(g.start)
+    digits = np.concatenate([[0], np.cumsum(g.end - g.start)])
+    inner = np.zeros((n, 3), np.uint64)
+    least = np.zeros(n, np.int64)  # of the inner gaps: -1 if one of them cannot be crossed
+    bits = np.concatenate([g.bits, np.zeros((2, 3), np.uint64)])
+    crossed = np.concatenate([g.gap >= 0, [False, False]])
+    before = np.concatenate([np.zeros((2, 3), np.uint64), g.bits])[:n], np.concatenate([np.zeros((1, 3), np.uint64), g.bits])[:n]  # gaps two and one before
+    behind = np.concatenate([[False, False], g.gap >= 0])[:n], np.concatenate([[False], g.gap >= 0])[:n]
+    for more in range(19):  # more groups after the first: a group has a digit at least
+        here = n - more
+        if here <= 0:
+            return
+        if more:
+            inner, least = inner[:here] | g.bits[more - 1 : more - 1 + here], np.minimum(least[:here], g.gap[more - 1 : more - 1 + here])
+        size = digits[more + 1 :] - digits[:here]
+        fits = (least >= 0) & (size >= 7) & (size <= 19)
+        if more == 3:
+            fits |= (least >= 0) & (size >= 4) & (size <= 12)
+        at = np.flatnonzero(fits)
+        if not len(at):
+            if more and not ((least >= 0) & (size < 19)).any():
+                return
             continue
-        piece = run.group()
-        groups = [m.span() for m in _GROUP.finditer(piece)]
-        for i, (s, _) in enumerate(groups):
-            size = 0
-            for j in range(i, len(groups)):
-                if j > i:
-                    gap = piece[groups[j - 1][1] : groups[j][0]]
-                    if len(gap) > 3:
-                        break
-                size += groups[j][1] - groups[j][0]
-                if size > 19:
-                    break
-                e = groups[j][1]
-                if size >= 13:
-                    out.add((2, a + s, a + e))
-                if 7 <= size <= 15:
-                    front = s - 1 if s and piece[s - 1] in "+(" else s
-                    if front and front < s and piece[front - 1] == "+":
-                        front -= 1
-                    out.add((3, a + front, a + e))
-                if j - i == 3 and size <= 12 and piece[s:e].count(".") == 3 and e - s == size + 3:
-                    out.add((1, a + s, a + e))
-    return sorted(out)
+        own, last = inner[at], at + more
+        listed = lambda b: ((b & ~own) == 0).all(1)  # noqa: B023, E731
+        piece = crossed[last] & crossed[last + 1] & behind[0][at] & behind[1][at]
+        piece &= listed(bits[last]) & listed(bits[last + 1]) & listed(before[0][at]) & listed(before[1][at])
+        at = at[~piece]
+        size, text, start, end = size[at], g.text[at], g.start[at], g.end[at + more]
+        kinds = [(2, size >= 13), (3, (size >= 7) & (size <= 15))]
+        if more == 3:
+            dots = g.gap[at] == _GAPS["."]
+            dots &= (g.gap[at + 1] == _GAPS["."]) & (g.gap[at + 2] == _GAPS["."])
+            kinds.append((1, dots & (size <= 12)))
+        for kind, on in kinds:
+            if on.any():
+                first = start[on]
+                if kind == 3:  # with the sign or bracket before it
+                    first = np.array([_front(texts[k], a) for k, a in zip(text[on].tolist(), first.tolist(), strict=True)], np.int64)
+                yield text[on], np.full(int(on.sum()), kind), first, end[on]
+
+
+def _front(text: str, a: int) -> int:
+    front = a - 1 if a and text[a - 1] in "+(" else a
+    return front - 1 if front < a and front and text[front - 1] == "+" else front
+
+
+def proposals(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """High-recall spans of all texts, which overlap each other: (text, kind, start, end), in that order.
+
+    Their number is in proportion to the texts, and small in lists of numbers.
+    """
+    parts = list(_spans_of(texts))
+    veiled = [(k, 0, m.start(), m.end()) for k, t in enumerate(texts) if _VEILS.search(t) for m in _VEILED.finditer(t)]
+    if veiled:
+        parts.append(tuple(np.array(x, np.int64) for x in zip(*veiled, strict=True)))
+    if not parts:
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    text, kind, start, end = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((end, start, kind, text))
+    return text[order], kind[order], start[order], end[order]
+
+
+def candidates(text: str) -> list[Span]:
+    """proposals() of one text."""
+    _, *columns = proposals([text])
+    return list(zip(*(c.tolist() for c in columns), strict=True))
 
 
 _WORDS = (
@@ -251,20 +327,24 @@ class Model:
     def add(self, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
         """For each text the base spans, and all spans, both in order of start, then kind."""
         found = [base_spans(t) for t in texts]
-        rows, owner, spans = [], [], []
-        for k, t in enumerate(texts):
-            known, places = set(found[k]), Places(found[k])
-            for c in candidates(t):
-                if c not in known:
-                    rows.append(features(t, c, places))
-                    owner.append(k)
-                    spans.append(c)
         extra: list[list[tuple[float, Span]]] = [[] for _ in texts]
-        if rows:
-            p = self.trees.probability(np.array(rows, float))
-            for k, c, v in zip(owner, spans, p, strict=True):
-                if v >= self.thresholds[c[0]]:
-                    extra[k].append((float(v), c))
+        # candidates are judged JUDGED at a time: only those that are chosen are kept
+        text, kind, start, end = proposals(texts)
+        known: set[Span] = set()
+        places, now = Places([]), -1
+        for low in range(0, len(text), JUDGED):
+            owner, spans, rows = [], [], []
+            for k, *c in zip(*(x[low : low + JUDGED].tolist() for x in (text, kind, start, end)), strict=True):
+                if k != now:
+                    now, known, places = k, set(found[k]), Places(found[k])
+                if tuple(c) not in known:
+                    owner.append(k)
+                    spans.append(tuple(c))
+                    rows.append(features(texts[k], c, places))
+            if rows:
+                for k, c, v in zip(owner, spans, self.trees.probability(np.array(rows, float)), strict=True):
+                    if v >= self.thresholds[c[0]]:
+                        extra[k].append((float(v), c))
         order = lambda s: (s[1], s[0])
         out = []
         for text, base, more in zip(texts, found, extra, strict=True):

@@ -427,3 +427,64 @@ def test_legal_words_are_sought_in_the_whole_block():
 def test_logs_are_finite():
     model = brown._model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(brown.GROUPS), np.zeros(brown.GROUPS), np.zeros((brown.ALL, brown.ALL)))
     assert np.isfinite(model.transit).all() and math.isfinite(math.log10(model.emit.min()))
+
+
+# ---- proposals of personal data
+
+
+def plain_proposals(t):
+    """All proposals of digit groups in one text, pair by pair."""
+    out = set()
+    for run in re.finditer(r"[+(]{0,2}[0-9][0-9\x20().-]*", t):
+        if run.end() - run.start() < 7:
+            continue
+        groups = [m.span() for m in re.compile("[0-9]+").finditer(t, *run.span())]
+        gap = lambda i: t[groups[i][1] : groups[i + 1][0]] if 0 <= i < len(groups) - 1 else None  # noqa: B023, E731
+        for i in range(len(groups)):
+            for j in range(i, len(groups)):
+                inner = {gap(k) for k in range(i, j)}
+                size = sum(b - a for a, b in groups[i : j + 1])
+                if any(len(x) > 3 for x in inner) or size > 19:
+                    break
+                if all(gap(k) is not None and gap(k) in inner for k in (i - 2, i - 1, j, j + 1)) and i >= 2:
+                    continue
+                a, e = groups[i][0], groups[j][1]
+                if size >= 13:
+                    out.add((2, a, e))
+                if 7 <= size <= 15:
+                    f = a - 1 if a and t[a - 1] in "+(" else a
+                    out.add((3, f - 1 if f < a and f and t[f - 1] == "+" else f, e))
+                if j - i == 3 and size <= 12 and inner == {"."}:
+                    out.add((1, a, e))
+    return out
+
+
+def test_proposals_by_force():
+    import random
+
+    r = random.Random(4)
+    texts = ["".join(r.choice("0123456789  .-()+a1234567890") for _ in range(r.randint(0, 60))) for _ in range(400)] + [" ".join(str(r.randint(0, 9999)) for _ in range(40)), "1.2.3.4", "1.2.3.4.5.6.7.8", "+1 (269) 555-3296", "x++(12345678", ""]
+    owner, kind, a, b = pii.proposals(texts)
+    got = {}
+    for k, *c in zip(owner.tolist(), kind.tolist(), a.tolist(), b.tolist(), strict=True):
+        got.setdefault(k, []).append(tuple(c))
+    for k, t in enumerate(texts):
+        assert sorted(got.get(k, [])) == got.get(k, []) and set(got.get(k, [])) - {c for c in got.get(k, []) if c[0] == 0} == plain_proposals(t), t
+
+
+@pytest.mark.parametrize("unit", ["{} ", "{:04d} ", "{:07d} ", "{}.{} ", "{}-"])
+def test_long_texts_of_numbers_need_little(unit):
+    import random
+    import resource
+    import time
+
+    r = random.Random(1)
+    model = pii.train()
+    parts, size = [], 0
+    while size < 1 << 20:
+        parts.append(unit.format(r.randint(0, 9), r.randint(0, 9)))
+        size += len(parts[-1])
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    (base, spans), *_ = model.add(["".join(parts)])
+    assert time.time() - began < 20 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+    assert set(base) <= set(spans)
