@@ -13,20 +13,10 @@ from barloom.functions.columns import KEY, TIME, bars_window, indicator
 from barloom.functions.signals import forward_fill
 from barloom.operators.fold import fold_sorted
 from barloom.operators.recurrence import decayed_mean, linear_recurrence
+from barloom.operators.rolling import rolling
 from barloom.operators.timeframe import bucket_start, resample
 
 
-def rolling_mean(source: Column, period: int) -> Column:
-    """The mean of the last period values; null unless all are there."""
-    w = bars_window().rowsBetween(-(period - 1), 0)
-    return F.when(F.count(source).over(w) == period, F.avg(source).over(w))
-
-
-def _rolling(f, source: Column, period: int) -> Column:
-    w = bars_window().rowsBetween(-(period - 1), 0)
-    return F.when(F.count(source).over(w) == period, f(source).over(w))
-
-
 @indicator(lambda period, source="close", out=None, adjust=False: [out or f"ema_{period}"])
 def add_ema(df: DataFrame, period: int, source: str = "close", out: str | None = None, adjust: bool = False) -> DataFrame:
     """Exponential mean with alpha 2 / (period + 1), from the period-th value on."""
@@ -40,8 +30,8 @@ def add_emas(df: DataFrame, periods: list[int], source: str = "close", prefix: s
 
 
 def add_smas(df: DataFrame, periods: list[int], source: str = "close", prefix: str = "sma") -> DataFrame:
-    """Simple means; all share one window sort."""
-    return df.withColumns({f"{prefix}_{int(p)}": rolling_mean(F.col(source), int(p)) for p in periods})
+    """Simple means of the last bars; null unless all are there."""
+    return rolling(df, {f"{prefix}_{int(p)}": ("mean", F.col(source), int(p)) for p in periods})
 
 
 @indicator(lambda period=14, source="close", out=None: [out or f"rsi_{period}"])
@@ -69,11 +59,11 @@ def add_macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, sou
 @indicator(lambda k=14, d=3, smooth=3, prefix="stoch": [f"{prefix}_k", f"{prefix}_d"])
 def add_stochastic(df: DataFrame, k: int = 14, d: int = 3, smooth: int = 3, prefix: str = "stoch") -> DataFrame:
     """Where the close lies in the range of k bars, in percent, smoothed once and twice."""
-    raw = f"_{prefix}_raw"
-    low, high = _rolling(F.min, F.col("low"), k), _rolling(F.max, F.col("high"), k)
-    df = df.withColumn(raw, 100 * F.try_divide(F.col("close") - low, high - low))
-    df = df.withColumn(f"{prefix}_k", rolling_mean(F.col(raw), smooth))
-    return df.withColumn(f"{prefix}_d", rolling_mean(F.col(f"{prefix}_k"), d)).drop(raw)
+    raw, low, high = (f"_{prefix}_{x}" for x in ("raw", "low", "high"))
+    df = rolling(df, {low: ("min", F.col("low"), k), high: ("max", F.col("high"), k)})
+    df = df.withColumn(raw, 100 * F.try_divide(F.col("close") - F.col(low), F.col(high) - F.col(low))).drop(low, high)
+    df = rolling(df, {f"{prefix}_k": ("mean", F.col(raw), smooth)}).drop(raw)
+    return rolling(df, {f"{prefix}_d": ("mean", F.col(f"{prefix}_k"), d)})
 
 
 def true_range() -> Column:
@@ -151,11 +141,12 @@ def add_heikin_ashi(df: DataFrame, prefix: str = "ha") -> DataFrame:
 def add_swings(df: DataFrame, left: int = 10, right: int = 10, prefix: str = "swing") -> DataFrame:
     """Pivot highs and lows over [-left, right], known right bars later, and the last known of each."""
     w = bars_window()
-    around = w.rowsBetween(-left, right)
-    names = {"high": ("high", F.max), "low": ("low", F.min)}
-    pivots = {f"_{prefix}_{k}": F.when((F.count(c).over(around) == left + right + 1) & (F.col(c) == f(c).over(around)), F.col(c)) for k, (c, f) in names.items()}
-    df = df.withColumns(pivots)
-    df = df.withColumns({f"_{prefix}_{k}": F.lag(f"_{prefix}_{k}", right).over(w) for k in names})
+    size = left + right + 1
+    names = {"high": ("high", "max"), "low": ("low", "min")}
+    # right bars after a pivot, all that is around it are the last bars
+    df = rolling(df, {f"_{prefix}_{k}": (kind, F.col(c), size) for k, (c, kind) in names.items()})
+    pivots = {k: F.lag(c, right).over(w) if right else F.col(c) for k, (c, _) in names.items()}
+    df = df.withColumns({f"_{prefix}_{k}": F.when(at == F.col(f"_{prefix}_{k}"), at) for k, at in pivots.items()})
     df = df.withColumns({f"{prefix}_{k}": F.col(f"_{prefix}_{k}").isNotNull() for k in names})
     df = df.withColumns({f"{prefix}_last_{k}": forward_fill(f"_{prefix}_{k}") for k in names})
     return df.drop(*[f"_{prefix}_{k}" for k in names])

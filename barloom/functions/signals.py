@@ -8,6 +8,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import Ref, bars_window, every, operand, sure
+from barloom.operators.rolling import count_of_last
 
 
 def above(a: Ref, b: Ref) -> Column:
@@ -55,8 +56,7 @@ def holds_for(condition: Column, n: int, include_current: bool = True) -> Column
     """The condition held on each of n bars in a row: up to this one, or up to the one before."""
     if n <= 0:
         return F.lit(False)
-    frame = bars_window().rowsBetween(*((-(n - 1), 0) if include_current else (-n, -1)))
-    return sure(F.sum(sure(condition).cast("int")).over(frame) == n)
+    return count_of_last(sure(condition), n, 0 if include_current else -1) == n
 
 
 def last_all_above(x: Ref, level: Ref, n: int, include_current: bool = True) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import KEY, bars_window
 from barloom.functions.indicators import add_atr, add_ema
 from barloom.functions.time_filters import SESSIONS, local_time
+from barloom.operators.quantiles import exact_quantiles
 from barloom.operators.statistics import trade_stats
 from barloom.staging import stage
 
@@ -50,7 +53,7 @@ def by_regime(trades: DataFrame, bars: DataFrame, ema_period: int = 200, atr_per
     """By trend (close against its mean) and volatility (quantile of range over price) at entry.
 
     A trend that is not yet known is a downtrend, an unknown volatility is low; with fewer known volatilities
-    than buckets it is n/a. Volatilities are ranked over all trades.
+    than buckets it is n/a. Volatilities are ranked over all trades. Runs at once: the edges are found first.
     """
     names = ("lowvol", "midvol", "highvol")[:vol_buckets]
     if not 1 <= vol_buckets <= 3:
@@ -58,12 +61,11 @@ def by_regime(trades: DataFrame, bars: DataFrame, ema_period: int = 200, atr_per
     seen = add_atr(add_ema(bars, ema_period, out="_mean"), atr_period, "_range")
     seen = seen.select(KEY, (F.row_number().over(bars_window()) - 1).alias("entry_i"), (F.coalesce(F.col("close") >= F.col("_mean"), F.lit(False))).alias("_up"), (F.col("_range") / F.col("close")).alias("_vol"))
     at = stage(trades.join(seen, [KEY, "entry_i"], "left").select("pnl", "_up", "_vol"), "regimes")  # read twice below
-    # one row: the edges of the buckets, exact quantiles
-    edges = at.agg(F.percentile("_vol", [k / vol_buckets for k in range(vol_buckets + 1)]).alias("_q"), F.count("_vol").alias("_n"))
-    at = at.crossJoin(F.broadcast(edges)).withColumn("_e", F.array_distinct("_q"))
-    place = F.aggregate("_e", F.lit(0), lambda n, e: n + (F.col("_vol") > e).cast("int"))
+    edges, known = exact_quantiles(at, F.col("_vol"), [k / vol_buckets for k in range(vol_buckets + 1)])
+    # the bucket is the number of distinct edges below
+    place = reduce(lambda n, e: n + (F.col("_vol") > e).cast("int"), dict.fromkeys(e for e in edges if e is not None), F.lit(0))
     name = F.element_at(F.array(*[F.lit(x) for x in names]), F.greatest(F.lit(1), F.least(place, F.lit(len(names)))))
-    vol = F.when(F.col("_n") < vol_buckets, F.lit("n/a")).when(F.col("_vol").isNull(), F.lit("lowvol")).otherwise(name)
+    vol = F.lit("n/a") if known < vol_buckets else F.when(F.col("_vol").isNull(), F.lit("lowvol")).otherwise(name)
     return bucket_stats(at, F.concat(F.when(F.coalesce("_up", F.lit(False)), F.lit("uptrend")).otherwise(F.lit("downtrend")), F.lit("/"), vol), "regime")
 
 

@@ -1,12 +1,14 @@
-"""Simulated trading of a signal table: one ordered fold a (run, symbol), all of them in parallel.
+"""Simulated trading of a signal table.
 
-The folds stream: a series of any length is traded in bounded memory.
+Accounts whose trades do not depend on their cash are traded by DataFrame operations (linked.py); the others by
+one ordered fold a (run, symbol), all of them in parallel. The folds stream: a series of any length is traded in
+bounded memory.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import KEY, TIME
 from barloom.operators.config import BacktestConfig
 from barloom.operators.fold import fold_sorted
+from barloom.operators.linked import Linked, cash_free, same_series
 from barloom.operators.simulator import Simulation, Trade
 from barloom.staging import drop, stage
 
@@ -72,6 +75,43 @@ class SimResult:
             drop(self._rows)
 
 
+class LinkedResult(SimResult):
+    """Tables of a backtest whose trades are linked intervals; series in which the account would have refused an
+    entry are folded."""
+
+    def __init__(self, table: DataFrame, fold: Callable[[DataFrame], DataFrame], given: DataFrame, cfg: BacktestConfig) -> None:
+        """table: run_id, symbol, open_time, px, signals; fold: what the ordered fold makes of rows of given."""
+        super().__init__(given, cfg)
+        self._linked, self._fold = Linked(table, cfg), fold
+
+    @cached_property
+    def _rows(self) -> DataFrame:
+        rest = self._made.alias("t").join(self._linked.refused.alias("x"), same_series("t", "x"), "left_semi")
+        return stage(self._fold(rest), "backtest", by="kind")
+
+    def _with_folded(self, own: DataFrame, folded: Callable[[], DataFrame]) -> DataFrame:
+        if self._linked.refused is None:
+            return own
+        return own.unionByName(folded().select(*own.columns))
+
+    @property
+    def trades(self) -> DataFrame:
+        return self._with_folded(self._linked.trades(TRADE_COLUMNS), lambda: SimResult.trades.fget(self))
+
+    @property
+    def equity(self) -> DataFrame:
+        return self._with_folded(self._linked.equity(), lambda: SimResult.equity.fget(self))
+
+    @property
+    def accounts(self) -> DataFrame:
+        own = self._linked.accounts().withColumn("initial_cash", F.lit(float(self.cfg.initial_cash)))
+        return self._with_folded(own, lambda: SimResult.accounts.fget(self))
+
+    def drop(self) -> None:
+        self._linked.drop()
+        super().drop()
+
+
 def _arrays(pdf: pd.DataFrame, cfg: BacktestConfig, price: str) -> dict[str, np.ndarray]:
     bars = {"close": pdf[price].to_numpy(float), "high": pdf["high"].to_numpy(float), "low": pdf["low"].to_numpy(float)}
     for side, column in (("ref_long", cfg.sl_ref_long_col), ("ref_short", cfg.sl_ref_short_col)):
@@ -205,7 +245,7 @@ def run_backtest(signals: DataFrame, cfg: BacktestConfig, price: str = "close")
     """Trade every (run_id, symbol) of a table of bars with boolean columns entry_long, exit_long, ...
 
     Missing signal columns are false, a missing stop reference column is unknown. Without run_id there is one
-    run, 0. Each (run, symbol) is one account, simulated in order of time; only the columns it needs are shuffled.
+    run, 0. Each (run, symbol) is one account, traded in order of time; only the columns it needs are shuffled.
     """
     for c in (TIME, price, "high", "low"):
         if c not in signals.columns:
@@ -214,7 +254,12 @@ def run_backtest(signals: DataFrame, cfg: BacktestConfig, price: str = "close")
     table = signals.select(*needed)
     table = table.withColumn(RUN, F.col(RUN).cast("long") if RUN in needed else F.lit(0).cast("long"))
     schema = _schema([("kind", "string"), *_TRADE, ("equity", "double"), ("open_trades", "long"), ("drawdown", "double")])
-    return SimResult(fold_sorted(table, [RUN, KEY], [TIME], _run(cfg, price), schema), cfg)
+    fold = lambda rows: fold_sorted(rows, [RUN, KEY], [TIME], _run(cfg, price), schema)
+    if not cash_free(cfg):
+        return SimResult(fold(table), cfg)
+    flags = [F.coalesce(F.col(c).cast("boolean") if c in needed else F.lit(False), F.lit(False)).alias(c) for c in SIGNALS]
+    known = F.col(price).cast("double")
+    return LinkedResult(table.select(RUN, KEY, TIME, F.when(~F.isnan(known), known).alias("px"), *flags), fold, table, cfg)
 
 
 def periods_per_year(curve: DataFrame, time: str = "t", keys: tuple[str, ...] = (RUN, KEY)) -> DataFrame:

@@ -41,19 +41,31 @@ def resample(bars: DataFrame, rule: str, origin: str | None = None) -> DataFrame
     return out.where("open is not null").withColumnRenamed("_bucket", TIME).select(KEY, TIME, "open", "high", "low", "close", "volume")
 
 
-def asof_join(left: DataFrame, right: DataFrame, features: list[str], time: str = TIME) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, features: list[str], time: str = TIME, block: str | None = "month") -> DataFrame:
     """Each row of left with the features of the last row of right of its symbol at or before its time.
 
-    One union, one sort by symbol and time, and a running last: no row is compared with more than its
-    neighbours. A matched row's null features stay null.
+    One union, one sort by symbol, block and time, and a running last: no row is compared with more than its
+    neighbours. A block is a calendar unit of date_trunc; the last row of right before a block stands at its
+    head, so that a symbol is as many tasks' work as it has blocks. None: a symbol is one task's. A matched
+    row's null features stay null.
     """
     names = [c for c in left.columns if c not in features]
     pack = F.struct(*[F.col(c) for c in features])
     kind = right.select(pack.alias("p")).schema["p"].dataType
+    part = F.date_trunc(block, "_time") if block else F.lit(None).cast("timestamp_ntz")
     a = left.select(F.struct(*names).alias("_row"), F.col(KEY).alias("_key"), F.col(time).alias("_time"), F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_match"))
     b = right.select(F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), F.col(KEY).alias("_key"), F.col(time).alias("_time"), F.lit(0).alias("_side"), pack.alias("_match"))
-    w = Window.partitionBy("_key").orderBy("_time", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn("_match", F.last("_match", ignorenulls=True).over(w)).where("_side = 1")
+    both = a.unionByName(b).withColumn("_block", part)
+    if block:
+        # one row a symbol and block
+        last = b.withColumn("_block", part).groupBy("_key", "_block").agg(F.max_by("_match", "_time").alias("_match"))
+        blocks = a.select("_key", part.alias("_block")).distinct().withColumn("_match", F.lit(None).cast(kind)).unionByName(last)
+        blocks = blocks.groupBy("_key", "_block").agg(F.first("_match", ignorenulls=True).alias("_match"))
+        before = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        heads = blocks.withColumn("_match", F.last("_match", ignorenulls=True).over(before)).where("_match is not null")
+        both = both.unionByName(heads.withColumns({"_time": F.col("_block"), "_side": F.lit(-1)}), allowMissingColumns=True)
+    w = Window.partitionBy("_key", "_block").orderBy("_time", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_match", F.last("_match", ignorenulls=True).over(w)).where("_side = 1")
     return both.select(*[F.col("_row")[c].alias(c) for c in names], *[F.col("_match")[c].alias(c) for c in features])
 
 

@@ -257,13 +257,15 @@ def get_provider(name: str) -> Provider:
 def get_ohlcv(store: BarStore, symbol: str, tf: str, start: str, end: str | None = None, provider: Provider | None = None, market: str = "spot", tz: str = "UTC", columns: list[str] | None = None, refresh: bool = False) -> DataFrame:
     """Bars from start to end, both included, with their local time t. Only what the store lacks is fetched.
 
-    If pages fail for good, what was fetched is put into the store all the same, and IncompleteError is raised:
+    Months whose files are damaged are fetched again. If pages fail for good, what was fetched is put into the store all the same, and IncompleteError is raised:
     the next call fetches the rest.
     """
     provider = provider or get_provider("binance")
     where = {"source": provider.name, "market": market}
     until = end or datetime.now(UTC).replace(tzinfo=None).isoformat(sep=" ", timespec="seconds")
     series = (provider.name, market, symbol.upper(), tf)
+    if bad := store.repair(symbol, tf, **where):
+        get_logger("barloom.fetch").warning("%s %s: damaged months are fetched again: %s", symbol, tf, ", ".join(bad))
     if refresh or store.incomplete(*series) or not store.covers(symbol, tf, start, end, **where):
         have = store.load(symbol, tf, **where).limit(0) if refresh else store.load(symbol, tf, **where)
         ranges = [(r["from"], r["to"]) for r in missing_ranges(have, tf, start, until, symbol.upper()).collect()]

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.functions.columns import BAR_SCHEMA, BASE, KEY, TIME, without_nan
+from barloom.sources.commits import CommitLog
 from barloom.sources.ticks import spacing
 
 PARTITIONS = ("source", "market", "symbol", "tf", "month")
@@ -48,55 +50,120 @@ def time_slice(bars: DataFrame, start: str | None = None, end: str | None = None
     return bars
 
 
+class DamagedError(RuntimeError):
+    """Files of the store are not what was written."""
+
+
 class BarStore:
-    """Bars under a root folder of any file system that Spark reads."""
+    """Bars under a root folder of any file system that Spark reads.
+
+    Every write is a commit (see commits.py): readers see all of it or nothing, and of two writers of one month
+    the second merges into what the first has put there. Files that are damaged are errors, never holes.
+    """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
+        self.log = CommitLog(spark, self.root, PARTITIONS)
 
     def exists(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return bool(files.exists(path)) and len(files.listStatus(path)) > 0
+        return self.log.version() > 0
+
+    def _empty(self) -> DataFrame:
+        extra = [T.StructField(c, T.StringType()) for c in PARTITIONS if c != KEY]
+        return self.spark.createDataFrame([], T.StructType([*BAR_SCHEMA.fields, *extra]))
+
+    def _rows(self, live: DataFrame, columns: T.StructType, tolerant: bool = False) -> DataFrame:
+        """The rows of live partitions. Their folders are few beside the bars: they prune the scan."""
+        return self.log.read(columns, tolerant).join(F.broadcast(live.select("commit", *PARTITIONS)), ["commit", *PARTITIONS], "left_semi")
 
     def table(self) -> DataFrame:
         """Everything in the store; an empty table before anything was written."""
-        if not self.exists():
-            extra = [T.StructField(c, T.StringType()) for c in ("source", "market", "tf", "month")]
-            return self.spark.createDataFrame([], T.StructType([*BAR_SCHEMA.fields, *extra]))
-        text = T.StructType([T.StructField(c, T.StringType()) for c in PARTITIONS])
-        # a damaged file counts as not there: its bars are missing, and are fetched again
-        reader = lambda: self.spark.read.option("ignoreCorruptFiles", "true")
-        own = [f for f in reader().parquet(self.root).schema.fields if f.name not in PARTITIONS]
-        return reader().schema(T.StructType([*own, *text.fields])).parquet(self.root)
+        version = self.log.version()
+        return self._rows(self.log.live(version), self.log.columns(version)).drop("commit") if version else self._empty()
+
+    def _series(self, version: int, symbol: str, tf: str, source: str, market: str) -> DataFrame:
+        """The live partitions of a series, one a month."""
+        return self.log.live(version).where((F.col("source") == source) & (F.col("market") == market) & (F.col(KEY) == symbol.upper()) & (F.col("tf") == tf))
 
     def load(self, symbol: str, tf: str, start: str | None = None, end: str | None = None, columns: list[str] | None = None, source: str = "binance", market: str = "spot") -> DataFrame:
-        """A series: partitions are pruned by its keys and months, times are pushed to the scan, columns pruned."""
-        rows = self.table().where((F.col("source") == source) & (F.col("market") == market) & (F.col(KEY) == symbol.upper()) & (F.col("tf") == tf))
+        """A series: only its months are read, times are pushed to the scan, columns pruned."""
+        version = self.log.version()
+        live = self._series(version, symbol, tf, source, market)
         if start is not None:
-            rows = rows.where(F.col("month") >= str(start)[:7])
+            live = live.where(F.col("month") >= str(start)[:7])
         if end is not None:
-            rows = rows.where(F.col("month") <= str(end)[:7])
+            live = live.where(F.col("month") <= str(end)[:7])
+        months = live.select("commit", "month").collect()  # a series has one a month
+        if months:
+            own = (F.col("source") == source) & (F.col("market") == market) & (F.col(KEY) == symbol.upper()) & (F.col("tf") == tf)
+            of = {c: [m.month for m in months if m.commit == c] for c in {m.commit for m in months}}
+            rows = self.log.read(self.log.columns(version)).where(own & reduce(lambda x, y: x | y, [(F.col("commit") == c) & F.col("month").isin(ms) for c, ms in of.items()])).drop("commit")
+        else:
+            rows = self.table().limit(0) if version else self._empty()
         rows = time_slice(rows, start, end)
         return rows if columns is None else rows.select(*dict.fromkeys([*BASE, *columns]))
 
+    def damaged(self, live: DataFrame, version: int, deep: bool = False) -> DataFrame:
+        """Those of live partitions whose files are missing, unreadable or hold another number of rows; deep: or
+        other rows. Otherwise only the files' footers are read."""
+        columns = self.log.columns(version)
+        rows = self._rows(live, columns, tolerant=True)
+        got = rows.groupBy("commit", *PARTITIONS).agg(F.count("*").alias("_n"), (self.log.check(columns.names) if deep else F.lit(None).cast("string")).alias("_check"))
+        bad = (F.coalesce("_n", F.lit(0)) != F.col("rows")) | (F.col("_check") != F.col("check"))
+        return live.join(got, ["commit", *PARTITIONS], "left").where(F.coalesce(bad, F.lit(False))).drop("_n", "_check")
+
+    def repair(self, symbol: str, tf: str, source: str = "binance", market: str = "spot", deep: bool = False) -> list[str]:
+        """Take damaged months of a series out of the store, so that they are fetched again; which they were."""
+        while True:
+            version = self.log.version()
+            if not version:
+                return []
+            bad = self.damaged(self._series(version, symbol, tf, source, market), version, deep).collect()  # one row a month
+            if not bad:
+                return []
+            gone = self.spark.createDataFrame([(r.commit, *(r[p] for p in PARTITIONS)) for r in bad], ", ".join(f"{c} string" for c in ("commit", *PARTITIONS)))
+            if self.log.publish(version + 1, self.log.columns(version), gone.limit(0), gone):
+                self.incomplete(source, market, symbol.upper(), tf, set_to=True)
+                return sorted(r.month for r in bad)
+
     def write(self, bars: DataFrame, tf: str, source: str = "binance", market: str = "spot") -> None:
-        """Put bars in, over what the store has of the same symbol and time. Only touched months are rewritten."""
+        """Put bars in, over what the store has of the same symbol and time. Only touched months are rewritten.
+
+        If another writer commits one of those months meanwhile, they are merged anew. Raises DamagedError if
+        a touched month is damaged: repair() the series first.
+        """
         new = bars.withColumn(KEY, F.upper(KEY)).withColumns({"source": F.lit(source), "market": F.lit(market), "tf": F.lit(tf), "month": F.date_format(TIME, "yyyy-MM")})
         keys = ("source", "market", KEY, "tf")
-        if self.exists():
-            touched = new.select(*PARTITIONS).distinct()
-            old = self.table().join(touched, list(PARTITIONS), "left_semi")
-            new = merge_bars(old, new, keys=keys)
-        else:
-            new = validate_ohlcv(new, keys)
-        # read in full before partitions that it reads are replaced
-        staged = f"{self.root}__staging-{uuid.uuid4().hex}"
-        new.write.parquet(staged)
-        ready = self.spark.read.schema(new.schema).parquet(staged)
-        ready.repartition(*PARTITIONS).sortWithinPartitions(KEY, TIME).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(self.root)
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(staged)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        staged = f"{self.root}/_tmp/{uuid.uuid4().hex}"
+        validate_ohlcv(new, keys).write.parquet(staged)
+        new = self.spark.read.parquet(staged)
+        touched = new.select(*PARTITIONS).distinct()
+        try:
+            while not new.isEmpty() and not self._commit(new, touched, keys):
+                pass
+        finally:
+            self.log.files().delete(self.log.path(staged.removeprefix(f"{self.root}/")), True)
+
+    def _commit(self, new: DataFrame, touched: DataFrame, keys: tuple[str, ...]) -> bool:
+        """One try; False if another writer was faster with one of the touched months."""
+        version = self.log.version()
+        old = self.log.live(version).join(touched, list(PARTITIONS), "left_semi")
+        merged = new
+        if version:
+            if bad := self.damaged(old, version).limit(10).collect():
+                raise DamagedError("damaged: " + ", ".join("/".join(r[p] for p in PARTITIONS) for r in bad))
+            merged = merge_bars(self._rows(old, self.log.columns(version)).drop("commit"), new, keys=keys)
+        columns = T.StructType([f for f in merged.schema.fields if f.name not in PARTITIONS])
+        commit = self.log.put(merged, [TIME])
+        added = self.log.measured(self.log.read(columns).where(F.col("commit") == commit), columns.names, TIME)
+        while not self.log.publish(version + 1, columns, added, old.select("commit", *PARTITIONS)):
+            now = self.log.version()
+            met = not self.log.changed(version, now).join(touched, list(PARTITIONS), "left_semi").isEmpty()
+            if met or self.log.columns(now) != self.log.columns(version):
+                self.log.files().delete(self.log.path("data", f"commit={commit}"), True)
+                return False
+            version = now
+        return True
 
     def incomplete(self, *series: str, set_to: bool | None = None) -> bool:
         """Whether a fetch of the series broke off, so that it may have gaps to fill; set_to changes that."""
@@ -109,12 +176,12 @@ class BarStore:
         return bool(files.exists(path))
 
     def catalog(self) -> DataFrame:
-        """Rows and first and last time of each series."""
-        return catalog(self.table(), ("source", "market", KEY, "tf"))
+        """Rows and first and last time of each series, as the log has them."""
+        return self.log.live().groupBy("source", "market", KEY, "tf").agg(F.sum("rows").alias("n_bars"), F.min("first").alias("first_time"), F.max("last").alias("last_time"))
 
-    def covers(self, symbol: str, tf: str, start: str, end: str | None, now: str | None = None, **where: str) -> bool:
+    def covers(self, symbol: str, tf: str, start: str, end: str | None, now: str | None = None, source: str = "binance", market: str = "spot") -> bool:
         """Whether the series reaches from start to a bar before end; without an end, to two bars before now."""
-        got = self.load(symbol, tf, **where).agg(F.min(TIME).alias("a"), F.max(TIME).alias("b"))
+        got = self._series(self.log.version(), symbol, tf, source, market).agg(F.min("first").alias("a"), F.max("last").alias("b"))
         limit = F.lit(end if end is not None else now).cast("timestamp_ntz") if (end or now) else F.localtimestamp()
         reach = F.col("b") + spacing(tf) * F.lit(1 if end is not None else 2)
         return bool(got.select(F.coalesce((F.col("a") <= F.lit(start).cast("timestamp_ntz")) & (reach >= limit), F.lit(False))).first()[0])

@@ -223,18 +223,6 @@ def daily_page(symbol, tf, start, end, limit):
     return [[k * day, "1", "2", "0.5", "1.5", "3", 0, "4", 5, "6", "7", "0"] for k in range(-(-start // day), end // day + 1)][:limit]
 
 
-def test_damaged_files_count_as_not_there(spark, tmp_path):
-    store = ST.BarStore(spark, str(tmp_path / "bars"))
-    for k in (1, 2):
-        store.write(to_spark(spark, series([k, k + 1])).withColumn("open_time", F.expr(f"open_time + interval {40 * k} days")), "1m")
-    assert store.load("S", "1m").count() == 4
-    file = next((tmp_path / "bars").rglob("month=2025-03/*.parquet"))
-    file.write_bytes(b"not parquet")
-    for crc in file.parent.glob(".*.crc"):
-        crc.unlink()
-    assert store.load("S", "1m").count() == 2
-
-
 def test_fx_symbols():
     assert [P.fx_symbol(s) for s in ("xau/usd", "XAUUSD", "eurusd", "gold")] == ["XAU/USD", "XAU/USD", "EUR/USD", "XAU/USD"]
     with pytest.raises(ValueError):
