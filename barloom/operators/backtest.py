@@ -262,31 +262,52 @@ def run_backtest(signals: DataFrame, cfg: BacktestConfig, price: str = "close")
     return LinkedResult(table.select(RUN, KEY, TIME, F.when(~F.isnan(known), known).alias("px"), *flags), fold, table, cfg)
 
 
-def periods_per_year(curve: DataFrame, time: str = "t", keys: tuple[str, ...] = (RUN, KEY)) -> DataFrame:
-    """Bars a year at the exact median spacing; 0 for fewer than three bars."""
-    step = F.timestamp_diff("MICROSECOND", F.lag(time).over(Window.partitionBy(*keys).orderBy(time)), F.col(time)) / 1e6
-    spaced = curve.select(*keys, step.alias("_s"))
-    median = F.percentile("_s", 0.5)
-    return spaced.groupBy(*keys).agg(F.when((F.count("*") >= 3) & (median > 0), YEAR / median).otherwise(0.0).alias("periods_per_year"))
-
+def spacings(curve: DataFrame, time: str, keys: tuple[str, ...], block: str = "month") -> DataFrame:
+    """Seconds between neighbours of each series with their number: within blocks of a calendar unit, and from each
+    block to the next."""
+    rows = curve.select(*keys, F.col(time).alias("_t"), F.date_trunc(block, time).alias("_b"))
+    apart = lambda a, b: (F.timestamp_diff("MICROSECOND", a, b) / 1e6).alias("_s")
+    inside = rows.select(*keys, apart(F.lag("_t").over(Window.partitionBy(*keys, "_b").orderBy("_t")), F.col("_t")))
+    ends = rows.groupBy(*keys, "_b").agg(F.min("_t").alias("a"), F.max("_t").alias("z"))
+    seams = ends.select(*keys, apart(F.lag("z").over(Window.partitionBy(*keys).orderBy("_b")), F.col("a")))
+    return inside.unionByName(seams).where("_s is not null").groupBy(*keys, "_s").agg(F.count("*").alias("_n"))
 
-def with_drawdown(equity: DataFrame, time: str = "t") -> DataFrame:
-    """An equity curve with its drawdown from the highest so far, by run and symbol."""
-    w = Window.partitionBy(RUN, KEY).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
-    peak = F.max("equity").over(w)
-    return equity.withColumn("drawdown", F.when(peak > 0, (peak - F.col("equity")) / peak).otherwise(0.0))
 
-
-def run_many(signals: DataFrame, runs: dict[int, BacktestConfig], column: str = "flags", price: str = "close", most: int = 8) -> DataFrame:
+def periods_per_year(curve: DataFrame, time: str = "t", keys: tuple[str, ...] = (RUN, KEY)) -> DataFrame:
+    """Bars a year at the exact median spacing; 0 for fewer than three bars."""
+    upto, whole = Window.partitionBy(*keys).orderBy("_s"), Window.partitionBy(*keys)
+    counted = spacings(curve, time, keys).withColumns({"_upto": F.sum("_n").over(upto), "_all": F.sum("_n").over(whole)})
+    middle = lambda place: F.min(F.when(F.col("_upto") > place, F.col("_s")))
+    median = counted.groupBy(*keys).agg((middle(F.floor((F.col("_all") - 1) / 2)) * 0.5 + middle(F.ceil((F.col("_all") - 1) / 2)) * 0.5).alias("_median"))
+    bars = curve.groupBy(*keys).agg(F.count("*").alias("_bars"))
+    return bars.join(median, list(keys), "left").select(*keys, F.when((F.col("_bars") >= 3) & (F.col("_median") > 0), YEAR / F.col("_median")).otherwise(0.0).alias("periods_per_year"))
+
+
+def with_drawdown(equity: DataFrame, time: str = "t", block: str = "month") -> DataFrame:
+    """An equity curve with its drawdown from the highest so far, by run and symbol: within each block of a calendar
+    unit, from the highest of the blocks before."""
+    rows = equity.withColumn("_b", F.date_trunc(block, time))
+    inside = F.max("equity").over(Window.partitionBy(RUN, KEY, "_b").orderBy(time).rowsBetween(Window.unboundedPreceding, 0))
+    tops = rows.groupBy(RUN, KEY, "_b").agg(F.max("equity").alias("_top"))
+    tops = tops.withColumn("_top", F.max("_top").over(Window.partitionBy(RUN, KEY).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)))
+    both = rows.withColumn("_peak", inside).alias("t").join(tops.alias("b"), same_series("t", "b", "_b")).withColumn("_peak", F.greatest("_peak", "_top"))
+    peak = F.col("_peak")
+    return both.select(*[F.col(f"t.{c}") for c in equity.columns if c != "drawdown"], F.when(peak > 0, (peak - F.col("equity")) / peak).otherwise(0.0).alias("drawdown"))
+
+
+def run_many(signals: DataFrame, runs: dict[int, BacktestConfig], column: str = "flags", price: str = "close", least: int = 8) -> DataFrame:
     """Statistics of many runs a symbol: one row for each (run_id, symbol).
 
     signals has a string with one hexadecimal digit for each distinct signal variant (bit 0 to 3: the four
     signals). A run is a pair of variant and configuration, coded as variant * 100000 + number of the
-    configuration. Runs are dealt to jobs of `most` runs; a task is one job of one symbol, and bars are shuffled
-    once a job.
+    configuration. A task is one job of one symbol, and bars are shuffled once a job: there are no more jobs than
+    keep the cluster busy (four tasks a core), of at least `least` runs each.
     """
     refs = sorted({c for cfg in runs.values() for c in (cfg.sl_ref_long_col, cfg.sl_ref_short_col) if c and c in signals.columns})
     codes = sorted(runs)
+    symbols = max(1, signals.select(KEY).distinct().count())
+    busy = -(-4 * signals.sparkSession.sparkContext.defaultParallelism // symbols)
+    most = max(least, -(-len(codes) // busy))
     jobs = [codes[k : k + most] for k in range(0, len(codes), most)]
     spans = [(own[0] // 100_000, own[-1] // 100_000 - own[0] // 100_000 + 1) for own in jobs]  # first variant, how many
     # the median spacing needs all bars at once: Spark finds it

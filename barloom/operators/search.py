@@ -6,7 +6,7 @@ import itertools
 import json
 import math
 import random
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -17,7 +17,7 @@ from barloom.functions.columns import KEY, TIME, reusing_columns
 from barloom.operators.backtest import _FAST, RUN, run_many
 from barloom.operators.config import BacktestConfig
 from barloom.plans.strategies import Strategy
-from barloom.staging import stage
+from barloom.staging import drop, stage, stage_parts
 
 #: Distinct signal variants in one plan; larger grids are run in parts of this size.
 VARIANTS = 48
@@ -66,19 +66,26 @@ def _labelled(stats: DataFrame, runs: dict[int, dict]) -> DataFrame:
     return table.join(stats, RUN).select(RUN, KEY, *names, *_FAST)
 
 
-def sweep(bars: DataFrame, strategies: list[tuple[dict, Strategy]], configs: list[tuple[dict, BacktestConfig]]) -> DataFrame:
-    """Every strategy under every configuration: one row for each run and symbol. Signals are made once a strategy."""
-    refs = sorted({c for _, cfg in configs for c in (cfg.sl_ref_long_col, cfg.sl_ref_short_col) if c})
-    out = None
+def _parts(bars: DataFrame, strategies: list[Strategy], configs: list[BacktestConfig], first: int = 0) -> Iterator[DataFrame]:
+    """Statistics of every strategy under every configuration, VARIANTS strategies at a time; runs are numbered
+    from first on. A part's bars with flags are kept until its statistics are read."""
+    refs = sorted({c for cfg in configs for c in (cfg.sl_ref_long_col, cfg.sl_ref_short_col) if c})
     for start in range(0, len(strategies), VARIANTS):
         part = strategies[start : start + VARIANTS]
-        table = stage(_flags(bars, [s for _, s in part], refs), "flags")  # read for the spacing and for the runs
-        runs = {k * 100_000 + j: cfg for k in range(len(part)) for j, (_, cfg) in enumerate(configs)}
-        labels = {k * 100_000 + j: part[k][0] | configs[j][0] for k in range(len(part)) for j in range(len(configs))}
-        done = _labelled(run_many(table, runs), labels)
-        done = done.withColumn(RUN, F.lit(start * len(configs)) + F.expr(f"({RUN} div 100000) * {len(configs)} + {RUN} % 100000"))
-        out = done if out is None else out.unionByName(done)
-    return out
+        table = stage(_flags(bars, part, refs), "flags")  # read for the spacing and for the runs
+        runs = {k * 100_000 + j: cfg for k in range(len(part)) for j, cfg in enumerate(configs)}
+        number = F.lit(first + start * len(configs)) + F.expr(f"({RUN} div 100000) * {len(configs)} + {RUN} % 100000")
+        yield run_many(table, runs).withColumn(RUN, number)
+        drop(table)
+
+
+def sweep(bars: DataFrame, strategies: list[tuple[dict, Strategy]], configs: list[tuple[dict, BacktestConfig]]) -> DataFrame:
+    """Every strategy under every configuration: one row for each run and symbol. Signals are made once a strategy.
+
+    Runs at once: the statistics are staged part by part, so a plan that reads them knows nothing of the runs.
+    """
+    labels = dict(enumerate(s | c for s, _ in strategies for c, _ in configs))
+    return _labelled(stage_parts(_parts(bars, [s for _, s in strategies], [c for _, c in configs]), "runs"), labels)
 
 
 def run_grid(bars: DataFrame, strategy: type[Strategy], grid: dict[str, list], cfg: BacktestConfig, valid: Callable[[dict], bool] | None = None) -> DataFrame:
@@ -90,11 +97,12 @@ def run_grid(bars: DataFrame, strategy: type[Strategy], grid: dict[str, list], c
 
 
 def rank(results: DataFrame, metric: str = "sharpe", direction: str = "max", min_trades: int = 0) -> DataFrame:
-    """Runs with enough trades (all, if none has), infinities as unknown, those without the metric left out."""
+    """Runs with enough trades (all, if none has), infinities as unknown, those without the metric left out.
+
+    Looks into the results at once, whether any run has enough; those of sweep() are staged.
+    """
     enough = results.where(F.col("num_trades") >= min_trades)
-    # decided by Spark, not by the driver: a flag of whether any run has enough
-    flagged = results.crossJoin(F.broadcast(enough.agg((F.count("*") > 0).alias("_some"))))
-    kept = flagged.where((~F.col("_some")) | (F.col("num_trades") >= min_trades)).drop("_some")
+    kept = results if enough.isEmpty() else enough
     finite = [F.when(F.abs(c.name) != float("inf"), F.col(c.name)).alias(c.name) if c.dataType.typeName() == "double" else F.col(c.name) for c in kept.schema.fields]
     order = F.desc(metric) if direction in ("max", "maximize") else F.asc(metric)
     return kept.select(*finite).where(F.col(metric).isNotNull()).orderBy(order, RUN)
@@ -291,16 +299,13 @@ class Experiment:
         groups: dict[tuple[int, ...], list[dict]] = {}
         for s in strategies:
             groups.setdefault(tuple(k for k, c in enumerate(settings) if fits({**s, **c})), []).append(s)
-        out, offset = None, 0
-        for allowed, members in groups.items():
-            if not allowed:
-                continue
-            rows = sweep(bars, [(s, self.strategy(**(self.fixed | s))) for s in members], [(settings[k], self.base_cfg.replace(**settings[k])) for k in allowed])
-            rows = rows.withColumn(RUN, F.col(RUN) + offset)
-            offset += len(members) * len(allowed)
-            out = rows if out is None else out.unionByName(rows)
-        if out is None:
+        groups.pop((), None)
+        if not groups:
             raise ValueError("the experiment has no valid run")
+        runs = [s | settings[k] for allowed, members in groups.items() for s in members for k in allowed]
+        first = itertools.accumulate((len(allowed) * len(members) for allowed, members in groups.items()), initial=0)
+        parts = (_parts(bars, [self.strategy(**(self.fixed | s)) for s in members], [self.base_cfg.replace(**settings[k]) for k in allowed], at) for (allowed, members), at in zip(groups.items(), first, strict=False))
+        out = _labelled(stage_parts(itertools.chain.from_iterable(parts), "runs"), dict(enumerate(runs)))
         return rank(out, self.metric, self.direction, self.min_trades)
 
     def write(self, ranked: DataFrame, folder: str, best: int = 15) -> None:

@@ -34,11 +34,34 @@ def longest_runs(trades: DataFrame, keys: tuple[str, ...] = (RUN, KEY), order: t
     return island.groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col("_k") > 0, F.col("_n"))), F.lit(0)).alias("max_consecutive_wins"), F.coalesce(F.max(F.when(F.col("_k") < 0, F.col("_n"))), F.lit(0)).alias("max_consecutive_losses"))
 
 
-def curve_stats(equity: DataFrame, keys: tuple[str, ...] = (RUN, KEY), time: str = "t") -> DataFrame:
-    """Largest drawdown and the ratios of the returns a bar."""
-    before = F.lag("equity").over(Window.partitionBy(*keys).orderBy(time))
-    moves = equity.select(*keys, "drawdown", F.try_divide(F.col("equity") - before, F.nullif(before, F.lit(0.0))).alias("r"))
-    sums = moves.groupBy(*keys).agg(F.max("drawdown").alias("dd"), F.count("r").alias("n"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd"), F.stddev_samp(F.when(F.col("r") < 0, F.col("r"))).alias("down"))
+def _moments(groups: DataFrame, keys: tuple[str, ...], n: str, mean: str, square: str, spread: str) -> DataFrame:
+    """Number, mean and sample deviation of series from those of their parts (square: summed squared deviations)."""
+    whole = Window.partitionBy(*keys)
+    share = F.coalesce(F.try_divide(F.sum(F.col(n) * F.col(mean)).over(whole), F.sum(n).over(whole)), F.lit(0.0))
+    parts = groups.select(*keys, n, mean, square, share.alias("_m"))
+    gap = F.coalesce(F.col(n) * (F.col(mean) - F.col("_m")) * (F.col(mean) - F.col("_m")), F.lit(0.0))
+    total = F.sum(F.coalesce(square, F.lit(0.0)) + gap)
+    return parts.groupBy(*keys).agg(F.sum(n).alias(n), F.max("_m").alias(mean), F.when(F.sum(n) > 1, F.sqrt(total / (F.sum(n) - 1))).alias(spread))
+
+
+def curve_stats(equity: DataFrame, keys: tuple[str, ...] = (RUN, KEY), time: str = "t", block: str = "month") -> DataFrame:
+    """Largest drawdown and the ratios of the returns a bar.
+
+    Each block of a calendar unit is summed up by itself, as number, mean and squared deviations; the return from
+    a block to the next is a part of one. Nothing goes over a whole curve but its blocks.
+    """
+    rows = equity.select(*keys, F.col(time).alias("_t"), "equity", "drawdown", F.date_trunc(block, time).alias("_b"))
+    move = lambda now, before: F.try_divide(now - before, F.nullif(before, F.lit(0.0)))
+    rows = rows.withColumn("r", move(F.col("equity"), F.lag("equity").over(Window.partitionBy(*keys, "_b").orderBy("_t"))))
+    fall = F.when(F.col("r") < 0, F.col("r"))
+    own = lambda x, n, m, q: [F.count(x).alias(n), F.avg(x).alias(m), (F.var_pop(x) * F.count(x)).alias(q)]
+    blocks = rows.groupBy(*keys, "_b").agg(F.max("drawdown").alias("dd"), *own(F.col("r"), "n", "mean", "q"), *own(fall, "dn", "dmean", "dq"), F.min(F.struct("_t", "equity"))["equity"].alias("head"), F.max(F.struct("_t", "equity"))["equity"].alias("tail"))
+    blocks = blocks.withColumn("r", move(F.col("head"), F.lag("tail").over(Window.partitionBy(*keys).orderBy("_b"))))
+    parts = F.array(F.struct("dd", "n", "mean", "q", "dn", "dmean", "dq"), F.struct(F.lit(None).cast("double").alias("dd"), F.col("r").isNotNull().cast("long").alias("n"), F.col("r").alias("mean"), F.lit(0.0).alias("q"), (F.coalesce(F.col("r") < 0, F.lit(False))).cast("long").alias("dn"), fall.alias("dmean"), F.lit(0.0).alias("dq")))
+    groups = blocks.select(*keys, F.explode(parts).alias("g")).select(*keys, "g.*")
+    sums = groups.groupBy(*keys).agg(F.max("dd").alias("dd"))
+    for names in (("n", "mean", "q", "sd"), ("dn", "dmean", "dq", "down")):
+        sums = sums.join(_moments(groups, keys, *names), list(keys))
     both = sums.join(periods_per_year(equity, time, keys), list(keys))
     scale, enough = F.sqrt("periods_per_year"), F.col("n") > 1
     ratio = lambda by: F.when(enough & (F.col(by) > 0), F.try_divide(F.col("mean"), F.col(by)) * scale).otherwise(0.0)

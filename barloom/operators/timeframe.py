@@ -110,13 +110,43 @@ def viewport(bars: DataFrame, start: str, end: str, target: int) -> DataFrame:
     inside = bars.where(F.col(TIME).between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
     minutes = bars.sparkSession.sql(f"select (unix_seconds(timestamp '{end}') - unix_seconds(timestamp '{start}')) / 60.0 as m").first()[0]
     width = max(1, int(float(minutes) / max(target, 1)))
-    crowded = inside.groupBy(KEY).agg(F.count("*").alias("n")).where(F.col("n") > target).select(KEY)
-    plain = inside.join(crowded, KEY, "left_anti").select(KEY, TIME, "open", "high", "low", "close")
-    packed = resample(inside.join(crowded, KEY, "left_semi"), f"{width}min").select(KEY, TIME, "open", "high", "low", "close")
-    return plain.unionByName(packed)
+    counts = inside.groupBy(KEY).agg(F.count("*").alias("_c"))
+    # each bar goes into its bucket, or stays by itself where a symbol has few
+    at = F.when(F.col("_c") > target, bucket_start(f"{width}min")).otherwise(F.col(TIME))
+    placed = inside.join(counts, KEY).withColumn("_at", at)
+    grouped = placed.groupBy(KEY, "_at", "_c").agg(F.min_by("open", F.when(F.col("open").isNotNull(), F.col(TIME))).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", F.when(F.col("close").isNotNull(), F.col(TIME))).alias("close"))
+    return grouped.where(f"open is not null or _c <= {target}").select(KEY, F.col("_at").alias(TIME), "open", "high", "low", "close")
 
 
 def extremes(bars: DataFrame, rule: str, column: str = "close") -> DataFrame:
     """For a zoomed-out line: of each bucket the bars of its lowest and highest value, in order of time."""
     per = bars.withColumn("_bucket", bucket_start(rule)).groupBy(KEY, "_bucket").agg(F.min_by(F.struct(TIME, column), F.struct(column, TIME)).alias("a"), F.max_by(F.struct(TIME, column), F.struct(column, TIME)).alias("b"))
     return per.select(KEY, F.explode(F.array_distinct(F.array("a", "b"))).alias("p")).select(KEY, f"p.{TIME}", f"p.{column}")
+
+
+def _bind(value: str, name: str, body: str) -> str:
+    """body with name bound to value, which is worked out once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def shape(bars: DataFrame, rule: str, points: int, column: str = "close") -> DataFrame:
+    """For a zoomed-out line: of each symbol at most `points` bars that keep its shape.
+
+    The extremes of each bucket are candidates, found by all tasks; they are parted into equal rows, and of each
+    row the candidate stays that makes the largest triangle with the one chosen before and the middle of the
+    next row. rule bounds the candidates: two a bucket, held by symbol.
+    """
+    if points < 3:
+        raise ValueError("points must be 3 at least")
+    point = F.struct(F.col(TIME).alias("t"), F.unix_micros(F.col(TIME).cast("timestamp")).cast("double").alias("x"), F.col(column).cast("double").alias("v"))
+    per = extremes(bars.where(F.col(column).isNotNull()), rule, column).groupBy(KEY).agg(F.array_sort(F.collect_list(point)).alias("p"))
+    every = f"((size(p) - 2) / cast({points - 2} as double))"
+    edge = lambda i: f"(cast(floor(({i}) * {every}) as int) + 1)"
+    row = lambda i: f"slice(p, {edge(i)} + 1, least({edge(f'{i} + 1')}, size(p)) - {edge(i)})"
+    middle = _bind(f"if(i = {points - 3}, slice(p, size(p), 1), {row('i + 1')})", "r", "named_struct('x', aggregate(r, 0D, (s, q) -> s + q.x) / size(r), 'v', aggregate(r, 0D, (s, q) -> s + q.v) / size(r))")
+    area = "abs((acc.at.x - m.x) * (q.v - acc.at.v) - (acc.at.x - q.x) * (m.v - acc.at.v))"
+    best = f"array_max(transform({row('i')}, q -> named_struct('area', {area}, 'early', -q.x, 'q', q))).q"
+    step = _bind(middle, "m", _bind(best, "b", "named_struct('at', b, 'out', concat(acc.out, array(b)))"))
+    chosen = f"aggregate(sequence(0, {points - 3}), named_struct('at', p[0], 'out', array(p[0])), (acc, i) -> {step}, acc -> concat(acc.out, slice(p, size(p), 1)))"
+    kept = per.select(KEY, F.explode(F.expr(f"if(size(p) <= {points}, p, {chosen})")).alias("q"))
+    return kept.select(KEY, F.col("q.t").alias(TIME), F.col("q.v").alias(column))

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import random
-import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,11 +19,12 @@ from barloom.operators import timeframe as R
 from barloom.operators.backtest import RUN, SIGNALS, SimResult, run_backtest, with_drawdown
 from barloom.operators.chunks import in_chunks
 from barloom.operators.config import BacktestConfig, TakeProfit
+from barloom.operators.quantiles import exact_quantiles
 from barloom.plans import report
 from barloom.plans import strategies as Y
 from barloom.sources import providers, store
 from barloom.sources.ticks import event_bars, order_bars
-from barloom.staging import shared_dir
+from barloom.staging import scratch_path, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -128,6 +129,22 @@ def line_extremes(spark, d):
     return R.extremes(_bars(spark, d), "1D")
 
 
+_SHAPE = f"""{BARS}, g AS (SELECT symbol, time_bucket(INTERVAL '6 hours', open_time) AS b, arg_min(row(open_time, close), row(close, open_time)) AS lo, arg_max(row(open_time, close), row(close, open_time)) AS hi FROM bars GROUP BY 1, 2),
+c AS (SELECT symbol, p[1] AS t, CAST(epoch_us(p[1]) AS DOUBLE) AS x, p[2] AS v FROM (SELECT symbol, lo AS p FROM g UNION SELECT symbol, hi FROM g)),
+p AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS size, (count(*) OVER (PARTITION BY symbol) - 2) / 38.0::DOUBLE AS every FROM c),
+r AS (SELECT *, CASE WHEN i = size - 1 THEN 38 ELSE (SELECT max(k) FROM range(0, 38) q(k) WHERE floor(k * every) + 1 <= i) END AS k FROM p WHERE i > 0 AND size > 40),
+m AS (SELECT symbol, k, avg(x) AS x, avg(v) AS v FROM r GROUP BY 1, 2),
+s(symbol, k, t, x, v) AS (SELECT symbol, CAST(-1 AS BIGINT), t, x, v FROM p WHERE i = 0 AND size > 40
+  UNION ALL SELECT s.symbol, s.k + 1, arg_max(r.t, abs((s.x - m.x) * (r.v - s.v) - (s.x - r.x) * (m.v - s.v))), arg_max(r.x, abs((s.x - m.x) * (r.v - s.v) - (s.x - r.x) * (m.v - s.v))), arg_max(r.v, abs((s.x - m.x) * (r.v - s.v) - (s.x - r.x) * (m.v - s.v)))
+  FROM s JOIN r ON r.symbol = s.symbol AND r.k = s.k + 1 JOIN m ON m.symbol = s.symbol AND m.k = s.k + 2 WHERE s.k < 37 GROUP BY 1, 2)"""
+
+
+@query("line_shape", f"WITH RECURSIVE {_SHAPE} SELECT symbol, t AS open_time, v AS close FROM s UNION ALL SELECT symbol, t, v FROM p WHERE size <= 40 OR i = size - 1")
+def line_shape(spark, d):
+    """Forty bars of each symbol that keep the shape of its closes."""
+    return R.shape(_bars(spark, d), "6h", 40)
+
+
 @query("incremental_merge", f"WITH {BARS} SELECT symbol, open_time, CASE WHEN open_time >= TIMESTAMP '2024-01-15 00:00:00' THEN close * 2 ELSE close END AS close FROM bars")
 def incremental_merge(spark, d):
     bars = _bars(spark, d)
@@ -136,41 +153,52 @@ def incremental_merge(spark, d):
     return store.merge_bars(head, tail).select(KEY, TIME, "close")
 
 
-@query("store_load", f"WITH {BARS} SELECT symbol, open_time, close FROM bars WHERE symbol = (SELECT min(symbol) FROM bars) AND open_time BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-02-12 12:00:00'")
+@query("store_load", f"WITH {BARS} SELECT upper(symbol) AS symbol, open_time, close FROM bars WHERE open_time BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-02-12 12:00:00'")
 def store_load(spark, d):
-    """A series put into a new store, its tail twice, and a span of it loaded."""
+    """All series put into a new store, their heads twice, and a span of each loaded."""
     bars = _bars(spark, d)
-    bars = bars.join(F.broadcast(bars.agg(F.min(KEY).alias(KEY))), KEY).withColumn("own", F.col(KEY)).withColumn(KEY, F.lit("S"))
-    kept = store.BarStore(spark, f"{shared_dir(spark)}/barloom/store-{uuid.uuid4().hex}")
+    kept = store.BarStore(spark, scratch_path(spark, "store"))
     kept.write(store.time_slice(bars, None, "2024-01-20 00:00:00").withColumn("close", F.col("close") + 1), "1h")
     kept.write(bars, "1h")
-    return kept.load("S", "1h", "2024-01-05 00:00:00", "2024-02-12 12:00:00", ["own"]).select(F.col("own").alias(KEY), TIME, "close")
+    return reduce(DataFrame.unionByName, [kept.load(r[KEY], "1h", "2024-01-05 00:00:00", "2024-02-12 12:00:00", []) for r in kept.catalog().collect()]).select(KEY, TIME, "close")
+
 
+@query("store_catalog", f"WITH {BARS} SELECT upper(symbol) AS symbol, count(*) AS n_bars, min(open_time) AS first_time, max(open_time) AS last_time FROM bars GROUP BY 1")
+def store_catalog(spark, d):
+    """What the log of a store's commits says of it, after two overlapping commits."""
+    bars = _bars(spark, d)
+    kept = store.BarStore(spark, scratch_path(spark, "store"))
+    kept.write(store.time_slice(bars, "2024-01-10 00:00:00"), "1h")
+    kept.write(store.time_slice(bars, None, "2024-01-20 00:00:00"), "1h")
+    return kept.catalog().select(KEY, "n_bars", "first_time", "last_time")
+
+
+_KNOWN = ("2024-01-10 00:00:00", "2024-01-20 00:00:00")
 
-@query("fetch_klines", "WITH k AS (SELECT CAST(range AS BIGINT) AS m FROM range(0, 2881)) SELECT 'TEST' AS symbol, TIMESTAMP '2024-03-01 00:00:00' + to_minutes(m) AS open_time, 100 + (28487520 + m) % 97 / 10 AS open, 100 + (28487520 + m) % 89 / 10 AS close, CAST((28487520 + m) % 13 AS DOUBLE) AS volume, (28487520 + m) % 7 AS num_trades FROM k")
+
+@query("fetch_klines", f"WITH {BARS} SELECT upper(symbol) AS symbol, open_time, close, open_time NOT BETWEEN TIMESTAMP '{_KNOWN[0]}' AND TIMESTAMP '{_KNOWN[1]}' AS fetched FROM bars WHERE open_time BETWEEN TIMESTAMP '2024-01-03 00:00:00' AND TIMESTAMP '2024-02-20 00:00:00'")
 def fetch_klines(spark, d):
-    """Two days of a generated source's klines, page after page, through a new store."""
-    kept = store.BarStore(spark, f"{shared_dir(spark)}/barloom/store-{uuid.uuid4().hex}")
-    provider = providers.KlineProvider("barloom.sources.providers:generated_page", limit=100, pages_a_task=5)
-    rows = providers.get_ohlcv(kept, "test", "1m", "2024-03-01 00:00:00", "2024-03-03 00:00:00", provider)
-    return rows.select(KEY, TIME, "open", "close", "volume", "num_trades")
+    """Spans of all series of which a store has the middle: only what is missing is fetched, and all is kept."""
+    bars = stage(_bars(spark, d), "bars")
+    kept = store.BarStore(spark, scratch_path(spark, "store"))
+    kept.write(store.time_slice(bars, *_KNOWN).withColumn("fetched", F.lit(False)), "1h", "table")
+    provider = providers.TableProvider(bars.withColumn("fetched", F.lit(True)))
+    series = [providers.get_ohlcv(kept, r[KEY], "1h", "2024-01-03 00:00:00", "2024-02-20 00:00:00", provider) for r in bars.select(KEY).distinct().collect()]
+    return reduce(DataFrame.unionByName, [s.select(KEY, TIME, "close", "fetched") for s in series])
 
 
-@query("parse_klines", f"WITH {BARS} SELECT 'X' AS symbol, open_time, open, high, low, close, round(volume, 6) AS volume, CAST(7 AS BIGINT) AS num_trades FROM bars WHERE symbol = (SELECT min(symbol) FROM bars)")
+@query("parse_klines", f"WITH {BARS} SELECT symbol, open_time, open, high, low, close, round(volume, 6) AS volume, CAST(7 AS BIGINT) AS num_trades FROM bars")
 def parse_klines(spark, d):
-    bars = _bars(spark, d)
-    bars = bars.join(F.broadcast(bars.agg(F.min(KEY).alias(KEY))), KEY)
     text = lambda c: F.col(c).cast("string")
     row = F.array(F.unix_millis(F.col(TIME).cast("timestamp")).cast("string"), *[text(c) for c in _OHLCV], *[F.lit("0")] * 2, F.lit("7"), *[F.lit("0")] * 3)
-    pages = bars.groupBy(F.trunc(TIME, "month")).agg(F.to_json(F.collect_list(row)).alias("page"))
-    return providers.parse_klines(pages, "page", "X").select(KEY, TIME, *_OHLCV[:4], F.round("volume", 6).alias("volume"), "num_trades")
+    pages = _bars(spark, d).groupBy(F.col(KEY).alias("s"), F.trunc(TIME, "month")).agg(F.to_json(F.collect_list(row)).alias("page"))
+    return providers.parse_klines(pages, "page", F.col("s")).select(KEY, TIME, *_OHLCV[:4], F.round("volume", 6).alias("volume"), "num_trades")
 
 
-@query("normalise_bars", f"WITH {BARS} SELECT 'EURUSD' AS symbol, open_time, open, high, low, close, 0.0::DOUBLE AS volume FROM bars WHERE symbol = (SELECT max(symbol) FROM bars)")
+@query("normalise_bars", f"WITH {BARS} SELECT upper(symbol) AS symbol, open_time, open, high, low, close, 0.0::DOUBLE AS volume FROM bars")
 def normalise_bars(spark, d):
-    bars = _bars(spark, d)
-    bars = bars.join(F.broadcast(bars.agg(F.max(KEY).alias(KEY))), KEY)
-    return providers.normalise(bars.select(F.col(TIME).cast("string").alias("Timestamp"), *[F.col(c).alias(c.title()) for c in _OHLCV[:4]]), "eurusd")
+    raw = _bars(spark, d).select(F.col(KEY).alias("Instrument"), F.col(TIME).cast("string").alias("Timestamp"), *[F.col(c).alias(c.title()) for c in _OHLCV[:4]])
+    return providers.normalise(raw, F.col("instrument"))
 
 
 # ---- indicators
@@ -186,6 +214,20 @@ def sma_20(spark, d):
     return _rounded(I.add_smas(_bars(spark, d), [20]), "sma_20", digits=9)
 
 
+@query("sma_200", f"WITH {BARS} SELECT symbol, open_time, round({_roll('avg', 'close', 200)}, 6) AS sma_200, round({_roll('avg', 'close', 50)}, 6) AS sma_50 FROM n")
+def sma_200(spark, d):
+    """Means over frames that are cut into blocks."""
+    return _rounded(I.add_smas(_bars(spark, d), [200, 50]), "sma_200", "sma_50")
+
+
+@query("price_quantiles", "SELECT unnest([0.0, 0.05, 1.0 / 3, 0.5, 0.999, 1.0]) AS share, round(unnest(quantile_cont(l_extendedprice, [0.0, 0.05, 1.0 / 3, 0.5, 0.999, 1.0])), 6) AS price FROM lineitem")
+def price_quantiles(spark, d):
+    """Exact quantiles of a column of any length."""
+    shares = [0.0, 0.05, 1 / 3, 0.5, 0.999, 1.0]
+    found, _ = exact_quantiles(spark.read.parquet(f"{d}/lineitem.parquet"), F.col("l_extendedprice"), shares)
+    return spark.createDataFrame(list(zip(shares, found, strict=True)), "share double, price double").withColumn("price", F.round("price", 6))
+
+
 def _ema_sql(periods: list[int]) -> str:
     means = ", ".join(recursive_mean(f"e{p}", "n", "close", f"(2.0 / {p + 1})") for p in periods)
     joins = " ".join(f"JOIN e{p} USING (symbol, rn)" for p in periods)
@@ -256,6 +298,15 @@ def swings(spark, d):
     return I.add_swings(_bars(spark, d), 5, 5).select(KEY, TIME, "swing_high", "swing_low", "swing_last_high", "swing_last_low")
 
 
+_WIDE = _PIVOT.replace("= 11 ", "= 41 ").replace("5 PRECEDING AND 5 FOLLOWING", "20 PRECEDING AND 20 FOLLOWING").replace("(ph, 5)", "(ph, 20)").replace("(pl, 5)", "(pl, 20)")
+
+
+@query("swings_wide", f"WITH {BARS}, {_WIDE} SELECT symbol, open_time, swing_high, swing_low, swing_last_high, swing_last_low FROM sw")
+def swings_wide(spark, d):
+    """Pivots over frames that are cut into blocks."""
+    return I.add_swings(_bars(spark, d), 20, 20).select(KEY, TIME, "swing_high", "swing_low", "swing_last_high", "swing_last_low")
+
+
 @query("pivot_points", f"WITH {BARS}, dd AS (SELECT symbol, time_bucket(INTERVAL '1 day', open_time) AS b, max(high) AS h, min(low) AS l, arg_max(close, open_time) AS c FROM bars GROUP BY 1, 2), lv AS (SELECT symbol, b, lag(h) OVER w AS h, lag(l) OVER w AS l, lag(c) OVER w AS c FROM dd WINDOW w AS (PARTITION BY symbol ORDER BY b)) SELECT bars.symbol, open_time, round((h + l + c) / 3, 6) AS piv_pp, round(2 * (h + l + c) / 3 - l, 6) AS piv_r1, round(2 * (h + l + c) / 3 - h, 6) AS piv_s1, round((h + l + c) / 3 + (h - l), 6) AS piv_r2, round((h + l + c) / 3 - (h - l), 6) AS piv_s2 FROM bars JOIN lv ON lv.symbol = bars.symbol AND lv.b = time_bucket(INTERVAL '1 day', open_time)")
 def pivot_points(spark, d):
     return _rounded(I.add_pivot_points(_bars(spark, d)), "piv_pp", "piv_r1", "piv_s1", "piv_r2", "piv_s2")

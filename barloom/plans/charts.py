@@ -17,7 +17,7 @@ from barloom.functions.indicators import add_emas
 from barloom.operators import attribution as A
 from barloom.operators import statistics as M
 from barloom.operators.backtest import RUN
-from barloom.operators.timeframe import extremes, viewport
+from barloom.operators.timeframe import shape, viewport
 
 UP, DOWN, PRICE, STOP = "#2a7f4f", "#b5413a", "#35618f", "#c98a1b"
 COLOURS = ("#7a4fa3", "#c0762c", "#2f8c8c", "#8c2f5d", "#5d7a2f")
@@ -119,10 +119,10 @@ class Chart:
         start, end = (F.lit(t).cast("timestamp_ntz") for t in span)
         inside = self.bars.where(F.col(TIME).between(start, end))
         shown = sorted(viewport(self.bars, *span, CANDLES).collect(), key=lambda r: r[TIME])  # about CANDLES rows
-        # as many buckets as leave POINTS points of two a bucket
-        minutes = max(1, math.ceil((_seconds(datetime.fromisoformat(span[1])) - _seconds(datetime.fromisoformat(span[0]))) / 60 / (POINTS / 2)))
+        # two candidates a bucket, four for each point that stays
+        minutes = max(1, math.ceil((_seconds(datetime.fromisoformat(span[1])) - _seconds(datetime.fromisoformat(span[0]))) / 60 / (POINTS * 2)))
         lines = [("close", "close"), *self._lines] if not self.candles or not shown else self._lines
-        drawn = {name: sorted((r[TIME], r[column]) for r in extremes(inside.where(F.col(column).isNotNull()), f"{minutes}min", column).collect()) for column, name in lines}
+        drawn = {name: sorted((r[TIME], r[column]) for r in shape(inside, f"{minutes}min", POINTS, column).collect()) for column, name in lines}
         box = axes([r[TIME] for r in shown], [v for r in shown for v in (r.low, r.high) if v is not None] + [v for p in drawn.values() for _, v in p])
         parts = [box.frame()]
         half = max(0.5, 0.35 * (box.width - 60) / max(1, len(shown)))

@@ -93,7 +93,7 @@ class CommitLog:
         """commit, the partition columns, rows, check, first, last of all that is there at a version."""
         version = self.version() if version is None else version
         last = F.max_by(F.struct("action", "rows", "check", "first", "last"), "version").alias("e")
-        return self._log(0, version).where("action <> 'columns'").groupBy("commit", *self.parts).agg(last).where("e.action = 'add'").select("commit", *self.parts, "e.rows", "e.check", "e.first", "e.last")
+        return self._log(0, version).where("action <> 'columns'").groupBy("commit", *self.parts).agg(last).where("e.action = 'add'").select("commit", "e.rows", "e.check", "e.first", "e.last", *self.parts)
 
     def columns(self, version: int | None = None) -> T.StructType | None:
         """The table's columns but for those of its folders; None before anything was written."""

@@ -11,9 +11,10 @@ import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime, timedelta
+from functools import reduce
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -166,13 +167,14 @@ def generated_page(symbol: str, tf: str, start: int, end: int, limit: int) -> li
     return [[k * 60_000, str(100 + k % 97 / 10), "120", "90", str(100 + k % 89 / 10), str(k % 13), k * 60_000 + 59_999, "0", k % 7, "0", "0", "0"] for k in minutes]
 
 
-def parse_klines(raw: DataFrame, column: str, symbol: str) -> DataFrame:
-    """Bars from a column of JSON pages: arrays of arrays of twelve values."""
-    rows = raw.select(F.explode(F.from_json(column, "array<array<string>>")).alias("r"))
+def parse_klines(raw: DataFrame, column: str, symbol: str | Column) -> DataFrame:
+    """Bars from a column of JSON pages: arrays of arrays of twelve values. symbol: a name, or a column of raw."""
+    name = F.lit(symbol) if isinstance(symbol, str) else symbol
+    rows = raw.select(name.alias("s"), F.explode(F.from_json(column, "array<array<string>>")).alias("r"))
     value = lambda name, kind: F.get("r", F.lit(KLINE_COLUMNS.index(name))).try_cast(kind).alias(name)
     when = F.timestamp_millis(F.get("r", F.lit(0)).try_cast("long")).cast("timestamp_ntz").alias(TIME)
     kinds = {"num_trades": "long"}
-    return rows.select(F.lit(symbol).alias(KEY), when, *[value(c, kinds.get(c, "double")) for c in ("open", "high", "low", "close", "volume", "quote_volume", "num_trades", "taker_buy_base", "taker_buy_quote")])
+    return rows.select(F.col("s").alias(KEY), when, *[value(c, kinds.get(c, "double")) for c in ("open", "high", "low", "close", "volume", "quote_volume", "num_trades", "taker_buy_base", "taker_buy_quote")])
 
 
 class Provider(Protocol):
@@ -212,14 +214,15 @@ def fx_symbol(symbol: str) -> str:
     return FX_SYMBOLS.get(s, f"{s[:3]}/{s[3:]}")
 
 
-def normalise(raw: DataFrame, symbol: str) -> DataFrame:
-    """A provider's frame as bars: names in lower case, its time column found, volume 0 where there is none."""
+def normalise(raw: DataFrame, symbol: str | Column) -> DataFrame:
+    """A provider's frame as bars: names in lower case, its time column found, volume 0 where there is none. symbol: a
+    name, or a column of raw."""
     lower = raw.toDF(*[c.lower() for c in raw.columns])
     times = [c for c in ("open_time", "timestamp", "time", "date", "datetime", "index") if c in lower.columns]
     if not times:
         raise ValueError("no time column")
     volume = F.coalesce(F.col("volume").cast("double"), F.lit(0.0)) if "volume" in lower.columns else F.lit(0.0)
-    rows = lower.select(F.lit(symbol.upper()).alias(KEY), F.col(times[0]).cast("timestamp_ntz").alias(TIME), *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close")], volume.alias("volume"))
+    rows = lower.select(F.upper(F.lit(symbol) if isinstance(symbol, str) else symbol).alias(KEY), F.col(times[0]).cast("timestamp_ntz").alias(TIME), *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close")], volume.alias("volume"))
     return validate_ohlcv(rows)
 
 
@@ -241,6 +244,18 @@ class FxProvider:
         return merge_bars(*frames)
 
 
+@dataclass
+class TableProvider:
+    """Bars of a table that Spark reads, as if they were far away: of a symbol, only the ranges that are asked for."""
+
+    bars: DataFrame
+    name: str = "table"
+
+    def fetch(self, spark: SparkSession, symbol: str, tf: str, ranges: list[tuple[datetime, datetime]]) -> DataFrame:
+        wanted = reduce(lambda x, y: x | y, [F.col(TIME).between(F.lit(a).cast("timestamp_ntz"), F.lit(b).cast("timestamp_ntz")) for a, b in ranges])
+        return self.bars.where((F.upper(KEY) == symbol.upper()) & wanted)
+
+
 _PROVIDERS: dict[str, Callable[[], Provider]] = {"binance": KlineProvider, "dukascopy": FxProvider}
 
 

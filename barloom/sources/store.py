@@ -118,7 +118,10 @@ class BarStore:
             version = self.log.version()
             if not version:
                 return []
-            bad = self.damaged(self._series(version, symbol, tf, source, market), version, deep).collect()  # one row a month
+            live = self._series(version, symbol, tf, source, market).collect()  # one row a month
+            if not live:
+                return []
+            bad = self.damaged(self.spark.createDataFrame(live, self.log.state_schema), version, deep).collect()
             if not bad:
                 return []
             gone = self.spark.createDataFrame([(r.commit, *(r[p] for p in PARTITIONS)) for r in bad], ", ".join(f"{c} string" for c in ("commit", *PARTITIONS)))
@@ -147,7 +150,7 @@ class BarStore:
     def _commit(self, new: DataFrame, touched: DataFrame, keys: tuple[str, ...]) -> bool:
         """One try; False if another writer was faster with one of the touched months."""
         version = self.log.version()
-        old = self.log.live(version).join(touched, list(PARTITIONS), "left_semi")
+        old = self.log.live(version).join(touched, list(PARTITIONS), "left_semi").cache()
         merged = new
         if version:
             if bad := self.damaged(old, version).limit(10).collect():

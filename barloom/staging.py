@@ -12,6 +12,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[0]
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path of its own under the shared folder; whatever is put there is deleted when the Python process ends."""
+    path = f"{shared_dir(spark)}/barloom/{name}-{uuid.uuid4().hex}"
+    _STAGED.append((spark, path))
+    return path
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder of any file system that Spark reads."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -46,16 +54,20 @@ def _clean() -> None:
                 delete(spark, path)
 
 
-def stage_parts(parts: list[DataFrame], name: str, by: str | None = None) -> DataFrame:
+def stage_parts(parts: Iterable[DataFrame], name: str, by: str | None = None) -> DataFrame:
     """Write tables of one schema, one after another, as one Parquet table under the shared folder, and read it
-    back; by: a column whose values are kept in folders of their own, so that readers of one skip the rest."""
-    spark = parts[0].sparkSession
-    path = f"{shared_dir(spark)}/barloom/{name}-{uuid.uuid4().hex}"
+    back; by: a column whose values are kept in folders of their own, so that readers of one skip the rest. The
+    next part is asked for when the one before is written."""
+    path = first = None
     for part in parts:
+        if first is None:
+            first = part
+            path = scratch_path(part.sparkSession, name)
         writer = part.write.mode("append")
         (writer.partitionBy(by) if by else writer).parquet(path)
-    _STAGED.append((spark, path))
-    out = spark.read.schema(parts[0].schema).parquet(path).select(*parts[0].columns)
+    if first is None:
+        raise ValueError("there is nothing to stage")
+    out = first.sparkSession.read.schema(first.schema).parquet(path).select(*first.columns)
     out._barloom_path = path
     return out
 

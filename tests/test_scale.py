@@ -294,3 +294,89 @@ def test_times_in_logs_keep_their_microseconds(spark, tmp_path):
     store = ST.BarStore(spark, str(tmp_path / "bars"))
     store.write(to_spark(spark, series([1.0])).withColumn("open_time", F.expr("timestamp_ntz'2025-01-01 00:00:00.123456'")), "1m")
     assert store.catalog().first()["last_time"] == datetime(2025, 1, 1, 0, 0, 0, 123456)
+
+
+# ---- curves and charts
+
+
+def shape_by_force(points, m):
+    """(x, v) pairs in order: the largest triangle of each of m - 2 equal rows."""
+    n = len(points)
+    if n <= m:
+        return points
+    every = (n - 2) / (m - 2)
+    at = lambda i: int(i * every) + 1
+    out = [points[0]]
+    for i in range(m - 2):
+        after = points[at(i + 1) : min(at(i + 2), n)] if i < m - 3 else points[-1:]
+        x, v = sum(p[0] for p in after) / len(after), sum(p[1] for p in after) / len(after)
+        a = out[-1]
+        out.append(max(points[at(i) : at(i + 1)], key=lambda q: (abs((a[0] - x) * (q[1] - a[1]) - (a[0] - q[0]) * (v - a[1])), -q[0])))
+    return [*out, points[-1]]
+
+
+@pytest.mark.parametrize("m", [3, 17, 400])
+def test_shape_by_force(spark, m):
+    pdf = pd.concat([walk(300, 3), walk(5, 4).assign(symbol="T")])
+    got = R.shape(to_spark(spark, pdf), "2min", m).toPandas()
+    for symbol, own in pdf.groupby("symbol"):
+        cand = set()
+        for _, g in own.groupby(own["open_time"].dt.floor("2min")):
+            pairs = [(t.value / 1000, c) for t, c in zip(g["open_time"], g["close"], strict=True)]
+            cand |= {min(pairs, key=lambda p: (p[1], p[0])), max(pairs, key=lambda p: (p[1], p[0]))}
+        mine = sorted((t.value / 1000, c) for t, c in zip(got[got["symbol"] == symbol]["open_time"].astype("datetime64[ns]"), got[got["symbol"] == symbol]["close"], strict=True))
+        assert mine == shape_by_force(sorted(cand), m)
+
+
+def test_curves_are_summed_up_by_blocks(spark):
+    from barloom.operators.statistics import curve_stats
+
+    r = np.random.default_rng(3)
+    t = pd.to_datetime("2024-11-03") + pd.to_timedelta(np.cumsum(r.integers(1, 90, 900)), "h")
+    frames = [pd.DataFrame({"run_id": k, "symbol": "S", "t": t[:n], "equity": 1000 * np.exp(np.cumsum(r.normal(0, 0.02, n))), "open_trades": 0}) for k, n in enumerate((900, 2, 1))]
+    df = spark.createDataFrame(pd.concat(frames), "run_id long, symbol string, t timestamp_ntz, equity double, open_trades long")
+    curve = backtest.with_drawdown(df)
+    got = {x.run_id: x for x in curve_stats(curve).collect()}
+    for k, own in enumerate(frames):
+        e = own["equity"]
+        moves = e.pct_change().dropna()
+        fall = ((e.cummax() - e) / e.cummax()).max()
+        assert got[k].max_drawdown_pct == pytest.approx(100 * fall, rel=1e-12)
+        spacing = own["t"].diff().dt.total_seconds().dropna()
+        year = backtest.YEAR / spacing.median() if len(own) >= 3 else 0.0
+        assert got[k].periods_per_year == pytest.approx(year)
+        want = moves.mean() / moves.std() * year**0.5 if len(moves) > 1 else 0.0
+        assert got[k].sharpe == pytest.approx(want, rel=1e-9)
+        down = moves[moves < 0].std()
+        assert got[k].sortino == pytest.approx(moves.mean() / down * year**0.5 if len(moves) > 1 and down > 0 else 0.0, rel=1e-9)
+    plan = curve_stats(curve)._jdf.queryExecution().executedPlan().toString()
+    assert all("_b" in w or "_t#" not in w for w in re.findall(r"Window \[lag\(equity[^\n]*", plan))
+
+
+# ---- sweeps
+
+
+def test_sweeps_are_staged_part_by_part(spark, monkeypatch):
+    from barloom.operators import search
+    from barloom.plans import strategies as Y
+
+    bars = to_spark(spark, walk(500, 3))
+    cfg = BacktestConfig(fee_bps=5, exit_enabled=True, sl_mode="entry_pct", sl_value=0.5)
+    grid = {"fast": [3, 4, 5], "slow": [15, 20], "confirm_n": [1, 2]}
+    whole = search.run_grid(bars, Y.EmaRibbon, grid, cfg).orderBy("run_id").toPandas()
+    monkeypatch.setattr(search, "VARIANTS", 5)
+    parts = search.run_grid(bars, Y.EmaRibbon, grid, cfg)
+    pd.testing.assert_frame_equal(whole, parts.orderBy("run_id").toPandas())
+    plan = search.top(parts, 3, "total_return_pct")._jdf.queryExecution().toString()
+    assert "MapInPandas" not in plan and "Union" not in plan and "NestedLoop" not in plan
+
+
+def test_a_sweep_of_two_thousand_runs(spark):
+    from barloom.operators import search
+    from barloom.plans import strategies as Y
+
+    bars = to_spark(spark, walk(60, 3))
+    configs = [({"sl_value": 0.1 + k / 100}, BacktestConfig(exit_enabled=True, sl_mode="entry_pct", sl_value=0.1 + k / 100)) for k in range(500)]
+    got = search.sweep(bars, [({"fast": f}, Y.EmaRibbon(fast=f, slow=9)) for f in (2, 3, 4, 5)], configs)
+    assert got.count() == 2000 and got.select("run_id").distinct().count() == 2000
+    assert "Union" not in got._jdf.queryExecution().toString()
