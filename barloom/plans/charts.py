@@ -180,8 +180,8 @@ def equity_and_drawdown(equity: DataFrame, symbol: str, run: int = 0) -> str:
     lo, hi = own.agg(F.min(TIME), F.max(TIME)).first()
     if lo is None:
         return svg([], "Equity", 420)
-    minutes = max(1, math.ceil((_seconds(hi) - _seconds(lo)) / 60 / (POINTS / 2)))
-    points = {c: sorted((r[TIME], r[c]) for r in extremes(own, f"{minutes}min", c).collect()) for c in ("equity", "drawdown")}
+    minutes = max(1, math.ceil((_seconds(hi) - _seconds(lo)) / 60 / (POINTS * 2)))
+    points = {c: sorted((r[TIME], r[c]) for r in shape(own, f"{minutes}min", POINTS, c).collect()) for c in ("equity", "drawdown")}
     top = axes([lo, hi], [v for _, v in points["equity"]], height=260)
     low = axes([lo, hi], [0.0, *[-100 * v for _, v in points["drawdown"]]], height=150, top=280)
     return svg([top.frame(), top.line(points["equity"], PRICE), low.frame(), low.line([(t, -100 * v) for t, v in points["drawdown"]], DOWN)], f"Equity and drawdown in %: {symbol}", 440)
