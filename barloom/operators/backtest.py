@@ -13,7 +13,7 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import KEY, TIME
@@ -65,6 +65,11 @@ class SimResult:
     def equity(self) -> DataFrame:
         return self._rows.where("kind = 'equity'").select(RUN, KEY, F.col("entry_time").alias("t"), "equity", "open_trades", "drawdown")
 
+    @property
+    def curve(self) -> DataFrame:
+        """equity without the drawdown, for what does not need it."""
+        return self.equity.drop("drawdown")
+
     @property
     def accounts(self) -> DataFrame:
         return self._rows.where("kind = 'account'").select(RUN, KEY, F.col("equity").alias("final_cash"), F.col("open_trades").alias("n_bars"), F.lit(float(self.cfg.initial_cash)).alias("initial_cash"))
@@ -76,8 +81,8 @@ class SimResult:
 
 
 class LinkedResult(SimResult):
-    """Tables of a backtest whose trades are linked intervals; series in which the account would have refused an
-    entry are folded."""
+    """Tables of a backtest whose trades are linked intervals; series whose account refused an entry for its fee
+    alone are folded."""
 
     def __init__(self, table: DataFrame, fold: Callable[[DataFrame], DataFrame], given: DataFrame, cfg: BacktestConfig) -> None:
         """table: run_id, symbol, open_time, px, signals; fold: what the ordered fold makes of rows of given."""
@@ -102,6 +107,10 @@ class LinkedResult(SimResult):
     def equity(self) -> DataFrame:
         return self._with_folded(self._linked.equity(), lambda: SimResult.equity.fget(self))
 
+    @property
+    def curve(self) -> DataFrame:
+        return self._with_folded(self._linked.curve(), lambda: SimResult.equity.fget(self))
+
     @property
     def accounts(self) -> DataFrame:
         own = self._linked.accounts().withColumn("initial_cash", F.lit(float(self.cfg.initial_cash)))
@@ -262,25 +271,16 @@ def run_backtest(signals: DataFrame, cfg: BacktestConfig, price: str = "close")
     return LinkedResult(table.select(RUN, KEY, TIME, F.when(~F.isnan(known), known).alias("px"), *flags), fold, table, cfg)
 
 
-def spacings(curve: DataFrame, time: str, keys: tuple[str, ...], block: str = "month") -> DataFrame:
-    """Seconds between neighbours of each series with their number: within blocks of a calendar unit, and from each
-    block to the next."""
-    rows = curve.select(*keys, F.col(time).alias("_t"), F.date_trunc(block, time).alias("_b"))
-    apart = lambda a, b: (F.timestamp_diff("MICROSECOND", a, b) / 1e6).alias("_s")
-    inside = rows.select(*keys, apart(F.lag("_t").over(Window.partitionBy(*keys, "_b").orderBy("_t")), F.col("_t")))
-    ends = rows.groupBy(*keys, "_b").agg(F.min("_t").alias("a"), F.max("_t").alias("z"))
-    seams = ends.select(*keys, apart(F.lag("z").over(Window.partitionBy(*keys).orderBy("_b")), F.col("a")))
-    return inside.unionByName(seams).where("_s is not null").groupBy(*keys, "_s").agg(F.count("*").alias("_n"))
-
-
 def periods_per_year(curve: DataFrame, time: str = "t", keys: tuple[str, ...] = (RUN, KEY)) -> DataFrame:
     """Bars a year at the exact median spacing; 0 for fewer than three bars."""
-    upto, whole = Window.partitionBy(*keys).orderBy("_s"), Window.partitionBy(*keys)
-    counted = spacings(curve, time, keys).withColumns({"_upto": F.sum("_n").over(upto), "_all": F.sum("_n").over(whole)})
-    middle = lambda place: F.min(F.when(F.col("_upto") > place, F.col("_s")))
-    median = counted.groupBy(*keys).agg((middle(F.floor((F.col("_all") - 1) / 2)) * 0.5 + middle(F.ceil((F.col("_all") - 1) / 2)) * 0.5).alias("_median"))
-    bars = curve.groupBy(*keys).agg(F.count("*").alias("_bars"))
-    return bars.join(median, list(keys), "left").select(*keys, F.when((F.col("_bars") >= 3) & (F.col("_median") > 0), YEAR / F.col("_median")).otherwise(0.0).alias("periods_per_year"))
+    step = F.timestamp_diff("MICROSECOND", F.lag(time).over(Window.partitionBy(*keys).orderBy(time)), F.col(time)) / 1e6
+    spaced = curve.select(*keys, step.alias("_s"))
+    median = F.percentile("_s", 0.5)
+    return spaced.groupBy(*keys).agg(year_over(median, F.count("*")).alias("periods_per_year"))
+
+
+def year_over(median: Column, bars: Column) -> Column:
+    return F.when((bars >= 3) & (median > 0), YEAR / median).otherwise(0.0)
 
 
 def with_drawdown(equity: DataFrame, time: str = "t", block: str = "month") -> DataFrame:

@@ -7,7 +7,8 @@ begins, and then each block tells by itself where positions are opened and close
 closing are a trade. What a trade earns, the account's cash and the equity of each bar follow by running sums
 and by the last trade at or before a bar, block by block. So one long series is many tasks' work.
 
-The account must never refuse an entry for want of cash; where it would, the series is left to the ordered fold.
+An account that has no cash left, or less than a fee that is always the same, refuses every further entry: its
+trades end there. One that refuses an entry for a fee that later ones may be below is left to the ordered fold.
 """
 
 from __future__ import annotations
@@ -68,20 +69,27 @@ class Linked:
         place = F.row_number().over(Window.partitionBy(*_SERIES, month).orderBy(TIME))
         return stage(self._table.withColumn("_month", month).withColumn("_place", place), "linked")
 
+    @cached_property
+    def _months(self) -> DataFrame:
+        """Staged, one row a series and month: bars before it, all bars of the series, and its last known bar."""
+        known = F.when(F.col("px").isNotNull(), F.col("_place"))
+        counts = self._staged.groupBy(*_SERIES, "_month").agg(F.count("*").alias("n"), F.max_by(F.struct("_place", F.col(TIME).alias("time"), "px"), known).alias("last"))
+        upto, whole = Window.partitionBy(*_SERIES).orderBy("_month"), Window.partitionBy(*_SERIES)
+        rows = counts.withColumn("before", F.sum("n").over(upto) - F.col("n"))
+        rows = rows.withColumn("last", F.when(F.col("last").isNotNull(), F.struct((F.col("before") + F.col("last._place") - 1).alias("i"), F.col("last.time").alias("time"), F.col("last.px").alias("px"))))
+        return stage(rows.withColumns({"n_bars": F.sum("n").over(whole), "last": F.max("last").over(whole)}), "months")
+
     @cached_property
     def _bars(self) -> DataFrame:
-        """Staged bars with their 0-based number i in their series, counted month by month."""
-        rows = self._staged
-        counts = rows.groupBy(*_SERIES, "_month").agg(F.count("*").alias("n"))
-        before = stage(counts.withColumn("before", F.sum("n").over(Window.partitionBy(*_SERIES).orderBy("_month")) - F.col("n")), "months")
+        """Staged bars with their 0-based number i in their series."""
+        before = self._months.select(*_SERIES, "_month", "before")
         small = F.broadcast(before) if before.count() <= MOST_COUNTS else before
-        return rows.alias("t").join(small.alias("b"), same_series("t", "b", "_month")).select("t.*", (F.expr("b.before + t._place") - 1).alias("i")).drop("_month", "_place")
+        return self._staged.alias("t").join(small.alias("b"), same_series("t", "b", "_month")).select("t.*", (F.expr("b.before + t._place") - 1).alias("i")).drop("_month", "_place")
 
-    @cached_property
+    @property
     def _ends(self) -> DataFrame:
         """n_bars of each series, and its last bar with a known price."""
-        known = F.when(F.col("px").isNotNull(), F.col("i"))
-        return stage(self._bars.groupBy(*_SERIES).agg(F.count("*").alias("n_bars"), F.max_by(F.struct("i", F.col(TIME).alias("time"), "px"), known).alias("last")), "ends")
+        return self._months.where("before = 0").select(*_SERIES, "n_bars", "last")
 
     def _opened_and_closed(self) -> DataFrame:
         o = F.when(F.col("entry_long"), _LONG).when(F.col("entry_short") & F.lit(self.cfg.allow_short), _SHORT).otherwise(0)
@@ -111,21 +119,25 @@ class Linked:
         rows = rows.withColumn("pnl", F.col("gross_pnl") - F.col("fees"))
         earned = F.sum("pnl").over(w.rowsBetween(Window.unboundedPreceding, -1))
         rows = rows.withColumn("cash", F.lit(float(cfg.initial_cash)) + F.coalesce(earned, F.lit(0.0)))
-        fits = (F.col("qty") > 0) & (F.col("cash") > 0) & (F.col("entry_fee") <= F.col("cash"))
+        fits = F.coalesce((F.col("qty") > 0) & (F.col("cash") > 0) & (F.col("entry_fee") <= F.col("cash")), F.lit(False))
+        always = cfg.sizing_mode != "lots" and cfg.commission_per_lot == 0  # the same fee at every entry
+        rows = rows.withColumn("fits", fits)
+        so_far = lambda upto: F.coalesce(F.min("fits").over(w.rowsBetween(Window.unboundedPreceding, upto)), F.lit(True))
+        rows = rows.withColumns({"kept": so_far(0), "doubt": so_far(-1) & ~F.col("fits") & (F.col("cash") > 0) & F.lit(not always)}).where("kept or doubt")
         value = F.col("entry_price") * F.col("qty")
         return stage(
             rows.select(
                 *_SERIES, F.when(s > 0, "long").otherwise("short").alias("side"), F.col("time").alias("entry_time"), F.col("out.time").alias("exit_time"), F.col("i").alias("entry_i"), F.col("out.i").alias("exit_i"), "entry_price", "exit_price", F.lit(None).cast("double").alias("stop_price"),
                 "qty", "gross_pnl", "fees", "pnl", F.when(value != 0, F.col("pnl") / value * 100).alias("return_pct"), F.expr("out.i - i").alias("bars_held"), F.when(F.col("forced"), "forced_close_end").otherwise("signal").alias("close_reason"),
-                "s", "forced", "entry_fee", "cash", F.coalesce(fits, F.lit(False)).alias("fits"),
+                "s", "forced", "entry_fee", "cash", "kept",
             ),
             "linked-trades",
         )
 
     @cached_property
     def refused(self) -> DataFrame | None:
-        """The series in which the account would have refused an entry; None if there are none."""
-        bad = self._all.where("not fits").select(*_SERIES).distinct()
+        """The series that are left to the fold; None if there are none."""
+        bad = self._all.where("not kept").select(*_SERIES).distinct()
         return None if bad.isEmpty() else stage(bad, "refused")
 
     def _without_refused(self, df: DataFrame) -> DataFrame:
@@ -135,7 +147,7 @@ class Linked:
         return self._without_refused(self._all).select(*_SERIES, *columns)
 
     def accounts(self) -> DataFrame:
-        earned = self._all.groupBy(*_SERIES).agg(F.sum("pnl").alias("pnl"))
+        earned = self._all.where("kept").groupBy(*_SERIES).agg(F.sum("pnl").alias("pnl"))
         rows = self._without_refused(self._ends).alias("e").join(earned.alias("p"), same_series("e", "p"), "left")
         return rows.select(*[F.col(f"e.{c}") for c in _SERIES], (F.lit(float(self.cfg.initial_cash)) + F.coalesce("p.pnl", F.lit(0.0))).alias("final_cash"), F.col("e.n_bars").cast("long").alias("n_bars"))
 
@@ -163,6 +175,9 @@ class Linked:
         count = F.coalesce(F.expr("cast(m.forced or m.exit_i > i as long)"), F.lit(0)).cast("long")
         return stage(both.select(*_SERIES, "block", "i", "t", equity.alias("equity"), count.alias("open_trades")), "linked-curve")
 
+    def curve(self) -> DataFrame:
+        return self._curve.select(*_SERIES, "t", "equity", "open_trades")
+
     def equity(self) -> DataFrame:
         """The curve with its drawdown: block by block, from the highest of the blocks before."""
         tops = self._curve.groupBy(*_SERIES, "block").agg(F.max("equity").alias("top"))
@@ -172,6 +187,6 @@ class Linked:
         return rows.select(*[F.col(f"t.{c}") for c in _SERIES], "t", "equity", "open_trades", F.when(F.col("peak") > 0, (F.col("peak") - F.col("equity")) / F.col("peak")).otherwise(0.0).alias("drawdown"))
 
     def drop(self) -> None:
-        for name in ("_curve", "_all", "_ends", "refused", "_staged"):
+        for name in ("_curve", "_all", "_months", "refused", "_staged"):
             if self.__dict__.get(name) is not None:
                 drop(self.__dict__.pop(name))

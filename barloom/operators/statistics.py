@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import KEY
-from barloom.operators.backtest import RUN, periods_per_year
+from barloom.operators.backtest import RUN, year_over
+from barloom.staging import stage
 
 
 def _inf() -> Column:
@@ -45,28 +46,42 @@ def _moments(groups: DataFrame, keys: tuple[str, ...], n: str, mean: str, square
 
 
 def curve_stats(equity: DataFrame, keys: tuple[str, ...] = (RUN, KEY), time: str = "t", block: str = "month") -> DataFrame:
-    """Largest drawdown and the ratios of the returns a bar.
+    """Largest drawdown, the ratios of the returns a bar, and bars a year.
 
-    Each block of a calendar unit is summed up by itself, as number, mean and squared deviations; the return from
-    a block to the next is a part of one. Nothing goes over a whole curve but its blocks.
+    The curve is read once, and at once: the rows of each block of a calendar unit that are as far from the one
+    before are summed up by number, mean and squared deviations, with the block's ends, extremes and fall. These
+    parts are staged, and merged with what lies between a block and the next: nothing goes over a whole curve.
     """
-    rows = equity.select(*keys, F.col(time).alias("_t"), "equity", "drawdown", F.date_trunc(block, time).alias("_b"))
-    move = lambda now, before: F.try_divide(now - before, F.nullif(before, F.lit(0.0)))
-    rows = rows.withColumn("r", move(F.col("equity"), F.lag("equity").over(Window.partitionBy(*keys, "_b").orderBy("_t"))))
-    fall = F.when(F.col("r") < 0, F.col("r"))
+    moved = lambda now, before: F.try_divide(now - before, F.nullif(before, F.lit(0.0)))
+    apart = lambda a, b: F.timestamp_diff("MICROSECOND", a, b) / 1e6
+    fell = lambda peak, e: F.when(peak > 0, (peak - e) / peak).otherwise(0.0)
+    w = Window.partitionBy(*keys, "_b").orderBy("_t")
+    rows = equity.select(*keys, F.col(time).alias("_t"), F.col("equity").alias("e"), F.date_trunc(block, time).alias("_b"))
+    peak = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumns({"r": moved(F.col("e"), F.lag("e").over(w)), "s": apart(F.lag("_t").over(w), F.col("_t")), "fall": fell(peak, F.col("e"))})
+    down = F.when(F.col("r") < 0, F.col("r"))
     own = lambda x, n, m, q: [F.count(x).alias(n), F.avg(x).alias(m), (F.var_pop(x) * F.count(x)).alias(q)]
-    blocks = rows.groupBy(*keys, "_b").agg(F.max("drawdown").alias("dd"), *own(F.col("r"), "n", "mean", "q"), *own(fall, "dn", "dmean", "dq"), F.min(F.struct("_t", "equity"))["equity"].alias("head"), F.max(F.struct("_t", "equity"))["equity"].alias("tail"))
-    blocks = blocks.withColumn("r", move(F.col("head"), F.lag("tail").over(Window.partitionBy(*keys).orderBy("_b"))))
-    parts = F.array(F.struct("dd", "n", "mean", "q", "dn", "dmean", "dq"), F.struct(F.lit(None).cast("double").alias("dd"), F.col("r").isNotNull().cast("long").alias("n"), F.col("r").alias("mean"), F.lit(0.0).alias("q"), (F.coalesce(F.col("r") < 0, F.lit(False))).cast("long").alias("dn"), fall.alias("dmean"), F.lit(0.0).alias("dq")))
-    groups = blocks.select(*keys, F.explode(parts).alias("g")).select(*keys, "g.*")
+    end = F.struct("_t", "e")
+    parts = stage(rows.groupBy(*keys, "_b", "s").agg(F.count("*").alias("bars"), F.max("fall").alias("dd"), *own(F.col("r"), "n", "mean", "q"), *own(down, "dn", "dmean", "dq"), F.min(end).alias("head"), F.max(end).alias("tail"), F.max("e").alias("top"), F.min("e").alias("low")), "curve-parts")
+    order = Window.partitionBy(*keys).orderBy("_b")
+    blocks = parts.groupBy(*keys, "_b").agg(F.min("head").alias("head"), F.max("tail").alias("tail"), F.max("top").alias("top"), F.min("low").alias("low"))
+    seams = blocks.select(*keys, moved(F.col("head.e"), F.lag("tail.e").over(order)).alias("r"), apart(F.lag("tail._t").over(order), F.col("head._t")).alias("s"), fell(F.max("top").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("low")).alias("dd"))
+    zero = lambda c: F.when(c, 0.0).alias
+    seams = seams.select(*keys, "s", "dd", F.col("r").isNotNull().cast("long").alias("n"), F.col("r").alias("mean"), zero(F.col("r").isNotNull())("q"), F.coalesce(F.col("r") < 0, F.lit(False)).cast("long").alias("dn"), down.alias("dmean"), zero(F.col("r") < 0)("dq"), F.col("s").isNotNull().cast("long").alias("bars"))
+    groups = stage(parts.where("s is not null").select(*seams.columns).unionByName(seams).unionByName(parts.where("s is null").select(*[F.lit(0).cast("long").alias(c) if c == "bars" else F.col(c) for c in seams.columns])), "curve-groups")
     sums = groups.groupBy(*keys).agg(F.max("dd").alias("dd"))
     for names in (("n", "mean", "q", "sd"), ("dn", "dmean", "dq", "down")):
         sums = sums.join(_moments(groups, keys, *names), list(keys))
-    both = sums.join(periods_per_year(equity, time, keys), list(keys))
+    # the median spacing, from the number of each
+    counted = groups.where("bars > 0").groupBy(*keys, "s").agg(F.sum("bars").alias("bars"))
+    counted = counted.withColumns({"upto": F.sum("bars").over(Window.partitionBy(*keys).orderBy("s")), "all": F.sum("bars").over(Window.partitionBy(*keys))})
+    middle = lambda place: F.min(F.when(F.col("upto") > place, F.col("s")))
+    median = counted.groupBy(*keys).agg((middle(F.floor((F.col("all") - 1) / 2)) * 0.5 + middle(F.ceil((F.col("all") - 1) / 2)) * 0.5).alias("median"), F.max("all").alias("steps"))
+    both = sums.join(median, list(keys), "left").withColumn("periods_per_year", year_over(F.col("median"), F.col("steps") + 1))
     scale, enough = F.sqrt("periods_per_year"), F.col("n") > 1
     ratio = lambda by: F.when(enough & (F.col(by) > 0), F.try_divide(F.col("mean"), F.col(by)) * scale).otherwise(0.0)
     calmar = F.when(enough & (F.col("dd") > 0), F.try_divide(F.col("mean") * F.col("periods_per_year"), F.col("dd"))).otherwise(0.0)
-    return both.select(*keys, (F.coalesce("dd", F.lit(0.0)) * 100).alias("max_drawdown_pct"), ratio("sd").alias("sharpe"), ratio("down").alias("sortino"), calmar.alias("calmar"), F.col("periods_per_year"))
+    return both.select(*keys, (F.coalesce("dd", F.lit(0.0)) * 100).alias("max_drawdown_pct"), ratio("sd").alias("sharpe"), ratio("down").alias("sortino"), calmar.alias("calmar"), "periods_per_year")
 
 
 def trade_table_stats(trades: DataFrame, keys: tuple[str, ...] = (RUN, KEY)) -> DataFrame:
@@ -91,7 +106,7 @@ def trade_table_stats(trades: DataFrame, keys: tuple[str, ...] = (RUN, KEY)) ->
 def compute_stats(result) -> DataFrame:
     """All statistics of a backtest, one row a run and symbol; those of trades are 0 or null without trades."""
     keys = (RUN, KEY)
-    out = result.accounts.join(curve_stats(result.equity), list(keys), "left").join(trade_table_stats(result.trades), list(keys), "left")
+    out = result.accounts.join(curve_stats(result.curve), list(keys), "left").join(trade_table_stats(result.trades), list(keys), "left")
     out = out.withColumn("total_return_pct", F.when(F.col("initial_cash") > 0, (F.col("final_cash") / F.col("initial_cash") - 1) * 100).otherwise(0.0))
     fall = F.abs(F.col("max_drawdown_pct") / 100 * F.col("initial_cash"))
     recovery = F.when(F.col("max_drawdown_pct") > 0, F.try_divide(F.col("total_pnl"), fall)).when(F.col("total_pnl") > 0, _inf()).otherwise(0.0)

@@ -41,13 +41,13 @@ def resample(bars: DataFrame, rule: str, origin: str | None = None) -> DataFrame
     return out.where("open is not null").withColumnRenamed("_bucket", TIME).select(KEY, TIME, "open", "high", "low", "close", "volume")
 
 
-def asof_join(left: DataFrame, right: DataFrame, features: list[str], time: str = TIME, block: str | None = "month") -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, features: list[str], time: str = TIME, block: str | None = None) -> DataFrame:
     """Each row of left with the features of the last row of right of its symbol at or before its time.
 
     One union, one sort by symbol, block and time, and a running last: no row is compared with more than its
-    neighbours. A block is a calendar unit of date_trunc; the last row of right before a block stands at its
-    head, so that a symbol is as many tasks' work as it has blocks. None: a symbol is one task's. A matched
-    row's null features stay null.
+    neighbours. block, a calendar unit of date_trunc, makes a symbol as many tasks' work as it has blocks: the
+    last row of right before a block stands at its head, for which right, and the times of left, are read once
+    more. Without it a symbol is one task's. A matched row's null features stay null.
     """
     names = [c for c in left.columns if c not in features]
     pack = F.struct(*[F.col(c) for c in features])
@@ -77,11 +77,11 @@ def _delayed(frame: DataFrame, label: str, shift_bars: int) -> tuple[DataFrame,
     return frame.select(KEY, TIME, *moved), [f"{label}__{c}" for c in names]
 
 
-def align_timeframes(base: DataFrame, others: dict[str, DataFrame], shift_bars: int = 1) -> DataFrame:
+def align_timeframes(base: DataFrame, others: dict[str, DataFrame], shift_bars: int = 1, block: str | None = None) -> DataFrame:
     """base with the features of other timeframes as of each bar, by as-of join, shift_bars of their rows late."""
     for label, frame in others.items():
         late, names = _delayed(frame, label, shift_bars)
-        base = asof_join(base, late, names)
+        base = asof_join(base, late, names, block=block)
     return base
 
 

@@ -14,7 +14,7 @@ from barloom.functions import signals as S
 from barloom.functions import time_filters as D
 from barloom.functions.columns import KEY, TIME, bars_window, without_nan
 from barloom.operators import attribution as A
-from barloom.operators import search, statistics
+from barloom.operators import backtest, search, statistics
 from barloom.operators import timeframe as R
 from barloom.operators.backtest import RUN, SIGNALS, SimResult, run_backtest, with_drawdown
 from barloom.operators.chunks import in_chunks
@@ -331,7 +331,7 @@ def asof_general(spark, d):
 
     w = Window.partitionBy(KEY).orderBy(TIME, "event_id")
     ticks = event_ticks(spark, d).select(KEY, F.col("ts").alias(TIME), F.col("price").alias("px"), "event_id").withColumns({"before": F.lag("event_id").over(w).cast("double"), "next": F.lead(TIME).over(w)})
-    return R.asof_join(_bars(spark, d).select(KEY, TIME), ticks.where(f"not next <=> {TIME}"), ["px", "before"])
+    return R.asof_join(_bars(spark, d).select(KEY, TIME), ticks.where(f"not next <=> {TIME}"), ["px", "before"], block="month")
 
 
 @query("build_mtf_two", f"WITH {BARS}, {_FOUR}, f0 AS (SELECT symbol, b, CASE WHEN rn >= 3 THEN avg(c) OVER (PARTITION BY symbol ORDER BY b ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) END AS v FROM h), f AS (SELECT symbol, b, lag(v) OVER (PARTITION BY symbol ORDER BY b) AS v FROM f0), dd AS (SELECT symbol, time_bucket(INTERVAL '1 day', open_time) AS b, arg_max(close, open_time) AS c FROM bars GROUP BY 1, 2), g0 AS (SELECT symbol, b, CASE WHEN row_number() OVER w >= 2 THEN avg(c) OVER (PARTITION BY symbol ORDER BY b ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) END AS v FROM dd WINDOW w AS (PARTITION BY symbol ORDER BY b)), g AS (SELECT symbol, b, lag(v) OVER (PARTITION BY symbol ORDER BY b) AS v FROM g0) SELECT bars.symbol, open_time, round(f.v, 9) AS \"4h__sma_3\", round(g.v, 9) AS \"1D__sma_2\" FROM bars LEFT JOIN f ON f.symbol = bars.symbol AND f.b = time_bucket(INTERVAL '4 hours', open_time) LEFT JOIN g ON g.symbol = bars.symbol AND g.b = time_bucket(INTERVAL '1 day', open_time)")
@@ -736,7 +736,7 @@ def chart_trades(spark, d):
 
 @query("periods_per_year", f"WITH {BARS}, s AS (SELECT symbol, epoch(open_time - lag(open_time) OVER ({W})) AS s FROM bars) SELECT symbol, round(365.25 * 86400 / quantile_cont(s, 0.5), 6) AS periods_per_year FROM s GROUP BY 1")
 def periods_per_year(spark, d):
-    return statistics.periods_per_year(_bars(spark, d).withColumnRenamed(TIME, "t"), keys=(KEY,)).withColumn("periods_per_year", F.round("periods_per_year", 6))
+    return backtest.periods_per_year(_bars(spark, d).withColumnRenamed(TIME, "t"), keys=(KEY,)).withColumn("periods_per_year", F.round("periods_per_year", 6))
 
 
 @query("max_consecutive", f"WITH {TRADES}, a AS (SELECT symbol, entry_i, sign(pnl) AS k, row_number() OVER (PARTITION BY symbol ORDER BY entry_i) - row_number() OVER (PARTITION BY symbol, sign(pnl) ORDER BY entry_i) AS g FROM trades), c AS (SELECT symbol, k, g, count(*) AS n FROM a GROUP BY 1, 2, 3) SELECT symbol, coalesce(max(n) FILTER (k > 0), 0) AS max_consecutive_wins, coalesce(max(n) FILTER (k < 0), 0) AS max_consecutive_losses FROM c GROUP BY 1")
@@ -760,7 +760,7 @@ def stats_side(spark, d):
 
 @query("stats_curve", f"WITH {DAILY}, r AS (SELECT symbol, open_time, close / lag(close) OVER ({W}) - 1 AS r, epoch(open_time - lag(open_time) OVER ({W})) AS s, (max(close) OVER ({W}) - close) / max(close) OVER ({W}) AS dd FROM daily), a AS (SELECT symbol, max(dd) AS dd, avg(r) AS m, stddev_samp(r) AS sd, stddev_samp(r) FILTER (r < 0) AS down, 365.25 * 86400 / quantile_cont(s, 0.5) AS y FROM r GROUP BY 1) SELECT symbol, round(dd * 100, 6) AS max_drawdown_pct, round(m / sd * sqrt(y), 6) AS sharpe, round(m / down * sqrt(y), 6) AS sortino, round(m * y / dd, 4) AS calmar FROM a")
 def stats_curve(spark, d):
-    out = statistics.curve_stats(with_drawdown(_curve(spark, d)))
+    out = statistics.curve_stats(_curve(spark, d))
     return out.select(KEY, *[F.round(c, k).alias(c) for c, k in (("max_drawdown_pct", 6), ("sharpe", 6), ("sortino", 6), ("calmar", 4))])
 
 

@@ -142,17 +142,30 @@ def test_linked_trades_equal_the_fold(spark, monkeypatch, cfg, size):
         assert row["final_cash"] == pytest.approx(want.cash, rel=1e-11) and row["n_bars"] == len(pdf)
 
 
-def test_accounts_that_run_out_of_cash_are_folded(spark):
-    cfg = BacktestConfig(initial_cash=1000.0, cash_per_trade=60_000.0, fee_bps=50)
+@pytest.mark.parametrize(
+    ("cfg", "folded"),
+    [
+        (BacktestConfig(initial_cash=1000.0, cash_per_trade=60_000.0, fee_bps=50), False),  # a fee that is never below the cash
+        (BacktestConfig(initial_cash=1000.0, cash_per_trade=1e6, fee_bps=0, spread=0.1), False),  # no cash left
+        (BacktestConfig(initial_cash=59.9, sizing_mode="lots", sizing_value=1, contract_size=300, fee_bps=20), True),
+    ],
+)
+def test_accounts_that_run_out_of_cash(spark, cfg, folded):
     ruined = random_signals(300, 5, 0.3).assign(symbol="A")
     fine = random_signals(300, 6, 0.0).assign(symbol="B")
+    if folded:  # the first entry's fee is just above the cash, a later one's below
+        first = ruined[(ruined["entry_long"] | ruined["entry_short"]) & ruined["close"].notna()]["close"].iloc[0]
+        cfg = cfg.replace(initial_cash=float(first * 300 * 0.002 * 0.9999))
     result = backtest.run_backtest(to_spark(spark, pd.concat([ruined, fine])), cfg)
     want = simulate({c: ruined[c].to_numpy(float) for c in ("close", "high", "low")}, {c: ruined[c].to_numpy(bool) for c in backtest.SIGNALS}, cfg, ruined["open_time"].to_numpy())
     got = result.trades.toPandas().sort_values("entry_i")
-    assert got["entry_i"].tolist() == [t.entry_i for t in want.trades] and len(got) < 20
+    assert got["entry_i"].tolist() == [t.entry_i for t in want.trades] and len(got) < 40
+    assert (result._linked.refused is not None) == folded
     cash = {r.symbol: r.final_cash for r in result.accounts.collect()}
-    assert cash["A"] == pytest.approx(want.cash) and cash["B"] == 1000.0
-    assert result.equity.count() == 600
+    assert cash["A"] == pytest.approx(want.cash) and cash["B"] == cfg.initial_cash
+    line = result.equity.where("symbol = 'A'").toPandas().sort_values("t")
+    np.testing.assert_allclose(line["equity"], want.equity, rtol=1e-9)
+    assert line["open_trades"].tolist() == want.open_trades.tolist()
 
 
 def test_cash_free_accounts():
