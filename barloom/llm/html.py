@@ -12,8 +12,8 @@ from __future__ import annotations
 
 import random
 import re
-from collections import Counter, deque
-from collections.abc import Iterator
+from collections import defaultdict, deque
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 from html import unescape
@@ -37,6 +37,8 @@ _CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dd", "dt"), ("dl",)),
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Elements whose text is a part of what holds them.
 _LEAVES = _HEADINGS | {"p", "li", "td", "th", "dd", "dt", "blockquote", "pre"}
+_CELLS = frozenset("td th dt dd".split())
+_CAPTIONS = frozenset(("caption", "figcaption"))
 
 _BOILER, _MAIN, _BADNAME, _GOODNAME, _REMARK, _CONTROL, _HEADER, _HIDDEN, _WEAKNAME = (1 << k for k in range(9))
 _TAG_FLAGS = {"nav": _BOILER, "footer": _BOILER, "aside": _BOILER, "menu": _BOILER, "dialog": _BOILER, "form": _CONTROL, "button": _CONTROL, "label": _CONTROL, "legend": _CONTROL, "option": _CONTROL, "fieldset": _CONTROL, "article": _MAIN, "main": _MAIN, "header": _HEADER, "noscript": _HIDDEN}
@@ -95,7 +97,7 @@ def blocks(html: str) -> list[Block]:
     """The blocks of text of a page in order; broken and cut-off markup is read as far as it goes."""
     out: list[Block] = []
     stack = [Node("", 0, None)]
-    opened: Counter[str] = Counter()
+    opened: defaultdict[str, list[int]] = defaultdict(list)  # of each kind, where its open elements stand on the stack
     parts: list[str] = []
     linked = links = 0
     pos, size = 0, len(html)
@@ -109,8 +111,8 @@ def blocks(html: str) -> list[Block]:
         parts, linked = [], 0
 
     def pop(to: int) -> None:
-        for node in stack[to:]:
-            opened[node.tag] -= 1
+        for node in reversed(stack[to:]):
+            opened[node.tag].pop()
         del stack[to:]
 
     def say(s: str) -> None:
@@ -144,10 +146,7 @@ def blocks(html: str) -> list[Block]:
             elif tag in _BLOCK and opened[tag]:
                 flush()
                 links = 0
-                k = len(stack) - 1
-                while stack[k].tag != tag:
-                    k -= 1
-                pop(k)
+                pop(opened[tag][-1])
         elif tag in _RAW:
             if not (m.group(3).endswith("/") and tag == "title"):
                 end = re.compile(f"</{tag}(?=[\\s/>])[^>]*>?", re.I).search(html, pos)
@@ -168,17 +167,14 @@ def blocks(html: str) -> list[Block]:
                 pop(len(stack) - 1)
             kinds, scope = _CLOSES.get(tag, ((), ()))
             if any(opened[k] for k in kinds):
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in scope:
-                        break
-                    if stack[k].tag in kinds:
-                        pop(k)
-                        break
+                at, edge = (max((opened[k][-1] for k in among if opened[k]), default=0) for among in (kinds, scope))
+                if at > edge:
+                    pop(at)
             elif tag in _HEADINGS and stack[-1].tag in _HEADINGS:
                 pop(len(stack) - 1)
             links = 0
             stack.append(Node(tag, _marks(tag, m.group(3), stack[-1].flags), stack[-1]))
-            opened[tag] += 1
+            opened[tag].append(len(stack) - 1)
             if tag == "xmp":  # its content is text as it stands
                 end = re.compile(r"</xmp(?=[\s/>])[^>]*>?", re.I).search(html, pos)
                 say(html[pos : end.start() if end else size])
@@ -197,6 +193,7 @@ def features(b: Block, place: float, marked: bool = False) -> list[float]:
         1.0, float(np.log1p(w)) / 5, min(1.0, b.linked / n), float(has(_BOILER)), float(has(_MAIN)), float(has(_BADNAME)), float(has(_GOODNAME)), float(has(_REMARK)), float(has(_CONTROL)),
         float(has(_HEADER) and not inside), float(b.tag in _HEADINGS), float(b.tag == "p"), float(b.tag == "li"), float(b.text[-1] in ".!?…\"”»"), float(w < 5), min(1.0, 10 * sum(map(b.text.lower().count, _LEGAL)) / w), float(place > 0.9 and not inside),
         float(has(_WEAKNAME) and not inside), float(has(_HIDDEN) and not inside), float(marked and not inside), float(has(_BOILER) and inside),
+        float(b.tag in _CELLS), float(b.tag in _CAPTIONS), float(b.tag == "pre"), min(1.0, b.linked / n) * (inside and not has(_BOILER | _BADNAME | _REMARK)), float(w < 5 and inside and not has(_BOILER | _BADNAME)),
     ]
 
 
@@ -246,11 +243,13 @@ def _page(r: random.Random) -> tuple[str, set[str]]:
             body += "<ul>" + "".join(f"<li>{keep(_prose(r, r.randint(2, 15)))}</li>" for _ in range(r.randint(2, 4))) + "</ul>"
         elif kind < 0.85:
             body += f"<blockquote>{keep(_prose(r, 15))}</blockquote>"
-        elif kind < 0.92:  # a part of the article, whatever its name
+        elif kind < 0.9:  # a part of the article, whatever its name
             mark = r.choice(("class", "id")) + f'="{r.choice(_MISLEADING + _PLAIN_NAMES)}"'
             body += f"<section {mark}{r.choice(('', '', ' hidden'))}>" + r.choice(("", f"<h2>{keep(word(3))}</h2>")) + "".join(f"<p>{keep(_prose(r, r.randint(6, 40)))}</p>" for _ in range(r.randint(1, 3))) + "</section>"
+        elif kind < 0.94:
+            body += _special(r, lambda k: keep(word(k)))
         else:
-            body += r.choice((f'<div class="ad">{_prose(r, r.randint(3, 20))}</div>', f'<section class="comments"><p>{_prose(r, r.randint(3, 40))}</p></section>', f"<aside><p>{_prose(r, 10)}</p></aside>", f'<div class="share"><a href="#">{word(1)}</a></div>', f'<div class="promo"><p>{_prose(r, r.randint(3, 20))}</p></div>'))
+            body += r.choice((f'<div class="ad">{_prose(r, r.randint(3, 20))}</div>', f'<section class="comments"><p>{_prose(r, r.randint(3, 40))}</p></section>', f"<aside><p>{_prose(r, 10)}</p></aside>", f'<div class="share"><a href="#">{word(1)}</a></div>', f'<div class="promo"><p>{_prose(r, r.randint(3, 20))}</p></div>', f"<form><p>{_prose(r, r.randint(4, 20))}</p><input><button>{word(1)}</button></form>", f'<div class="{r.choice(("related", "tags", "social"))}">{r.choice(("", f"<h3>{word(2)}</h3>"))}{menu()}</div>', f'<nav class="{name("toc-nav")}">{menu()}</nav>', f'<aside>{_special(r, word)}</aside>'))
     article = r.choice((f"<article>{body}</article>", f"<main><article>{body}</article></main>", f'<div class="content">{body}</div>', f'<div id="post">{body}</div>', f"<main>{body}</main>", f"<div>{body}</div>"))
     remarks = "" if r.random() < 0.5 else '<section class="comments">' + "".join(f"<p>{_prose(r, r.randint(3, 50))}</p>" for _ in range(r.randint(1, 5))) + "</section>"
     form = r.choice(("", f"<form><label>{word(2)}</label><input><p>{_prose(r, r.randint(3, 12))}</p><button>{word(1)}</button></form>"))
@@ -258,6 +257,23 @@ def _page(r: random.Random) -> tuple[str, set[str]]:
     return f"<html><head><title>{word(3)}</title></head><body>{head}{r.choice(notices)}{article}{r.choice((side + remarks, remarks + side))}{form}{foot}</body></html>", good
 
 
+def _special(r: random.Random, say: Callable[[int], str]) -> str:
+    """A table, a figure, code, a list of links or of terms, made of what say gives for a number of words."""
+    few = lambda most: say(r.randint(1, most))
+    kind = r.randrange(5)
+    if kind == 0:
+        rows = [[few(3) for _ in range(r.randint(2, 4))] for _ in range(r.randint(2, 6))]
+        head = "<tr>" + "".join(f"<th>{c}</th>" for c in rows[0]) + "</tr>"
+        return f"<table>{r.choice(('', f'<caption>{few(8)}</caption>'))}{head}" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in row) + "</tr>" for row in rows[1:]) + "</table>"
+    if kind == 1:
+        return f'<figure><img src="/{r.randrange(99)}.png"><figcaption>{say(r.randint(2, 18))}</figcaption></figure>'
+    if kind == 2:
+        return f"<pre><code>{say(r.randint(1, 30))}</code></pre>"
+    if kind == 3:
+        return "<ul>" + "".join(f'<li><a href="/{k}">{few(3)}</a></li>' for k in range(r.randint(2, 8))) + "</ul>"
+    return "<dl>" + "".join(f"<dt>{few(3)}</dt><dd>{say(r.randint(1, 12))}</dd>" for _ in range(r.randint(1, 4))) + "</dl>"
+
+
 @dataclass
 class Model:
     weights: np.ndarray
