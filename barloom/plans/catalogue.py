@@ -24,7 +24,8 @@ from barloom.plans import report
 from barloom.plans import strategies as Y
 from barloom.sources import providers, store
 from barloom.sources.ticks import event_bars, order_bars
-from barloom.staging import scratch_path, stage
+from barloom.staging import scratch_path, stage, stage_parts
+from barloom.streaming import signals as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -444,6 +445,20 @@ _strategy("strat_supertrend", lambda: Y.SupertrendFlip(allow_short_signals=True)
 _strategy("strat_mtf_trend", lambda: Y.MtfTrend(fast_1m=5, trend_5m_fast=3, trend_5m_slow=8, mom_15m=2, rules=("4h", "1D")))
 _strategy("strat_key_level", lambda: Y.KeyLevelBounce(left=5, right=5, near_pct=2.0), f"WITH {BARS}, {_PIVOT} SELECT {_counts('(close - swing_last_low) / close >= 0 AND (close - swing_last_low) / close <= 0.02 AND close > open', '(swing_last_high - close) / close >= 0 AND (swing_last_high - close) / close <= 0.02', 'false', 'false')} FROM sw GROUP BY symbol")
 
+
+@query("stream_ema_ribbon", f"WITH RECURSIVE {BARS}, {_RIBBON} SELECT symbol, open_time, round(close, 6) AS close, CASE WHEN rn >= 20 THEN round(e2.y, 6) END AS ema_20, coalesce(pd <= 0 AND d > 0 AND held, false) AS entry_long, coalesce(pd >= 0 AND d < 0, false) AS exit_long FROM x JOIN e2 USING (symbol, rn)")
+def stream_ema_ribbon(spark, d):
+    """The ribbon's signals on a stream of bars that arrive week by week."""
+    bars = stage(_bars(spark, d), "bars")
+    week = F.date_trunc("week", TIME)
+    weeks = sorted(r[0] for r in bars.select(week).distinct().collect())
+    arrived = stage_parts((bars.where(week == F.lit(w)).repartition(KEY) for w in weeks), "weeks")
+    source = spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(arrived._barloom_path)
+    ribbon, path = Y.EmaRibbon(fast=5, slow=20, confirm_n=3), scratch_path(spark, "followed")
+    streams.follow(source, lambda b: ribbon.signals(ribbon.prepare(b)), path, scratch_path(spark, "checkpoint"), 500, availableNow=True).awaitTermination()
+    return streams.table(spark, path).select(KEY, TIME, F.round("close", 6).alias("close"), F.round("ema_20", 6).alias("ema_20"), "entry_long", "exit_long")
+
+
 _DAYS = "dd AS (SELECT symbol, b, c, row_number() OVER (PARTITION BY symbol ORDER BY b) AS rn FROM (SELECT symbol, time_bucket(INTERVAL '1 day', open_time) AS b, arg_max(close, open_time) AS c FROM bars GROUP BY 1, 2))"
 SQL["strat_mtf_trend"] = f"WITH RECURSIVE {BARS}, {_FOUR}, {_DAYS}, {recursive_mean('e5', 'n', 'close', '(2.0 / 6)')}, {recursive_mean('e3', 'h', 'c', '(2.0 / 4)')}, {recursive_mean('e8', 'h', 'c', '(2.0 / 9)')}, {recursive_mean('e2', 'dd', 'c', '(2.0 / 3)')}, f AS (SELECT symbol, b, lag(CASE WHEN rn >= 3 THEN e3.y END) OVER o AS fast, lag(CASE WHEN rn >= 8 THEN e8.y END) OVER o AS slow FROM h JOIN e3 USING (symbol, rn) JOIN e8 USING (symbol, rn) WINDOW o AS (PARTITION BY symbol ORDER BY b)), g AS (SELECT symbol, b, lag(CASE WHEN rn >= 2 THEN e2.y END) OVER (PARTITION BY symbol ORDER BY b) AS mom FROM dd JOIN e2 USING (symbol, rn)), x0 AS (SELECT n.symbol, n.open_time, CASE WHEN n.rn >= 5 THEN n.close - e5.y END AS d, fast, slow, mom FROM n JOIN e5 USING (symbol, rn) LEFT JOIN f ON f.symbol = n.symbol AND f.b = time_bucket(INTERVAL '4 hours', n.open_time) LEFT JOIN g ON g.symbol = n.symbol AND g.b = time_bucket(INTERVAL '1 day', n.open_time)), x AS (SELECT *, lag(d) OVER ({W}) AS pd, lag(mom) OVER ({W}) AS pm FROM x0) SELECT {_counts('pd <= 0 AND d > 0 AND fast > slow AND mom > pm', 'pd >= 0 AND d < 0', 'false', 'false')} FROM x GROUP BY symbol"
 SQL["strat_ema_cross_htf"] = f"WITH RECURSIVE {BARS}, {_FOUR}, {recursive_mean('e5', 'h', 'c', '(2.0 / 6)')}, v AS (SELECT symbol, b, lag(CASE WHEN rn >= 5 THEN e5.y END) OVER (PARTITION BY symbol ORDER BY b) AS bias FROM h JOIN e5 USING (symbol, rn)), c AS (SELECT *, (open + high + low + close) / 4 AS hc FROM n), ha(symbol, rn, o, hc) AS (SELECT symbol, rn, (open + close) / 2, hc FROM c WHERE rn = 1 UNION ALL SELECT c.symbol, c.rn, (ha.o + ha.hc) / 2, c.hc FROM ha JOIN c ON c.symbol = ha.symbol AND c.rn = ha.rn + 1), {recursive_mean('e20', 'c', 'hc', '(2.0 / 21)')}, x0 AS (SELECT c.symbol, c.open_time, c.hc, ha.o, CASE WHEN c.rn >= 20 THEN c.hc - e20.y END AS d, bias FROM c JOIN ha USING (symbol, rn) JOIN e20 USING (symbol, rn) LEFT JOIN v ON v.symbol = c.symbol AND v.b = time_bucket(INTERVAL '4 hours', c.open_time)), x AS (SELECT *, lag(d) OVER ({W}) AS pd FROM x0) SELECT {_counts('pd <= 0 AND d > 0 AND hc > bias', 'hc < o', 'pd >= 0 AND d < 0 AND hc < bias', 'hc > o')} FROM x GROUP BY symbol"
