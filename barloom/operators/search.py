@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import KEY, TIME, reusing_columns
@@ -173,6 +173,44 @@ def random_search(bars: DataFrame, strategy: type[Strategy], space: dict[str, li
     return out
 
 
+def halving_search(bars: DataFrame, strategy: type[Strategy], space: dict[str, list], cfg: BacktestConfig, metric: str = "sharpe", direction: str = "max", n_trials: int = 64, valid: Callable[[dict], bool] | None = None, seed: int = 0, rungs: int = 3, keep: float = 0.5) -> DataFrame:
+    """Successive halving: random trials on a short head of the bars; the best go on to a longer one, the last few
+    to all of it.
+
+    Rung k of n reads the bars in the first keep ** (n - 1 - k) of the time that all bars span, to the second, and
+    every rung but the last hands on the best keep of its trials (one at least) by their mean metric over symbols,
+    ties by number; trials without a value come last. Each rung is one sweep, so a trial is simulated from the
+    start in every rung that it reaches. Returns the rows of all rungs, with their rung.
+    """
+    if rungs < 1 or not 0 < keep <= 1:
+        raise ValueError("rungs must be at least 1, keep above 0 and at most 1")
+    trials = dict(enumerate(draws(space, n_trials, random.Random(seed), valid)))
+    if not trials:
+        raise ValueError("no valid trial")
+    span = bars.agg(F.unix_seconds(F.min(TIME).cast("timestamp")).alias("a"), F.unix_seconds(F.max(TIME).cast("timestamp")).alias("b")).first()
+    out = None
+    for rung in range(rungs):
+        head = bars
+        if rung < rungs - 1 and span.a is not None:
+            until = span.a + math.floor((span.b - span.a) * keep ** (rungs - 1 - rung))
+            head = bars.where(F.col(TIME) <= F.timestamp_seconds(F.lit(until)).cast("timestamp_ntz"))
+        numbers = F.array(*[F.lit(k).cast("long") for k in trials])
+        rows = sweep(head, [(p, strategy(**p)) for p in trials.values()], [({}, cfg)]).withColumn(RUN, F.element_at(numbers, (F.col(RUN) + 1).cast("int"))).withColumn("rung", F.lit(rung))
+        out = rows if out is None else out.unionByName(rows)
+        if rung < rungs - 1:
+            told = _means(rows, metric)
+            sign = -1 if direction in ("max", "maximize") else 1
+            ranked = sorted(trials, key=lambda k: (told.get(k) is None, sign * (told.get(k) or 0.0), k))  # noqa: B023
+            trials = {k: trials[k] for k in sorted(ranked[: max(1, int(keep * len(trials)))])}
+    return out
+
+
+def _means(rows: DataFrame, metric: str) -> dict[int, float]:
+    """Each run's mean over symbols of the metric, infinities left out: one number a trial."""
+    value = F.when(F.abs(metric) != float("inf"), F.col(metric))
+    return {x[RUN]: x["m"] for x in rows.groupBy(RUN).agg(F.avg(value).alias("m")).collect()}
+
+
 @dataclass
 class Trial:
     """Parameters, and the metric's mean over symbols; None where no symbol has it."""
@@ -189,6 +227,16 @@ class Study:
     direction: str
     trials: list[Trial] = field(default_factory=list)
 
+    def table(self, spark: SparkSession) -> DataFrame:
+        """The trials as rows of number, params (JSON) and value, to be kept wherever Spark writes."""
+        return spark.createDataFrame([(t.number, json.dumps(t.params), t.value) for t in self.trials], "number long, params string, value double")
+
+    @classmethod
+    def of(cls, table: DataFrame, direction: str) -> Study:
+        """The study whose trials are the rows of a table."""
+        rows = table.select("number", "params", "value").sort("number", "params").collect()  # one row a trial
+        return cls(direction, [Trial(k, json.loads(r.params), r.value) for k, r in enumerate(rows)])
+
     def ranked(self) -> list[Trial]:
         """Trials with a value, the best first."""
         known = [t for t in self.trials if t.value is not None]
@@ -240,15 +288,22 @@ def _propose(space: dict[str, list], good: list[dict], rest: list[dict], r: rand
     return out
 
 
-def model_search(bars: DataFrame, strategy: type[Strategy], space: dict[str, list], cfg: BacktestConfig, metric: str = "sharpe", direction: str = "maximize", n_trials: int = 50, valid: Callable[[dict], bool] | None = None, seed: int = 0, batch: int = 8, startup: int = 10, good_share: float = 0.25) -> Study:
+def model_search(bars: DataFrame, strategy: type[Strategy], space: dict[str, list], cfg: BacktestConfig, metric: str = "sharpe", direction: str = "maximize", n_trials: int = 50, valid: Callable[[dict], bool] | None = None, seed: int = 0, batch: int = 8, startup: int = 10, good_share: float = 0.25, study: Study | None = None) -> Study:
     """A study whose trials are drawn by a model of which parameters did well (tree-structured Parzen estimates).
 
     The first startup trials are random. Then trials with a value are parted into a good share and the rest, and
     each parameter is drawn where the good ones are likelier than the others. Trials run batch by batch, each
     batch one Spark job over all symbols; one row a trial is collected.
+
+    study: one to go on with, or earlier trials to begin from (in the same direction): n_trials are added to it,
+    none of which repeats one of its own.
     """
-    r, study = random.Random(seed), Study(direction)
-    seen: set[str] = set()
+    study = Study(direction) if study is None else study
+    if study.direction not in (("max", "maximize") if direction in ("max", "maximize") else ("min", "minimize", direction)):
+        raise ValueError(f"the study goes for {study.direction!r}")
+    r = random.Random(f"{seed}/{len(study.trials)}") if study.trials else random.Random(seed)
+    seen: set[str] = {json.dumps(t.params, sort_keys=True, default=str) for t in study.trials}
+    n_trials += len(study.trials)
     while len(study.trials) < n_trials:
         ranked = study.ranked()
         n_good = max(1, math.ceil(good_share * len(ranked)))
@@ -267,8 +322,7 @@ def model_search(bars: DataFrame, strategy: type[Strategy], space: dict[str, lis
         if not params:
             break  # the space has no further valid point that was found
         rows = sweep(bars, [(p, strategy(**p)) for p in params], [({}, cfg)])
-        value = F.when(F.abs(metric) != float("inf"), F.col(metric))
-        told = {x[RUN]: x["m"] for x in rows.groupBy(RUN).agg(F.avg(value).alias("m")).collect()}
+        told = _means(rows, metric)
         study.trials += [Trial(len(study.trials) + k, p, told.get(k)) for k, p in enumerate(params)]
     if not study.trials:
         raise ValueError("no valid trial")

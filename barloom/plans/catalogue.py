@@ -25,6 +25,7 @@ from barloom.plans import strategies as Y
 from barloom.sources import providers, store
 from barloom.sources.ticks import event_bars, order_bars
 from barloom.staging import scratch_path, stage, stage_parts
+from barloom.streaming import fetch as fetches
 from barloom.streaming import signals as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -459,6 +460,17 @@ def stream_ema_ribbon(spark, d):
     return streams.table(spark, path).select(KEY, TIME, F.round("close", 6).alias("close"), F.round("ema_20", 6).alias("ema_20"), "entry_long", "exit_long")
 
 
+@query("stream_fetch", f"WITH {BARS} SELECT upper(symbol) AS symbol, open_time, close FROM bars WHERE open_time BETWEEN TIMESTAMP '2024-01-03 00:00:00' AND TIMESTAMP '2024-02-20 00:00:00'")
+def stream_fetch(spark, d):
+    """A span of all series, fetched into a store as a stream of months."""
+    bars = stage(_bars(spark, d), "bars")
+    kept, asked = store.BarStore(spark, scratch_path(spark, "store")), scratch_path(spark, "asked")
+    names = [r[KEY] for r in bars.select(KEY).distinct().collect()]
+    fetches.ask(spark, asked, names, "1h", "2024-01-03 00:00:00", "2024-02-20 00:00:00")
+    fetches.fetch_asked(kept, asked, scratch_path(spark, "checkpoint"), providers.TableProvider(bars), availableNow=True).awaitTermination()
+    return kept.table().select(KEY, TIME, "close")
+
+
 _DAYS = "dd AS (SELECT symbol, b, c, row_number() OVER (PARTITION BY symbol ORDER BY b) AS rn FROM (SELECT symbol, time_bucket(INTERVAL '1 day', open_time) AS b, arg_max(close, open_time) AS c FROM bars GROUP BY 1, 2))"
 SQL["strat_mtf_trend"] = f"WITH RECURSIVE {BARS}, {_FOUR}, {_DAYS}, {recursive_mean('e5', 'n', 'close', '(2.0 / 6)')}, {recursive_mean('e3', 'h', 'c', '(2.0 / 4)')}, {recursive_mean('e8', 'h', 'c', '(2.0 / 9)')}, {recursive_mean('e2', 'dd', 'c', '(2.0 / 3)')}, f AS (SELECT symbol, b, lag(CASE WHEN rn >= 3 THEN e3.y END) OVER o AS fast, lag(CASE WHEN rn >= 8 THEN e8.y END) OVER o AS slow FROM h JOIN e3 USING (symbol, rn) JOIN e8 USING (symbol, rn) WINDOW o AS (PARTITION BY symbol ORDER BY b)), g AS (SELECT symbol, b, lag(CASE WHEN rn >= 2 THEN e2.y END) OVER (PARTITION BY symbol ORDER BY b) AS mom FROM dd JOIN e2 USING (symbol, rn)), x0 AS (SELECT n.symbol, n.open_time, CASE WHEN n.rn >= 5 THEN n.close - e5.y END AS d, fast, slow, mom FROM n JOIN e5 USING (symbol, rn) LEFT JOIN f ON f.symbol = n.symbol AND f.b = time_bucket(INTERVAL '4 hours', n.open_time) LEFT JOIN g ON g.symbol = n.symbol AND g.b = time_bucket(INTERVAL '1 day', n.open_time)), x AS (SELECT *, lag(d) OVER ({W}) AS pd, lag(mom) OVER ({W}) AS pm FROM x0) SELECT {_counts('pd <= 0 AND d > 0 AND fast > slow AND mom > pm', 'pd >= 0 AND d < 0', 'false', 'false')} FROM x GROUP BY symbol"
 SQL["strat_ema_cross_htf"] = f"WITH RECURSIVE {BARS}, {_FOUR}, {recursive_mean('e5', 'h', 'c', '(2.0 / 6)')}, v AS (SELECT symbol, b, lag(CASE WHEN rn >= 5 THEN e5.y END) OVER (PARTITION BY symbol ORDER BY b) AS bias FROM h JOIN e5 USING (symbol, rn)), c AS (SELECT *, (open + high + low + close) / 4 AS hc FROM n), ha(symbol, rn, o, hc) AS (SELECT symbol, rn, (open + close) / 2, hc FROM c WHERE rn = 1 UNION ALL SELECT c.symbol, c.rn, (ha.o + ha.hc) / 2, c.hc FROM ha JOIN c ON c.symbol = ha.symbol AND c.rn = ha.rn + 1), {recursive_mean('e20', 'c', 'hc', '(2.0 / 21)')}, x0 AS (SELECT c.symbol, c.open_time, c.hc, ha.o, CASE WHEN c.rn >= 20 THEN c.hc - e20.y END AS d, bias FROM c JOIN ha USING (symbol, rn) JOIN e20 USING (symbol, rn) LEFT JOIN v ON v.symbol = c.symbol AND v.b = time_bucket(INTERVAL '4 hours', c.open_time)), x AS (SELECT *, lag(d) OVER ({W}) AS pd FROM x0) SELECT {_counts('pd <= 0 AND d > 0 AND hc > bias', 'hc < o', 'pd >= 0 AND d < 0 AND hc < bias', 'hc > o')} FROM x GROUP BY symbol"
@@ -860,6 +872,32 @@ def random_search(spark, d):
     return _short(search.random_search(_bars(spark, d), Y.EmaRibbon, _SPACE, _RISK, n_trials=8, seed=1))
 
 
+def _rung_sql(share: float) -> str:
+    """All drawn runs over the head of the bars."""
+    head = f"FROM bars WHERE epoch(open_time) <= (SELECT epoch(min(open_time)) + floor((epoch(max(open_time)) - epoch(min(open_time))) * {share}) FROM bars))"
+    return f"{_sweep_sql(_SPACE, _RISK_SQL, bars=BARS.replace('FROM bars)', head), drawn=_DRAWN)} SELECT * FROM runs"
+
+
+def _best_sql(rows: str, k: int) -> str:
+    return f"SELECT run_id FROM {rows} GROUP BY run_id ORDER BY avg(total_return_pct) DESC NULLS LAST, run_id LIMIT {k}"
+
+
+@query("halving_search", f"WITH r0 AS ({_rung_sql(0.25)}), s0 AS ({_best_sql('r0', 4)}), r1 AS (SELECT * FROM ({_rung_sql(0.5)}) WHERE run_id IN (SELECT run_id FROM s0)), s1 AS ({_best_sql('r1', 2)}), r2 AS (SELECT * FROM ({_rung_sql(1)}) WHERE run_id IN (SELECT run_id FROM s1)), runs AS (SELECT *, 0 AS rung FROM r0 UNION ALL SELECT *, 1 FROM r1 UNION ALL SELECT *, 2 FROM r2) SELECT CAST(rung AS BIGINT) AS rung, {_RUNS} FROM runs")
+def halving_search(spark, d):
+    """Eight trials on a quarter of the time, the best four on half of it, the best two on all."""
+    out = search.halving_search(_bars(spark, d), Y.EmaRibbon, _SPACE, _RISK, "total_return_pct", n_trials=8, seed=1)
+    return out.select(F.col("rung").cast("long").alias("rung"), *_COLUMNS[:6], *[F.round(c, 4).alias(c) for c in _COLUMNS[6:]])
+
+
+@query("model_search")
+def model_search(spark, d):
+    """A study of twelve trials, the last eight drawn by what did well; kept as a table and gone on with."""
+    bars, find = stage(_bars(spark, d), "bars"), dict(metric="total_return_pct", batch=4, startup=4, seed=1)
+    first = search.model_search(bars, Y.EmaRibbon, _SPACE, _RISK, n_trials=8, **find)
+    kept = search.Study.of(stage(first.table(spark), "study"), "maximize")
+    return search.model_search(bars, Y.EmaRibbon, _SPACE, _RISK, n_trials=4, study=kept, **find).table(spark)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars, a cross of a short mean, its trades, and their statistics by hour of entry."""
     bars = I.add_emas(_bars(spark, sf_dir), [5, 20])

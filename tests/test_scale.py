@@ -393,3 +393,49 @@ def test_a_sweep_of_two_thousand_runs(spark):
     got = search.sweep(bars, [({"fast": f}, Y.EmaRibbon(fast=f, slow=9)) for f in (2, 3, 4, 5)], configs)
     assert got.count() == 2000 and got.select("run_id").distinct().count() == 2000
     assert "Union" not in got._jdf.queryExecution().toString()
+
+
+# ---- searches in rungs, and studies gone on with
+
+
+def test_halving_hands_on_the_best(spark):
+    from barloom.operators import search
+    from barloom.plans.strategies import EmaRibbon
+
+    pdf = walk(1200, 12, step=0.004)
+    bars = to_spark(spark, pd.concat([pdf, pdf.assign(symbol="B", close=pdf["close"].to_numpy()[::-1])], ignore_index=True)).cache()
+    space, cfg = {"fast": (2, 8), "slow": (9, 20), "confirm_n": [1, 2]}, BacktestConfig(fee_bps=2)
+    rows = search.halving_search(bars, EmaRibbon, space, cfg, "total_return_pct", n_trials=6, seed=3, keep=0.5).toPandas()
+    per = rows.groupby("rung")["run_id"].agg(lambda x: sorted(set(x)))
+    assert [len(per[k]) for k in range(3)] == [6, 3, 1]
+    for k in range(2):
+        means = rows[rows["rung"] == k].groupby("run_id")["total_return_pct"].mean().sort_values(ascending=False)
+        assert per[k + 1] == sorted(means.index[: len(per[k + 1])])
+    last = rows[rows["rung"] == 2]
+    trial = search.draws(space, 6, search.random.Random(3))[last["run_id"].iloc[0]]
+    whole = search.sweep(bars, [(trial, EmaRibbon(**trial))], [({}, cfg)]).toPandas()
+    np.testing.assert_allclose(sorted(last["final_cash"]), sorted(whole["final_cash"]))
+    assert all(last[c].iloc[0] == v for c, v in trial.items())
+    with pytest.raises(ValueError, match="rungs"):
+        search.halving_search(bars, EmaRibbon, space, cfg, rungs=0)
+    with pytest.raises(ValueError, match="no valid"):
+        search.halving_search(bars, EmaRibbon, space, cfg, valid=lambda p: False)
+
+
+def test_a_study_is_kept_and_gone_on_with(spark):
+    from barloom.operators import search
+    from barloom.plans.strategies import EmaRibbon
+
+    bars = to_spark(spark, walk(400, 13, step=0.004)).cache()
+    space = {"fast": (2, 5), "slow": (6, 9), "confirm_n": [1]}
+    find = dict(metric="total_return_pct", batch=4, startup=2, seed=1)
+    study = search.model_search(bars, EmaRibbon, space, BacktestConfig(), n_trials=4, **find)
+    table = study.table(spark)
+    again = search.Study.of(table, "maximize")
+    assert again == study
+    more = search.model_search(bars, EmaRibbon, space, BacktestConfig(), n_trials=4, study=again, **find)
+    assert more.trials[:4] == study.trials and [t.number for t in more.trials] == list(range(8))
+    assert len({str(t.params) for t in more.trials}) == 8 and more.best_value >= study.best_value
+    with pytest.raises(ValueError, match="goes for"):
+        search.model_search(bars, EmaRibbon, space, BacktestConfig(), direction="minimize", n_trials=1, study=more)
+    assert search.Study.of(table.limit(0), "maximize").trials == []
