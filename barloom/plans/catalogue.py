@@ -19,6 +19,7 @@ from barloom.operators import timeframe as R
 from barloom.operators.backtest import RUN, SIGNALS, SimResult, run_backtest, with_drawdown
 from barloom.operators.chunks import in_chunks
 from barloom.operators.config import BacktestConfig, TakeProfit
+from barloom.operators.levels import Levels
 from barloom.operators.quantiles import exact_quantiles
 from barloom.plans import report
 from barloom.plans import strategies as Y
@@ -126,6 +127,12 @@ def viewport_candles(spark, d):
     return R.viewport(_bars(spark, d), *_VIEW, 60)
 
 
+@query("viewport_levels", SQL["viewport_candles"])
+def viewport_levels(spark, d):
+    """The same candles from levels of one and four hours."""
+    return Levels(spark, scratch_path(spark, "levels"), ("1h", "4h")).write(_bars(spark, d)).viewport(*_VIEW, 60)
+
+
 @query("line_extremes", f"WITH {BARS}, g AS (SELECT symbol, time_bucket(INTERVAL '1 day', open_time) AS b, arg_min(row(open_time, close), row(close, open_time)) AS lo, arg_max(row(open_time, close), row(close, open_time)) AS hi FROM bars GROUP BY 1, 2), p AS (SELECT symbol, lo AS p FROM g UNION SELECT symbol, hi FROM g) SELECT symbol, p[1] AS open_time, p[2] AS close FROM p")
 def line_extremes(spark, d):
     return R.extremes(_bars(spark, d), "1D")

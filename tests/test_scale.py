@@ -439,3 +439,36 @@ def test_a_study_is_kept_and_gone_on_with(spark):
     with pytest.raises(ValueError, match="goes for"):
         search.model_search(bars, EmaRibbon, space, BacktestConfig(), direction="minimize", n_trials=1, study=more)
     assert search.Study.of(table.limit(0), "maximize").trials == []
+
+
+# ---- levels of detail
+
+
+def test_a_viewport_of_levels_is_that_of_the_bars(spark, tmp_path, monkeypatch):
+    from barloom.operators import levels
+
+    pdf = walk(4000, 21)
+    r = np.random.default_rng(1)
+    pdf.loc[r.random(len(pdf)) < 0.02, "open"] = np.nan
+    pdf.loc[r.random(len(pdf)) < 0.02, "close"] = np.nan
+    rare = pdf.iloc[r.choice(len(pdf), 40, replace=False)].assign(symbol="rare")
+    df = to_spark(spark, pd.concat([pdf, rare], ignore_index=True))
+    odd = df.limit(1).withColumn("symbol", F.lit(None).cast("string")).unionByName(df.limit(1).withColumn("open_time", F.lit(None).cast("timestamp_ntz")))
+    kept = levels.Levels(spark, str(tmp_path / "levels"), ("5min", "30min", "1h")).write(df.unionByName(odd))
+    key = lambda d: sorted(map(str, d.collect()))
+    spans = [("2025-01-01 00:07:00", "2025-01-03 11:13:00", 50), ("2025-01-01 00:00:00", "2025-01-03 18:00:00", 60), ("2025-01-01 05:03:00", "2025-01-01 09:00:00", 48), ("2025-01-02 00:01:00", "2025-01-02 00:04:00", 2), ("2024-12-01 00:00:00", "2025-02-01 00:00:00", 30), ("2026-01-01 00:00:00", "2026-01-02 00:00:00", 10)]
+    used = []
+    for start, end, target in spans:
+        got = kept.viewport(start, end, target)
+        assert key(got) == key(R.viewport(df, start, end, target)), (start, end, target)
+        used += [n for n in ("5min", "30min", "1h") if f"every-{n}" in " ".join(got.inputFiles())]
+    assert {"5min", "30min", "1h"} & set(used)
+    wide = kept.viewport("2024-12-30 00:00:00", "2025-01-05 00:00:00", 72)
+    assert any("every-1h" in f for f in wide.inputFiles())
+    monkeypatch.setattr(levels, "NAMED", 0)
+    assert key(kept.viewport(*spans[1])) == key(R.viewport(df, *spans[1]))
+    empty = levels.Levels(spark, str(tmp_path / "empty"), ("1h",)).write(df.limit(0))
+    assert empty.viewport("2025-01-01 00:00:00", "2025-01-03 00:00:00", 24).count() == 0
+    for rules in (("1h", "90min"), ("1W",), ("1h", "1h")):
+        with pytest.raises(ValueError):
+            levels.Levels(spark, "x", rules)
