@@ -210,8 +210,10 @@ def _prose(r: random.Random, n: int) -> str:
     return " ".join(out)
 
 
-#: Names that say nothing, and names that mislead: what generated pages call a third of their parts.
+#: Names that say nothing, names of boilerplate of any length inside articles, and names that mislead: what generated
+#: pages call their parts.
 _PLAIN_NAMES = ("box", "c-12", "panel", "wrap", "row", "inner", "col-3", "zone", "kasten", "bloc", "caja", "u7")
+_NAMED = ("ad", "advert", "promo", "sponsored", "newsletter", "cookie-notice", "related", "share")
 _MISLEADING = ("notice-board", "search", "side-effects", "menu-of-the-day", "tags", "legal", "header-files", "related-work", "social", "alerts", "footnotes")
 
 
@@ -249,7 +251,7 @@ def _page(r: random.Random) -> tuple[str, set[str]]:
         elif kind < 0.94:
             body += _special(r, lambda k: keep(word(k)))
         else:
-            body += r.choice((f'<div class="ad">{_prose(r, r.randint(3, 20))}</div>', f'<section class="comments"><p>{_prose(r, r.randint(3, 40))}</p></section>', f"<aside><p>{_prose(r, 10)}</p></aside>", f'<div class="share"><a href="#">{word(1)}</a></div>', f'<div class="promo"><p>{_prose(r, r.randint(3, 20))}</p></div>', f"<form><p>{_prose(r, r.randint(4, 20))}</p><input><button>{word(1)}</button></form>", f'<div class="{r.choice(("related", "tags", "social"))}">{r.choice(("", f"<h3>{word(2)}</h3>"))}{menu()}</div>', f'<nav class="{name("toc-nav")}">{menu()}</nav>', f'<aside>{_special(r, word)}</aside>'))
+            body += r.choice((f'<div class="ad">{_prose(r, r.randint(3, 20))}</div>', f'<section class="comments"><p>{_prose(r, r.randint(3, 40))}</p></section>', f"<aside><p>{_prose(r, 10)}</p></aside>", f'<div class="share"><a href="#">{word(1)}</a></div>', *(f'<div class="{r.choice(_NAMED)}">' + "".join(f"<p>{_prose(r, r.randint(3, 60))}</p>" for _ in range(r.randint(1, 2))) + "</div>" for _ in range(4)), f"<form><p>{_prose(r, r.randint(4, 20))}</p><input><button>{word(1)}</button></form>", f'<div class="{r.choice(("related", "tags", "social"))}">{r.choice(("", f"<h3>{word(2)}</h3>"))}{menu()}</div>', f'<nav class="{name("toc-nav")}">{menu()}</nav>', f'<aside>{_special(r, word)}</aside>'))
     article = r.choice((f"<article>{body}</article>", f"<main><article>{body}</article></main>", f'<div class="content">{body}</div>', f'<div id="post">{body}</div>', f"<main>{body}</main>", f"<div>{body}</div>"))
     remarks = "" if r.random() < 0.5 else '<section class="comments">' + "".join(f"<p>{_prose(r, r.randint(3, 50))}</p>" for _ in range(r.randint(1, 5))) + "</section>"
     form = r.choice(("", f"<form><label>{word(2)}</label><input><p>{_prose(r, r.randint(3, 12))}</p><button>{word(1)}</button></form>"))

@@ -385,7 +385,8 @@ SENTENCES = "All of this is part of the article. It goes on for a while, as an a
         ("<template><p>{}</p></template>", None), ("<figure><img src=a.png><figcaption>{}</figcaption></figure>", "{}"), ("<pre><code>{}</code></pre>", "{}"), ("<figure><img src=a.png><figcaption>The old bridge</figcaption></figure>", "The old bridge"), ("<pre>x = f(y)</pre>", "x = f(y)"),
         ("<table><caption>Towns by size</caption><tr><th>Town<th>People<tr><td>Bonn<td>330,000<tr><td>Ulm<td>126,000</table>", "Towns by size\nTown\nPeople\nBonn\n330,000\nUlm\n126,000"),
         ("<ul><li><a href=/a>Lyon</a><li><a href=/b>Bergen</a><li><a href=/c>Porto</a></ul>", "Lyon\nBergen\nPorto"), ("<dl><dt>Tram<dd>A train in the street.</dl>", "Tram\nA train in the street."),
-        ("<form><p>Please fill in your name and address below.</p><input><button>Go</button></form>", None), ("<form><p>{}</p></form>", None), ('<div class="related"><ul><li><a href=/a>Lyon</a><li><a href=/b>Bergen</a></ul></div>', None),
+        ("<form><p>Please fill in your name and address below.</p><input><button>Go</button></form>", None), ("<form><p>{}</p></form>", None), *[(f'<div class="{n}"><p>{{}}</p></div>', None) for n in ("ad", "promo", "cookie-notice", "newsletter", "comments", "sidebar")], ("<aside><p>{}</p></aside>", None), ("<nav><p>{}</p></nav>", None), ("<div><p>{}</p></div>", "{}"), ('<div class="c-12"><p>{}</p></div>', "{}"),
+        ('<div class="related"><ul><li><a href=/a>Lyon</a><li><a href=/b>Bergen</a></ul></div>', None),
         ("<script>{}</script>", None), ("<textarea>{}</textarea>", None), ('<div class="ad">{}</div>', None), ('<section class="comments"><p>{}</p></section>', None),
     ],
 )
